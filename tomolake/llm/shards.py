@@ -204,7 +204,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, files: int | None
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ["doc_id", F.xxhash64("text"), "text"]
     dealt = hashed.repartitionByRange(files or tasks(spark), *order[:2]).sortWithinPartitions("doc_id", "text")
-    rows = sorted((r.asDict() for r in dealt.mapInArrow(write, "part int, file string, docs long, tokens long").collect()), key=lambda r: r["part"])
+    rows = sorted((r.asDict() for r in dealt.mapInArrow(write, "part long, file string, docs long, tokens long").collect()), key=lambda r: r["part"])
     start = 0
     for r in rows:
         r["start"] = start
