@@ -188,7 +188,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, files: int | None
             if writer is None:
                 fs, own = pafs.FileSystem.from_uri(name)
                 fs.create_dir(own.rpartition("/")[0], recursive=True)
-                sink = fs.open_output_stream(own)
+                sink = fs.open_output_stream(own, compression=None)
                 writer = ShardWriter(sink)
             encoded = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
             for doc_id, data in zip(batch.column(0).to_pylist(), encoded, strict=True):
