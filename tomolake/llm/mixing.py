@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks. DataFrame functions only.
+"""Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks..
 
 Targets are filled up by weight under a cap, seats (blocks) go to sources and then to their shards by highest
 quotients, and each shard takes its quota of blocks at a seeded, evenly spaced choice.
@@ -6,10 +6,16 @@ quotients, and each shard takes its quota of blocks at a seeded, evenly spaced c
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomolake.llm.common import cut
+from tomolake.llm.common import cut, pieces
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 #: Words in a block.
 BLOCK = 16
@@ -146,3 +152,38 @@ def mix(
     taken = _taken_before(F.col("stop"), block) - _taken_before(F.col("stop") - F.col("size"), block)
     taken = F.when(F.col("n") > 0, taken).otherwise(0).cast("long")
     return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *[F.col(t).alias(c) for t, c in zip(ties, extra, strict=True)])
+
+
+def first_words(text: str, n: int) -> str:
+    """text up to the end of its n-th word."""
+    for k, m in enumerate(_WORD.finditer(text), 1):
+        if k == n:
+            return text[: m.end()]
+    return text
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents, in the columns of docs: each row as often as all its words are taken, and once more, cut
+    after as many words as are left over. Rows of which nothing is taken go. A column n_chars follows the text.
+
+    Rows are told apart by a hash of all columns; what equal rows take is given out together.
+    """
+    name, names = "_mix_row", docs.columns
+    marked = docs.withColumn(name, F.xxhash64(*names))
+    taken = mix(marked, tie=[name], **options).groupBy(name).agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"), F.count("*").alias("_n"))
+    taken = cut(taken)
+    if not taken.where("_n > 1").isEmpty():
+        marked = marked.dropDuplicates([name])
+    rows = marked.join(taken.where("_taken > 0").drop("_n"), name).drop(name)
+    whole, rest = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
+    cuts = F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    rows = rows.select(*names, F.explode(cuts).alias("_cut"))
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            texts = [first_words(t, n) if n else t for t, n in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))], names)
+
+    out = rows.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
