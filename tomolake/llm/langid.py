@@ -209,16 +209,17 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Models:
 
 def _predicted(docs: DataFrame, models: Models, keep: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    source = docs.select(*[F.col(c) for c in keep], F.col("text").cast("string").alias("_text"))
+    at = keep.index("text") if "text" in keep else len(keep)  # the text goes to Python once
+    source = docs.select(*[F.col(c) for c in keep], *([] if "text" in keep else [F.col("text").cast("string")]))
     names = [f"_keep{k}" for k in range(len(keep))]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lang, score, rejected = shared.value.predict(batch.column(len(keep)).to_pylist())
+        lang, score, rejected = shared.value.predict(batch.column(at).to_pylist())
         cols = [*(batch.column(k) for k in range(len(keep))), pa.array(lang), pa.array(score), pa.array(rejected)]
         return pa.RecordBatch.from_arrays(cols, [*names, "lang_pred", "score", "rejected"])
 
     kinds = ", ".join(f"{n} {source.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
-    return map_batches(source, run, f"{kinds}, lang_pred string, score double, rejected boolean", 4096)
+    return map_batches(source, run, f"{kinds}, lang_pred string, score double, rejected boolean", 1536)
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
