@@ -61,10 +61,11 @@ def k_dot_log_w_blocks(photons: DataFrame, templates: DataFrame, pixels: int) ->
                 dense = np.zeros((batch.num_rows, w.shape[1]))
                 dense[np.repeat(np.arange(batch.num_rows), sizes), i] = k
                 kw = dense @ w.T
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), len(r))), pa.array(np.tile(r, batch.num_rows)), pa.array(kw.ravel())], ["d", "r", "kw"])
+                d = np.repeat(batch.column(0).to_numpy(), len(r)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(np.tile(r, batch.num_rows).astype(np.int64)), pa.array(kw.ravel())], ["d", "r", "kw"])
 
-        kinds = {f: photons.schema["d"].dataType.simpleString() if f == "d" else templates.schema["r"].dataType.simpleString() for f in ("d", "r")}
-        part = packed.mapInArrow(run, f"d {kinds['d']}, r {kinds['r']}, kw double")
+        part = packed.mapInArrow(run, "d long, r long, kw double")
+        part = part.select(*[F.col(c).cast(t.schema[c].dataType) for c, t in (("d", photons), ("r", templates))], "kw")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else k_dot_log_w(photons, templates)
 

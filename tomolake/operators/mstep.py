@@ -86,6 +86,8 @@ def solve_root(a: np.ndarray, b: np.ndarray, c: float, fill: float = 0.0, ftol:
     for _ in range(rounds):
         t = a / (x + b)
         f, d1 = float(t.sum()) - c, -float((t / (x + b)).sum())
+        if d1 == 0:  # terms too small for their derivative to be told from zero
+            return x
         step = -f / d1
         if halley:
             d2 = float((t / (x + b) ** 2).sum())
