@@ -1,0 +1,456 @@
+"""Each operator against brute force, a library or held-out labels, and on awkward tables."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+import xxhash
+from tokenizers import Tokenizer
+
+from tomolake.llm import components, crosspolytope, hnsw, langid, lm, mixing, pieces, pii, queries, shards, simhash, toxicity
+from tomolake.llm.common import table
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Columns that carry names which the operators use themselves.
+CLASHING = "score double, size long, fp long, label string, row long, terms string, taken long, block long, id long, quota long, h string, component_id long, _text string"
+ROWS = [
+    (1, "The quick brown fox jumps over the lazy dog again and again", "en", "a"), (2, "The quick brown fox jumps over the lazy dog again and again", "en", "a"),
+    (3, None, None, None), (4, "", "en", None), (5, "   \t\n ", "en", "b"), (6, "12345 !!! ???", "en", "b"), (None, "a text without an id", "en", "b"),
+    (7, "der schnelle braune Fuchs springt", "de", "c"), (7, "der schnelle braune Fuchs springt", "de", "c"), (8, "word " * 30_000, "en", "a"),
+    (9, "x" * 50_000, None, "a"), (10, "mail me at joe.doe@mail.example.com or +1 (555) 123-4567 ☎ 4111 1111 1111 1111 from 10.0.0.1", "en", "c"), (11, "one", "fr", "d"), (12, "one two", "fr", "d"),
+]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    rows = [(*r, len(r[1] or ""), *[None] * 13) for r in ROWS]
+    return spark.createDataFrame(rows, f"{SCHEMA}, {CLASHING}").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], f"{SCHEMA}, {CLASHING}")
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf):
+    return {r["doc_id"]: r["text"] or "" for r in table(spark, sf, "documents").collect()}
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (7, 0, 1), (10, 1, 1), (2, 0, 0), (None, 0, 1), (4, 0, None)], "doc_id long, quality int, toxic int")
+
+
+OPERATORS = {
+    "simhash": lambda d, _: simhash.near_duplicates(d), "langid": lambda d, _: langid.identify(d), "lm": lambda d, _: lm.score(d), "mix": lambda d, _: mixing.mix(d),
+    "pii": lambda d, _: pii.find(d), "toxicity": toxicity.score, "pieces": lambda d, _: pieces.encode_documents(d, public_tokenizers.path("piece_bpe_32k.model"), outputs=("ids", "n_tokens", "ids_sha256", "decoded", "decoded_sha256")),
+    "shards": lambda d, _: shards.token_files(d, public_tokenizers.path("byte_bpe_50k.json")),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_a_row_for_every_row(awkward, empty, labels, name):
+    ids = Counter(r["doc_id"] for r in OPERATORS[name](awkward, labels).collect())
+    assert ids == Counter(r[0] for r in ROWS)
+    assert OPERATORS[name](empty, labels.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("stage", [langid.drop_rejected, simhash.drop_near_duplicates, pii.sanitise, mixing.mixed])
+def test_stages_on_awkward_tables(awkward, empty, stage):
+    found = stage(awkward)
+    assert found.columns == awkward.columns and found.schema["text"].dataType == awkward.schema["text"].dataType
+    assert found.count() > 0 and stage(empty).count() == 0
+
+
+# ---- near-duplicates
+
+
+def fingerprint(text):
+    words = text.encode().lower().split()
+    if not words:
+        return 0
+    parts = [b" ".join(words)] if len(words) < 3 else [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)]
+    hashes = [xxhash.xxh64_intdigest(p, 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def reachable(nodes, links):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {n: find(n) for n in nodes}
+
+
+def test_simhash_by_brute_force(spark, sf, documents):
+    prints = {i: fingerprint(t) for i, t in documents.items()}
+    ids = sorted(prints)
+    classes = reachable(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 3])
+    found = queries.op1_simhash(spark, sf).collect()
+    assert {r["doc_id"]: r["fingerprint"] for r in found} == {i: f"{p:016x}" for i, p in prints.items()}
+    assert {r["doc_id"]: r["component_id"] for r in found} == classes
+    kept = simhash.drop_near_duplicates(table(spark, sf, "documents"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in ids if classes[i] == i)
+
+
+@pytest.mark.parametrize("limit", [simhash.SHARD_LIMIT, 5])
+def test_shards_lose_no_link(spark, limit):
+    """Also when every shard is large enough to be dealt again."""
+    rng = np.random.RandomState(2)
+    base = rng.randint(0, 2**62, 40)
+    codes = {int(b) for b in base} | {int(b) ^ sum(1 << int(k) for k in rng.choice(62, n, False)) for b in base for n in (1, 2, 3, 4, 5)}
+    codes = sorted(codes)
+    prints = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "doc_id long, fp long")
+    want = reachable(range(len(codes)), [(a, b) for a in range(len(codes)) for b in range(a) if (codes[a] ^ codes[b]).bit_count() <= 3])
+    found = {r["fp"]: r["component_id"] for r in simhash.classes(prints, limit=limit).collect()}
+    assert found == {c: want[i] for i, c in enumerate(codes)}
+
+
+def test_bk_forest():
+    rng = np.random.RandomState(1)
+    codes = np.unique(rng.randint(0, 2**16, 500).astype(np.uint64))
+    group = rng.randint(0, 3, len(codes))
+    group = np.unique(group, return_inverse=True)[1]
+    q, node = simhash.BKForest(group, codes).search(codes, group, 3)
+    want = {(a, b) for a in range(len(codes)) for b in range(len(codes)) if group[a] == group[b] and int(codes[a] ^ codes[b]).bit_count() <= 3}
+    assert len(q) == len(want) and set(zip(q.tolist(), node.tolist(), strict=True)) == want
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 501), (7, 7), (None, 3)], "u long, v long")
+    found = {r["node"]: r["label"] for r in components.connected_components(links).collect()}
+    assert found == {**dict.fromkeys(range(301), 0), 500: 500, 501: 500}
+    assert components.connected_components(links.limit(0)).count() == 0
+
+
+# ---- vectors
+
+
+def vectors_of(spark, sf):
+    rows = table(spark, sf, "embeddings").collect()
+    return np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
+
+
+def test_cross_polytope_recall(spark, sf):
+    ids, x = vectors_of(spark, sf)
+    found = {}
+    for r in queries.op2_cross_polytope(spark, sf).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    hits = total = 0
+    for k in np.flatnonzero(ids % 20 == 0):
+        score = (x * x[k]).sum(1)
+        order = [i for i in np.lexsort((ids, -score)) if i != k][:20]
+        own = found.pop(int(ids[k]))
+        assert sorted(own) == list(range(1, 21))
+        assert all(own[a][1] >= own[a + 1][1] for a in range(1, 20))
+        hits, total = hits + len({int(ids[i]) for i in order} & {v for v, _ in own.values()}), total + 20
+    assert not found and hits >= 0.9 * total
+
+
+AWKWARD_VECTORS = [(0, [1.0, 0.0, 0.0]), (20, [1.0, 0.0, 0.0]), (2, [0.9, 0.1, 0.0]), (3, [0.0, 0.0, 0.0]), (4, None), (5, [float("nan"), 1.0, 0.0]), (6, [None, 1.0, 0.0]), (7, [0.0, 5.0, 0.0]), (40, [1.0, 0.0]), (8, [1e200, 0.0, 0.0]), (None, [1.0, 0.0, 0.0])]
+
+
+def test_awkward_vectors(spark):
+    rows = spark.createDataFrame([(*r, 1, 0.5) for r in AWKWARD_VECTORS], "vec_id long, embedding array<double>, id long, v double")
+    found = crosspolytope.nearest(rows.where("vec_id is null or vec_id <> 8")).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(found, key=lambda r: (r["query_id"], r["rank"]))] == [(0, 1, 20), (0, 2, 2), (0, 3, 7), (20, 1, 0), (20, 2, 2), (20, 3, 7)]
+    linked = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in hnsw.near_duplicates(rows).collect()}
+    assert linked == {0: (3, 0, True), 20: (3, 0, False), 2: (3, 0, False), 8: (3, 0, False), **{i: (0, i, True) for i in (3, 4, 5, 6, 7, 40)}, None: (0, None, True)}
+    assert crosspolytope.nearest(rows.limit(0)).count() == 0 and hnsw.near_duplicates(rows.limit(0)).count() == 0
+
+
+def test_inner_product_of_unequal_norms(spark):
+    rng = np.random.RandomState(4)
+    x = rng.randn(400, 8) * rng.rand(400, 1) * 3
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in crosspolytope.nearest(rows).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(found[q] & {int(i) for i in np.argsort(-np.where(np.arange(400) == q, -np.inf, x @ x[q]))[:20]}) for q in range(0, 400, 20))
+    assert hits >= 0.9 * 400
+
+
+def test_hnsw_by_brute_force(spark):
+    rng = np.random.RandomState(6)
+    base = rng.randn(150, 16)
+    x = np.concatenate((base, base[:50] + 0.1 * rng.randn(50, 16), base[:50] + 0.2 * rng.randn(50, 16), np.tile(base[3], (30, 1)), base[5] + 0.05 * rng.randn(120, 16)))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    classes = reachable(range(len(x)), [(a, b) for a in range(len(x)) for b in range(a) if near[a, b]])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    found = hnsw.near_duplicates(rows).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found} == {i: (int(near[i].sum()) - 1, classes[i], classes[i] == i) for i in range(len(x))}
+
+
+# ---- classifiers and models
+
+
+def held_out(doc_id, parts):
+    return zlib.crc32(str(doc_id).encode()) % parts
+
+
+def test_toxicity_on_held_out_labels(spark, sf):
+    sf = sf.replace("0.001", "0.01")
+    marked = {r["doc_id"]: r["toxic"] for r in table(spark, sf, "labels").collect()}
+    found = [r for r in queries.op3_toxicity(spark, sf).collect()]
+    assert all(r["held_out"] == (held_out(r["doc_id"], 5) == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in found)
+    held = [(marked[r["doc_id"]], r["predicted"]) for r in found if r["held_out"] and r["doc_id"] in marked]
+    assert sum(a == b for a, b in held) >= 0.9 * len(held)
+
+
+def test_language_on_held_out_documents(spark, sf):
+    known = {r["doc_id"]: r["lang"] for r in table(spark, sf, "documents").collect()}
+    found = queries.op10_langid(spark, sf).collect()
+    held = [r for r in found if r["held_out"]]
+    assert all(r["held_out"] == (held_out(r["doc_id"], 3) == 1) for r in found)
+    assert sum(known[r["doc_id"]] == r["lang_pred"] for r in held) >= 0.95 * len(held)
+    assert sum(r["rejected"] for r in found) <= 0.02 * len(found)
+
+
+def test_kneser_ney_sums_to_one():
+    """Over the characters seen, the word's end and one unseen, which stands for all others."""
+    models = langid.Models.join({"x": langid.fit(["abab abba baab", "aab bab"])})
+    for context in ("", "a", "ab", "ba", "abb"):
+        p = [probability(models, context, c) for c in ("a", "b", "", "?")]
+        assert abs(sum(p) - 1) < 1e-5 and all(q > 0 for q in p)
+
+
+def probability(models, context, c):
+    """Probability of a character, or of the word's end, after a context that begins a word."""
+    grams = langid.Grams([context + c])
+    at = np.array([len(context) + 1])
+    p = np.full((1, 1), models.uniform)
+    for n, (keys, parts, contexts, shares) in enumerate(models.orders, 1):
+        if at[0] >= n - 1:
+            p = models._rows(keys, parts, grams.keys[n][at]) + models._rows(contexts, shares, grams.context(n, at)) * p
+    return float(p[0, 0])
+
+
+def test_deleted_interpolation_base(spark, sf, documents):
+    tokens = {i: t.encode().lower().split() + [b"\n"] for i, t in documents.items()}
+    counts = Counter(w for i, t in tokens.items() if held_out(i, 7) != 2 for w in t)
+    n, v = sum(counts.values()), len(counts)
+    score = base = size = 0.0
+    for r in queries.op4_deleted_interpolation(spark, sf).collect():
+        own = tokens[r["doc_id"]]
+        assert r["train_tokens"] == n and r["n_tokens"] == len(own) and r["n_known"] == sum(counts[w] > 0 for w in own)
+        assert abs(r["base_score"] - sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own)) < 1e-6 * len(own)
+        if r["held_out"]:
+            score, base, size = score + r["score"], base + r["base_score"], size + len(own)
+    assert score / size > base / size + 0.2
+
+
+def test_deleted_interpolation_by_brute_force(spark):
+    rows = [(i, " ".join("abcdefgh"[(i * k * k + k) % 8] for k in range(1 + i % 13))) for i in range(120)]
+    weights = {}
+    learnt = lm.learn_weights
+    lm.learn_weights = lambda *a, **b: weights.setdefault("w", learnt(*a, **b))
+    try:
+        found = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        lm.learn_weights = learnt
+    words, pairs, begins = Counter(), Counter(), 0
+    for i, t in rows:
+        if held_out(i, 7) != 2:
+            own = ["<"] + t.split() + [">"]
+            words.update(own)
+            pairs.update(zip(own, own[1:], strict=False))
+    n, v = sum(c for w, c in words.items() if w != "<"), len(words) - 1
+    for i, t in rows:
+        own = ["<"] + t.split() + [">"]
+        want = 0.0
+        for h, w in zip(own, own[1:], strict=False):
+            a = weights["w"][int(math.log2(words[h])) + 1 if words[h] else 0]
+            want += math.log10(a[0] * (pairs[h, w] / words[h] if words[h] else 0) + a[1] * words[w] / n + a[2] / (v + 1))
+        assert abs(found[i] - want) < 1e-9 * max(1, len(own))
+
+
+def test_weights_rise_in_likelihood():
+    cells = np.array([[1, 5, 20], [1, 0, 20], [3, 3, 25], [3, 0, 10]])
+    counts = np.array([10.0, 5.0, 20.0, 1.0])
+    w = lm.learn_weights(cells, counts, 1000)
+    assert np.allclose(w.sum(1), 1) and w[3, 0] > w[1, 0] > 0.5
+
+
+# ---- personal data
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+PLAIN = {0: EMAIL, 1: re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), 2: re.compile(r"[0-9]([\x20-]?[0-9])+"), 3: re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")}
+
+
+def plain_spans(text):
+    def luhn(d):
+        return sum(int(c) if k % 2 == 0 else sum(map(int, str(2 * int(c)))) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    out = []
+    for kind, pattern in PLAIN.items():
+        for m in pattern.finditer(text):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == 0 or kind == 1 and all(int(p) <= 255 for p in m[0].split(".")) or kind == 2 and 14 <= len(d) <= 19 and luhn(d) or kind == 3 and 10 <= len(d) <= 15:
+                out.append((m.start(), kind, m.end()))
+    return sorted(out)
+
+
+def test_spans_as_the_patterns_say(documents):
+    rng = np.random.RandomState(0)
+    odd = ["".join(rng.choice(list("a1@.+-( )%5 é"), 40)) for _ in range(3000)] + ["".join(rng.choice(list("0123456789 -.+"), 60)) for _ in range(3000)]
+    odd += ["a@b.c@d.e", "@@a@b.c", "a@b@c.d", "1.2.3.4.5.6.7.8", "4111111111111111", "4111-1111-1111-1111 4111 1111 1111 1112", "+1 (555) 123-4567", "a" * 3000 + "@", "1" * 3000]
+    for text in [*documents.values(), *odd]:
+        assert pii.base_spans(text) == plain_spans(text), text[:80]
+
+
+def test_pii_of_documents(spark, sf, documents):
+    for r in queries.op5_pii(spark, sf).collect():
+        spans = plain_spans(documents[r["doc_id"]])
+        base = ",".join(f"{('email', 'ip', 'card', 'phone')[k]}:{a}:{b}" for a, k, b in spans)
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(s[1] == k for s in spans) for k in range(4)]
+        assert set(filter(None, base.split(","))) <= set(r["spans"].split(","))
+
+
+def test_terms_that_disclose(spark):
+    """A nickname that stands with one address in different texts is found; words that copies or all texts share are not."""
+    rng = np.random.RandomState(1)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    common = [word() for _ in range(30)]
+    filler = lambda: " ".join(rng.choice(common, 12))
+    rows = [(i, f"{filler()} Zorblaxian {filler()} secret.agent@mail.example.org {filler()}") for i in range(6)]
+    copy = f"{filler()} uniqueword otherword mail copy.cat@mail.example.org {filler()}"
+    rows += [(10 + i, copy) for i in range(8)] + [(100 + i, filler()) for i in range(80)]
+    found = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows[:6]:
+        at = text.index("Zorblaxian")
+        assert [s for s in found[i].split(",") if s.startswith("term")] == [f"term:{at}:{at + 10}"]
+    assert not any("term" in found[i] for i, _ in rows[6:])
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "Zorblaxian" not in clean[0] and "[EMAIL]" in clean[0] and "[TERM]" in clean[0] and clean[100] == dict(rows)[100]
+
+
+# ---- tokens
+
+
+def test_pieces_as_the_library(documents):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, library = pieces.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = np.random.RandomState(3)
+    odd = ["".join(rng.choice(list("abcdehlnorst  ▁\n\t\x00éü漢字😀ﬁ½.,'0129"), rng.randint(0, 70))) for _ in range(3000)]
+    odd += [" " * k for k in range(40)] + ["a" * k for k in range(40)] + ["the" * 3000, "<s>", "</s> <unk> <0x41>", ""]
+    texts = [*documents.values(), *odd]
+    words, ids, sizes, starts = model.encode(texts)
+    for text, own in zip(texts, words, strict=True):
+        mine = pieces.gather(own, ids, sizes, starts)
+        assert mine.tolist() == library.encode(text)
+        assert model.decode(mine).decode() == library.decode(mine.tolist())
+
+
+def test_digests(spark, sf, documents):
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for r in queries.op6_sentencepiece(spark, sf).collect():
+        ids = library.encode(documents[r["doc_id"]])
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_token_files(spark, sf, documents, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, start = Tokenizer.from_file(path), 0
+    want = {}
+    for i in sorted(documents):
+        ids = library.encode(documents[i], add_special_tokens=False).ids + [2]
+        want[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids)
+        start += len(ids)
+    found = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.op7_token_files(spark, sf).collect()}
+    assert found == {i: w[:3] for i, w in want.items()}
+    manifest = shards.write_shards(table(spark, sf, "documents"), path, str(tmp_path / "files"), 3)
+    whole = {r["doc_id"]: r["ids"] for r in shards.read_shards(spark, manifest).collect()}
+    assert whole == {i: w[3] for i, w in want.items()}
+    reader = shards.open_shard(manifest[1]["file"])
+    k = reader.docs // 2
+    assert reader.document(k).tolist() == want[int(reader.doc_ids[k])][3]
+    file = manifest[0]["file"].removeprefix("file://")
+    data = bytearray(open(file, "rb").read())
+    data[20] ^= 255
+    open(file, "wb").write(data)
+    with pytest.raises(Exception):  # noqa: B017
+        damaged = shards.open_shard(manifest[0]["file"])
+        [damaged.document(j) for j in range(damaged.docs)]
+
+
+def test_byte_encoder_as_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    mine, library, rng = shards.ByteEncoder(path), Tokenizer.from_file(path), np.random.RandomState(5)
+    texts = ["".join(rng.choice(list("abcde  \n\t\r\x0b\x1c\x85\xa0　éß漢😀½٣²Ⅷ​.,!'s'll 0129"), rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["a<|endoftext|>b", " " * 50_000, "a" * 50_000, ""]
+    for text, data in zip(texts, mine.encode(texts), strict=True):
+        assert np.frombuffer(data, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+# ---- mixing
+
+
+def test_mixing_as_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(queries.OP8_SQL).df().sort_values("doc_id")
+    found = queries.op8_mixing(spark, sf).toPandas().sort_values("doc_id")
+    for c in want.columns:
+        assert (found[c].to_numpy() == want[c].to_numpy()).all(), c
+    assert (found["taken"] <= 2 * found["size"]).all()
+    again = mixing.mix(table(spark, sf, "documents").repartition(7)).toPandas().sort_values("doc_id")
+    assert (again["taken"].to_numpy() == found["taken"].to_numpy()).all()
+
+
+def highest_quotients(weights, seats):
+    out = [0] * len(weights)
+    for _ in range(seats):
+        k = max(range(len(weights)), key=lambda i: (weights[i] / (2 * out[i] + 1), -i))
+        out[k] += 1
+    return out
+
+
+def test_apportionment_is_by_highest_quotients(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.RandomState(8)
+    for seats in (1, 7, 100, 999):
+        weights = [float(w) for w in np.round(rng.pareto(0.7, 40) * 10 + 0.5)]
+        cells = spark.createDataFrame([(i, w, seats) for i, w in enumerate(weights)], "k int, w double, seats long")
+        found = {r["k"]: r["quota"] for r in mixing.apportion(cells, [], "w", "seats", [F.col("k")]).collect()}
+        assert [found[k] for k in range(40)] == highest_quotients(weights, seats)
+
+
+def test_mix_comes_near_its_targets(spark):
+    rows = [(i, " ".join(["w"] * (1 + i * 37 % 900)), f"s{i % 5}" if i % 5 else None) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "target").agg({"taken": "sum", "size": "sum"}).collect()
+    total = sum(r["sum(size)"] for r in found)
+    assert abs(sum(r["target"] for r in found) - 1.5 * total) < 1e-6 * total
+    assert all(abs(r["sum(taken)"] - r["target"]) <= 64 for r in found)
+    out = mixing.mixed(docs).select("source", mixing.word_count("text").alias("n")).groupBy("source").sum("n").collect()
+    assert {r["source"]: r["sum(n)"] for r in out} == {r["source"]: r["sum(taken)"] for r in found}
+
+
+# ---- pipeline
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "pii", "mixing", "sentencepiece"]
+    found = corpus_pipeline.run(spark, sf).collect()
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert found and all(library.decode(list(r["ids"])) == r["decoded"] and len(r["ids"]) == r["n_tokens"] for r in found)

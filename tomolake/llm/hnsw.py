@@ -275,10 +275,11 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
 
     dealt = unit.select("shard", "id", "copies", "v").repartition(shards, "shard").sortWithinPartitions("shard", "id")
     graphs = cut(dealt.mapInArrow(_build(threshold), "shard long, graph binary"))
+    present = sorted(r["shard"] for r in graphs.select("shard").collect())  # small tables may leave shards empty
     none = F.lit(None)
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     placed = graphs.select("shard", every, "graph").select((F.col("shard") * blocks + F.col("block")).alias("cell"), F.lit(0).alias("role"), F.lit(0).cast("long").alias("id"), none.cast("array<double>").alias("v"), "graph")
-    asked = unit.select("id", "block", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    asked = unit.select("id", "block", "v", F.explode(F.array(*map(F.lit, present)) if present else F.array().cast("array<long>")).alias("shard"))
     asked = asked.select((F.col("shard").cast("long") * blocks + F.col("block")).alias("cell"), F.lit(1).alias("role"), "id", "v", none.cast("binary").alias("graph"))
     met = placed.unionByName(asked).repartition(max(tasks(spark), shards * blocks), "cell").sortWithinPartitions("cell", "role")
     found = cut(met.mapInArrow(_visit(threshold), "id long, n long, other long, link boolean"))

@@ -52,7 +52,8 @@ class Grams:
         self.keys = [np.zeros(len(points), np.uint64), single]
         for n in range(2, order + 1):  # an n-gram is an (n - 1)-gram with one more character before it
             longer = np.zeros(len(points), np.uint64)
-            longer[n - 1 :] = (self.keys[n - 1][n - 1 :] * _STEP + np.uint64(n)) ^ single[: len(points) - n + 1]
+            if len(points) >= n:
+                longer[n - 1 :] = (self.keys[n - 1][n - 1 :] * _STEP + np.uint64(n)) ^ single[: len(points) - n + 1]
             self.keys.append(longer)
 
     def context(self, n: int, i: np.ndarray) -> np.ndarray:

@@ -208,7 +208,7 @@ def sanitise(docs: DataFrame, threshold: float = DISCLOSURE, support: int = SUPP
     A column n_chars, if there is one, is made to follow.
     """
     scanned = cut(scan(docs))
-    terms = disclosing_terms(docs, scanned, threshold, support, coverage).withColumnRenamed("row", "_pii_row")
+    terms = disclosing_terms(docs, scanned, threshold, support, coverage).toDF("_pii_row", "_pii_terms")
     row = F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
     joined = docs.withColumn("_pii_key", row).join(terms, F.col("_pii_key") == F.col("_pii_row"), "left").drop("_pii_key", "_pii_row")
     names, at = docs.columns, docs.columns.index("text")
