@@ -141,3 +141,21 @@ def beta_schedule(iterations: int, start: float, stop: float, strategy: str = "e
     if strategy == "linear":
         return [start + (stop - start) * min(i, last) / last for i in range(iterations)]
     raise ValueError(f"no strategy {strategy}")
+
+
+def predicted_frames(frames: DataFrame, templates: DataFrame, weights: DataFrame, background: DataFrame) -> DataFrame:
+    """d, r, i, f = fluence * c * w + bg_weight * v: what a frame would hold under each template."""
+    pixels = frames.join(background, F.col("bg_id") == F.col("b")).join(weights, "i")
+    return pixels.join(templates, "i").select("d", "r", "i", (F.col("fluence") * F.col("c") * F.col("w") + F.col("bg_weight") * F.col("v")).alias("f"))
+
+
+def k_log_f(photons: DataFrame, frames: DataFrame, templates: DataFrame, weights: DataFrame, background: DataFrame) -> DataFrame:
+    """d, r, kf = sum over lit pixels of k * ln f (0 where f <= 0): only pixels with photons are predicted."""
+    lit = photons.join(frames.select("d", "fluence", "bg_id", "bg_weight"), "d").join(background, (F.col("bg_id") == F.col("b")) & (photons["i"] == background["i"])).drop(background["i"])
+    f = F.col("fluence") * F.col("c") * F.col("w") + F.col("bg_weight") * F.col("v")
+    return lit.join(weights, "i").join(templates, "i").groupBy("d", "r").agg(F.sum(F.col("k") * positive_log(f)).alias("kf"))
+
+
+def posterior_statistics(post: DataFrame) -> DataFrame:
+    """least, most, mean: how many templates are left to a frame."""
+    return post.groupBy("d").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"))

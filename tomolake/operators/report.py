@@ -99,3 +99,28 @@ def blob(grid: DataFrame, size: int, widths: tuple[float, ...]) -> DataFrame:
 
 def full_index(*index, size: int):
     return ravelled(*index, size=size)
+
+
+def background_counts(frames: DataFrame, background: DataFrame) -> DataFrame:
+    """d, total: the background integrated over all pixels, aggregated per dictionary entry before the join."""
+    sums = background.groupBy("b").agg(F.sum("v").alias("vsum"))
+    return frames.join(sums, F.col("bg_id") == F.col("b")).select("d", (F.col("bg_weight") * F.col("vsum")).alias("total"))
+
+
+def selected_count(occupancy: DataFrame, chosen: DataFrame) -> DataFrame:
+    """n: posterior mass of the classes that occur among chosen(c)."""
+    return occupancy.join(chosen.select("c").distinct(), "c", "left_semi").agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("n"))
+
+
+def label_frames(assigned: DataFrame, good: DataFrame, label: str) -> DataFrame:
+    """d, label, value: whether each frame's class is among good(c)."""
+    marks = good.select("c").distinct().withColumn("value", F.lit(True))
+    return assigned.join(marks, "c", "left").select("d", F.lit(label).alias("label"), F.coalesce("value", F.lit(False)).alias("value"))
+
+
+def pixel_quantiles(templates: DataFrame, draws: DataFrame) -> DataFrame:
+    """draw, r, i: the pixel at which template r's running sum first exceeds draw * its total; draws(draw, r, u)."""
+    line = Window.partitionBy("r").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    curve = templates.withColumn("high", F.sum("w").over(line)).withColumn("low", F.col("high") - F.col("w")).withColumn("total", F.sum("w").over(Window.partitionBy("r")))
+    hit = curve.join(draws, "r").where((F.col("u") * F.col("total") >= F.col("low")) & (F.col("u") * F.col("total") < F.col("high")))
+    return hit.select("draw", "r", "i")

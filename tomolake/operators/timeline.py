@@ -91,3 +91,13 @@ def change_ranges(rows: DataFrame, key: str, value: str) -> DataFrame:
     marked = rows.withColumn("new", F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(line))).cast("int"), F.lit(1)))
     marked = marked.withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy("run").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.first(value).alias("value")).drop("run")
+
+
+def processes(spans: DataFrame, by: str = "pid") -> DataFrame:
+    """by, first, last, busy, n of each process; by order of the first start."""
+    return spans.groupBy(by).agg(F.min("start").alias("first"), F.max("stop").alias("last"), F.sum(F.col("stop") - F.col("start")).alias("busy"), F.count("*").alias("n"))
+
+
+def numbered(spans: DataFrame) -> DataFrame:
+    """spans with number: how many of the same process and message came before."""
+    return spans.withColumn("number", F.row_number().over(Window.partitionBy("pid", "msg").orderBy("start", "stop")) - 1)

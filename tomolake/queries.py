@@ -697,3 +697,95 @@ def change_ranges(spark, sf):
 @query("SELECT range AS d, (ceil((range + 1) * 7 / 100.0) - 1)::INT AS chunk FROM range(100)")
 def chunk_ranges(spark, sf):
     return spark.range(100).select(F.col("id").alias("d"), (F.ceil((F.col("id") + 1) * 7 / 100) - 1).cast("int").alias("chunk"))
+
+
+# ---- further forms
+
+
+@query(f"{B} SELECT d, r, i, round(fluence * c * w + bg_weight * v, 5) AS f FROM fr JOIN bg ON bg_id = b JOIN wt USING (i) JOIN tm USING (i) WHERE d < 5")
+def predicted_frames(spark, sf):
+    b = Lineitems(spark, sf)
+    return estep.predicted_frames(b.frames.where("d < 5"), b.templates, b.weights, b.background).select("d", "r", "i", F.round("f", 5).alias("f"))
+
+
+@query(f"{B} SELECT d, r, round(sum(k * CASE WHEN fluence * c * w + bg_weight * v > 0 THEN ln(fluence * c * w + bg_weight * v) ELSE 0 END), 5) AS kf FROM ph JOIN fr USING (d) JOIN bg ON bg_id = b AND bg.i = ph.i JOIN wt ON wt.i = ph.i JOIN tm ON tm.i = ph.i GROUP BY d, r")
+def k_log_f(spark, sf):
+    b = Lineitems(spark, sf)
+    return estep.k_log_f(b.photons, b.frames, b.templates, b.weights, b.background).select("d", "r", F.round("kf", 5).alias("kf"))
+
+
+@query(f"{A} SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM (SELECT d, count(*) AS n FROM po GROUP BY d)")
+def posterior_statistics(spark, sf):
+    return estep.posterior_statistics(Embeddings(spark, sf).post()).select("least", "most", *r6("mean"))
+
+
+@query(f"{A} SELECT d, r, round(p, 6) AS p FROM po WHERE p > 0.3")
+def posterior_sparse(spark, sf):
+    return Embeddings(spark, sf).post().where("p > 0.3").select("d", "r", *r6("p"))
+
+
+@query(f"WITH {BP}, {BG}, {BF} SELECT d, round(bg_weight * (SELECT sum(v) FROM bg WHERE b = bg_id), 5) AS total FROM fr")
+def background_counts(spark, sf):
+    b = Lineitems(spark, sf)
+    return report.background_counts(b.frames, b.background).select("d", F.round("total", 5).alias("total"))
+
+
+@query(f"WITH {PH}, {FR} SELECT d, ksum FROM fr ORDER BY ksum DESC, d")
+def frames_by_count(spark, sf):
+    return Embeddings(spark, sf).frames.orderBy(F.desc("ksum"), "d").select("d", "ksum")
+
+
+@query(f"WITH {PH} SELECT i, d, k FROM ph WHERE i < 8")
+def transposed(spark, sf):
+    rows = Embeddings(spark, sf).photons.where("i < 8").select("i", "d", "k")
+    return rows.repartition("i").sortWithinPartitions("i", "d")
+
+
+@query(f"WITH {PH} SELECT d, sum(k)::BIGINT AS ksum FROM ph WHERE i % 3 <> 0 GROUP BY d")
+def masked_sums(spark, sf):
+    mask = spark.range(64).where("id % 3 <> 0").select(F.col("id").cast("int").alias("i"))
+    return Embeddings(spark, sf).photons.join(F.broadcast(mask), "i", "left_semi").groupBy("d").agg(F.sum("k").alias("ksum"))
+
+
+@query(f"{_MAP} SELECT s, r FROM mp WHERE scale_id = 1")
+def scale_selection(spark, sf):
+    return _mapping(spark).where("scale_id = 1").select("s", "r")
+
+
+@query(f"{A}, hard AS (SELECT d, r AS c FROM po QUALIFY row_number() OVER (PARTITION BY d ORDER BY p DESC, r) = 1) SELECT d, 'good' AS label, c IN (1, 4, 7) AS value FROM hard")
+def good_frame_labels(spark, sf):
+    hard = estep.most_likely(Embeddings(spark, sf).post()).select("d", F.col("r").alias("c"))
+    return report.label_frames(hard, spark.createDataFrame([(1,), (4,), (7,)], "c int"), "good")
+
+
+@query(f"{A} SELECT round(sum(p), 5) AS n FROM po WHERE r IN (SELECT label FROM embeddings WHERE vec_id < 5)")
+def selected_count(spark, sf):
+    post = Embeddings(spark, sf).post()
+    chosen = T.read(spark, sf, "embeddings").where("vec_id < 5").select(F.col("label").alias("c"))
+    return report.selected_count(post.select(F.col("r").alias("c"), "p"), chosen).select(F.round("n", 5).alias("n"))
+
+
+@query(f"WITH {BT}, dr AS (SELECT range AS draw, (range % 7 + 1)::INT AS r, ((range * 7919) % 1000 + 0.5::DOUBLE) / 1000 AS u FROM range(500)), cu AS (SELECT r, i, w, sum(w) OVER (PARTITION BY r ORDER BY i) AS high, sum(w) OVER (PARTITION BY r) AS total FROM tm) SELECT draw, r, i FROM cu JOIN dr USING (r) WHERE u * total >= high - w AND u * total < high")
+def pixel_quantiles(spark, sf):
+    draw = F.col("id")
+    draws = spark.range(500).select(draw.alias("draw"), (draw % 7 + 1).cast("int").alias("r"), ((draw * 7919 % 1000 + 0.5) / 1000).alias("u"))
+    return report.pixel_quantiles(T.lineitem_templates(spark, sf), draws)
+
+
+@query("SELECT user_id AS pid, min(epoch(ts)) AS first, max(epoch(ts) + 300) AS last, round(sum(300.0::DOUBLE), 3) AS busy, count(*) AS n FROM events GROUP BY user_id")
+def log_processes(spark, sf):
+    rows = T.read(spark, sf, "events").select(F.col("user_id").alias("pid"), seconds().alias("start"), (seconds() + 300).alias("stop"))
+    return timeline.processes(rows).withColumn("busy", F.round("busy", 3))
+
+
+@query("SELECT user_id AS pid, event_type AS msg, epoch(ts) AS start, epoch(ts) + 300 AS stop, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts)::INT - 1 AS number FROM events")
+def log_numbered(spark, sf):
+    return timeline.numbered(T.read(spark, sf, "events").select(F.col("user_id").alias("pid"), F.col("event_type").alias("msg"), seconds().alias("start"), (seconds() + 300).alias("stop")))
+
+
+@query(f"WITH {PH}, x AS (SELECT d, k, row_number() OVER (PARTITION BY d ORDER BY k DESC, i) AS n FROM ph) SELECT d, sum(k)::BIGINT AS top FROM x WHERE n <= 5 GROUP BY d")
+def brightest_pixels(spark, sf):
+    from pyspark.sql import Window
+
+    line = Window.partitionBy("d").orderBy(F.desc("k"), "i")
+    return Embeddings(spark, sf).photons.withColumn("n", F.row_number().over(line)).where("n <= 5").groupBy("d").agg(F.sum("k").alias("top"))
