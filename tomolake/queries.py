@@ -140,17 +140,17 @@ def split_frames(spark, sf):
     return mstep.split_frames(T.lineitem_photons(spark, sf), 50)
 
 
-@query(f"WITH {BP}, {BG}, {BF} SELECT d, bg.i, round(bg_weight * v, 6) AS background FROM fr JOIN bg ON bg_id = b")
+@query(f"WITH {BP}, {BG}, {BF} SELECT d, bg.i, round(bg_weight * v, 8) AS background FROM fr JOIN bg ON bg_id = b")
 def background_frames(spark, sf):
     b = Lineitems(spark, sf)
-    return b.frames.join(b.background, F.col("bg_id") == F.col("b")).select("d", "i", F.round(F.col("bg_weight") * F.col("v"), 6).alias("background"))
+    return b.frames.join(b.background, F.col("bg_id") == F.col("b")).select("d", "i", F.round(F.col("bg_weight") * F.col("v"), 8).alias("background"))
 
 
-@query(f"WITH {BP}, {BG}, {BF} SELECT d, round(bg_weight * vsum, 6) AS bsum FROM fr JOIN (SELECT b, sum(v) AS vsum FROM bg GROUP BY b) ON bg_id = b")
+@query(f"WITH {BP}, {BG}, {BF} SELECT d, round(bg_weight * vsum, 8) AS bsum FROM fr JOIN (SELECT b, sum(v) AS vsum FROM bg GROUP BY b) ON bg_id = b")
 def background_sums(spark, sf):
     b = Lineitems(spark, sf)
     totals = b.background.groupBy("b").agg(F.sum("v").alias("vsum"))
-    return b.frames.join(totals, F.col("bg_id") == F.col("b")).select("d", F.round(F.col("bg_weight") * F.col("vsum"), 6).alias("bsum"))
+    return b.frames.join(totals, F.col("bg_id") == F.col("b")).select("d", F.round(F.col("bg_weight") * F.col("vsum"), 8).alias("bsum"))
 
 
 # ---- expectation
@@ -724,10 +724,10 @@ def posterior_sparse(spark, sf):
     return Embeddings(spark, sf).post().where("p > 0.3").select("d", "r", *r6("p"))
 
 
-@query(f"WITH {BP}, {BG}, {BF} SELECT d, round(bg_weight * (SELECT sum(v) FROM bg WHERE b = bg_id), 5) AS total FROM fr")
+@query(f"WITH {BP}, {BG}, {BF} SELECT d, round(bg_weight * (SELECT sum(v) FROM bg WHERE b = bg_id), 8) AS total FROM fr")
 def background_counts(spark, sf):
     b = Lineitems(spark, sf)
-    return report.background_counts(b.frames, b.background).select("d", F.round("total", 5).alias("total"))
+    return report.background_counts(b.frames, b.background).select("d", F.round("total", 8).alias("total"))
 
 
 @query(f"WITH {PH}, {FR} SELECT d, ksum FROM fr ORDER BY ksum DESC, d")
