@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tomolake.functions.expressions import positive_log
 
-#: Elements of a block of templates that is broadcast; templates beyond it take several passes.
+#: Elements of a block of templates that one task holds.
 BLOCK_ELEMENTS = 4_000_000
 
 
@@ -35,39 +35,53 @@ def k_dot_log_w(photons: DataFrame, templates: DataFrame) -> DataFrame:
     return photons.join(logs, "i").groupBy("d", "r").agg(F.sum(F.col("k") * F.col("lw")).alias("kw"))
 
 
-def k_dot_log_w_blocks(photons: DataFrame, templates: DataFrame, pixels: int) -> DataFrame:
-    """The same for dense templates (every r has every pixel) as blocks of a matrix product.
+def k_dot_log_w_blocks(photons: DataFrame, templates: DataFrame, pixels: int, frame_blocks: int | None = None) -> DataFrame:
+    """The same for dense templates (every r has every pixel below pixels) as blocks of a matrix product.
 
-    Frames are packed to one row each; the templates are cut by r into blocks of bounded size, each broadcast in
-    turn, so that D x R rows leave the tasks and not D x R x lit ones.
+    Frames and templates are packed to a row each and dealt to blocks; every pair of blocks meets in one task, which
+    multiplies them. So D x R sums leave the tasks and not D x R x lit products, a task holds one block of templates
+    (BLOCK_ELEMENTS at most, about) and frames as they come, and nothing passes the driver.
     """
-    spark = photons.sparkSession
-    step = max(1, BLOCK_ELEMENTS // pixels)
-    packed = photons.groupBy("d").agg(F.collect_list(F.struct("i", "k")).alias("x")).select("d", F.col("x.i").alias("i"), F.col("x.k").alias("k"))
-    names = [r["r"] for r in templates.select("r").distinct().orderBy("r").toLocalIterator()]
-    out = None
-    for a in range(0, len(names), step):
-        some = names[a : a + step]
-        w = np.zeros((len(some), pixels))
-        for row in templates.where(F.col("r").between(some[0], some[-1])).select("r", "i", positive_log(F.col("w")).alias("lw")).toLocalIterator():
-            w[some.index(row["r"]), row["i"]] = row["lw"]
-        shared = spark.sparkContext.broadcast((np.array(some), w))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            r, w = shared.value
-            for batch in batches:
-                sizes = np.diff(batch.column(1).offsets.to_numpy())
-                i, k = (batch.column(c).flatten().to_numpy() for c in (1, 2))
-                dense = np.zeros((batch.num_rows, w.shape[1]))
-                dense[np.repeat(np.arange(batch.num_rows), sizes), i] = k
-                kw = dense @ w.T
-                d = np.repeat(batch.column(0).to_numpy(), len(r)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(np.tile(r, batch.num_rows).astype(np.int64)), pa.array(kw.ravel())], ["d", "r", "kw"])
-
-        part = packed.mapInArrow(run, "d long, r long, kw double")
-        part = part.select(*[F.col(c).cast(t.schema[c].dataType) for c, t in (("d", photons), ("r", templates))], "kw")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else k_dot_log_w(photons, templates)
+    logs = templates.select("r", "i", positive_log(F.col("w")).alias("v"))
+    count = logs.agg(F.count_distinct("r")).first()[0]
+    t_blocks = max(1, -(-count * pixels // BLOCK_ELEMENTS))
+    f_blocks = frame_blocks or max(1, -(-int(photons.sparkSession.conf.get("spark.sql.shuffle.partitions")) // t_blocks))
+
+    def packed(rows: DataFrame, key: str, own: int, others: int, role: int, across) -> DataFrame:
+        one = rows.groupBy(key).agg(F.collect_list(F.struct("i", "v")).alias("x")).withColumn("own", F.pmod(F.xxhash64(key), F.lit(own)))
+        one = one.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias("other"))
+        return one.select(across(F.col("own"), F.col("other")).alias("cell"), F.lit(role).alias("role"), F.col(key).cast("long").alias("id"), F.col("x.i").alias("i"), F.col("x.v").cast("array<double>").alias("v"))
+
+    rows = packed(logs, "r", t_blocks, f_blocks, 0, lambda t, f: t * f_blocks + f)
+    frames = packed(photons.select("d", "i", F.col("k").alias("v")), "d", f_blocks, t_blocks, 1, lambda f, t: t * f_blocks + f)
+    met = rows.unionByName(frames).repartition(t_blocks * f_blocks, "cell").sortWithinPartitions("cell", "role")
+
+    def dense(batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros((batch.num_rows, pixels))
+        i, v = batch.column(3), batch.column(4).flatten().to_numpy()
+        out[np.repeat(np.arange(batch.num_rows), np.diff(i.offsets.to_numpy())), i.flatten().to_numpy()] = v
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, names, w = None, [], []
+        for batch in batches:
+            cells, roles = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cells) | np.diff(roles)) + 1), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(a, b - a)
+                if b > a and cells[a] != cell:
+                    cell, names, w = cells[a], [], []
+                if b > a and roles[a] == 0:
+                    names.append(part.column(2).to_numpy())
+                    w.append(dense(part))
+                elif b > a and w:
+                    r = np.concatenate(names)
+                    names, w = [r], [np.concatenate(w)]
+                    kw = dense(part) @ w[0].T
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(2).to_numpy(), len(r))), pa.array(np.tile(r, b - a)), pa.array(kw.ravel())], ["d", "r", "kw"])
+
+    found = met.mapInArrow(run, "d long, r long, kw double")
+    return found.select(*[F.col(c).cast(t.schema[c].dataType) for c, t in (("d", photons), ("r", templates))], "kw")
 
 
 def log_likelihood(kw: DataFrame, frames: DataFrame, sums: DataFrame, likelihood: str = "Poisson", frame_model: str = "basic") -> DataFrame:
