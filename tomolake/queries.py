@@ -702,10 +702,10 @@ def chunk_ranges(spark, sf):
 # ---- further forms
 
 
-@query(f"{B} SELECT d, r, i, round(fluence * c * w + bg_weight * v, 5) AS f FROM fr JOIN bg ON bg_id = b JOIN wt USING (i) JOIN tm USING (i) WHERE d < 5")
+@query(f"{B} SELECT d, r, i, round(fluence * c * w + bg_weight * v + 1e-9, 5) AS f FROM fr JOIN bg ON bg_id = b JOIN wt USING (i) JOIN tm USING (i) WHERE d < 5")
 def predicted_frames(spark, sf):
     b = Lineitems(spark, sf)
-    return estep.predicted_frames(b.frames.where("d < 5"), b.templates, b.weights, b.background).select("d", "r", "i", F.round("f", 5).alias("f"))
+    return estep.predicted_frames(b.frames.where("d < 5"), b.templates, b.weights, b.background).select("d", "r", "i", F.round(F.col("f") + 1e-9, 5).alias("f"))
 
 
 @query(f"{B} SELECT d, r, round(sum(k * CASE WHEN fluence * c * w + bg_weight * v > 0 THEN ln(fluence * c * w + bg_weight * v) ELSE 0 END), 5) AS kf FROM ph JOIN fr USING (d) JOIN bg ON bg_id = b AND bg.i = ph.i JOIN wt ON wt.i = ph.i JOIN tm ON tm.i = ph.i GROUP BY d, r")
