@@ -444,6 +444,20 @@ def test_mix_comes_near_its_targets(spark):
     assert {r["source"]: r["sum(n)"] for r in out} == {r["source"]: r["sum(taken)"] for r in found}
 
 
+def test_mixed_keeps_documents_whole(spark):
+    """Of a source whose target is below its size, and of one with a target between one and two sizes."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(100 + i * 37 % 400)), "b" if i < 150 else "a") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    goals = {r["source"]: r["target"] / r["source_size"] for r in mixing.mix(docs, share=0.5).join(docs.select("doc_id", "source"), "doc_id").collect()}
+    assert goals["b"] < 1 < goals["a"] < 2
+    texts = {r[0]: r[1] for r in rows}
+    found = mixing.mixed(docs, share=0.5).collect()
+    for source in "ab":
+        own = [r for r in found if r["source"] == source]
+        part = [r for r in own if r["text"] != texts[r["doc_id"]]]
+        assert len(part) <= 1 and len(own) > 30 and all(texts[r["doc_id"]].startswith(r["text"]) for r in part)
+
+
 # ---- pipeline
 
 

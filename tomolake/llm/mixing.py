@@ -104,7 +104,7 @@ def _taken_before(x: Column, block: int) -> Column:
     return whole + block * chosen(b) + (x - b * block) * (chosen(b + 1) - chosen(b))
 
 
-def mix(
+def _placed(
     docs: DataFrame,
     block: int = BLOCK,
     shard_words: int = SHARD_WORDS,
@@ -114,15 +114,7 @@ def mix(
     seed: str = SEED,
     tie: list[str] | None = None,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken (and the columns of tie) for each row of docs(doc_id, text, source).
-
-    In each shard of a source the documents lie on a line of words in the order of a seeded hash of doc_id, cut into
-    blocks. A quota of q of n blocks takes every block q // n times and q % n of them once more, evenly spaced from
-    a seeded start. taken counts a document's words in those blocks, so it is at most cap times its size.
-
-    Null texts have size 0 and are never taken; a null source is a source, the last; a null id hashes as the empty
-    text; rows repeating an id are rows of their own, side by side; no rows give no rows. Reruns agree.
-    """
+    """The rows of mix, with their source, shard and stop (the place on the shard's line where they end)."""
     extra = tie or []
     sized = cut(docs.select("doc_id", "source", word_count("text").alias("size"), *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(extra)]))
     ties = [f"_tie{i}" for i in range(len(extra))]
@@ -151,7 +143,31 @@ def mix(
     placed = placed.join(cells, F.col("source").eqNullSafe(F.col("of_")) & (F.col("shard") == F.col("shard_")))
     taken = _taken_before(F.col("stop"), block) - _taken_before(F.col("stop") - F.col("size"), block)
     taken = F.when(F.col("n") > 0, taken).otherwise(0).cast("long")
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *[F.col(t).alias(c) for t, c in zip(ties, extra, strict=True)])
+    names = [F.col(t).alias(c) for t, c in zip(ties, extra, strict=True)]
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "shard", "stop", *names)
+
+
+def mix(
+    docs: DataFrame,
+    block: int = BLOCK,
+    shard_words: int = SHARD_WORDS,
+    share: float = SHARE,
+    cap: int = CAP,
+    weights: tuple[int, ...] = WEIGHTS,
+    seed: str = SEED,
+    tie: list[str] | None = None,
+) -> DataFrame:
+    """doc_id, size, source_size, target, taken (and the columns of tie) for each row of docs(doc_id, text, source).
+
+    In each shard of a source the documents lie on a line of words in the order of a seeded hash of doc_id, cut into
+    blocks. A quota of q of n blocks takes every block q // n times and q % n of them once more, evenly spaced from
+    a seeded start. taken counts a document's words in those blocks, so it is at most cap times its size.
+
+    Null texts have size 0 and are never taken; a null source is a source, the last; a null id hashes as the empty
+    text; rows repeating an id are rows of their own, side by side; no rows give no rows. Reruns agree.
+    """
+    found = _placed(docs, block, shard_words, share, cap, weights, seed, tie)
+    return found.select("doc_id", "size", "source_size", "target", "taken", *(tie or []))
 
 
 def first_words(text: str, n: int) -> str:
@@ -163,20 +179,29 @@ def first_words(text: str, n: int) -> str:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents, in the columns of docs: each row as often as all its words are taken, and once more, cut
-    after as many words as are left over. Rows of which nothing is taken go. A column n_chars follows the text.
+    """The mix as documents, in the columns of docs: what a shard takes goes to whole documents along its line.
+
+    Every document appears as often as the shard's words are all taken; the words left over go to the first documents
+    of the line, whose order is a seeded hash, so that only the one where they end is cut. Rows of which nothing is
+    taken go. A column n_chars follows the text.
 
     Rows are told apart by a hash of all columns; what equal rows take is given out together.
     """
     name, names = "_mix_row", docs.columns
     marked = docs.withColumn(name, F.xxhash64(*names))
-    taken = mix(marked, tie=[name], **options).groupBy(name).agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"), F.count("*").alias("_n"))
+    shard = Window.partitionBy("source", "shard")
+    lined = _placed(marked, tie=[name], **options).withColumn("_all", F.sum("taken").over(shard)).withColumn("_length", F.sum("size").over(shard))
+    lined = lined.where("size > 0").withColumn("_left", F.col("_all") % F.col("_length"))
+    whole = F.floor(F.col("_all") / F.col("_length")) + (F.col("stop") <= F.col("_left")).cast("int")
+    part = F.least("stop", "_left") - (F.col("stop") - F.col("size"))
+    rest = F.when((part > 0) & (F.col("stop") > F.col("_left")), part).otherwise(0)
+    # At most one row of a shard is cut, and equal rows share a shard.
+    taken = lined.groupBy(name).agg(F.sum(whole).cast("int").alias("_whole"), F.max(rest).cast("int").alias("_rest"), F.count("*").alias("_n"))
     taken = cut(taken)
     if not taken.where("_n > 1").isEmpty():
         marked = marked.dropDuplicates([name])
-    rows = marked.join(taken.where("_taken > 0").drop("_n"), name).drop(name)
-    whole, rest = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
-    cuts = F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    rows = marked.join(taken.where("_whole > 0 or _rest > 0").drop("_n"), name).drop(name)
+    cuts = F.concat(F.array_repeat(F.lit(0), F.col("_whole")), F.when(F.col("_rest") > 0, F.array("_rest")).otherwise(F.array().cast("array<int>")))
     rows = rows.select(*names, F.explode(cuts).alias("_cut"))
     at = names.index("text")
 
