@@ -221,6 +221,23 @@ def test_language_on_held_out_documents(spark, sf):
     assert sum(r["rejected"] for r in found) <= 0.02 * len(found)
 
 
+def test_language_rejects_what_was_not_learnt(spark, sf):
+    """Texts of a language without a label and junk go, also where outliers and a long text calibrate; others stay."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in table(spark, sf.replace("0.001", "0.01"), "documents").collect()]
+    rng = np.random.RandomState(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    unlearnt = {i for i, t, x in rows if x == "fr" and len(t or "") > 300}
+    clean = {i for i, _, x in rows if x in ("en", "de", "es")}
+    junk = {10_000_000 + k for k in range(40)}
+    planted = [(i, t, None if x == "fr" else x) for i, t, x in rows] + [(i, " ".join(word() for _ in range(60)), None) for i in junk]
+    french = next(t for i, t, _ in rows if i in unlearnt)
+    planted += [(20_000_000 + k, french[:2000], "en") for k in range(2)]
+    planted.append((30_000_000, " ".join(t for i, t, _ in rows if i in clean)[:100_000], "en"))
+    found = {r["doc_id"]: r["rejected"] for r in langid.identify(spark.createDataFrame(planted, "doc_id long, text string, lang string")).collect()}
+    assert all(found[i] for i in junk) and sum(found[i] for i in unlearnt) >= 0.95 * len(unlearnt) > 20
+    assert sum(found[i] for i in clean) <= 0.02 * len(clean)
+
+
 def test_kneser_ney_sums_to_one():
     """Over the characters seen, the word's end and one unseen, which stands for all others."""
     models = langid.Models.join({"x": langid.fit(["abab abba baab", "aab bab"])})

@@ -19,8 +19,12 @@ ORDER = 5
 #: Documents of each language that a model is fitted on at most, those of the smallest hashes; a quarter of them
 #: calibrate the rejection.
 SAMPLE = 400
-#: Times the largest standardised excess of the calibration documents beyond which a text is rejected.
-MARGIN = 4.0
+#: Part of the calibration documents whose excess stays within reach; what lies beyond is rejected.
+WITHIN = 0.99
+#: Characters from which on an excess weighs no more by length: the spread of long texts is that of their kinds.
+SPAN = 200
+#: Nats a character above its language that a long text may always be.
+SLACK = 0.5
 #: Letters whose evidence the score counts at most.
 EVIDENCE = 40
 #: Learn from documents whose id hash modulo FOLDS is not HELD.
@@ -147,13 +151,14 @@ class Models:
         return total / np.maximum(n, 1)[:, None], n
 
     def excess(self, best: np.ndarray, entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (entropy - self.level[best]) * np.sqrt(n)
+        """Nats a character above the language's level, over a spread that falls with length to that of SPAN characters."""
+        return (entropy - self.level[best]) * np.sqrt(n * SPAN / (n + SPAN))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language of the lowest cross-entropy (ties to the first by name), score and whether it is rejected.
 
         The score is the language's share of the likelihoods over at most EVIDENCE characters, lowered in
-        proportion where the text is less like the language than any calibration document allows.
+        proportion where the text is less like the language than the calibration documents allow.
         """
         if not self.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
@@ -195,15 +200,20 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Models:
 
         def calibrate(batch: pa.RecordBatch) -> pa.RecordBatch:
             entropy, n = shared.value.entropies(batch.column(1).to_pylist())
-            own = [shared.value.languages.index(x) if x in shared.value.languages else -1 for x in batch.column(0).to_pylist()]
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(entropy[np.arange(len(own)), own]), pa.array(n)], ["lang", "entropy", "n"])
-
-        seen = pd.DataFrame([r.asDict() for r in map_batches(chosen.where("held").select("lang", "text"), calibrate, "lang long, entropy double, n long").collect()], columns=["lang", "entropy", "n"])
-        seen = seen[(seen["n"] > 0) & (seen["lang"] >= 0)]
-        models.level, models.reach = np.full(count, np.inf), np.full(count, 1.0)
+            best = entropy.argmin(1)
+            right = [shared.value.languages[k] == x for k, x in zip(best, batch.column(0).to_pylist(), strict=True)]
+            cols = [pa.array(best), pa.array(entropy[np.arange(len(best)), best]), pa.array(n), pa.array(right, pa.bool_())]
+            return pa.RecordBatch.from_arrays(cols, ["lang", "entropy", "n", "right"])
+
+        found = map_batches(chosen.where("held").select("lang", "text"), calibrate, "lang long, entropy double, n long, right boolean")
+        seen = pd.DataFrame([r.asDict() for r in found.collect()], columns=["lang", "entropy", "n", "right"])
+        seen = seen[(seen["n"] > 0) & seen["right"].astype(bool)]  # others are mislabelled, or tell nothing of their language
+        models.level, models.reach = np.full(count, np.inf), np.full(count, SLACK * np.sqrt(SPAN))
         for k, own in seen.groupby("lang"):
             models.level[k] = own["entropy"].median()
-            models.reach[k] = max(MARGIN * ((own["entropy"] - models.level[k]) * np.sqrt(own["n"])).max(), 1.0)
+        if len(seen):  # one reach for all languages: few calibration documents each would leave it to outliers
+            over = models.excess(seen["lang"].to_numpy(), seen["entropy"].to_numpy(), seen["n"].to_numpy())
+            models.reach[:] = max(np.quantile(over, WITHIN, method="lower"), models.reach[0])
         models.level[np.isinf(models.level)] = np.log(1 / models.uniform)  # nothing to calibrate by: reject nothing
     return models
 
