@@ -196,6 +196,36 @@ def test_hnsw_by_brute_force(spark):
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found} == {i: (int(near[i].sum()) - 1, classes[i], classes[i] == i) for i in range(len(x))}
 
 
+def test_hnsw_audit_sees_lost_links_of_small_groups():
+    """A hot group's many links, or members' matches with themselves, must not outweigh what small groups lose."""
+    rng = np.random.RandomState(7)
+    base, hot = rng.randn(400, 16), rng.randn(16)
+    x = np.concatenate((hot + 0.03 * rng.randn(1200, 16), base, base + 0.03 * rng.randn(400, 16)))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = np.arange(len(x))
+    graph = hnsw.Graph(x, ids, np.ones(len(x), np.int64))
+    lost = rng.choice(np.arange(1200, 2000), 200, False)
+    for layer in graph.layers:  # these are reached no more
+        layer.links[np.isin(layer.links, lost)] = -1
+        layer.links[lost] = -1
+    graph.audited(0.9)
+    q, node = graph.within(x[1200:], 0.9)
+    want = x[1200:] @ x.T >= 0.9
+    assert len(q) == want.sum() and want[q, node].all()
+
+
+def test_hnsw_audit_takes_vectors_of_other_shards():
+    """Of a shard whose members have no links among themselves."""
+    rng = np.random.RandomState(8)
+    x = rng.randn(600, 16)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    graph = hnsw.Graph(x, np.arange(600), np.ones(600, np.int64))
+    for layer in graph.layers:
+        layer.links[:] = -1
+    graph.audited(0.95, (np.arange(1000, 1300), x[:300]))
+    assert len(set(graph.within(x[:300], 0.95)[0].tolist())) == 300
+
+
 # ---- classifiers and models
 
 

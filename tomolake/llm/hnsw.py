@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,13 @@ SHARDS, SHARD_ROWS = 6, 50_000
 BLOCK_ROWS = 50_000
 #: Neighbours of a node when it is added and at most, and the beam then and of a first search.
 LINKS, MOST_LINKS, BUILD_BEAM, BEAM = 12, 24, 48, 32
-#: Members of a shard that an audit compares with all others, and the part of their links a search must find.
+#: Vectors of a shard, and of the whole table, that an audit compares with a shard, and the part of its own links that
+#: each of them must find.
 AUDIT, RECALL = 512, 0.998
+#: Members that have links which an audit looks for, among at most so many times AUDIT.
+LINKED, ROUNDS = 128, 8
+#: Part of a shard's vectors beyond which no beam is widened: the shard is compared in full instead.
+WIDEST = 1 / 16
 #: Candidates expanded per step, and queries searched together.
 STEP, BATCH = 4, 256
 
@@ -56,7 +62,7 @@ class Graph:
     """Layers over unit vectors, the sparsest first; a node of a layer is in all below it."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, copies: np.ndarray, seed: int = 5):
-        self.vectors, self.ids, self.copies, self.beam = vectors, ids, copies, BEAM
+        self.vectors, self.ids, self.copies, self.beam, self.exact = vectors, ids, copies, BEAM, False
         self.near = vectors.astype(np.float32)
         n = len(ids)
         rank = np.random.RandomState(seed).permutation(n)
@@ -167,6 +173,8 @@ class Graph:
 
         A beam that ends full of such nodes may have left some out; those queries search again with twice the beam.
         """
+        if self.exact:
+            return self._compared(queries, threshold)
         found = ([], [])
         low = np.float32(threshold - 1e-4)
         for a in range(0, len(queries), BATCH):
@@ -185,24 +193,63 @@ class Graph:
                 rows, beam = rows[full], 2 * beam
         return (np.concatenate(found[0]), np.concatenate(found[1])) if found[0] else (np.zeros(0, np.int64),) * 2
 
-    def audited(self, threshold: float) -> Graph:
-        """Widens the beam until sample members find the part RECALL of their links that a full comparison shows."""
-        some = np.random.RandomState(9).permutation(len(self.ids))[:AUDIT]
-        true = int((self.vectors[some] @ self.vectors.T >= threshold).sum())
-        while self.beam < len(self.ids) and len(self.within(self.vectors[some], threshold)[0]) < RECALL * true:
+    def _compared(self, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """All (query, node) with cosine >= threshold, by a full comparison."""
+        found = ([], [])
+        low = np.float32(threshold - 1e-4)
+        for a in range(0, len(queries), BATCH):
+            q = queries[a : a + BATCH]
+            r, node = np.nonzero(q.astype(np.float32) @ self.near.T >= low)
+            for c in range(0, len(r), 1_000_000):
+                rows, nodes = r[c : c + 1_000_000], node[c : c + 1_000_000]
+                sure = np.einsum("rd,rd->r", q[rows], self.vectors[nodes]) >= threshold
+                found[0].append(rows[sure] + a)
+                found[1].append(nodes[sure])
+        return (np.concatenate(found[0]), np.concatenate(found[1])) if found[0] else (np.zeros(0, np.int64),) * 2
+
+    def _sampled(self, threshold: float, others: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors that have links here, their ids, and how many: of the sample others(ids, vectors) and of members."""
+        order, most = np.random.RandomState(9).permutation(len(self.ids))[: ROUNDS * AUDIT], 0
+        taken: tuple[list, list, list] = ([], [], [])
+        foreign = [(others[0][a : a + BATCH], others[1][a : a + BATCH]) for a in range(0, len(others[0]), BATCH)]
+        own = [(self.ids[order[a : a + BATCH]], self.vectors[order[a : a + BATCH]]) for a in range(0, len(order), BATCH)]
+        for k, (ids, x) in enumerate(foreign + own):
+            if k >= len(foreign) + AUDIT // BATCH and most >= LINKED:
+                break
+            q, node = self._compared(x, threshold)
+            links = np.bincount(q[ids[q] != self.ids[node]], minlength=len(ids))
+            most += int((links > 0).sum()) if k >= len(foreign) else 0
+            for part, value in zip(taken, (ids, x, links), strict=True):
+                part.append(value[links > 0])
+        ids, x, links = (np.concatenate(part) for part in taken)
+        return x, ids, links
+
+    def audited(self, threshold: float, others: tuple[np.ndarray, np.ndarray] | None = None) -> Graph:
+        """Widens the beam until each sampled vector finds the part RECALL of its own links, itself not counted.
+
+        Sampled are members and others (ids, vectors of the whole table). Where beams would have to grow beyond the
+        part WIDEST of the shard, searches compare with all of it.
+        """
+        x, ids, links = self._sampled(threshold, others or (self.ids[:0], self.vectors[:0]))
+        while len(ids) and not self.exact:
+            q, node = self.within(x, threshold)
+            found = np.bincount(q[ids[q] != self.ids[node]], minlength=len(ids))
+            if (found >= RECALL * links).all():
+                break
             self.beam *= 2
+            self.exact = self.beam > max(BEAM, WIDEST * len(self.ids))
         return self
 
 
-def _build(threshold: float):
-    """One packed graph for each shard of rows sorted by shard."""
+def _build(threshold: float, others: Broadcast):
+    """One packed graph for each shard of rows sorted by shard; others: a sample (ids, vectors) of all shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
 
         def packed() -> pa.RecordBatch:
             ids, copies, x = (np.concatenate(c) for c in zip(*held, strict=True))
-            return pa.RecordBatch.from_pydict({"shard": [shard], "graph": [pickle.dumps(Graph(x, ids, copies).audited(threshold))]})
+            return pa.RecordBatch.from_pydict({"shard": [shard], "graph": [pickle.dumps(Graph(x, ids, copies).audited(threshold, others.value))]})
 
         for batch in batches:
             shards, ids, copies, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), matrix(batch.column(3))
@@ -274,7 +321,10 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
     unit = cut(unit.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))))
 
     dealt = unit.select("shard", "id", "copies", "v").repartition(shards, "shard").sortWithinPartitions("shard", "id")
-    graphs = cut(dealt.mapInArrow(_build(threshold), "shard long, graph binary"))
+    some = unit.select("id", "v").orderBy(F.xxhash64("id", F.lit(2)), "id").limit(AUDIT).collect()
+    ids = np.array([r["id"] for r in some], np.int64)
+    others = spark.sparkContext.broadcast((ids, np.array([r["v"] for r in some], np.float64).reshape(len(ids), -1)))
+    graphs = cut(dealt.mapInArrow(_build(threshold, others), "shard long, graph binary"))
     present = sorted(r["shard"] for r in graphs.select("shard").collect())  # small tables may leave shards empty
     none = F.lit(None)
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
