@@ -561,6 +561,16 @@ def class_changes(spark, sf):
     return report.assignment_changes(_assigned(spark, sf))
 
 
+def _assigned_all(spark, sf) -> DataFrame:
+    o = T.read(spark, sf, "orders")
+    return o.select(F.floor(F.col("o_orderkey") / 500).cast("int").alias("iteration"), (F.col("o_orderkey") % 500).alias("d"), (F.col("o_custkey") % 4).alias("c"), (F.col("o_custkey") % 32).alias("r"))
+
+
+@query(f"WITH {_AS.replace(' WHERE o_orderkey < 5000', '')}, x AS (SELECT *, lag(c) OVER w AS c0, lag(r) OVER w AS r0 FROM asg WINDOW w AS (PARTITION BY d ORDER BY iteration)) SELECT iteration, sum((c IS DISTINCT FROM c0)::INT)::BIGINT AS class_changes, sum((r IS DISTINCT FROM r0)::INT)::BIGINT AS orientation_changes FROM x GROUP BY iteration")
+def class_changes_all(spark, sf):
+    return report.assignment_changes(_assigned_all(spark, sf))
+
+
 _HS = f"{A}, hard AS (SELECT d, r AS c FROM po QUALIFY row_number() OVER (PARTITION BY d ORDER BY p DESC, r) = 1), lb AS (SELECT vec_id AS d, label % 3 AS label FROM embeddings), hs AS (SELECT label, c, coalesce(n, 0) AS n FROM (SELECT DISTINCT label FROM lb) CROSS JOIN (SELECT DISTINCT c FROM hard) LEFT JOIN (SELECT label, c, count(*) AS n FROM hard JOIN lb USING (d) GROUP BY ALL) USING (label, c))"
 
 
@@ -708,6 +718,12 @@ def predicted_frames(spark, sf):
     return estep.predicted_frames(b.frames.where("d < 5"), b.templates, b.weights, b.background).select("d", "r", "i", F.round(F.col("f") + 1e-9, 5).alias("f"))
 
 
+@query(f"{B} SELECT d, r, i, round(fluence * c * w + bg_weight * v + 1e-9, 5) AS f FROM fr JOIN bg ON bg_id = b JOIN wt USING (i) JOIN tm USING (i)")
+def predicted_frames_all(spark, sf):
+    b = Lineitems(spark, sf)
+    return estep.predicted_frames(b.frames, b.templates, b.weights, b.background).select("d", "r", "i", F.round(F.col("f") + 1e-9, 5).alias("f"))
+
+
 @query(f"{B} SELECT d, r, round(sum(k * CASE WHEN fluence * c * w + bg_weight * v > 0 THEN ln(fluence * c * w + bg_weight * v) ELSE 0 END), 5) AS kf FROM ph JOIN fr USING (d) JOIN bg ON bg_id = b AND bg.i = ph.i JOIN wt ON wt.i = ph.i JOIN tm ON tm.i = ph.i GROUP BY d, r")
 def k_log_f(spark, sf):
     b = Lineitems(spark, sf)
@@ -741,6 +757,11 @@ def transposed(spark, sf):
     return rows.repartition("i").sortWithinPartitions("i", "d")
 
 
+@query(f"WITH {PH} SELECT i, d, k FROM ph")
+def transposed_all(spark, sf):
+    return Embeddings(spark, sf).photons.select("i", "d", "k").repartition("i").sortWithinPartitions("i", "d")
+
+
 @query(f"WITH {PH} SELECT d, sum(k)::BIGINT AS ksum FROM ph WHERE i % 3 <> 0 GROUP BY d")
 def masked_sums(spark, sf):
     mask = spark.range(64).where("id % 3 <> 0").select(F.col("id").cast("int").alias("i"))
