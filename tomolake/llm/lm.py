@@ -1,9 +1,10 @@
 """Deleted interpolation: a bigram model whose weights depend on how often the context was seen.
 
-Counts are gathered over all documents. Tasks take blocks of documents and send each block's distinct n-gram hashes,
-sorted and packed into one row per range of hashes; one task per range adds them up and sends the totals back in the
-same order, so a block meets the counts of its own n-grams only. Nothing of the vocabulary passes the driver: it
-sees the number of tokens and types, and a histogram of bounded size from which the weights are learnt.
+Counts are gathered over all documents. Documents are written once as blocks; every later pass reads those, so a
+task that runs again meets the same block. Tasks send each block's distinct n-gram hashes, sorted and packed into one
+row per range of hashes; one task per range adds them up and sends the totals back in the same order, so a block meets
+the counts of its own n-grams only. Nothing of the vocabulary passes the driver: it sees the number of tokens and
+types, and a histogram of bounded size from which the weights are learnt.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomolake.llm.common import cut, fold, fold_of, pieces, raw_texts, tasks, words_of
@@ -45,6 +46,17 @@ def _unpack(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(x), kind)
 
 
+def _pack_sorted(x: np.ndarray) -> bytes:
+    """Sorted keys as the byte planes of their differences, of which the highest are nearly all zero."""
+    planes = np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def _unpack_sorted(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(x), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 class Block:
     """Tokens of some documents, their distinct words and pairs in order of hashes, and where each occurs."""
 
@@ -83,30 +95,35 @@ class Block:
         return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[list[bytes]]]]:
-    """(number, ids, documents' words) of this partition's blocks; deleted documents make blocks of their own.
-
-    A document's block depends only on the documents of its group before it in the partition, so a pass over the
-    deleted ones alone finds the same blocks. Odd numbers are blocks of deleted documents.
-    """
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block of this partition: its words, packed, and its ids. Deleted documents make blocks of their
+    own, of odd numbers."""
     base = TaskContext.get().partitionId() << 24
     held: list[tuple[list, list, int]] = [([], [], 0), ([], [], 0)]
     made = [0, 0]
+
+    def closed(g: int) -> pa.RecordBatch:
+        ids, docs, _ = held[g]
+        number = (base + made[g]) * 2 + g
+        held[g], made[g] = ([], [], 0), made[g] + 1
+        return _rows([(number, _DOCS, 0, zstandard.compress(b"\n".join(docs), 3), None, ids, len(ids), 0)])
+
     for batch in pieces(batches, 1024):
         for doc_id, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
             g = int(fold_of(doc_id, FOLDS) == DELETED)
             ids, docs, size = held[g]
             ids.append(doc_id)
-            docs.append(words_of(text))
-            size += len(text) + 8
-            if len(ids) >= BLOCK_DOCS or size >= BLOCK_BYTES:
-                yield (base + made[g]) * 2 + g, ids, docs
-                held[g], made[g] = ([], [], 0), made[g] + 1
-            else:
-                held[g] = ids, docs, size
+            docs.append(b" ".join(words_of(text)))
+            held[g] = ids, docs, size + len(text) + 8
+            if len(ids) >= BLOCK_DOCS or held[g][2] >= BLOCK_BYTES:
+                yield closed(g)
     for g in (0, 1):
         if held[g][0]:
-            yield (base + made[g]) * 2 + g, held[g][0], held[g][1]
+            yield closed(g)
+
+
+def _block_of(packed: bytes) -> Block:
+    return Block([d.split(b" ") if d else [] for d in zstandard.decompress(packed).split(b"\n")])
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -117,14 +134,14 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _key_rows(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, ids, docs in _blocks(batches):
-            block = Block(docs)
-            folds = np.array([fold_of(i, FOLDS) for i in ids])
+        for batch in pieces(batches, 1):
+            row = batch.to_pylist()[0]
+            block, folds = _block_of(row["a"]), np.array([fold_of(i, FOLDS) for i in row["ids"]])
             for kind, keys in ((_WORDS, block.words), (_PAIRS, block.pairs)):
                 counts = np.stack([block.counts(kind, folds != HELD), block.counts(kind, folds == DELETED)]).astype(np.uint32)
                 ends = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
                 yield _rows([
-                    (number, kind, k, keys[a:b].tobytes(), _pack(counts[:, a:b]), None, b - a, 0)
+                    (row["block"], kind, k, _pack_sorted(keys[a:b]), _pack(counts[:, a:b]), None, b - a, 0)
                     for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if b > a
                 ])
 
@@ -134,7 +151,7 @@ def _key_rows(bits: int):
 def _add_up(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     """Totals over all blocks of the keys of one range and kind, sent back to each block in the order it sent them."""
     sizes = np.array([r["n"] for r in rows])
-    keys, where = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows]), return_inverse=True)
+    keys, where = np.unique(np.concatenate([_unpack_sorted(r["a"]) for r in rows]), return_inverse=True)
     counts = np.concatenate([_unpack(r["b"], np.uint32).reshape(2, -1) for r in rows], axis=1)
     total = np.stack([np.bincount(where, c, len(keys)) for c in counts]).astype(np.uint64)
     kind, part = rows[0]["kind"], rows[0]["part"]
@@ -158,21 +175,14 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _add_up(held)
 
 
-def _doc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for number, ids, docs in _blocks(batches):
-        text = zstandard.compress(b"\n".join(b" ".join(words) for words in docs), 3)
-        yield _rows([(number, _DOCS, 0, text, None, ids, len(ids), 0)])
-
-
 def _with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Block, np.ndarray, np.ndarray]]:
     """Blocks with the totals (all training, deleted) of their words and of their pairs."""
     held: list[dict] = []
 
     def whole() -> tuple[list, Block, np.ndarray, np.ndarray]:
         if held[0]["kind"] != _DOCS:
-            raise RuntimeError("counts of a block that this pass did not form")
-        text = zstandard.decompress(held[0]["a"])
-        block = Block([d.split(b" ") if d else [] for d in text.split(b"\n")])
+            raise RuntimeError("counts without their block")
+        block = _block_of(held[0]["a"])
         found = [[_unpack(r["a"], np.uint64).reshape(2, -1) for r in held if r["kind"] == k] for k in (_WORDS, _PAIRS)]
         words, pairs = (np.concatenate(x, axis=1).astype(np.float64) for x in found)
         if words.shape[1] != len(block.words) or pairs.shape[1] != len(block.pairs):
@@ -246,14 +256,14 @@ def score(docs: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = tasks(spark)
     bits = max(1, (n - 1).bit_length() + RANGE_BITS)
-    sent = source.mapInArrow(_key_rows(bits), _SCHEMA).repartition(n, "part").sortWithinPartitions("part", "kind")
+    blocks = cut(source.mapInArrow(_blocks, _SCHEMA))
+    sent = blocks.mapInArrow(_key_rows(bits), _SCHEMA).repartition(n, "part").sortWithinPartitions("part", "kind")
     counts = cut(sent.mapInArrow(_count_rows, _SCHEMA))
     totals = counts.where(F.col("kind") == _TOTALS).agg(F.sum(F.col("ids")[0]), F.sum(F.col("ids")[1]), F.sum("types")).first()
     total = Totals(*(int(x or 0) for x in totals))
 
-    def met(rows: DataFrame, own: DataFrame) -> DataFrame:
-        both = rows.mapInArrow(_doc_rows, _SCHEMA).unionByName(own)
-        return both.repartition(n, "block").sortWithinPartitions("block", "kind", "part")
+    def met(which: Column) -> DataFrame:
+        return blocks.where(which).unionByName(counts.where(which)).repartition(n, "block").sortWithinPartitions("block", "kind", "part")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block, words, pairs in _with_counts(batches):
@@ -262,7 +272,7 @@ def score(docs: DataFrame) -> DataFrame:
             key, count = np.unique((group * CELLS + place[0]) * CELLS + place[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count)], ["cell", "n"])
 
-    deleted = met(source.where(fold("doc_id", FOLDS) == DELETED), counts.where((F.col("block") >= 0) & (F.col("block") % 2 == 1)))
+    deleted = met((F.col("block") >= 0) & (F.col("block") % 2 == 1))
     found = deleted.mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect()
     cell = np.array([r["cell"] for r in found], np.int64)
     weights = learn_weights(np.column_stack((cell // CELLS**2, cell // CELLS % CELLS, cell % CELLS)), np.array([r["n"] for r in found], np.float64), total.types)
@@ -283,5 +293,5 @@ def score(docs: DataFrame) -> DataFrame:
             )
 
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-    scored = met(source, counts.where(F.col("block") >= 0)).mapInArrow(scores, schema)
+    scored = met(F.col("block") >= 0).mapInArrow(scores, schema)
     return scored.select("doc_id", (fold("doc_id", FOLDS) == HELD).alias("held_out"), "n_tokens", "n_known", F.lit(total.tokens).cast("long").alias("train_tokens"), "base_score", "score")
