@@ -79,5 +79,21 @@ def fold(column: str | Column, parts: int) -> Column:
     return (F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % parts).cast("int")
 
 
+#: Hashes of ids lie below this.
+HASHES = 1 << 32
+
+
+def id_hash(column: str) -> Column:
+    """A number below HASHES from the md5 of an id as text; a null id hashes as the empty text."""
+    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def hash_bounds(counts: DataFrame, sample: int) -> DataFrame:
+    """counts(.., count) with bound: hashes below it belong to about sample rows of the group, and six deviations more."""
+    wanted = sample + 6 * sample**0.5 + 10
+    return counts.withColumn("bound", F.when(F.col("count") <= wanted, F.lit(float(HASHES))).otherwise(wanted / F.col("count") * HASHES))
+
+
 def fold_of(doc_id: int | None, parts: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % parts

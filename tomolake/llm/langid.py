@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomolake.llm.common import cut, fold, map_batches
+from tomolake.llm.common import cut, fold, hash_bounds, id_hash, map_batches
 
 UNDETERMINED = "und"
 ORDER = 5
@@ -30,13 +29,13 @@ EVIDENCE = 40
 #: Learn from documents whose id hash modulo FOLDS is not HELD.
 FOLDS, HELD = 3, 1
 
-_LETTERS = re.compile(r"[^\W\d_]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = 1
 
 
 def letters_of(word: str) -> str:
-    return "".join(_LETTERS.findall(word))
+    """The word's letters (Unicode category L); numerals, signs and combining marks tell nothing here and go."""
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
 class Grams:
@@ -173,14 +172,17 @@ class Models:
 
 
 def sampled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """lang, text, held of at most sample training documents per language; the ids are chosen first, from hashes."""
+    """lang, text, held of at most sample training documents per language, about those of the smallest hashes.
+
+    A first count gives each language the bound under which its hashes should leave a few more than sample rows (all
+    rows, where there are not many more); only those are ranked, so no language's rows meet in one task.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD))
-    order = [F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.col("doc_id")]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    ids = rows.select("doc_id", "lang").withColumn("r", rank).where(F.col("r") <= sample).select(F.col("doc_id").alias("i"), F.col("lang").alias("l")).distinct()
-    chosen = rows.join(F.broadcast(ids), (F.col("lang") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_semi").select("doc_id", "lang", F.col("text").cast("string").alias("text"))
-    again = F.row_number().over(Window.partitionBy("lang").orderBy(*order, F.xxhash64("text")))
-    return chosen.withColumn("r", again).where(F.col("r") <= sample).select("lang", "text", (F.col("r") % 4 == 0).alias("held"))
+    rows = rows.select(F.col("doc_id").alias("i"), F.col("lang").alias("l"), id_hash("doc_id").alias("h"), F.col("text").cast("string").alias("text"))
+    bounds = hash_bounds(rows.groupBy("l").count(), sample).select(F.col("l").alias("b"), "bound")
+    near = rows.join(F.broadcast(bounds), F.col("l") == F.col("b")).where(F.col("h") < F.col("bound"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "i", F.xxhash64("text")))
+    return near.withColumn("r", rank).where(F.col("r") <= sample).select(F.col("l").alias("lang"), "text", (F.col("r") % 4 == 0).alias("held"))
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Models:
