@@ -1,16 +1,16 @@
-"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text.
 
-A window (a word between spaces) is compressed with either dictionary. Before that each byte is spelled as a fixed
-code of four, so that a match in the dictionary outweighs the literals that it replaces. The dictionaries share
-their far part, common words, and differ in an equally long near part: words typical of toxic text, or more common
-ones; so most windows compress alike, and those that toxic text explains compress shorter with its dictionary.
-Pairs of lengths are calibrated on labelled documents kept apart from those that the dictionaries came from.
+Overlapping windows of running text are compressed with either dictionary; what counts is by how many bytes toxic
+text explains a window better. Both dictionaries hold, in the same places, what zstandard's trainer takes from windows
+of ordinary text, so that plain prose compresses alike; the toxic one gives up its farthest bytes for segments of
+toxic texts, chosen by cover of byte sequences that many toxic and few ordinary texts hold. Differences of length are
+calibrated on labelled documents kept apart from those that the dictionaries came from.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,109 +20,153 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomolake.llm.common import cut, fold, map_batches, raw_texts
+from tomolake.llm.common import cut, fold, hash_bounds, id_hash, map_batches, raw_texts
 
 #: Learn from labelled documents whose id hash modulo FOLDS is not HELD.
 FOLDS, HELD = 5, 0
 #: Labelled documents of each label that are learnt from at most, those of the smallest hashes.
-SAMPLE = 1500
-#: Bytes of text in the shared and in the own part of a dictionary.
-SHARED, OWN = 12_000, 1500
-LEVEL = 9
-#: A toxic word is in RARE toxic documents at least, its log odds over TYPICAL, its odds times documents over MARKED.
-RARE, TYPICAL, MARKED = 3, 1.5, 8.0
-#: Windows whose lengths a worker keeps.
-KEPT = 300_000
+SAMPLE = 3000
+#: Bytes of a window, and from one window's start to the next.
+WINDOW, STRIDE = 128, 64
+#: Bytes of the ordinary dictionary, bytes of toxic segments in the other at most, and of a segment.
+ORDINARY, TOXIC, SEGMENT = 400_000, 16_000, 24
+#: Bytes of the sequences that segments are chosen for; toxic texts that hold one at least; its log odds, and those times
+#: the texts, at least.
+GRAMS, RARE, TYPICAL, MARKED = (5,), 3, 2.5, 10.0
+LEVEL = 7
+#: Windows that the trainer sees at most, evenly spaced.
+TRAINED = 400_000
+#: Differences that are told apart, and the part of ordinary windows that stay under the mark.
+LEAST, MOST, UNMARKED = -4, 12, 0.99
 
-_EDGES = b".,!|*#$%&?;:"
-_CODES = [np.random.RandomState(7 + b).bytes(4) for b in range(256)]
-FEATURES = 5
+FEATURES = 7
 
 
-def windows_of(text: bytes) -> list[bytes]:
-    return [w.strip(_EDGES) for w in text.lower().split()]
+def windows_of(text: bytes) -> Iterator[bytes]:
+    """Windows of the text, A-Z lower-cased, that overlap by half; a short rest stands in the last."""
+    text = text.lower()
+    for a in range(0, max(1, len(text) - STRIDE) if text else 0, STRIDE):
+        yield text[a : a + WINDOW]
 
 
-def _spelled(text: bytes) -> bytes:
-    return b"".join([_CODES[b] for b in text])
+def _packer(content: bytes) -> zstandard.ZstdCompressor:
+    d = zstandard.ZstdCompressionDict(content or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
-def _log_odds(a: np.ndarray | float, na: int, b: np.ndarray | float, nb: int) -> np.ndarray | float:
+def _log_odds(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> np.ndarray:
     return np.log((a + 0.5) / (na + 1)) - np.log((b + 0.5) / (nb + 1))
 
 
 @dataclass
 class Detector:
-    """Two dictionaries, the log odds of each cell of window lengths, and a logistic model of a text's cells."""
+    """Two dictionaries, the log odds of each difference of lengths, the mark, and a logistic model of a text's windows."""
 
     dictionaries: tuple[bytes, bytes]
-    odds: dict[tuple[int, int, int], float] = field(default_factory=dict)
+    odds: np.ndarray = field(default_factory=lambda: np.zeros(MOST - LEAST + 1))
+    mark: int = MOST
     mean: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
     scale: np.ndarray = field(default_factory=lambda: np.ones(FEATURES))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
 
     def __post_init__(self):
-        self._known: dict[bytes, tuple[int, int, int]] = {}
         self._packers: list = []
 
     def __getstate__(self):
-        return self.__dict__ | {"_known": {}, "_packers": []}
-
-    def cell(self, window: bytes) -> tuple[int, int, int]:
-        """Letters, half the bytes that the toxic dictionary saves, a third of those it needs; or all 0 if it saves none."""
-        known = self._known.get(window)
-        if known is None:
-            if not self._packers:
-                kind = zstandard.DICT_TYPE_RAWCONTENT
-                for content in self.dictionaries:
-                    d = zstandard.ZstdCompressionDict(_spelled(content), dict_type=kind)
-                    d.precompute_compress(level=LEVEL)
-                    self._packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
-            data = _spelled(b" " + window + b" ")
-            ordinary, toxic = (len(p.compress(data)) for p in self._packers)
-            known = (min(len(window), 12), (ordinary - toxic) // 2, min(toxic // 3, 12)) if ordinary > toxic else (0, 0, 0)
-            if len(self._known) >= KEPT:
-                self._known = {}
-            self._known[window] = known
-        return known
-
-    def features(self, text: bytes) -> np.ndarray:
-        counts = Counter(self.cell(w) for w in windows_of(text))
-        total = sum(counts.values())
-        if not total:
+        return self.__dict__ | {"_packers": []}
+
+    def differences(self, text: bytes) -> np.ndarray:
+        """Bytes that each window takes more with the ordinary dictionary than with the toxic one."""
+        if not self._packers:
+            self._packers = [_packer(d) for d in self.dictionaries]
+        ordinary, toxic = (p.compress for p in self._packers)
+        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows_of(text)], np.int64)
+
+    def features(self, differences: np.ndarray) -> np.ndarray:
+        """Of a text's windows: the largest difference and the mean of three, those over the mark, the largest odds
+        and the sum of three, what speaks for toxic text by length, and the mean difference."""
+        if not len(differences):
             return np.zeros(FEATURES)
-        once = sorted((max(self.odds.get(c, 0.0), 0.0) for c in counts), reverse=True)
-        marked = sum(n * v for c, n in counts.items() if (v := self.odds.get(c, 0.0)) > 0.5)
-        return np.array([once[0], sum(once[:3]), sum(once), marked / total**0.5, marked / total])
+        x = np.clip(differences, LEAST, MOST)
+        top, odds = np.sort(x)[::-1], self.odds[x - LEAST]
+        best = np.sort(np.maximum(odds, 0))[::-1]
+        over = np.maximum(odds - 0.5, 0).sum() / len(x) ** 0.5
+        return np.array([top[0], top[:3].mean(), x[x > self.mark].sum() / len(x), best[0], best[:3].sum(), over, x.mean()])
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        x = np.array([self.features(t) for t in texts]).reshape(len(texts), FEATURES)
+        x = np.array([self.features(self.differences(t)) for t in texts]).reshape(len(texts), FEATURES)
         z = np.column_stack((np.ones(len(x)), (x - self.mean) / self.scale)) @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def _document_counts(texts: list[bytes]) -> Counter:
-    return Counter(w for t in texts for w in set(windows_of(t)))
+def _grams(text: bytes, size: int) -> np.ndarray:
+    """A number for the size bytes from each place on."""
+    a = np.frombuffer(text, np.uint8).astype(np.uint64)
+    out = np.zeros(max(0, len(a) - size + 1), np.uint64)
+    for k in range(size if len(out) else 0):
+        out = (out << np.uint64(8)) | a[k : k + len(out)]
+    return out
+
+
+def _document_counts(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    held = [np.unique(_grams(t, size)) for t in texts]
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+
+
+def _typical(ordinary: list[bytes], toxic: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences of size bytes that are typical of toxic texts, and their weights."""
+    keys, n = _document_counts(toxic, size)
+    others, m = _document_counts(ordinary, size)
+    at = np.minimum(np.searchsorted(others, keys), max(len(others) - 1, 0))
+    in_ordinary = np.where(others[at] == keys, m[at], 0) if len(others) else np.zeros(len(keys))
+    odds = _log_odds(n, len(toxic), in_ordinary, len(ordinary))
+    typical = (n >= RARE) & (odds > TYPICAL) & (odds * n > MARKED)
+    return keys[typical], (odds * np.sqrt(n))[typical]
+
+
+def segments(ordinary: list[bytes], toxic: list[bytes]) -> bytes:
+    """Segments of the toxic texts, the best nearest to the end: each the one whose byte sequences, of those that no
+    earlier segment holds, speak most for toxic text."""
+    text = b"\n".join(toxic)
+    places, which, weight = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    ends = places
+    for size in GRAMS:
+        keys, own = _typical(ordinary, toxic, size)
+        grams = _grams(text, size)
+        if len(keys) and len(grams):
+            at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == grams)
+            places, which, ends = np.concatenate((places, hit)), np.concatenate((which, at[hit] + len(weight))), np.concatenate((ends, hit + size))
+            weight = np.concatenate((weight, own))
+    order = np.argsort(places, kind="stable")
+    places, which, ends, out = places[order], which[order], ends[order], b""
+    while len(out) < TOXIC:
+        held = weight[which] > 0
+        places, which, ends = places[held], which[held], ends[held]
+        if not len(places):
+            break
+        total = np.concatenate(([0.0], np.cumsum(weight[which])))
+        stop = np.searchsorted(places, places + SEGMENT - max(GRAMS) + 1)
+        best = int((total[stop] - total[:-1]).argmax())
+        own = slice(best, stop[best])
+        out = text[places[best] : ends[own].max()] + out
+        weight[which[own]] = 0
+    return out
 
 
 def dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes, bytes]:
-    """Contents of the ordinary and of the toxic dictionary."""
-    in_o, in_t = _document_counts(ordinary), _document_counts(toxic)
-    odds = {w: float(_log_odds(in_t[w], len(toxic), in_o[w], len(ordinary))) for w in in_t}
-    marked = [w for w, n in in_t.items() if len(w) > 3 and n >= RARE and odds[w] > TYPICAL and odds[w] * n > MARKED]
-    near = b" "
-    for w in sorted(marked, key=lambda w: (-odds[w] * in_t[w], w)):
-        if len(near) > OWN:
-            break
-        near = b" " + w + near
-    common = [w for w, _ in sorted(in_o.items(), key=lambda x: (-x[1], x[0])) if w and odds.get(w, 0.0) < 1]
-    shared, k = b" ", 0
-    while len(shared) < SHARED and k < len(common):
-        shared, k = shared + common[k] + b" ", k + 1
-    other = b" "
-    while len(other) < len(near) and k < len(common):
-        other, k = b" " + common[k] + other, k + 1
-    return shared + other[-len(near) :], shared + near
+    """Contents of the ordinary and of the toxic dictionary, equal but for the place of the toxic segments."""
+    ordinary, toxic = [t.lower() for t in ordinary], [t.lower() for t in toxic]
+    own = segments(ordinary, toxic)
+    samples = [w for t in ordinary for w in windows_of(t)]
+    samples = samples[:: max(1, -(-len(samples) // TRAINED))]
+    try:
+        content = zstandard.train_dictionary(ORDINARY, samples).as_bytes()
+    except zstandard.ZstdError:  # too few windows to choose from: all of them
+        content = b"".join(samples)[-ORDINARY:]
+    shared, other = content[len(own) :], content[: len(own)]
+    return shared + other, shared + own
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> Detector:
@@ -137,14 +181,14 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Detector:
         share = (labels.sum() + 0.5) / (len(labels) + 2)
         detector.weights[0] = np.log(share / (1 - share))
         return detector
-    seen = [Counter(), Counter()]
-    for i in rest:
-        seen[labels[i]].update({detector.cell(w) for w in windows_of(texts[i])})
-    for c in seen[0] | seen[1]:
-        odds = float(_log_odds(seen[1][c], n[1], seen[0][c], n[0]))
-        if abs(odds) * (seen[0][c] + seen[1][c]) ** 0.5 > 2:
-            detector.odds[c] = odds
-    x, y = np.array([detector.features(texts[i]) for i in rest]), labels[rest]
+    found = [detector.differences(texts[i]) for i in rest]
+    seen = np.zeros((2, MOST - LEAST + 1))
+    for i, x in zip(rest, found, strict=True):
+        seen[labels[i], np.unique(np.clip(x, LEAST, MOST)) - LEAST] += 1
+    detector.odds = _log_odds(seen[1], n[1], seen[0], n[0])
+    plain = np.concatenate([x for i, x in zip(rest, found, strict=True) if not labels[i]])
+    detector.mark = int(np.quantile(plain, UNMARKED)) if len(plain) else MOST
+    x, y = np.array([detector.features(d) for d in found]), labels[rest]
     detector.mean, detector.scale = x.mean(0), x.std(0) + 1e-9
     design = np.column_stack((np.ones(len(x)), (x - detector.mean) / detector.scale))
     w = np.zeros(FEATURES + 1)
@@ -160,13 +204,19 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Detector:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """toxic, text of at most sample training documents per label, those of the smallest hashes; ids are chosen first."""
-    order = [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")]
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(*order))
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD)).select("doc_id", "toxic").distinct()
-    ids = known.withColumn("r", rank).where(F.col("r") <= sample).drop("r")
+    """toxic, text, r of at most sample training documents per label, those of the smallest hashes.
+
+    A count of each label gives the bound under which its hashes should leave a few more ids than sample (all ids,
+    where there are not many more); only those ids, so few, are ranked and sent to the texts.
+    """
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    known = cut(known.withColumn("h", id_hash("doc_id")))
+    bounds = hash_bounds(known.groupBy("toxic").count(), sample).select(F.col("toxic").alias("y"), "bound")
+    near = known.join(F.broadcast(bounds), F.col("toxic") == F.col("y")).where(F.col("h") < F.col("bound"))
+    rank = F.row_number().over(Window.partitionBy("toxic").orderBy("h", "doc_id"))
+    ids = near.withColumn("r", rank).where(F.col("r") <= sample).select("doc_id", "toxic", "h")
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    again = F.row_number().over(Window.partitionBy("toxic").orderBy(*order, F.xxhash64("text")))
+    again = F.row_number().over(Window.partitionBy("toxic").orderBy("h", "doc_id", F.xxhash64("text")))
     return texts.withColumn("r", again).where(F.col("r") <= sample).select("toxic", "text", "r")
 
 
