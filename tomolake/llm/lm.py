@@ -39,22 +39,22 @@ _SCHEMA = "block long, kind int, part int, a binary, b binary, ids array<long>,
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.compress(x.tobytes(), 1)
+    """Whole numbers as their byte planes, of which the highest are nearly all zero."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T
+    return zstandard.compress(planes.tobytes(), 1)
 
 
-def _unpack(x: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(x), kind)
+def _unpack(x: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _pack_sorted(x: np.ndarray) -> bytes:
-    """Sorted keys as the byte planes of their differences, of which the highest are nearly all zero."""
-    planes = np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-    return zstandard.compress(planes.tobytes(), 1)
+    return _pack(np.diff(x, prepend=np.uint64(0)))
 
 
 def _unpack_sorted(x: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(x), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_unpack(x, np.uint64), dtype=np.uint64)
 
 
 class Block:
