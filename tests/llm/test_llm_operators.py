@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -196,6 +197,35 @@ def test_hnsw_by_brute_force(spark):
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found} == {i: (int(near[i].sum()) - 1, classes[i], classes[i] == i) for i in range(len(x))}
 
 
+def test_hnsw_at_size_with_a_dense_group(spark):
+    """20,000 vectors in several shards, 2,000 of them near copies of each other, held against a full comparison."""
+    rng = np.random.RandomState(11)
+    base = rng.randn(9000, 24)
+    x = np.concatenate((base, base + 0.15 * rng.randn(9000, 24), rng.randn(24) + 0.05 * rng.randn(2000, 24)))
+    x = x[rng.permutation(len(x))]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    a, b = np.nonzero(near)
+    classes = reachable(range(len(x)), zip(a[a > b].tolist(), b[a > b].tolist(), strict=True))
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}))
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in hnsw.near_duplicates(rows, shard_rows=2500).collect()}
+    want = near.sum(1) - 1
+    got = np.array([found[i][0] for i in range(len(x))])
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum() and (got == want).mean() >= 0.99
+    assert sum(found[i][1] == classes[i] for i in range(len(x))) >= 0.99 * len(x)
+
+
+def test_components_by_rounds(spark):
+    """The rounds that many links go through, with a node of many links."""
+    rng = np.random.RandomState(2)
+    links = [(0, i) for i in range(1, 400)] + [(int(a), int(b)) for a, b in rng.randint(1000, 2000, (700, 2))]
+    nodes = {n for pair in links for n in pair if pair[0] != pair[1]}
+    want = reachable(nodes, [p for p in links if p[0] != p[1]])
+    rows = spark.createDataFrame(links, "u long, v long")
+    for few in (0, components.FEW):
+        assert {r["node"]: r["label"] for r in components.connected_components(rows, few=few).collect()} == want
+
+
 def test_hnsw_audit_sees_lost_links_of_small_groups():
     """A hot group's many links, or members' matches with themselves, must not outweigh what small groups lose."""
     rng = np.random.RandomState(7)

@@ -7,6 +7,7 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _place(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+def write_file(path: str, data: bytes) -> None:
+    fs, own = _place(path)
+    fs.create_dir(own.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(own, compression=None) as sink:
+        sink.write(data)
+
+
+def read_file(path: str) -> bytes:
+    fs, own = _place(path)
+    with fs.open_input_file(own) as source:
+        return source.read()
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

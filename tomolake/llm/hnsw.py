@@ -8,23 +8,26 @@ leave a task, never all pairs of a group.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomolake.llm.common import cut, tasks
+from tomolake.llm.common import cut, read_file, shared_dir, tasks, write_file
 from tomolake.llm.components import connected_components, local_labels
 from tomolake.llm.vectors import matrix, usable
 
 THRESHOLD = 0.9
 #: Shards at least, and vectors of a shard at most, about.
 SHARDS, SHARD_ROWS = 6, 50_000
-#: Vectors that search a shard in one task, about.
-BLOCK_ROWS = 50_000
+#: Bytes of a shard's vectors, and of the vectors that search shards in one task, at most, about.
+SHARD_BYTES, BLOCK_BYTES = 128 << 20, 64 << 20
+#: Vectors that are worth a task, and shards that one task visits at most.
+LEAST_ROWS, GROUP = 2000, 8
 #: Neighbours of a node when it is added and at most, and the beam then and of a first search.
 LINKS, MOST_LINKS, BUILD_BEAM, BEAM = 12, 24, 48, 32
 #: Vectors of a shard, and of the whole table, that an audit compares with a shard, and the part of its own links that
@@ -34,8 +37,10 @@ AUDIT, RECALL = 512, 0.998
 LINKED, ROUNDS = 128, 8
 #: Part of a shard's vectors beyond which no beam is widened: the shard is compared in full instead.
 WIDEST = 1 / 16
-#: Candidates expanded per step, and queries searched together.
-STEP, BATCH = 4, 256
+#: Candidates expanded per step, queries searched together, and compared together with a whole shard.
+STEP, BATCH, DENSE = 4, 256, 64
+#: Pairs that are verified at a time.
+PAIRS = 1_000_000
 
 
 def _diverse(sims: np.ndarray, between: np.ndarray, most: int) -> np.ndarray:
@@ -168,44 +173,46 @@ class Graph:
             near = np.where(chosen[:, :, None] >= 0, layer.links[chosen], -1)
             take(active, near.reshape(len(active), -1).astype(np.int64))
 
-    def within(self, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of the nodes found with cosine >= threshold, verified in double precision.
+    def links(self, queries: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, node) of the nodes found with cosine >= threshold, verified in double precision; BATCH queries at a time.
 
-        A beam that ends full of such nodes may have left some out; those queries search again with twice the beam.
+        A beam that ends full of such nodes may have left some out; those queries, of dense groups, are compared with
+        the whole shard at once.
         """
-        if self.exact:
-            return self._compared(queries, threshold)
-        found = ([], [])
         low = np.float32(threshold - 1e-4)
         for a in range(0, len(queries), BATCH):
             q = queries[a : a + BATCH]
-            rows, beam = np.arange(len(q)), self.beam
-            while len(rows):
-                beam = min(beam, len(self.ids))
-                some = q[rows].astype(np.float32)
+            full = np.ones(len(q), bool)
+            if not self.exact:
+                some, beam = q.astype(np.float32), min(self.beam, len(self.ids))
                 ids, sims = self._beam(some, self.layers[-1], self._descend(some, self.layers[:-1]), beam)
                 full = (sims[:, -1] >= low) & (beam < len(self.ids))
                 r, c = np.nonzero((sims >= low) & ~full[:, None])
-                node = ids[r, c]
-                sure = np.einsum("rd,rd->r", q[rows[r]], self.vectors[node]) >= threshold
-                found[0].append(rows[r[sure]] + a)
-                found[1].append(node[sure])
-                rows, beam = rows[full], 2 * beam
-        return (np.concatenate(found[0]), np.concatenate(found[1])) if found[0] else (np.zeros(0, np.int64),) * 2
-
-    def _compared(self, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+                yield self._sure(q, r, ids[r, c], threshold, a)
+            dense = np.flatnonzero(full)
+            for b in range(0, len(dense), DENSE):
+                rows = dense[b : b + DENSE]
+                r, node = np.nonzero(q[rows].astype(np.float32) @ self.near.T >= low)
+                yield self._sure(q, rows[r], node, threshold, a)
+
+    def _sure(self, q: np.ndarray, rows: np.ndarray, nodes: np.ndarray, threshold: float, first: int) -> tuple[np.ndarray, np.ndarray]:
+        keep = np.concatenate([np.zeros(0, bool), *(
+            np.einsum("rd,rd->r", q[rows[c : c + PAIRS]], self.vectors[nodes[c : c + PAIRS]]) >= threshold for c in range(0, len(rows), PAIRS)
+        )])
+        return rows[keep] + first, nodes[keep]
+
+    def within(self, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """All of `links` at once, for audits and tests."""
+        found = [(np.zeros(0, np.int64),) * 2, *self.links(queries, threshold)]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _compared(self, queries: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All (query, node) with cosine >= threshold, by a full comparison."""
-        found = ([], [])
         low = np.float32(threshold - 1e-4)
-        for a in range(0, len(queries), BATCH):
-            q = queries[a : a + BATCH]
+        for a in range(0, len(queries), DENSE):
+            q = queries[a : a + DENSE]
             r, node = np.nonzero(q.astype(np.float32) @ self.near.T >= low)
-            for c in range(0, len(r), 1_000_000):
-                rows, nodes = r[c : c + 1_000_000], node[c : c + 1_000_000]
-                sure = np.einsum("rd,rd->r", q[rows], self.vectors[nodes]) >= threshold
-                found[0].append(rows[sure] + a)
-                found[1].append(nodes[sure])
-        return (np.concatenate(found[0]), np.concatenate(found[1])) if found[0] else (np.zeros(0, np.int64),) * 2
+            yield self._sure(q, r, node, threshold, a)
 
     def _sampled(self, threshold: float, others: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Vectors that have links here, their ids, and how many: of the sample others(ids, vectors) and of members."""
@@ -216,14 +223,17 @@ class Graph:
         for k, (ids, x) in enumerate(foreign + own):
             if k >= len(foreign) + AUDIT // BATCH and most >= LINKED:
                 break
-            q, node = self._compared(x, threshold)
-            links = np.bincount(q[ids[q] != self.ids[node]], minlength=len(ids))
+            links = self._counted(ids, self._compared(x, threshold))
             most += int((links > 0).sum()) if k >= len(foreign) else 0
             for part, value in zip(taken, (ids, x, links), strict=True):
                 part.append(value[links > 0])
         ids, x, links = (np.concatenate(part) for part in taken)
         return x, ids, links
 
+    def _counted(self, ids: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Links of each of ids, itself not counted."""
+        return sum((np.bincount(q[ids[q] != self.ids[node]], minlength=len(ids)) for q, node in found), np.zeros(len(ids), np.int64))
+
     def audited(self, threshold: float, others: tuple[np.ndarray, np.ndarray] | None = None) -> Graph:
         """Widens the beam until each sampled vector finds the part RECALL of its own links, itself not counted.
 
@@ -232,8 +242,7 @@ class Graph:
         """
         x, ids, links = self._sampled(threshold, others or (self.ids[:0], self.vectors[:0]))
         while len(ids) and not self.exact:
-            q, node = self.within(x, threshold)
-            found = np.bincount(q[ids[q] != self.ids[node]], minlength=len(ids))
+            found = self._counted(ids, self.links(x, threshold))
             if (found >= RECALL * links).all():
                 break
             self.beam *= 2
@@ -241,65 +250,68 @@ class Graph:
         return self
 
 
-def _build(threshold: float, others: Broadcast):
-    """One packed graph for each shard of rows sorted by shard; others: a sample (ids, vectors) of all shards."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """(value, rows) of each run of equal values in the first column."""
+    value, held = None, []
+    for batch in batches:
+        own = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(own)) + 1), len(own)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b and own[a] != value:
+                if held:
+                    yield value, held
+                value, held = int(own[a]), []
+            if a < b:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield value, held
+
+
+def _build(threshold: float, others: Broadcast, folder: str):
+    """Writes a graph for each shard of rows (shard, id, copies, v); others: a sample (ids, vectors) of all shards.
+
+    A file bears its task attempt in its name, and only those of finished attempts are returned.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, []
-
-        def packed() -> pa.RecordBatch:
-            ids, copies, x = (np.concatenate(c) for c in zip(*held, strict=True))
-            return pa.RecordBatch.from_pydict({"shard": [shard], "graph": [pickle.dumps(Graph(x, ids, copies).audited(threshold, others.value))]})
-
-        for batch in batches:
-            shards, ids, copies, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), matrix(batch.column(3))
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(shards)) + 1, [len(shards)]))
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a < b and held and shards[a] != shard:
-                    yield packed()
-                    held = []
-                if a < b:
-                    shard = int(shards[a])
-                    held.append((ids[a:b], copies[a:b], x[a:b]))
-        if held:
-            yield packed()
+        task = TaskContext.get()
+        for shard, rows in _grouped(batches):
+            ids, copies = (np.concatenate([b.column(k).to_numpy() for b in rows]) for k in (1, 2))
+            graph = Graph(np.concatenate([matrix(b.column(3)) for b in rows]), ids, copies).audited(threshold, others.value)
+            name = f"{folder}/graph-{shard}-{task.taskAttemptId()}"
+            write_file(name, pickle.dumps(graph, protocol=5))
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name]})
 
     return run
 
 
-def _visit(threshold: float):
-    """Rows of (cell, role, id, v, graph), a cell's graph first: per query how many vectors link with it, and links."""
+def _visit(threshold: float, files: list[list[str]]):
+    """Rows (cell, id, v), a cell being a block of vectors and a group of shards: per vector how many others link with
+    it, and links that span what the cell found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, graph = None, None
-        for batch in batches:
-            cells, roles = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(cells) | np.diff(roles)) + 1, [len(cells)]))
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a < b and roles[a] == 0:
-                    cell, graph = cells[a], pickle.loads(batch.column(4)[int(a)].as_py())
-                elif a < b:
-                    if cells[a] != cell:
-                        raise RuntimeError("queries without their shard's graph")
-                    ids = batch.column(2).slice(a, b - a).to_numpy()
-                    q, node = graph.within(matrix(batch.column(3).slice(a, b - a)), threshold)
+        for cell, rows in _grouped(batches):
+            ids, x = np.concatenate([b.column(1).to_numpy() for b in rows]), np.concatenate([matrix(b.column(2)) for b in rows])
+            for file in files[cell % len(files)]:
+                graph = pickle.loads(read_file(file))
+                count, anchor, labels = np.zeros(len(ids), np.int64), np.full(len(ids), -1), np.arange(len(graph.ids))
+                for q, node in graph.links(x, threshold):
                     other = ids[q] != graph.ids[node]
                     q, node = q[other], node[other]
-                    count = np.bincount(q, graph.copies[node], len(ids)).astype(np.int64)
-                    touched, where = np.unique(node, return_inverse=True)
-                    names = np.concatenate((ids, graph.ids[touched]))
-                    labels = local_labels(len(names), q, where + len(ids))
-                    moved = np.flatnonzero(labels != np.arange(len(names)))
-                    linked = np.flatnonzero(count)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate((ids[linked], names[moved]))), pa.array(np.concatenate((count[linked], np.zeros(len(moved), np.int64)))), pa.array(np.concatenate((np.full(len(linked), -1), names[labels[moved]]))), pa.array(np.arange(len(linked) + len(moved)) >= len(linked))],
-                        ["id", "n", "other", "link"],
-                    )
+                    if len(q):
+                        count += np.bincount(q, graph.copies[node], len(ids)).astype(np.int64)
+                        anchor[q[::-1]] = node[::-1]
+                        labels = local_labels(len(labels), anchor[q], node, labels)
+                linked, moved = np.flatnonzero(count), np.flatnonzero(labels != np.arange(len(labels)))
+                first = np.concatenate((ids[linked], graph.ids[moved]))
+                second = np.concatenate((graph.ids[anchor[linked]], graph.ids[labels[moved]]))
+                n = np.concatenate((count[linked], np.zeros(len(moved), np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(n), pa.array(second)], ["id", "n", "other"])
 
     return run
 
 
-def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of table.
 
     Vectors with cosine >= threshold link; exact copies stand for one node with a count, and each links with the
@@ -308,37 +320,39 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
     are ignored; an empty table gives no rows.
     """
     spark = table.sparkSession
-    rows = usable(table, key, vector)
-    nodes = rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    nodes = cut(nodes)
-    total = nodes.count()
-    shards, blocks = max(SHARDS, -(-total // SHARD_ROWS)), max(2, -(-total // BLOCK_ROWS))
+    # Two hashes stand for a vector wherever rows are grouped or joined by it.
+    rows = usable(table, key, vector).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
+    nodes = cut(rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")))
+    facts = nodes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    total, width = facts["n"], max(facts["width"] or 1, 1)
+    shards = max(SHARDS, -(-total // max(1, min(shard_rows, SHARD_BYTES // (12 * width)))))
+    groups = -(-shards // GROUP)
+    blocks = max(1, -(-total // max(1, BLOCK_BYTES // (8 * width))), min(tasks(spark), -(-total // LEAST_ROWS)))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     # Scaled by the largest component first, so that no square overflows or vanishes.
     most = F.array_max(F.transform("v", lambda x: F.abs(x)))
     unit = nodes.withColumn("m", most).withColumn("v", F.transform("v", lambda x: x / F.col("m")))
     unit = unit.withColumn("m", norm).select("id", "copies", F.transform("v", lambda x: x / F.col("m")).alias("v"))
-    unit = cut(unit.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))))
+    unit = unit.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    unit = cut(unit.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")))
 
-    dealt = unit.select("shard", "id", "copies", "v").repartition(shards, "shard").sortWithinPartitions("shard", "id")
     some = unit.select("id", "v").orderBy(F.xxhash64("id", F.lit(2)), "id").limit(AUDIT).collect()
     ids = np.array([r["id"] for r in some], np.int64)
-    others = spark.sparkContext.broadcast((ids, np.array([r["v"] for r in some], np.float64).reshape(len(ids), -1)))
-    graphs = cut(dealt.mapInArrow(_build(threshold, others), "shard long, graph binary"))
-    present = sorted(r["shard"] for r in graphs.select("shard").collect())  # small tables may leave shards empty
-    none = F.lit(None)
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    placed = graphs.select("shard", every, "graph").select((F.col("shard") * blocks + F.col("block")).alias("cell"), F.lit(0).alias("role"), F.lit(0).cast("long").alias("id"), none.cast("array<double>").alias("v"), "graph")
-    asked = unit.select("id", "block", "v", F.explode(F.array(*map(F.lit, present)) if present else F.array().cast("array<long>")).alias("shard"))
-    asked = asked.select((F.col("shard").cast("long") * blocks + F.col("block")).alias("cell"), F.lit(1).alias("role"), "id", "v", none.cast("binary").alias("graph"))
-    met = placed.unionByName(asked).repartition(max(tasks(spark), shards * blocks), "cell").sortWithinPartitions("cell", "role")
-    found = cut(met.mapInArrow(_visit(threshold), "id long, n long, other long, link boolean"))
-
-    counts = found.where("not link").groupBy("id").agg(F.sum("n").alias("n"))
-    labels = connected_components(found.where("link").select(F.col("id").alias("u"), F.col("other").alias("v")))
+    others = spark.sparkContext.broadcast((ids, np.array([r["v"] for r in some], np.float64).reshape(len(ids), width)))
+    folder = f"{shared_dir(spark)}/graphs-{uuid.uuid4().hex}"
+    dealt = unit.select("shard", "id", "copies", "v").repartitionById(shards, "shard").sortWithinPartitions("shard", "id")
+    built = sorted((r["shard"], r["file"]) for r in dealt.mapInArrow(_build(threshold, others, folder), "shard long, file string").collect())
+    files = [[file for _, file in built[g::groups]] for g in range(groups)]
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g")
+    cells = unit.select("block", every, "id", "v").select((F.col("block") * groups + F.col("g")).alias("cell"), "id", "v")
+    met = cells.repartitionById(blocks * groups, "cell").sortWithinPartitions("cell", "id")
+    found = cut(met.mapInArrow(_visit(threshold, files), "id long, n long, other long"))
+
+    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
+    labels = connected_components(found.select(F.col("id").alias("u"), F.col("other").alias("v")))
     known = nodes.join(counts, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "id").alias("component_id"))
-    linked = rows.join(known, "v").groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    known = known.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "id").alias("component_id"))
+    linked = rows.select("id", "h1", "h2").join(known, ["h1", "h2"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = table.select(F.col(key).cast("long").alias("vec_id")).join(linked, F.col("vec_id") == F.col("id"), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
