@@ -162,6 +162,50 @@ def test_cross_polytope_recall(spark, sf):
     assert not found and hits >= 0.9 * total
 
 
+def test_cross_polytope_prunes(spark):
+    """Of 20,000 clustered vectors each query meets under a quarter, and finds nine in ten of its nearest; also where
+    cells are dealt over several parts."""
+    rng = np.random.RandomState(5)
+    x = np.repeat(rng.randn(1000, 64), 20, 0) + 0.5 * rng.randn(20_000, 64)
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    ids = rng.permutation(20_000)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": x.tolist()})).selectExpr("vec_id", "cast(embedding as array<float>) embedding")
+    seen, search = {}, crosspolytope._search
+    crosspolytope._search = lambda *a: seen.setdefault("probes", a[3]) and False or search(*a)
+    try:
+        found = {}
+        for r in crosspolytope.nearest(rows, every=100, group_rows=500).collect():
+            found.setdefault(r["query_id"], []).append(r["vec_id"])
+    finally:
+        crosspolytope._search = search
+    turns = crosspolytope.Tables(64, 20_000)
+    hits, share, wide = 0, [], x.astype(np.float64)
+    buckets = [turns.buckets(wide, t) for t in range(turns.tables)]
+    queries = np.flatnonzero(ids % 100 == 0)
+    for q in queries:
+        score = np.where(np.arange(20_000) == q, -np.inf, wide @ wide[q])
+        hits += len(set(ids[np.argsort(-score)[:20]].tolist()) & set(found[ids[q]]))
+        axes = [turns.axes_of(wide[q : q + 1], t) for t in range(turns.tables)]
+        share.append(np.mean(sum((turns.sums(a, b)[0] >= turns.nearest_sums(a, seen["probes"])[0, -1]).astype(int) for a, b in zip(axes, buckets, strict=True))))
+    assert hits >= 0.9 * 20 * len(queries) and np.mean(share) < 0.25 and all(len(set(f)) == 20 for f in found.values())
+
+
+def test_ties_and_repeated_rows_of_nearest(spark):
+    """Equal vectors at the last rank give the smaller ids; an id that repeats counts once, with its best vector."""
+    rng = np.random.RandomState(3)
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(i, [0.5, 0.5, 0.5, 0.5]) for i in range(1, 60)] + [(100, [0.9, 0.1, 0.1, 0.1]), (100, [0.1, 0.9, 0.1, 0.1])]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    found = crosspolytope.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), every=1000).collect()
+    assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"])] == [100, *range(1, 20)]
+
+
+def test_repeated_ids_of_near_duplicates(spark):
+    """Rows that repeat an id share its component; copies count as links."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [0.0, 2.0]), (4, [-1.0, 0.0]), (4, [-1.0, 0.0])]
+    found = Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert found == Counter({(1, 2, 1): 2, (2, 2, 1): 1, (3, 2, 1): 1, (4, 1, 4): 2})
+
+
 AWKWARD_VECTORS = [(0, [1.0, 0.0, 0.0]), (20, [1.0, 0.0, 0.0]), (2, [0.9, 0.1, 0.0]), (3, [0.0, 0.0, 0.0]), (4, None), (5, [float("nan"), 1.0, 0.0]), (6, [None, 1.0, 0.0]), (7, [0.0, 5.0, 0.0]), (40, [1.0, 0.0]), (8, [1e200, 0.0, 0.0]), (None, [1.0, 0.0, 0.0])]
 
 
