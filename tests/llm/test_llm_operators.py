@@ -64,7 +64,7 @@ def test_a_row_for_every_row(awkward, empty, labels, name):
     assert OPERATORS[name](empty, labels.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("stage", [langid.drop_rejected, simhash.drop_near_duplicates, pii.sanitise, mixing.mixed])
+@pytest.mark.parametrize("stage", [langid.drop_rejected, simhash.drop_near_duplicates, simhash.drop_similar, pii.sanitise, mixing.mixed])
 def test_stages_on_awkward_tables(awkward, empty, stage):
     found = stage(awkward)
     assert found.columns == awkward.columns and found.schema["text"].dataType == awkward.schema["text"].dataType
@@ -121,6 +121,47 @@ def test_shards_lose_no_link(spark, limit):
     assert found == {c: want[i] for i, c in enumerate(codes)}
 
 
+def shingles(text, width=5):
+    words = text.lower().split()
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+@pytest.mark.parametrize("limit", [simhash.SHARD_LIMIT, 3])
+def test_near_copies_of_similarity(spark, limit):
+    """Copies of texts with words changed here and there: those of similarity 0.8 and more go, those far below stay."""
+    rng = np.random.RandomState(4)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(3000)]
+    rows, kinds = [], {}
+    for k in range(300):
+        words = list(rng.choice(vocabulary, rng.randint(60, 400)))
+        rows.append((10 * k, " ".join(words)))
+        for n, share in enumerate((0.0, 0.005, 0.01, 0.02, 0.1), 1):
+            own = list(words)
+            for at in np.flatnonzero(rng.rand(len(own)) < share):
+                own[at] = rng.choice(vocabulary)
+            rows.append((10 * k + n, " ".join(own)))
+            a, b = shingles(rows[-1][1]), shingles(rows[-1 - n][1])
+            kinds[10 * k + n] = len(a & b) / len(a | b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["label"] for r in simhash.similar_classes(docs, limit=limit).collect()}
+    linked = {i: found[i] == found[i // 10 * 10] for i in kinds}
+    near, close, far = ([linked[i] for i, s in kinds.items() if low <= s <= high] for low, high in ((0.8, 1), (0.85, 1), (0, 0.65)))
+    assert np.mean(near) >= 0.95 and np.mean(close) >= 0.99 and len(near) > 800 and len(far) > 200 and np.mean(far) <= 0.01
+    assert all(found[i] != found[j] for i in range(0, 3000, 10) for j in range(0, i, 10))
+
+
+def test_drop_similar(spark):
+    """A crowd of near copies, exact copies, repeated rows, null ids and texts; the smallest id of each class stays."""
+    rng = np.random.RandomState(5)
+    words = [f"w{k}" for k in rng.permutation(300)]
+    crowd = [(i, " ".join(words[:k] + ["x"] + words[k + 1 :])) for i, k in enumerate(rng.randint(0, 300, 700))]
+    rows = crowd + [(1000, "alone " * 3 + "in the world"), (1001, "another one that is not like it"), (None, "another one that is not like it"), (1002, None), (1003, ""), (1004, "one"), (1004, "one")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, label int").repartition(3)
+    kept = simhash.drop_similar(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 1000, 1001, 1002, 1004]
+    assert simhash.drop_similar(docs.limit(0)).count() == 0
+
+
 def test_bk_forest():
     rng = np.random.RandomState(1)
     codes = np.unique(rng.randint(0, 2**16, 500).astype(np.uint64))

@@ -41,19 +41,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _place(path: str) -> tuple[pafs.FileSystem, str]:
+def place(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
 def write_file(path: str, data: bytes) -> None:
-    fs, own = _place(path)
+    fs, own = place(path)
     fs.create_dir(own.rpartition("/")[0], recursive=True)
     with fs.open_output_stream(own, compression=None) as sink:
         sink.write(data)
 
 
 def read_file(path: str) -> bytes:
-    fs, own = _place(path)
+    fs, own = place(path)
     with fs.open_input_file(own) as source:
         return source.read()
 

@@ -16,14 +16,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomolake.llm.common import pieces, shared_dir, tasks
+from tomolake.llm.common import pieces, place, shared_dir, tasks
 
 # Fixed values of the seekable format and of the byte-level pre-tokenizer.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -81,7 +80,7 @@ class ByteEncoder:
             return self._ask(text)
         try:
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
-        except Exception:  # the pattern engine gives up on some very long runs
+        except ValueError:  # the pattern engine gives up on some very long runs
             return self._ask(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -154,12 +153,12 @@ class ShardReader:
 
 
 def open_shard(path: str) -> ShardReader:
-    fs, own = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    fs, own = place(path)
     return ShardReader(fs.open_input_file(own))
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, files: int | None = None, end_id: int | None = END_ID) -> list[dict]:
-    """Writes docs(doc_id, text) in ascending doc_id order (nulls first, ties by text) to files in folder.
+    """Writes docs(doc_id, text) in ascending doc_id order (nulls first, ties by a hash of the text) to files in folder.
 
     Returns the manifest, a row for each file in order: file, docs, tokens, start (tokens of all files before it).
     A file bears its task attempt in its name and only finished attempts are in the manifest, so that a lost executor
@@ -175,7 +174,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, files: int | None
         tokens = 0
         for batch in pieces(batches):
             if writer is None:
-                fs, own = pafs.FileSystem.from_uri(name)
+                fs, own = place(name)
                 fs.create_dir(own.rpartition("/")[0], recursive=True)
                 sink = fs.open_output_stream(own, compression=None)
                 writer = ShardWriter(sink)
@@ -192,7 +191,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, files: int | None
 
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ["doc_id", F.xxhash64("text"), "text"]
-    dealt = hashed.repartitionByRange(files or tasks(spark), *order[:2]).sortWithinPartitions("doc_id", "text")
+    dealt = hashed.repartitionByRange(files or tasks(spark), *order[:2]).sortWithinPartitions(*order)
     rows = sorted((r.asDict() for r in dealt.mapInArrow(write, "part long, file string, docs long, tokens long").collect()), key=lambda r: r["part"])
     start = 0
     for r in rows:

@@ -1,4 +1,8 @@
-"""SimHash near-duplicates: fingerprints, BK-trees over shards of them, and components of their links."""
+"""SimHash near-duplicates: fingerprints, BK-trees over shards of them, and components of their links.
+
+Fingerprints of 64 bits link within a few bits. Texts of a given shingle similarity are found by longer fingerprints,
+whose distance tells the angle between shingle sets, and so their similarity, to within a few hundredths.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomolake.llm.common import cut, map_batches, raw_texts, tasks, words_of
+from tomolake.llm.common import cut, map_batches, pieces, raw_texts, tasks, words_of
 from tomolake.llm.components import connected_components, local_labels
 
 #: Differing bits up to which two fingerprints link.
@@ -22,6 +26,15 @@ SHARD_LIMIT = 20_000
 #: Queries that search a forest at once; bounds the frontier's memory.
 SEARCH_BLOCK = 4096
 
+#: A group of more codes than this is first searched from so many of its codes for components that fill it.
+CROWD, LEADERS = 512, 16
+#: Words in a shingle, and shingle similarity, of texts that are near copies.
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+#: 64-bit words of a long fingerprint, and bits of a band of it.
+LONG_WORDS, BAND_BITS = 8, 16
+#: Standard deviations of the distance at SIMILARITY by which the radius is wider than its mean.
+WIDER = 1.0
+
 _SPREAD = np.uint64(0x0101010101010101)
 
 
@@ -92,6 +105,12 @@ def fingerprints(docs: DataFrame, key: str | Column = "doc_id", text: str | Colu
     return map_batches(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of codes, row by row."""
+    bits = np.bitwise_count(a ^ b)
+    return (bits.sum(axis=1) if bits.ndim > 1 else bits).astype(np.int64)
+
+
 class BKForest:
     """A BK-tree for each group of distinct codes, built and searched level by level for all groups at once.
 
@@ -101,8 +120,8 @@ class BKForest:
     """
 
     def __init__(self, group: np.ndarray, codes: np.ndarray):
-        """group: dense ids from 0, one per code."""
-        self.codes = codes
+        """group: dense ids from 0, one per code; a code is a number, or a row of several."""
+        self.codes, self.span = codes, 64 * (codes.shape[1] if codes.ndim > 1 else 1) + 1
         self.roots = np.full(int(group.max()) + 1 if len(group) else 0, -1)
         waiting, slot = np.arange(len(codes)), group.astype(np.int64)
         keys, nodes, at_root = [], [], True
@@ -119,7 +138,7 @@ class BKForest:
                 nodes.append(placed)
             parent = placed[np.cumsum(new) - 1][~new]
             waiting = waiting[~new]
-            slot = parent * 65 + np.bitwise_count(codes[waiting] ^ codes[parent])
+            slot = parent * self.span + distances(codes[waiting], codes[parent])
         key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         order = np.argsort(key)
         self.edges, self.children = key[order], (np.concatenate(nodes)[order] if nodes else key)
@@ -128,12 +147,12 @@ class BKForest:
         """(query, node) of all codes within radius of each query in its own group's tree."""
         q, node, found = np.arange(len(queries)), self.roots[groups], ([], [])
         while len(q):
-            d = np.bitwise_count(queries[q] ^ self.codes[node]).astype(np.int64)
+            d = distances(queries[q], self.codes[node])
             near = d <= radius
             found[0].append(q[near])
             found[1].append(node[near])
-            low = np.searchsorted(self.edges, node * 65 + np.maximum(d - radius, 0), "left")
-            high = np.searchsorted(self.edges, node * 65 + np.minimum(d + radius, 64), "right")
+            low = np.searchsorted(self.edges, node * self.span + np.maximum(d - radius, 0), "left")
+            high = np.searchsorted(self.edges, node * self.span + np.minimum(d + radius, self.span - 1), "right")
             fan = high - low
             q = np.repeat(q, fan)
             first = np.cumsum(fan) - fan
@@ -142,14 +161,48 @@ class BKForest:
 
 
 def spanning_links(group: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within radius inside each group, reduced to fewer than one per code: code and its component's first."""
-    forest = BKForest(group, codes)
+    """Links within radius inside each group, reduced to fewer than one per code: the places of a code and of its
+    component's first. Groups lie together."""
     labels = np.arange(len(codes))
-    for at in range(0, len(codes), SEARCH_BLOCK):
-        q, node = forest.search(codes[at : at + SEARCH_BLOCK], group[at : at + SEARCH_BLOCK], radius)
-        labels = local_labels(len(codes), q + at, node, labels)
+    waiting = np.ones(len(codes), bool)
+    bounds = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        if b - a > CROWD:
+            _peel(codes[a:b], labels[a:b], waiting[a:b], a, radius)
+    rest = np.flatnonzero(waiting)
+    forest = BKForest(np.unique(group[rest], return_inverse=True)[1], codes[rest])
+    own = np.unique(group[rest], return_inverse=True)[1]
+    for at in range(0, len(rest), SEARCH_BLOCK):
+        q, node = forest.search(codes[rest[at : at + SEARCH_BLOCK]], own[at : at + SEARCH_BLOCK], radius)
+        labels = local_labels(len(codes), rest[q + at], rest[node], labels)
     moved = np.flatnonzero(labels != np.arange(len(codes)))
-    return codes[moved], codes[labels[moved]]
+    return moved, labels[moved]
+
+
+def _peel(codes: np.ndarray, labels: np.ndarray, waiting: np.ndarray, first: int, radius: int) -> None:
+    """Takes whole components out of a large group, so that one of many near copies does not meet itself pair by pair.
+
+    From a few spread codes on, all that is within reach is gathered step by step, each code being held only against
+    those not yet gathered. What is gathered gets its component's label and waits no more.
+    """
+    for start in np.linspace(0, len(codes) - 1, LEADERS).astype(np.int64):
+        front, inside = np.array([start]) if waiting[start] else np.zeros(0, np.int64), [start]
+        waiting[front] = False
+        while len(front):
+            out = np.flatnonzero(waiting)
+            hit = np.zeros(len(out), bool)
+            for at in range(0, len(front), max(1, 200_000 // max(len(out), 1))):
+                some, open_ = front[at : at + max(1, 200_000 // max(len(out), 1))], np.flatnonzero(~hit)
+                a, b = np.repeat(some, len(open_)), np.tile(open_, len(some))
+                near = distances(codes[a], codes[out[b]]) <= radius
+                hit[b[near]] = True
+            front = out[hit]
+            waiting[front] = False
+            inside.extend(front.tolist())
+        if len(inside) > 1:
+            labels[inside] = first + min(inside)
+
+
 
 
 def _shard_links(radius: int):
@@ -159,7 +212,7 @@ def _shard_links(radius: int):
         def links(shard: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
             group = np.cumsum(np.concatenate(([0], shard[1:] != shard[:-1]))) if len(shard) else shard
             a, b = spanning_links(group, codes, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(codes[a].view(np.int64)), pa.array(codes[b].view(np.int64))], ["u", "v"])
 
         for batch in batches:
             shard = np.concatenate((rest[0], batch.column(0).to_numpy()))
@@ -249,20 +302,147 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
-    """The rows of docs less near copies: of each class the row of the smallest doc_id (nulls last) stays.
+def long_fingerprints(texts: list[bytes], width: int = SIMILAR_SHINGLE, words: int = LONG_WORDS) -> np.ndarray:
+    """A row of words for each text: the majority bits of its different shingles, hashed anew for each word."""
+    out, held, total = [], [], 0
+    steps = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def closed() -> np.ndarray:
+        hashes, sizes = np.concatenate([np.zeros(0, np.uint64), *held]), np.array([len(h) for h in held])
+        codes = np.zeros((len(held), words), np.uint64)
+        for k in range(words):  # the finishing steps of a 64-bit mixer
+            x = hashes + steps[k]
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            codes[:, k] = majority_bits(x ^ (x >> np.uint64(31)), sizes)
+        return codes
+
+    for text in texts:
+        held.append(np.unique(np.array(shingle_hashes(text, width), np.uint64)))
+        total += len(held[-1])
+        if total > 250_000:
+            out.append(closed())
+            held, total = [], 0
+    if held:
+        out.append(closed())
+    return np.concatenate(out) if out else np.zeros((0, words), np.uint64)
+
+
+def radius_of(similarity: float, bits: int = 64 * LONG_WORDS) -> int:
+    """Differing bits at which sets of a Jaccard similarity still link: the mean for their angle, and WIDER deviations."""
+    share = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
+    return int(bits * share + WIDER * np.sqrt(bits * share * (1 - share)))
+
+
+def _codes(column: pa.Array, kind: type) -> np.ndarray:
+    """Long fingerprints as rows of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _long_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, code) once for each band of the code: shard, node, code."""
+    for batch in pieces(batches, 8192):
+        bands = _codes(batch.column(1), np.uint16).astype(np.int64)
+        for band in range(bands.shape[1]):
+            yield pa.RecordBatch.from_arrays([pa.array(bands[:, band] + (band << 16)), batch.column(0), batch.column(1)], ["shard", "node", "code"])
+
+
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, node, code) of large shards once for each of 16 bytes of the code outside the shard's band."""
+    for batch in pieces(batches, 8192):
+        shard, values = batch.column(0).to_numpy(), _codes(batch.column(2), np.uint8).astype(np.int64)
+        for byte in range(0, values.shape[1], 4):
+            at = np.where(shard >> 16 == byte // 2, byte + 2, byte)
+            new = (1 << 48) + (shard << 16) + (at << 8) + values[np.arange(len(shard)), at]
+            yield pa.RecordBatch.from_arrays([pa.array(new), batch.column(1), batch.column(2)], ["shard", "node", "code"])
+
+
+def _long_links(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def links() -> pa.RecordBatch:
+            shard, nodes, codes = (np.concatenate(c) for c in zip(*held, strict=True))
+            a, b = spanning_links(np.cumsum(np.diff(shard, prepend=shard[:1]) != 0), codes, radius)
+            return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["u", "v"])
 
-    Rows are told apart by a hash of all their columns; of fully equal rows one stays.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shard, nodes, codes = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _codes(batch.column(2), np.uint64)
+            whole = np.searchsorted(shard, shard[-1])  # the last shard may go on
+            if whole:
+                held.append((shard[:whole], nodes[:whole], codes[:whole]))
+            if held and (whole or held[-1][0][-1] != shard[-1]):
+                yield links()
+                held = []
+            held.append((shard[whole:], nodes[whole:], codes[whole:]))
+        if held:
+            yield links()
+
+    return run
+
+
+def similar_classes(docs: DataFrame, key: str | Column = "doc_id", similarity: float = SIMILARITY, width: int = SIMILAR_SHINGLE, limit: int = SHARD_LIMIT) -> DataFrame:
+    """doc_id, label: rows of docs(doc_id, text) whose shingle sets reach the similarity share a label, by chains.
+
+    Pairs are found by LONG_WORDS * 64 / BAND_BITS bands of bits, of which one must agree: nine in ten pairs of
+    similarity 0.8, nearly all of 0.85 and more. They link by the distance of their fingerprints, `radius_of`. A shard
+    of over limit codes is dealt again by 16 of its codes' other bytes, of which one in a hundred such pairs shares none.
+    """
+    pick, radius = F.col(key) if isinstance(key, str) else key, radius_of(similarity)
+    source = docs.select(pick.alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codes = [c.tobytes() for c in long_fingerprints(raw_texts(batch.column(1)), width)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["doc_id", "code"])
+
+    prints = cut(map_batches(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, code binary").withColumn("node", F.xxhash64("code")))
+    schema = "shard long, node long, code binary"
+    dealt = prints.groupBy("node").agg(F.first("code").alias("code")).mapInArrow(_long_shards, schema)
+    sizes = cut(dealt.groupBy("shard").count().where(F.col("count") > limit))
+    if not sizes.isEmpty():
+        large = dealt.join(sizes.select("shard"), "shard", "left_semi").mapInArrow(_again, schema)
+        dealt = dealt.join(sizes.select("shard"), "shard", "left_anti").unionByName(large)
+    met = dealt.repartition(tasks(docs.sparkSession), "shard").sortWithinPartitions("shard")
+    labels = connected_components(met.mapInArrow(_long_links(radius), "u long, v long"))
+    return prints.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
+
+
+def _first_of_each(docs: DataFrame, classes_of) -> DataFrame:
+    """Of each class the row of the smallest doc_id (nulls last); of fully equal rows one.
+
+    classes_of gives doc_id (id, row) and label for rows told apart by a hash of all their columns.
     """
     name = "_simhash_row"
     marked = docs.withColumn(name, F.xxhash64(*docs.columns))
-    key = F.struct(F.col("doc_id").alias("id"), F.col(name).alias("row"))
-    prints = cut(fingerprints(marked, key=key).select("doc_id.id", "doc_id.row", "fp"))
-    found = prints.join(classes(prints.withColumnRenamed("id", "doc_id"), radius), "fp")
+    found = cut(classes_of(marked, F.struct(F.col("doc_id").alias("id"), F.col(name).alias("row"))).select("doc_id.id", "doc_id.row", "label"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     stay = cut(found.groupBy("label").agg(F.min(order).alias("k")).select("k.id", "k.row"))
     kept = marked.join(stay, (F.col(name) == stay["row"]) & F.col("doc_id").eqNullSafe(stay["id"]), "left_semi")
-    repeated = prints.join(stay, (prints["row"] == stay["row"]) & prints["id"].eqNullSafe(stay["id"]), "left_semi")
+    repeated = found.join(stay, (found["row"] == stay["row"]) & found["id"].eqNullSafe(stay["id"]), "left_semi")
     if not repeated.groupBy("id", "row").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", name])
     return kept.drop(name)
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
+    """The rows of docs less copies within radius bits: of each class the row of the smallest doc_id (nulls last) stays.
+
+    Of fully equal rows one stays; rows without words are copies of each other.
+    """
+
+    def classes_of(marked: DataFrame, key: Column) -> DataFrame:
+        prints = cut(fingerprints(marked, key=key, width=width))
+        known = classes(prints.select(F.col("doc_id.id").alias("doc_id"), "fp"), radius)
+        return prints.join(known.select("fp", "label"), "fp")
+
+    return _first_of_each(docs, classes_of)
+
+
+def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, width: int = SIMILAR_SHINGLE) -> DataFrame:
+    """The rows of docs less near copies, by `similar_classes`: of each class the row of the smallest doc_id stays.
+
+    Of fully equal rows one stays; rows without words are copies of each other; nulls and other columns stay as they are.
+    """
+    return _first_of_each(docs, lambda marked, key: similar_classes(marked, key, similarity, width))
