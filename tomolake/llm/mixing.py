@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks..
+"""Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 Targets are filled up by weight under a cap, seats (blocks) go to sources and then to their shards by highest
 quotients, and each shard takes its quota of blocks at a seeded, evenly spaced choice.
@@ -6,21 +6,17 @@ quotients, and each shard takes its quota of blocks at a seeded, evenly spaced c
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomolake.llm.common import cut, pieces
-
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+from tomolake.llm.common import cut
 
 #: Words in a block.
 BLOCK = 16
 #: Words that a shard of one source holds at most, about; sources of more are dealt over several shards.
 SHARD_WORDS = 1_000_000
+#: Shards of one source that quotas go to at once; more get theirs by bunches of so many.
+BUNCH = 1024
 #: Part of all words that the mix takes.
 SHARE = 1.5
 #: Times that a word may be taken.
@@ -133,7 +129,15 @@ def _placed(
     placed = placed.withColumn("stop", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
 
     cells = placed.groupBy("source", "shard").agg(F.sum("size").alias("length"), F.first("source_quota").alias("source_quota"))
-    cells = apportion(cells, ["source"], "length", "source_quota", [F.col("shard")])
+    if (goals.agg(F.max("parts")).first()[0] or 0) <= BUNCH:
+        cells = apportion(cells, ["source"], "length", "source_quota", [F.col("shard")])
+    else:  # first to bunches of shards, so that no source's shards all stand in one window
+        cells = cut(cells.withColumn("bunch", F.floor(F.col("shard") / BUNCH)))
+        bunches = cells.groupBy("source", "bunch").agg(F.sum("length").alias("l"), F.first("source_quota").alias("q"))
+        bunches = apportion(bunches, ["source"], "l", "q", [F.col("bunch")])
+        bunches = bunches.select(F.col("source").alias("b_source"), F.col("bunch").alias("b_bunch"), F.col("quota").alias("bunch_quota"))
+        cells = cells.join(bunches, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bunch") == F.col("b_bunch")))
+        cells = apportion(cells.drop("b_source", "b_bunch"), ["source", "bunch"], "length", "bunch_quota", [F.col("shard")])
     blocks = F.ceil(F.col("length") / block).cast("long")
     # A short last block can make a quota exceed what the cap allows.
     cells = cells.select(
@@ -170,45 +174,26 @@ def mix(
     return found.select("doc_id", "size", "source_size", "target", "taken", *(tie or []))
 
 
-def first_words(text: str, n: int) -> str:
-    """text up to the end of its n-th word."""
-    for k, m in enumerate(_WORD.finditer(text), 1):
-        if k == n:
-            return text[: m.end()]
-    return text
-
-
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, in the columns of docs: what a shard takes goes to whole documents along its line.
 
-    Every document appears as often as the shard's words are all taken; the words left over go to the first documents
-    of the line, whose order is a seeded hash, so that only the one where they end is cut. Rows of which nothing is
-    taken go. A column n_chars follows the text.
+    Every document appears as often as the shard's words are all taken. The words left over go to the first documents
+    of the line, whose order is a seeded hash, up to the one whose middle lies beyond them; so none is cut, and a
+    shard's words differ from its quota by half a document at most. Rows of which nothing is taken go.
 
-    Rows are told apart by a hash of all columns; what equal rows take is given out together.
+    Rows are told apart by a hash of all columns; what equal rows take is given out together. Null and wordless texts
+    have no words to take and go.
     """
     name, names = "_mix_row", docs.columns
     marked = docs.withColumn(name, F.xxhash64(*names))
-    shard = Window.partitionBy("source", "shard")
-    lined = _placed(marked, tie=[name], **options).withColumn("_all", F.sum("taken").over(shard)).withColumn("_length", F.sum("size").over(shard))
-    lined = lined.where("size > 0").withColumn("_left", F.col("_all") % F.col("_length"))
-    whole = F.floor(F.col("_all") / F.col("_length")) + (F.col("stop") <= F.col("_left")).cast("int")
-    part = F.least("stop", "_left") - (F.col("stop") - F.col("size"))
-    rest = F.when((part > 0) & (F.col("stop") > F.col("_left")), part).otherwise(0)
-    # At most one row of a shard is cut, and equal rows share a shard.
-    taken = lined.groupBy(name).agg(F.sum(whole).cast("int").alias("_whole"), F.max(rest).cast("int").alias("_rest"), F.count("*").alias("_n"))
-    taken = cut(taken)
+    placed = cut(_placed(marked, tie=[name], **options))
+    shards = placed.groupBy("source", "shard").agg(F.sum("taken").alias("all"), F.sum("size").alias("length"))
+    shards = shards.where("length > 0").select(F.col("source").alias("of_"), F.col("shard").alias("shard_"), "all", "length")
+    lined = placed.where("size > 0").join(shards, F.col("source").eqNullSafe(F.col("of_")) & (F.col("shard") == F.col("shard_")))
+    over = F.col("stop") - F.col("size") / 2 <= F.col("all") % F.col("length")
+    times = F.floor(F.col("all") / F.col("length")) + over.cast("int")
+    taken = cut(lined.groupBy(name).agg(F.sum(times).cast("int").alias("_times"), F.count("*").alias("_n")))
     if not taken.where("_n > 1").isEmpty():
         marked = marked.dropDuplicates([name])
-    rows = marked.join(taken.where("_whole > 0 or _rest > 0").drop("_n"), name).drop(name)
-    cuts = F.concat(F.array_repeat(F.lit(0), F.col("_whole")), F.when(F.col("_rest") > 0, F.array("_rest")).otherwise(F.array().cast("array<int>")))
-    rows = rows.select(*names, F.explode(cuts).alias("_cut"))
-    at = names.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            texts = [first_words(t, n) if n else t for t, n in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))], names)
-
-    out = rows.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    rows = marked.join(taken.where("_times > 0").drop("_n"), name)
+    return rows.select(*names, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
