@@ -502,6 +502,65 @@ def test_terms_that_disclose(spark):
     assert "Zorblaxian" not in clean[0] and "[EMAIL]" in clean[0] and "[TERM]" in clean[0] and clean[100] == dict(rows)[100]
 
 
+def test_terms_beside_their_entity(spark):
+    """Names that always stand right beside an address, short and non-Latin ones too, in different texts; near copies
+    of one text, however many, are no support."""
+    rng = np.random.RandomState(2)
+    common = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(400)]
+    filler = lambda n: " ".join(rng.choice(common, n))
+    rows = [(i, f"{filler(30)} From: Jon Doe Жук <jd{1}@mail.example.org> wrote: {filler(30)}") for i in range(5)]
+    copied = f"{filler(60)} uniqueword stands by other@mail.example.org {filler(60)}".split()
+    for i in range(60):
+        own = list(copied)
+        own[rng.randint(0, 40)] = rng.choice(common)
+        rows.append((100 + i, " ".join(own)))
+    rows += [(1000 + i, f"{filler(40)} From: wrote: {filler(10)}") for i in range(300)]
+    found = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows[:5]:
+        assert {text[int(a) : int(b)] for k, a, b in (x.split(":") for x in found[i].split(",")) if k == "term"} == {"Jon", "Doe", "Жук"}
+    assert not any("term" in found[i] for i, _ in rows[5:])
+
+
+def disclosed_by_force(rows, threshold=pii.DISCLOSURE, support=pii.SUPPORT, coverage=pii.COVERAGE):
+    """Terms of each row that disclose one of its entities; copies are rows that agree in a part of their sketches."""
+    own = [(i, t, pii.base_spans(t)) for i, t in rows]
+    terms = [{m[0].lower() for m in pii._outside(t, s)} for _, t, s in own]
+    entities = [set(pii.entities_of(t, s)) for _, t, s in own]
+    words = [{w.lower() for w in re.findall(r"[^\W\d_]{2,}", t)} for _, t in rows]
+    sketches = [set(pii.sketch_of(t, s)) if s else set() for _, t, s in own]
+    out = [set() for _ in rows]
+    for e in set().union(*entities):
+        at = [k for k in range(len(rows)) if e in entities[k]]
+        place = reachable(at, [(a, b) for a in at for b in at if a < b and sketches[a] & sketches[b]])
+        for t in set().union(*(terms[k] for k in at)):
+            both = [k for k in at if t in terms[k]]
+            df = max(sum(t in w for w in words), len(both))
+            reveals = len(rows) > len(at) and 1 - math.log(df / len(both)) / math.log(len(rows) / len(at)) >= threshold
+            if len({place[k] for k in both}) >= support and len(both) >= coverage * len(at) and reveals:
+                for k in both:
+                    out[k].add(t)
+    return out
+
+
+def test_terms_by_brute_force(spark):
+    """Also where rows repeat: each counts in every frequency."""
+    rng = np.random.RandomState(9)
+    names = ["Anna", "Bo", "Cleo", "Dmitri", "Эва"]
+    rows = []
+    for i in range(400):
+        words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in rng.randint(0, 300, 40)]
+        k = rng.randint(0, 12)
+        if k < 5:
+            words[10:10] = [names[k]] * (rng.rand() < 0.9) + [f"p{k}@mail.example.com"]
+        elif k < 7:
+            words[20:20] = [names[k - 5], f"+1 555 123 45{k}0"]
+        rows.append((i, " ".join(words)))
+    rows += [rows[0]] * 18 + [rows[7]] * 3
+    want = disclosed_by_force(rows)
+    found = Counter((r["doc_id"], r["spans"]) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert any(want) and found == Counter((i, pii.spelled(pii.term_spans(t, pii.base_spans(t), w))) for (i, t), w in zip(rows, want, strict=True))
+
+
 # ---- tokens
 
 
