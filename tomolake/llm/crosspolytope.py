@@ -136,10 +136,9 @@ def best(ids: np.ndarray, rows: np.ndarray, rough: np.ndarray, query: np.ndarray
 
 def _audit(rows: DataFrame, queries: np.ndarray, ids: np.ndarray, turns: Tables, k: int) -> int:
     """Fewest probes at which the share of the sample queries' true nearest that a table meets is RECALL."""
-    axes = [turns.axes_of(queries, t) for t in range(turns.tables)]
-    tops = [turns.nearest_sums(a, MOST_PROBES) for a in axes]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        axes = [turns.axes_of(queries, t) for t in range(turns.tables)]
         for batch in batches:
             own, x = batch.column(0).to_numpy(), matrix(batch.column(1))
             rough = queries @ x.T if len(own) else np.zeros((len(queries), 0))
@@ -147,22 +146,29 @@ def _audit(rows: DataFrame, queries: np.ndarray, ids: np.ndarray, turns: Tables,
             for q in range(len(queries) if len(own) else 0):
                 rough[q][own == ids[q]] = -np.inf
                 found, score = best(own, x, rough[q], queries[q], k)
-                if len(found):
-                    at = np.flatnonzero(np.isin(own, found))
-                    sums = [turns.sums(axes[t][q : q + 1], turns.buckets(x[at], t))[0] for t in range(turns.tables)]
-                    probe = np.min([np.searchsorted(-tops[t][q], -s - 1e-9) for t, s in enumerate(sums)], axis=0)
-                    first = {}
-                    for i, p in sorted(zip(own[at].tolist(), probe.tolist(), strict=True), reverse=True):
-                        first[i] = p
-                    out += [(q, i, s, first[i]) for i, s in zip(found.tolist(), score.tolist(), strict=True)]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+                at = np.flatnonzero(np.isin(own, found))
+                at = at[np.lexsort((own[at], -rough[q][at]))]
+                at = at[np.unique(own[at], return_index=True)[1]]  # the best row of each id, by id
+                sums = np.column_stack([turns.sums(axes[t][q : q + 1], turns.buckets(x[at], t))[0] for t in range(turns.tables)])
+                place = np.searchsorted(own[at], found)
+                out += zip([q] * len(found), found.tolist(), score.tolist(), sums[place].tolist(), strict=True)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["q", "id", "score", "probe"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["q", "id", "score", "sums"])
 
-    found = rows.mapInArrow(scan, "q long, id long, score double, probe long")
+    found = rows.mapInArrow(scan, "q long, id long, score double, sums array<double>")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
-    probes = np.sort([r["probe"] for r in found.withColumn("r", rank).where(F.col("r") <= k).select("probe").collect()])
-    return int(probes[int(np.ceil(RECALL * len(probes))) - 1]) + 1 if len(probes) else 1
+    met = found.withColumn("r", rank).where(F.col("r") <= k).select("q", "sums").collect()
+    if not met:
+        return 1
+    which, sums = np.array([r["q"] for r in met]), np.array([r["sums"] for r in met])
+    probes = np.full(len(met), MOST_PROBES)
+    for t in range(turns.tables):
+        tops = turns.nearest_sums(turns.axes_of(queries, t), MOST_PROBES)
+        for q in range(len(queries)):
+            own = np.flatnonzero(which == q)
+            probes[own] = np.minimum(probes[own], np.searchsorted(-tops[q], -sums[own, t] - 1e-9))
+    return int(np.sort(probes)[int(np.ceil(RECALL * len(probes))) - 1]) + 1
 
 
 class Part:
