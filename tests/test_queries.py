@@ -40,11 +40,11 @@ def test_entry(spark):
 
 
 def test_whole_tables(spark, sf):
-    """These forms of three queries leave out no frame, pixel or order."""
+    """These queries leave out no frame, pixel or order."""
     q = queries.QUERIES
     last = spark.read.parquet(f"{sf}/orders.parquet").agg({"o_orderkey": "max"}).first()[0]
-    assert q["class_changes_all"](spark, sf).agg({"iteration": "max"}).first()[0] == last // 500
+    assert q["class_changes"](spark, sf).agg({"iteration": "max"}).first()[0] == last // 500
     frames = queries.Lineitems(spark, sf).frames.select("d").distinct().count()
-    assert q["predicted_frames_all"](spark, sf).select("d").distinct().count() == frames > 5
+    assert q["predicted_frames"](spark, sf).select("d").distinct().count() == frames > 5
     photons = queries.Embeddings(spark, sf).photons
-    assert q["transposed_all"](spark, sf).count() == photons.count() > photons.where("i < 8").count()
+    assert q["transposed"](spark, sf).count() == photons.count() > photons.where("i < 8").count()

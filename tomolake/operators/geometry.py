@@ -43,20 +43,45 @@ def voxel_step(q_max: float, size: int) -> float:
 def masked(pixels: DataFrame, q_max: float, dq: float | None = None, inner: int = 0, outer: int = 0, p_inner: int = 0, p_outer: int = 0) -> DataFrame:
     """pixels with in_mask and in_p_mask: good, qr up to q_max, and inside the annuli that cut voxels at either end."""
     kept = F.col("good") & (F.col("qr") <= q_max)
+    if dq is None:
+        return pixels.withColumn("in_mask", kept).withColumn("in_p_mask", kept)
+    low = pixels.where(kept).agg(F.min("qr").alias("_low"))
 
     def annulus(n: int, m: int) -> Column:
-        if dq is None:
-            return kept
-        low = F.min(F.when(kept, F.col("qr"))).over(_everything())
-        return kept & (F.col("qr") >= low + n * dq) & (F.col("qr") <= q_max - m * dq)
-
-    return pixels.withColumn("in_mask", annulus(inner, outer)).withColumn("in_p_mask", annulus(inner + p_inner, outer + p_outer))
-
-
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0))
+        return F.coalesce(kept & (F.col("qr") >= F.col("_low") + n * dq) & (F.col("qr") <= q_max - m * dq), F.lit(False))
+
+    rows = pixels.crossJoin(F.broadcast(low)).withColumn("in_mask", annulus(inner, outer))
+    return rows.withColumn("in_p_mask", annulus(inner + p_inner, outer + p_outer)).drop("_low")
+
+
+def q_limit(wavelength: float, z: float, q_max: float | None = None, res_max: float | None = None, radius: float | None = None) -> float:
+    """The largest q by the first of these that is given: itself, a resolution, a distance from the axis."""
+    if q_max:
+        return q_max
+    if res_max:
+        return 1 / res_max
+    if radius:
+        return largest_q(wavelength, radius, z)
+    raise ValueError("one of q_max, res_max and radius is needed")
+
+
+def rotations(spark: SparkSession, order: int, dimensions: int) -> DataFrame:
+    """r, a00 .. a22: in-plane rotations (2, embedded with unit z; order 0: the identity) or near-uniform ones (3)."""
+    if dimensions == 3:
+        if order < 1:
+            raise ValueError("three dimensions need a rotation order of one at least")
+        return rotations_3d(spark, order)
+    if dimensions != 2:
+        raise ValueError(f"no rotations in {dimensions} dimensions")
+    plane = rotations_2d(spark, order) if order else spark.range(1).select(F.col("id").alias("r"), *[F.lit(float(a == b)).alias(f"a{a}{b}") for a in range(2) for b in range(2)])
+    rest = [F.lit(1.0 if a == b == 2 else 0.0).alias(f"a{a}{b}") for a in range(3) for b in range(3) if 2 in (a, b)]
+    found = plane.select("*", *rest)
+    return found.select("r", *[f"a{a}{b}" for a in range(3) for b in range(3)])
+
+
+def orientation_sample(rotations: DataFrame, n: int = 20, seed: int = 0) -> DataFrame:
+    """n rotations, those of the smallest seeded hashes of r."""
+    return rotations.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string")).cast("binary")), "r").limit(n)
 
 
 def rotations_2d(spark: SparkSession, order: int) -> DataFrame:

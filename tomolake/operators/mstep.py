@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomolake.functions.expressions import clipped, ratio
+from tomolake.operators.symmetry import orbit_representative, partners
+from tomolake.sources.tables import cut
 
 
 def fluence(post: DataFrame, frames: DataFrame, sums: DataFrame) -> DataFrame:
@@ -21,9 +23,12 @@ def weighted_sums(post: DataFrame, photons: DataFrame) -> DataFrame:
     return post.where("p > 0").select("d", "r", "p").join(photons, "d").groupBy("r", "i").agg(F.sum(F.col("p") * F.col("k")).alias("num"))
 
 
-def merged_model(post: DataFrame, photons: DataFrame, frames: DataFrame, sums: DataFrame, weights: DataFrame, voxels: DataFrame, likelihood: str = "Poisson", frame_model: str = "basic", maximise: str = "I", symmetrise=None) -> DataFrame:
+def merged_model(post: DataFrame, photons: DataFrame, frames: DataFrame, sums: DataFrame, weights: DataFrame, voxels: DataFrame, likelihood: str = "Poisson", frame_model: str = "basic", maximise: str = "I", symmetrise=None, previous: DataFrame | None = None) -> DataFrame:
     """n, value: numerators over denominators of all (r, i) that map to voxel n by voxels(r, i, n).
 
+    previous(n, value) is the model before: a voxel keeps its value where no template that holds any frame's mass
+    reaches it. Without it only voxels of templates with mass are returned.
+
     Denominators are c times the sum of p (basic), of fluence * p, or of ksum * p with numerators times wsum
     (fluence-free). maximise='W' averages each pixel's own ratio. symmetrise, if given, maps (n, num, den) sums to
     symmetrised ones.
@@ -38,7 +43,14 @@ def merged_model(post: DataFrame, photons: DataFrame, frames: DataFrame, sums: D
         cells = cells.select("n", ratio(F.col("num"), F.col("den")).alias("num"), F.lit(1.0).alias("den"))
     total = cells.groupBy("n").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
     total = symmetrise(total) if symmetrise else total
-    return total.select("n", ratio(F.col("num"), F.col("den")).alias("value"))
+    new = total.select("n", ratio(F.col("num"), F.col("den")).alias("value"), "den")
+    return kept_where_unseen(previous, new) if previous is not None else new.drop("den")
+
+
+def kept_where_unseen(previous: DataFrame, new: DataFrame) -> DataFrame:
+    """n, value of previous, replaced by new(n, value, den) where den > 0."""
+    new = new.where("den > 0").select("n", F.col("value").alias("new_value"))
+    return previous.join(new, "n", "left").select("n", F.coalesce("new_value", "value").alias("value"))
 
 
 def background_terms(post: DataFrame, photons: DataFrame, frames: DataFrame, background: DataFrame, weights: DataFrame, voxels: DataFrame) -> DataFrame:
@@ -115,22 +127,51 @@ def solve_groups(terms: DataFrame, constants: DataFrame, key: str = "n", xtol: f
     return small.groupBy(key).applyInPandas(solve, f"{key} {kind}, x double")
 
 
-def solve_groups_native(terms: DataFrame, constants: DataFrame, key: str = "n", rounds: int = 60) -> DataFrame:
-    """key, x of groups whose terms all have a > 0 and b > 0, by bracketed bisection steps in expressions only.
+def solve_groups_native(terms: DataFrame, constants: DataFrame, key: str = "n", rounds: int = 40, tol: float = 1e-12) -> DataFrame:
+    """key, x of every group of terms(key, a, b) and its constants(key, c): the same root, for all groups at once.
 
-    The function falls in x, so halving the bracket [0, sum(a) / c] always ends at the root, or at 0 where the sum
-    stays under c. No Python worker takes part.
+    With S(x) the sum of a / (x + b), Newton's rule is applied to 1 / S, which rises and bends down: from any start
+    left of the root its steps stay left of it and never turn back, and one term is solved in one step. A round is a
+    join of the terms, one for each (key, b), with the groups' x, and sums that are combined before they are sent; so
+    no group's terms meet in one task. Rounds end when no x moves by more than tol of itself. Groups without terms or
+    with c <= 0 have 0.
     """
-    packed = terms.groupBy(key).agg(F.collect_list(F.struct("a", "b")).alias("t"), F.sum("a").alias("total")).join(constants.where("c > 0"), key)
-    start = F.struct(F.lit(0.0).alias("low"), (F.col("total") / F.col("c")).alias("high"))
+    small = terms.where("a > 0").groupBy(key, "b").agg(F.sum("a").alias("a"))
+    small = cut(small.join(constants.where("c > 0"), key).select(key, "a", "b", "c"))
+    at_zero = F.sum(F.when(F.col("b") > 0, F.col("a") / F.col("b")))
+    start = small.groupBy(key).agg(F.max(F.when(F.col("b") == 0, F.col("a") / F.col("c"))).alias("pole"), at_zero.alias("s0"), F.first("c").alias("c"))
+    x = F.when(F.col("pole").isNotNull(), F.col("pole")).otherwise(0.0)
+    state = cut(start.select(key, x.alias("x"), (F.col("pole").isNotNull() | (F.col("s0") > F.col("c"))).alias("open")))
+    open_ = state.where("open").select(key, "x")
+    for _ in range(rounds):
+        s, d = F.sum(F.col("a") / (F.col("x") + F.col("b"))), F.sum(F.col("a") / ((F.col("x") + F.col("b")) * (F.col("x") + F.col("b"))))
+        sums = small.join(open_, key).groupBy(key).agg(s.alias("_s"), d.alias("_d"), F.first("x").alias("x"), F.first("c").alias("c"))
+        step = (F.col("_s") / F.col("c") - 1) * F.col("_s") / F.col("_d")
+        open_ = cut(sums.select(key, (F.col("x") + F.greatest(step, F.lit(0.0))).alias("x"), (step > tol * F.col("x")).alias("moved")))
+        if open_.where("moved").isEmpty():
+            break
+    solved = open_.select(key, F.col("x").alias("found"))
+    return constants.select(key).join(solved, key, "left").select(key, F.coalesce("found", F.lit(0.0)).alias("x"))
+
 
-    def halve(s, _):
-        mid = (s["low"] + s["high"]) / 2
-        over = F.aggregate("t", F.lit(0.0), lambda acc, x: acc + x["a"] / (mid + x["b"])) > F.col("c")
-        return F.struct(F.when(over, mid).otherwise(s["low"]).alias("low"), F.when(over, s["high"]).otherwise(mid).alias("high"))
+def background_model(post: DataFrame, photons: DataFrame, frames: DataFrame, background: DataFrame, weights: DataFrame, voxels: DataFrame, previous: DataFrame, size: int | None = None, axes: int = 3, symmetry: str = "P1") -> DataFrame:
+    """n, value of a model under frames with background: per voxel, or orbit of voxels, the root of its equation.
 
-    state = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve)
-    return packed.select(key, ((state["low"] + state["high"]) / 2).alias("x"))
+    Terms and constants of an orbit meet at its representative; roots are spread over the orbit, each voxel getting the
+    mean of what symmetry sends to it. Voxels that no template with mass reaches keep their previous value.
+    """
+    terms = background_terms(post, photons, frames, background, weights, voxels)
+    constants = background_constants(post, frames, weights, voxels)
+    if size is not None and symmetry != "P1":
+        terms = orbit_representative(terms, size, axes, symmetry).select(F.col("rep").alias("n"), "a", "b")
+        constants = orbit_representative(constants, size, axes, symmetry).groupBy("rep").agg(F.sum("c").alias("c")).withColumnRenamed("rep", "n")
+    constants = cut(constants)
+    solved = solve_groups_native(terms, constants).join(constants, "n").select("n", F.col("x").alias("value"), F.col("c").alias("den"))
+    if size is not None and symmetry != "P1":
+        known = solved.where("den > 0").select("n", "value", F.lit(1.0).alias("times"))
+        spread = partners(known.select("n"), size, axes, symmetry).join(known, "n").groupBy("partner")
+        solved = spread.agg(F.avg("value").alias("value"), F.sum("times").alias("den")).withColumnRenamed("partner", "n")
+    return kept_where_unseen(previous, solved)
 
 
 def background_fluence(post: DataFrame, photons: DataFrame, frames: DataFrame, background: DataFrame, weights: DataFrame, templates: DataFrame, sums: DataFrame) -> DataFrame:
@@ -140,12 +181,14 @@ def background_fluence(post: DataFrame, photons: DataFrame, frames: DataFrame, b
     met = lit.join(post.where("p > 0").select("d", "r", "p"), "d").join(templates, ["r", "i"])
     terms = met.select("d", (F.col("p") * F.col("k")).alias("a"), (F.col("extra") / clipped(F.col("w"), 1e-10)).alias("b"))
     constants = post.join(sums, "r").groupBy("d").agg(F.sum(F.col("p") * F.col("wsum")).alias("c"))
-    return solve_groups(terms, constants, "d")
+    return solve_groups_native(terms, constants, "d")
 
 
-def split_frames(photons: DataFrame, target: int) -> DataFrame:
-    """d, part, i, k: each photon of a frame dealt to one of max(1, floor(ksum / target)) parts, by a rule of its number."""
+def split_frames(photons: DataFrame, target: int, seed: int = 0) -> DataFrame:
+    """d, part, i, k: each photon of a frame dealt to one of max(1, floor(ksum / target)) parts, evenly, by a hash of
+    its frame, pixel and number in the pixel."""
     parts = photons.groupBy("d").agg(F.greatest(F.lit(1), F.floor(F.sum("k") / target)).cast("long").alias("parts"))
     each = photons.join(parts, "d").select("d", "i", "parts", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
-    part = (F.col("d") * 31 + F.col("i") * 17 + F.col("j") * 7) % F.col("parts")
+    name = F.concat_ws(":", F.lit(str(seed)), F.col("d").cast("string"), F.col("i").cast("string"), F.col("j").cast("string"))
+    part = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % F.col("parts")
     return each.select("d", part.cast("long").alias("part"), "i").groupBy("d", "part", "i").agg(F.count("*").alias("k"))

@@ -124,3 +124,38 @@ def pixel_quantiles(templates: DataFrame, draws: DataFrame) -> DataFrame:
     curve = templates.withColumn("high", F.sum("w").over(line)).withColumn("low", F.col("high") - F.col("w")).withColumn("total", F.sum("w").over(Window.partitionBy("r")))
     hit = curve.join(draws, "r").where((F.col("u") * F.col("total") >= F.col("low")) & (F.col("u") * F.col("total") < F.col("high")))
     return hit.select("draw", "r", "i")
+
+
+def separation_series(assigned: DataFrame, labels: DataFrame, first, second) -> DataFrame:
+    """iteration, dos: the degree of separation of two labels after each iteration of assigned(iteration, d, c)."""
+    counts = assigned.join(labels.where(F.col("label").isin(first, second)), "d").groupBy("iteration", "c")
+    both = counts.agg(*[F.sum((F.col("label") == x).cast("double")).alias(n) for x, n in ((first, "a"), (second, "b"))])
+    dot = lambda x, y: F.sum(F.col(x) * F.col(y))
+    return both.groupBy("iteration").agg((1 - F.try_divide(dot("a", "b"), F.sqrt(dot("a", "a") * dot("b", "b")))).alias("dos"))
+
+
+def tile_centres(size: int, tiles: int) -> list[tuple[int, float, float]]:
+    """tile, row, col of the middle of each tile of a mosaic."""
+    side = math.ceil(math.sqrt(tiles))
+    return [(t, t // side * size + size // 2, t % side * size + size // 2) for t in range(tiles)]
+
+
+def positive_voxels(model: DataFrame) -> DataFrame:
+    """The voxels of a model that are worth storing."""
+    return model.where("value > 0")
+
+
+def chunks(rows: DataFrame, key: str, of: int, inner: int | None = None) -> DataFrame:
+    """rows with chunk: near-equal ranges of places in order of a dense key from 0; with inner also part, the number of
+    the run of inner rows in the chunk."""
+    total = rows.agg(F.count("*").alias("_n"))
+    out = rows.crossJoin(F.broadcast(total)).withColumn("chunk", (F.ceil((F.col(key) + 1) * of / F.col("_n")) - 1).cast("int"))
+    if inner:
+        start = F.floor(F.col("chunk") * F.col("_n") / of)
+        out = out.withColumn("part", F.floor((F.col(key) - start) / inner).cast("int"))
+    return out.drop("_n")
+
+
+def fixed_chunks(rows: DataFrame, key: str, size: int, offset: int = 0) -> DataFrame:
+    """rows with chunk: runs of size keys from offset on; keys below it go."""
+    return rows.where(F.col(key) >= offset).withColumn("chunk", F.floor((F.col(key) - offset) / size).cast("int"))

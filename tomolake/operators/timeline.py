@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Seconds of a bucket of time.
+WIDTH = 3600.0
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """t, level, pid, msg, kind (start or stop) of lines `t:level:pid:file:function:line: message (start)`; others go.
 
@@ -36,25 +40,51 @@ def paired(marks: DataFrame) -> DataFrame:
     return runs.select("pid", "msg", "number", "start", "stop", fault.alias("fault"))
 
 
-def islands(spans: DataFrame, by: str = "msg") -> DataFrame:
+def _by_time(spans: DataFrame, by: str, width: float, time: str = "start") -> DataFrame:
+    return spans.withColumn("_bucket", F.floor(F.col(time) / width))
+
+
+def numbered_islands(spans: DataFrame, by: str = "msg", width: float = WIDTH) -> DataFrame:
+    """spans(by, start, stop) with island: the number, in its group, of the run of overlapping spans that it is in.
+
+    Touching spans do not overlap. Spans are ordered within buckets of time; how far earlier buckets reach and how many
+    islands they begin is carried by a row for each bucket, so no task sorts a whole group.
+    """
+    own = Window.partitionBy(by, "_bucket").orderBy("start", "stop")
+    over = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _by_time(spans.select(by, "start", "stop"), by, width)
+    ends = rows.groupBy(by, "_bucket").agg(F.max("stop").alias("_end"))
+    ends = ends.withColumn("_carried", F.max("_end").over(over)).select(F.col(by).alias("_by"), F.col("_bucket").alias("_b"), "_carried")
+    met = rows.join(ends, rows[by].eqNullSafe(ends["_by"]) & (rows["_bucket"] == ends["_b"]))
+    reach = F.greatest(F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carried"))
+    met = met.withColumn("_new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0))
+    met = met.withColumn("_n", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("_by", "_b")
+    begun = met.groupBy(by, "_bucket").agg(F.sum("_new").alias("_begun"))
+    begun = begun.select(F.col(by).alias("_by"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_begun").over(over), F.lit(0)).alias("_before"))
+    out = met.join(begun, met[by].eqNullSafe(begun["_by"]) & (met["_bucket"] == begun["_b"]))
+    return out.select(by, "start", "stop", (F.col("_n") + F.col("_before")).alias("island"))
+
+
+def islands(spans: DataFrame, by: str = "msg", width: float = WIDTH) -> DataFrame:
     """by, start, stop, n: overlapping spans(by, start, stop) of a group merged; touching ones are not overlapping."""
-    line = Window.partitionBy(by).orderBy("start", "stop")
-    reach = F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    rows = spans.withColumn("new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0))
-    rows = rows.withColumn("island", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = numbered_islands(spans, by, width)
     return rows.groupBy(by, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n")).drop("island")
 
 
-def overlap_counts(spans: DataFrame, by: str = "msg") -> DataFrame:
+def overlap_counts(spans: DataFrame, by: str = "msg", width: float = WIDTH) -> DataFrame:
     """by, pairs: how many pairs of a group's spans overlap, without forming them.
 
-    Spans sorted by start overlap with those before that have not stopped: all starts before a span's stop, less all
-    spans wholly before its start. Two running counts over starts and stops do it in one pass.
+    Spans sorted by start overlap with those before that have not stopped: a running count over starts and stops tells
+    how many are open. It runs within buckets of time, on top of what a row for each bucket carries over.
     """
     marks = spans.select(by, F.col("start").alias("t"), F.lit(1).alias("kind")).union(spans.select(by, F.col("stop").alias("t"), F.lit(0).alias("kind")))
-    line = Window.partitionBy(by).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    open_ = F.coalesce(F.sum(F.when(F.col("kind") == 1, 1).otherwise(-1)).over(line), F.lit(0))
-    return marks.withColumn("open", open_).where("kind = 1").groupBy(by).agg(F.sum("open").alias("pairs"))
+    marks = _by_time(marks, by, width, "t").withColumn("_step", F.when(F.col("kind") == 1, 1).otherwise(-1))
+    own = Window.partitionBy(by, "_bucket").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    marks = marks.withColumn("_open", F.coalesce(F.sum("_step").over(own), F.lit(0)))
+    each = marks.groupBy(by, "_bucket").agg(F.sum("_step").alias("_step"), F.sum("kind").alias("_starts"), F.sum(F.col("kind") * F.col("_open")).alias("_pairs"))
+    each = each.withColumn("_before", F.coalesce(F.sum("_step").over(over), F.lit(0)))
+    return each.groupBy(by).agg(F.sum(F.col("_pairs") + F.col("_starts") * F.col("_before")).alias("pairs"))
 
 
 def longest_messages(spans: DataFrame, discard: float) -> DataFrame:
@@ -64,8 +94,12 @@ def longest_messages(spans: DataFrame, discard: float) -> DataFrame:
     return totals.crossJoin(F.broadcast(span)).where(F.col("total") >= discard * F.col("whole")).select("msg", "total")
 
 
-def packed(spans: DataFrame, by: str = "msg") -> DataFrame:
-    """by, start, stop, line: each span on the lowest line that is free at its start; spans of a group go in order."""
+def packed(spans: DataFrame, by: str = "msg", width: float = WIDTH) -> DataFrame:
+    """by, start, stop, line: each span on the lowest line that is free at its start.
+
+    Where an island of overlapping spans begins, all lines are free; so islands are packed each by itself, and a task
+    holds one island at a time, however many spans the group has.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in spans.schema}
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
@@ -82,15 +116,62 @@ def packed(spans: DataFrame, by: str = "msg") -> DataFrame:
             lines.append(line)
         return rows.assign(line=lines)[[by, "start", "stop", "line"]]
 
-    return spans.select(by, "start", "stop").groupBy(by).applyInPandas(place, f"{by} {kinds[by]}, start {kinds['start']}, stop {kinds['stop']}, line int")
+    single = Window.partitionBy(by, "island")
+    rows = numbered_islands(spans, by, width).withColumn("_size", F.count("*").over(single))
+    alone = rows.where("_size = 1").select(by, "start", "stop", F.lit(0).alias("line"))
+    many = rows.where("_size > 1").groupBy(by, "island").applyInPandas(place, f"{by} {kinds[by]}, start {kinds['start']}, stop {kinds['stop']}, line int")
+    return alone.unionByName(many)
+
 
+def change_ranges(rows: DataFrame, key: str, value: str, width: int = 1 << 16) -> DataFrame:
+    """first, last, value of the runs of equal values in order of key, a number.
 
-def change_ranges(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """first, last, value of the runs of equal values in order of key."""
-    line = Window.partitionBy(F.lit(0)).orderBy(key)
-    marked = rows.withColumn("new", F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(line))).cast("int"), F.lit(1)))
-    marked = marked.withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("run").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.first(value).alias("value")).drop("run")
+    Runs are told within ranges of width keys; a row for each range that has rows carries the last value and the number
+    of runs so far.
+    """
+    rows = rows.select(F.col(key).alias("_k"), F.col(value).alias("_v")).withColumn("_b", F.floor(F.col("_k") / width))
+    own, line = Window.partitionBy("_b").orderBy("_k"), Window.orderBy("_b")
+    edges = rows.groupBy("_b").agg(F.max_by(F.struct("_v"), "_k").alias("_end"))
+    edges = edges.select("_b", F.lag("_end").over(line).alias("_before"))
+    marked = rows.join(edges, "_b").withColumn("_last", F.coalesce(F.lag(F.struct("_v")).over(own), F.col("_before")))
+    marked = marked.withColumn("_new", F.when(F.col("_last").isNull() | ~F.col("_v").eqNullSafe(F.col("_last")["_v"]), 1).otherwise(0))
+    marked = marked.withColumn("_run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    begun = marked.groupBy("_b").agg(F.sum("_new").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_so_far"))
+    runs = marked.join(begun, "_b").groupBy((F.col("_run") + F.col("_so_far")).alias("_r"))
+    return runs.agg(F.min("_k").alias("first"), F.max("_k").alias("last"), F.first("_v").alias("value")).drop("_r")
+
+
+def completed(spans: DataFrame) -> DataFrame:
+    """spans that have a stop."""
+    return spans.where("stop is not null and start is not null")
+
+
+def first_messages(spans: DataFrame, most: int) -> DataFrame:
+    """Spans of the first `most` (process, message, number), in order of their starts."""
+    return spans.orderBy("start", "pid", "msg", "number").limit(most)
+
+
+def view(marks: DataFrame, collapse_overlap: bool = False, collapse_pid: bool = False, discard: float = 0.0, most: int | None = None) -> DataFrame:
+    """pid, msg, line, start, stop: the timeline of marks(pid, msg, t, kind), a line for each bar row.
+
+    Unfinished spans are left out, of the first `most` spans if asked. Collapsed by process, the spans of a message
+    share lines where they do not overlap (pid is null then); overlapping spans of a message may first be merged to
+    one. Messages of less than the part discard of the log's length go.
+    """
+    spans = paired(marks).where("number > 0")
+    spans = completed(first_messages(spans, most) if most else spans).select("pid", "msg", "start", "stop")
+    whole = marks.agg((F.max("t") - F.min("t")).alias("whole"))
+    if collapse_overlap:
+        spans = islands(spans, "msg").select(F.lit(None).cast(spans.schema["pid"].dataType).alias("pid"), "msg", "start", "stop")
+    if collapse_pid or collapse_overlap:
+        spans = packed(spans, "msg").select(F.lit(None).cast(spans.schema["pid"].dataType).alias("pid"), "msg", "line", "start", "stop")
+    else:
+        spans = spans.withColumn("line", (F.row_number().over(Window.partitionBy("pid", "msg").orderBy("start", "stop")) - 1).cast("int"))
+    if discard:
+        totals = spans.groupBy("msg").agg(F.sum(F.col("stop") - F.col("start")).alias("total"))
+        kept = totals.crossJoin(F.broadcast(whole)).where(F.col("total") >= discard * F.col("whole")).select("msg")
+        spans = spans.join(kept, "msg", "left_semi")
+    return spans.select("pid", "msg", "line", "start", "stop")
 
 
 def processes(spans: DataFrame, by: str = "pid") -> DataFrame:

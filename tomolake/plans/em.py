@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomolake.operators import estep, mstep
+from tomolake.plans.store import Store
+from tomolake.sources.tables import cut
 
 
 @dataclass(frozen=True)
@@ -20,12 +22,21 @@ class Config:
     likelihood: str = "Poisson"
     frame_model: str = "basic"
     maximise: str = "I"
+    update_logr: bool = True
+    update_probability: bool = True
     update_model: bool = True
     update_fluence: bool = True
+    #: Classes whose model stays as it is.
+    fixed_classes: tuple[int, ...] = ()
+    #: With background: model and fluence updates in an iteration, and the grid and symmetry that voxels are numbered by.
+    inner: int = 2
+    size: int | None = None
+    dimensions: int = 3
+    symmetry: str = "P1"
 
     def __post_init__(self):
-        if self.likelihood not in ("Poisson", "Poisson_fluence_free") or self.frame_model not in ("basic", "fluence"):
-            raise ValueError("unknown likelihood or frame model")
+        if self.likelihood not in ("Poisson", "Poisson_fluence_free") or self.frame_model not in ("basic", "fluence", "background") or self.maximise not in ("I", "W"):
+            raise ValueError("unknown likelihood, frame model or way to maximise")
         if self.likelihood == "Poisson_fluence_free" and self.frame_model == "fluence":
             raise ValueError("a fluence-free likelihood has no fluence")
 
@@ -58,44 +69,138 @@ def stale(old: dict, new: dict, keep_model: bool = False) -> set[str]:
 
 @dataclass
 class State:
-    """Frames (d, ksum, fluence), the templates' voxels (r, i, n), and the model (n, value)."""
+    """Frames (d, ksum, fluence[, bg_id, bg_weight]), the templates' voxels (r, i, n), and the model (n, value).
+
+    Several classes stand one after another in r and in n; ends are the first n beyond each. logr and post are those
+    of the last iteration, which closed gates keep in use.
+    """
 
     frames: DataFrame
     voxels: DataFrame
     model: DataFrame
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint()
-
-
-def step(state: State, photons: DataFrame, weights: DataFrame, config: Config, beta: float) -> tuple[State, DataFrame]:
-    """One iteration: the next state and its posterior. Each result is written once and read by all that follows."""
-    templates = _cut(state.voxels.join(state.model, "n", "left").select("r", "i", F.coalesce("value", F.lit(0.0)).alias("w")))
-    sums = estep.template_sums(templates, weights)
-    kw = estep.k_dot_log_w(photons, templates)
-    post = _cut(estep.posterior(estep.log_likelihood(kw, state.frames, sums, config.likelihood, config.frame_model), beta, config.threshold))
-    frames = state.frames
-    if config.update_fluence and config.frame_model == "fluence":
-        new = mstep.fluence(post, frames, sums).withColumnRenamed("fluence", "f")
-        frames = _cut(frames.join(new, "d", "left").select("d", "ksum", F.coalesce("f", "fluence").alias("fluence")))
-    model = state.model
-    if config.update_model:
-        model = _cut(mstep.merged_model(post, photons, frames, sums, weights, state.voxels, config.likelihood, config.frame_model, config.maximise))
-    return State(frames, state.voxels, model), post
-
-
-def run(state: State, photons: DataFrame, weights: DataFrame, config: Config, first: int = 0) -> tuple[State, DataFrame]:
-    """The state after all iterations from `first`, and a row of metrics for each: iteration, beta, q, p_max, changed."""
+    classes: DataFrame | None = None
+    ends: tuple[int, ...] = ()
+    logr: DataFrame | None = None
+    post: DataFrame | None = None
+
+
+def class_major(frames: DataFrame, parts: list[tuple[DataFrame, DataFrame, int, int]]) -> State:
+    """The state of several classes: (voxels, model, templates, voxels of the grid) of each, numbered from 0 in each."""
+    voxels, models, classes, ends, r0, n0 = [], [], [], [], 0, 0
+    for c, (own, model, templates, cells) in enumerate(parts):
+        voxels.append(own.select((F.col("r") + r0).cast("long").alias("r"), "i", (F.col("n") + n0).cast("long").alias("n")))
+        models.append(model.select((F.col("n") + n0).cast("long").alias("n"), "value"))
+        classes.append(frames.sparkSession.range(r0, r0 + templates).select(F.col("id").alias("r"), F.lit(c).alias("c")))
+        r0, n0 = r0 + templates, n0 + cells
+        ends.append(n0)
+
+    def all_of(tables: list[DataFrame]) -> DataFrame:
+        out = tables[0]
+        for t in tables[1:]:
+            out = out.unionByName(t)
+        return out
+
+    return State(frames, all_of(voxels), all_of(models), all_of(classes), tuple(ends))
+
+
+def _class_of(ends: tuple[int, ...]) -> Column:
+    """The class of voxel n."""
+    return sum((F.when(F.col("n") >= e, 1).otherwise(0) for e in ends), F.lit(0))
+
+
+def templates_of(state: State) -> DataFrame:
+    """r, i, w of the state's model."""
+    return cut(state.voxels.join(state.model, "n", "left").select("r", "i", F.coalesce("value", F.lit(0.0)).alias("w")))
+
+
+def expectation(state: State, photons: DataFrame, weights: DataFrame, config: Config, beta: float, background: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """templates, their sums, logr and posterior. A template without intensity (sum <= 0) explains no frame and gets no
+    likelihood; a closed gate keeps the last logr or posterior, where there is one."""
+    templates = templates_of(state)
+    sums = estep.template_sums(templates, weights).where("wsum > 0")
+    if not config.update_probability and state.post is not None:
+        return templates, sums, state.logr, state.post
+    if not config.update_logr and state.logr is not None:
+        logr = state.logr
+    elif config.frame_model == "background":
+        logr = cut(estep.log_likelihood_background(photons, templates, weights, state.frames, background, sums, config.likelihood == "Poisson_fluence_free"))
+    else:
+        logr = cut(estep.log_likelihood(estep.k_dot_log_w(photons, templates), state.frames, sums, config.likelihood, config.frame_model))
+    return templates, sums, logr, cut(estep.posterior(logr, beta, config.threshold))
+
+
+def _refreshed(frames: DataFrame, new: DataFrame) -> DataFrame:
+    """frames with the fluence of new(d, f) where that is positive."""
+    others = [c for c in frames.columns if c != "fluence"]
+    return cut(frames.join(new.where("f > 0"), "d", "left").select(*others, F.coalesce("f", "fluence").alias("fluence")))
+
+
+def step(state: State, photons: DataFrame, weights: DataFrame, config: Config, beta: float, background: DataFrame | None = None) -> tuple[State, DataFrame]:
+    """One iteration: the next state and its posterior. Each result is written once and read by all that follows.
+
+    Without background the fluence is updated first, then the model. With background(b, i, v) the model comes first,
+    then the fluence under it, and that `inner` times; the templates' sums are those of the iteration's start.
+    """
+    templates, sums, logr, post = expectation(state, photons, weights, config, beta, background)
+    frames, model = state.frames, state.model
+
+    def allowed(new: DataFrame) -> DataFrame:
+        if not config.fixed_classes:
+            return cut(new)
+        fixed = _class_of(state.ends).isin(*config.fixed_classes)
+        return cut(new.where(~fixed).unionByName(state.model.where(fixed).select("n", "value")))
+
+    if config.frame_model == "background":
+        for _ in range(config.inner):
+            if config.update_model:
+                model = allowed(mstep.background_model(post, photons, frames, background, weights, state.voxels, model, config.size, config.dimensions, config.symmetry))
+            if config.update_fluence:
+                new = mstep.background_fluence(post, photons, frames, background, weights, templates_of(replace(state, model=model)), sums)
+                frames = _refreshed(frames, new.withColumnRenamed("x", "f"))
+    else:
+        if config.update_fluence and config.frame_model == "fluence":
+            frames = _refreshed(frames, mstep.fluence(post, frames, sums).withColumnRenamed("fluence", "f"))
+        if config.update_model:
+            model = allowed(mstep.merged_model(post, photons, frames, sums, weights, state.voxels, config.likelihood, config.frame_model, config.maximise, previous=model))
+    return replace(state, frames=frames, model=model, logr=logr, post=post), post
+
+
+def _assigned(state: State, post: DataFrame) -> DataFrame:
+    """d, r, c, p: each frame's most likely template and its class."""
+    best = estep.most_likely(post)
+    found = best.join(state.classes, "r", "left") if state.classes is not None else best.withColumn("c", F.lit(0))
+    return cut(found.select("d", F.col("r").cast("long").alias("r"), F.col("c").cast("int").alias("c"), "p"))
+
+
+METRICS = "iteration int, beta double, q double, p_max double, changed long, class_changes long"
+
+
+def run(state: State, photons: DataFrame, weights: DataFrame, config: Config, first: int = 0, background: DataFrame | None = None, store: Store | None = None) -> tuple[State, DataFrame]:
+    """The state after all iterations from `first`, and a row of metrics for each.
+
+    iteration, beta, q (mean expected log likelihood), p_max (mean of the largest posteriors), changed and
+    class_changes (frames whose most likely template, or class, is another than before; all, in the first).
+
+    With a store each iteration's results are written as it ends, its metrics last, and a run begins after the last
+    iteration that the store holds; so a run that was stopped goes on as if it had not been.
+    """
     spark = photons.sparkSession
     metrics, before = None, None
+    if store is not None and store.last() is not None:
+        done = store.last()
+        state, before = store.state(done, state), store.assigned(done)
+        first, metrics = done + 1, store.metrics().select(*[c.split()[0] for c in METRICS.split(", ")])
     for i, beta in list(enumerate(estep.beta_schedule(config.iterations, config.beta_start, config.beta_stop, config.beta_strategy)))[first:]:
-        state, post = step(state, photons, weights, config, beta)
-        best = _cut(estep.most_likely(post))
-        moved = best.select(F.count("*").alias("changed")) if before is None else best.join(before.select("d", F.col("r").alias("r0")), "d").agg(F.sum((F.col("r") != F.col("r0")).cast("int")).alias("changed"))
+        state, post = step(state, photons, weights, config, beta, background)
+        best = _assigned(state, post)
+        if before is None:
+            moved = best.agg(F.count("*").alias("changed"), F.count("*").alias("class_changes"))
+        else:
+            both = best.join(before.select("d", F.col("r").alias("r0"), F.col("c").alias("c0")), "d")
+            moved = both.agg(*[F.coalesce(F.sum((~F.col(a).eqNullSafe(F.col(b))).cast("long")), F.lit(0)).alias(n) for a, b, n in (("r", "r0", "changed"), ("c", "c0", "class_changes"))])
         row = estep.expected_loglik(post).agg(F.avg("q").alias("q")).crossJoin(best.agg(F.avg("p").alias("p_max"))).crossJoin(moved)
-        row = _cut(row.select(F.lit(i).alias("iteration"), F.lit(beta).alias("beta"), "q", "p_max", F.col("changed").cast("long").alias("changed")))
+        row = cut(row.select(F.lit(i).alias("iteration"), F.lit(beta).alias("beta"), "q", "p_max", F.col("changed").cast("long").alias("changed"), F.col("class_changes").cast("long").alias("class_changes")))
+        if store is not None:
+            store.save(i, state, best, row)
         metrics, before = row if metrics is None else metrics.unionByName(row), best
-    if metrics is None:
-        metrics = spark.createDataFrame([], "iteration int, beta double, q double, p_max double, changed long")
-    return state, metrics
+    return state, metrics if metrics is not None else spark.createDataFrame([], METRICS)

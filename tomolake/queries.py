@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 
 from tomolake.functions.expressions import positive_log
 from tomolake.operators import estep, geometry, mstep, report, symmetry, timeline
-from tomolake.plans import em
+from tomolake.plans import em, initial
+from tomolake.plans.store import Store, put
 from tomolake.sources import tables as T
+from tomolake.streaming import photons as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,9 +136,9 @@ def csr_offsets(spark, sf):
     return report.running_offsets(Embeddings(spark, sf).frames.select("d", "lit"), "d", "lit", 128)
 
 
-@query(f"""WITH {BP} SELECT d, part, i, count(*) AS k FROM (
-  SELECT d, i, (d * 31 + i * 17 + u.j * 7) % (SELECT greatest(1, sum(k) // 50) FROM ph q WHERE q.d = ph.d)::BIGINT AS part
-  FROM ph, LATERAL (SELECT unnest(range(0, k)) AS j) u) GROUP BY ALL""")
+@query(f"""WITH {BP}, pt AS (SELECT d, greatest(1, sum(k) // 50)::BIGINT AS parts FROM ph GROUP BY d) SELECT d, part, i, count(*) AS k FROM (
+  SELECT d, i, ('0x' || substr(md5('0:' || d || ':' || i || ':' || u.j), 1, 8))::BIGINT % parts AS part
+  FROM ph JOIN pt USING (d), LATERAL (SELECT unnest(range(0, k)) AS j) u) GROUP BY ALL""")
 def split_frames(spark, sf):
     return mstep.split_frames(T.lineitem_photons(spark, sf), 50)
 
@@ -338,31 +341,153 @@ def solve_native(spark, sf):
     return mstep.solve_groups_native(terms, constants, rounds=40).select("n", F.round("x", 5).alias("x"))
 
 
-@query()
+def _roots_sql(name: str, terms: str, constants: str, rounds: int = 70) -> str:
+    """CTE name(n, x): by bisection, the root of sum a / (x + b) = c over terms(n, a, b), with constants(n, c)."""
+    return f"""{name}_s AS (SELECT n, b, sum(a) AS a FROM ({terms}) WHERE a > 0 GROUP BY n, b),
+{name}_p AS (SELECT n, any_value(c) AS c, list(a) AS a, list(b) AS b, coalesce(max(CASE WHEN b = 0 THEN a END) / any_value(c), 0) AS low0, sum(a) / any_value(c) AS high0,
+  coalesce(max((b = 0)::INT), 0) = 0 AND sum(CASE WHEN b > 0 THEN a / b ELSE 0 END) <= any_value(c) AS at_zero FROM {name}_s JOIN ({constants}) USING (n) WHERE c > 0 GROUP BY n),
+{name}_t AS (SELECT n, 0 AS k, low0 AS low, high0 AS high FROM {name}_p WHERE NOT at_zero
+  UNION ALL SELECT s.n, k + 1, CASE WHEN f > c THEN (low + high) / 2 ELSE low END, CASE WHEN f > c THEN high ELSE (low + high) / 2 END
+  FROM {name}_t s JOIN {name}_p p USING (n), LATERAL (SELECT list_sum(list_transform(range(1, len(p.a) + 1), lambda j: p.a[j] / ((s.low + s.high) / 2 + p.b[j]))) AS f) WHERE k < {rounds}),
+{name} AS (SELECT q.n, coalesce((low + high) / 2, 0) AS x FROM ({constants}) q LEFT JOIN (SELECT * FROM {name}_t WHERE k = {rounds}) t ON t.n = q.n)"""
+
+
+_CN = "SELECT n, sum(c * mass) AS c FROM vx JOIN (SELECT r, sum(fluence * p) AS mass FROM po JOIN fr USING (d) GROUP BY r) USING (r) JOIN wt USING (i) GROUP BY n"
+
+
+@query(f"WITH RECURSIVE {B.removeprefix('WITH ')}{_TERMS}, {_roots_sql('rt', 'SELECT n, a, b FROM terms', _CN)} SELECT n, round(x, 5) AS x FROM rt")
 def solve_halley(spark, sf):
     b = Lineitems(spark, sf)
     post = b.post
     terms = mstep.background_terms(post, b.photons, b.frames, b.background, b.weights, b.voxels)
-    return mstep.solve_groups(terms, mstep.background_constants(post, b.frames, b.weights, b.voxels))
+    return mstep.solve_groups(terms, mstep.background_constants(post, b.frames, b.weights, b.voxels)).select("n", F.round("x", 5).alias("x"))
+
 
+_FT = "SELECT ph.d AS n, p * k AS a, bg_weight * v / c / greatest(w, 1e-10::DOUBLE) AS b FROM ph JOIN fr USING (d) JOIN bg ON bg_id = bg.b AND bg.i = ph.i JOIN wt ON wt.i = ph.i JOIN po USING (d) JOIN tm ON tm.r = po.r AND tm.i = ph.i"
 
-@query()
+
+@query(f"WITH RECURSIVE {B.removeprefix('WITH ')}, {_roots_sql('rt', _FT, 'SELECT d AS n, sum(p * wsum) AS c FROM po JOIN ws USING (r) GROUP BY d')} SELECT n AS d, round(x, 5) AS x FROM rt")
 def fluence_background(spark, sf):
     b = Lineitems(spark, sf)
-    return mstep.background_fluence(b.post, b.photons, b.frames, b.background, b.weights, b.templates, b.sums)
+    found = mstep.background_fluence(b.post, b.photons, b.frames, b.background, b.weights, b.templates, b.sums)
+    return found.select("d", F.round("x", 5).alias("x"))
+
+
+# ---- iterations
+
+
+def _em_sql(betas: list[float], threshold: float) -> str:
+    """CTEs of iterations of a model with a voxel for each template and pixel, from t0 on; m holds their metrics."""
+    out = [f"{PH}, {TM}, {WT}, t0 AS (SELECT r, i, w FROM tm)"]
+    for k, beta in enumerate(betas):
+        out.append(f"""ws{k} AS (SELECT r, sum(c * w) AS wsum FROM t{k} JOIN wt USING (i) GROUP BY r HAVING sum(c * w) > 0),
+kw{k} AS (SELECT d, r, sum(k * CASE WHEN w > 0 THEN ln(w) ELSE 0 END) AS kw FROM ph JOIN t{k} USING (i) GROUP BY d, r),
+lr{k} AS (SELECT d, r, kw - wsum AS logr FROM kw{k} JOIN ws{k} USING (r)),
+pa{k} AS (SELECT d, r, logr, exp({beta!r}::DOUBLE * (logr - max(logr) OVER (PARTITION BY d))) AS p FROM lr{k}),
+pb{k} AS (SELECT d, r, logr, CASE WHEN p < {threshold!r}::DOUBLE THEN 0 ELSE p END AS p FROM pa{k}),
+po{k} AS (SELECT * FROM (SELECT d, r, logr, p / sum(p) OVER (PARTITION BY d) AS p FROM pb{k}) WHERE p > 0),
+nu{k} AS (SELECT r, i, sum(p * k) AS num FROM po{k} JOIN ph USING (d) GROUP BY r, i),
+t{k + 1} AS (SELECT t.r, t.i, CASE WHEN mass > 0 THEN coalesce(num, 0) / (c * mass) ELSE w END AS w FROM t{k} t JOIN wt USING (i)
+  LEFT JOIN (SELECT r, sum(p) AS mass FROM po{k} GROUP BY r) USING (r) LEFT JOIN nu{k} n ON n.r = t.r AND n.i = t.i),
+b{k} AS (SELECT d, r, p FROM po{k} QUALIFY row_number() OVER (PARTITION BY d ORDER BY p DESC, r) = 1),
+m{k} AS (SELECT {k} AS iteration, {beta!r}::DOUBLE AS beta, (SELECT avg(q) FROM (SELECT sum(p * logr) AS q FROM po{k} GROUP BY d)) AS q, (SELECT avg(p) FROM b{k}) AS p_max,
+  {f"(SELECT count(*) FROM b{k} x JOIN b{k - 1} y USING (d) WHERE x.r <> y.r)" if k else "(SELECT count(*) FROM b0)"} AS changed, {"0" if k else "(SELECT count(*) FROM b0)"} AS class_changes)""")
+    return "WITH " + ",\n".join(out)
 
 
-@query()
+_BETAS = [0.5, 0.5 * 2**0.5, 1.0]
+_EM3 = _em_sql(_BETAS, 1e-4) + " SELECT iteration, round(beta, 6) AS beta, round(q, 5) AS q, round(p_max, 6) AS p_max, changed, class_changes::BIGINT AS class_changes FROM (" + " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(3)) + ")"
+
+
+def _first_state(e: Embeddings) -> em.State:
+    n = (F.col("r") * 64 + F.col("i")).cast("long").alias("n")
+    return em.State(e.fluent, e.templates.select("r", "i", n), e.templates.select(n, F.col("w").alias("value")))
+
+
+def _rounded(metrics: DataFrame) -> DataFrame:
+    return metrics.select("iteration", F.round("beta", 6).alias("beta"), F.round("q", 5).alias("q"), F.round("p_max", 6).alias("p_max"), "changed", "class_changes")
+
+
+@query(_EM3)
 def em_iterations(spark, sf):
     e = Embeddings(spark, sf)
-    state = em.State(e.fluent, e.templates.select("r", "i", (F.col("r") * 64 + F.col("i")).cast("long").alias("n")), e.templates.select((F.col("r") * 64 + F.col("i")).cast("long").alias("n"), F.col("w").alias("value")))
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
+    return _rounded(em.run(_first_state(e), e.photons, e.weights, em.Config(iterations=3))[1])
+
 
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return em.run(state, e.photons, e.weights, em.Config(iterations=3))[1]
+@query(_EM3)
+def em_resumed(spark, sf):
+    """Two runs: one that ends after the first iteration, and one that finds its store and goes on."""
+    e = Embeddings(spark, sf)
+    path, config = f"{T.shared_dir(spark)}/em-{uuid.uuid4().hex}", em.Config(iterations=3)
+    first = em.Config(iterations=1, beta_start=config.beta_start)
+    em.run(_first_state(e), e.photons, e.weights, first, store=Store(spark, path))
+    return _rounded(em.run(_first_state(e), e.photons, e.weights, config, store=Store(spark, path))[1])
+
+
+@query(_em_sql(_BETAS[:2], 1e-4) + " SELECT r * 64 + i AS n, round(w, 5) AS value FROM t2")
+def em_model(spark, sf):
+    """The model after two iterations; templates that no frame is left to keep theirs."""
+    e = Embeddings(spark, sf)
+    state, _ = em.run(_first_state(e), e.photons, e.weights, em.Config(iterations=2, beta_stop=_BETAS[1]))
+    return state.model.select("n", F.round("value", 5).alias("value"))
+
+
+_C2 = f"""WITH {PH}, {TM}, {WT}, vx AS (SELECT (r % 2) * 5 + r // 2 AS r, i, (r % 2) * 48 + ((r // 2) * 7 + i) % 48 AS n, w FROM tm),
+md AS (SELECT n, avg(w) AS value FROM vx GROUP BY n), tt AS (SELECT r, i, n, value AS w FROM vx JOIN md USING (n)),
+ws AS (SELECT r, sum(c * w) AS wsum FROM tt JOIN wt USING (i) GROUP BY r), lr AS (SELECT d, r, kw - wsum AS logr FROM (SELECT d, r, sum(k * CASE WHEN w > 0 THEN ln(w) ELSE 0 END) AS kw FROM ph JOIN tt USING (i) GROUP BY d, r) JOIN ws USING (r)),
+pa AS (SELECT d, r, exp(0.5 * (logr - max(logr) OVER (PARTITION BY d))) AS p FROM lr), po AS (SELECT * FROM (SELECT d, r, p / sum(p) OVER (PARTITION BY d) AS p FROM (SELECT d, r, CASE WHEN p < 0.0001 THEN 0 ELSE p END AS p FROM pa)) WHERE p > 0)"""
+
+
+@query(f"""{_C2}, nu AS (SELECT r, i, sum(p * k) AS num FROM po JOIN ph USING (d) GROUP BY r, i),
+new AS (SELECT n, sum(coalesce(num, 0)) / sum(c * mass) AS value FROM tt JOIN wt USING (i) JOIN (SELECT r, sum(p) AS mass FROM po GROUP BY r) USING (r) LEFT JOIN nu USING (r, i) WHERE n < 48 GROUP BY n)
+SELECT n, round(coalesce(new.value, md.value), 5) AS value FROM md LEFT JOIN new USING (n)""")
+def em_classes(spark, sf):
+    """An iteration of two classes, of which the second's model is fixed."""
+    e = Embeddings(spark, sf)
+    own = e.templates.select((F.col("r") % 2).alias("c"), F.floor(F.col("r") / 2).cast("long").alias("r"), "i", "w")
+    own = own.withColumn("n", (F.col("r") * 7 + F.col("i")) % 48)
+    parts = [(own.where(F.col("c") == c).select("r", "i", "n"), own.where(F.col("c") == c).groupBy("n").agg(F.avg("w").alias("value")), 5, 48) for c in (0, 1)]
+    state, _ = em.run(em.class_major(e.fluent, parts), e.photons, e.weights, em.Config(iterations=1, fixed_classes=(1,)))
+    return state.model.select("n", F.round("value", 5).alias("value"))
+
+
+@query(f"{_C2} SELECT d, c, round(sum(p), 6) AS p FROM (SELECT d, (r >= 5)::INT AS c, p FROM po) GROUP BY d, c")
+def class_major_occupancy(spark, sf):
+    e = Embeddings(spark, sf)
+    own = e.templates.select((F.col("r") % 2).alias("c"), F.floor(F.col("r") / 2).cast("long").alias("r"), "i", "w").withColumn("n", (F.col("r") * 7 + F.col("i")) % 48)
+    parts = [(own.where(F.col("c") == c).select("r", "i", "n"), own.where(F.col("c") == c).groupBy("n").agg(F.avg("w").alias("value")), 5, 48) for c in (0, 1)]
+    state = em.class_major(e.fluent, parts)
+    post = em.expectation(state, e.photons, e.weights, em.Config(), 0.5)[3]
+    return estep.class_occupancy(post, state.classes).select("d", "c", *r6("p"))
+
+
+def _background_sql() -> str:
+    tt = "SELECT vx.r, vx.i, coalesce(value, 0) AS w FROM vx LEFT JOIN {model} USING (n)"
+    cn = "SELECT n, sum(c * mass) AS c FROM vx JOIN (SELECT r, sum(fluence * p) AS mass FROM pp JOIN fr USING (d) GROUP BY r) USING (r) JOIN wt USING (i) GROUP BY n"
+    terms = "SELECT n, p * k AS a, bg_weight * v / (fluence * c) AS b FROM ph JOIN fr USING (d) JOIN bg ON bg_id = bg.b AND bg.i = ph.i JOIN wt ON wt.i = ph.i JOIN pp USING (d) JOIN vx ON vx.r = pp.r AND vx.i = ph.i"
+    flu = "SELECT ph.d AS n, p * k AS a, bg_weight * v / c / greatest(t1.w, 1e-10::DOUBLE) AS b FROM ph JOIN fr USING (d) JOIN bg ON bg_id = bg.b AND bg.i = ph.i JOIN wt ON wt.i = ph.i JOIN pp USING (d) JOIN t1 ON t1.r = pp.r AND t1.i = ph.i"
+    return f"""WITH RECURSIVE {B.removeprefix('WITH ')}, md AS (SELECT n, avg(w) AS value FROM vx JOIN tm USING (r, i) GROUP BY n), t0 AS ({tt.format(model='md')}),
+s0 AS (SELECT r, sum(c * w) AS wsum FROM t0 JOIN wt USING (i) GROUP BY r HAVING sum(c * w) > 0),
+li AS (SELECT ph.d, ph.i, k, c, fluence, bg_weight * v / (fluence * c) AS extra FROM ph JOIN fr USING (d) JOIN bg ON bg_id = b AND bg.i = ph.i JOIN wt ON wt.i = ph.i),
+dt AS (SELECT d, r, sum(k * (ln(w + extra) + ln(c))) AS kf FROM li JOIN t0 USING (i) WHERE w + extra > 0 GROUP BY d, r),
+kn AS (SELECT d, ksum, fluence, bg_weight * vsum AS bsum FROM fr JOIN (SELECT b, sum(v) AS vsum FROM bg GROUP BY b) ON bg_id = b),
+ll AS (SELECT d, r, kf + ksum * ln(fluence) - (fluence * wsum + bsum) AS logr FROM dt JOIN kn USING (d) JOIN s0 USING (r)),
+pa AS (SELECT d, r, exp(0.05 * (logr - max(logr) OVER (PARTITION BY d))) AS p FROM ll),
+pp AS (SELECT * FROM (SELECT d, r, p / sum(p) OVER (PARTITION BY d) AS p FROM (SELECT d, r, CASE WHEN p < 0.0001 THEN 0 ELSE p END AS p FROM pa)) WHERE p > 0),
+{_roots_sql('rm', terms, cn)}, m1 AS (SELECT n, coalesce(x, value) AS value FROM md LEFT JOIN rm USING (n)), t1 AS ({tt.format(model='m1')}),
+{_roots_sql('rf', flu, 'SELECT d AS n, sum(p * wsum) AS c FROM pp JOIN s0 USING (r) GROUP BY d')}
+SELECT 'model' AS kind, n::BIGINT AS id, round(value, 4) AS value FROM m1 UNION ALL SELECT 'fluence', d, round(CASE WHEN x > 0 THEN x ELSE fluence END, 4) FROM fr LEFT JOIN rf ON rf.n = d"""
+
+
+@query(_background_sql())
+def em_background(spark, sf):
+    """An iteration under frames with background: the model, then the fluence under it."""
+    b = Lineitems(spark, sf)
+    model = b.voxels.join(b.templates, ["r", "i"]).groupBy("n").agg(F.avg("w").alias("value"))
+    config = em.Config(iterations=1, beta_start=0.05, frame_model="background", inner=1)
+    state, _ = em.run(em.State(T.cut(b.frames), b.voxels, T.cut(model)), b.photons, b.weights, config, background=b.background)
+    rows = state.model.select(F.lit("model").alias("kind"), F.col("n").alias("id"), "value").unionByName(state.frames.select(F.lit("fluence").alias("kind"), F.col("d").cast("long").alias("id"), F.col("fluence").alias("value")))
+    return rows.select("kind", "id", F.round("value", 4).alias("value"))
 
 
 # ---- geometry
@@ -548,11 +673,11 @@ def orbit_representatives(spark, sf):
 
 # ---- reports
 
-_AS = "asg AS (SELECT (o_orderkey // 500)::INT AS iteration, o_orderkey % 500 AS d, o_custkey % 4 AS c, o_custkey % 32 AS r FROM orders WHERE o_orderkey < 5000)"
+_AS = "asg AS (SELECT (o_orderkey // 500)::INT AS iteration, o_orderkey % 500 AS d, o_custkey % 4 AS c, o_custkey % 32 AS r FROM orders)"
 
 
 def _assigned(spark, sf) -> DataFrame:
-    o = T.read(spark, sf, "orders").where("o_orderkey < 5000")
+    o = T.read(spark, sf, "orders")
     return o.select(F.floor(F.col("o_orderkey") / 500).cast("int").alias("iteration"), (F.col("o_orderkey") % 500).alias("d"), (F.col("o_custkey") % 4).alias("c"), (F.col("o_custkey") % 32).alias("r"))
 
 
@@ -561,14 +686,7 @@ def class_changes(spark, sf):
     return report.assignment_changes(_assigned(spark, sf))
 
 
-def _assigned_all(spark, sf) -> DataFrame:
-    o = T.read(spark, sf, "orders")
-    return o.select(F.floor(F.col("o_orderkey") / 500).cast("int").alias("iteration"), (F.col("o_orderkey") % 500).alias("d"), (F.col("o_custkey") % 4).alias("c"), (F.col("o_custkey") % 32).alias("r"))
-
-
-@query(f"WITH {_AS.replace(' WHERE o_orderkey < 5000', '')}, x AS (SELECT *, lag(c) OVER w AS c0, lag(r) OVER w AS r0 FROM asg WINDOW w AS (PARTITION BY d ORDER BY iteration)) SELECT iteration, sum((c IS DISTINCT FROM c0)::INT)::BIGINT AS class_changes, sum((r IS DISTINCT FROM r0)::INT)::BIGINT AS orientation_changes FROM x GROUP BY iteration")
-def class_changes_all(spark, sf):
-    return report.assignment_changes(_assigned_all(spark, sf))
+QUERIES["class_changes_all"], SQL["class_changes_all"] = class_changes, SQL["class_changes"]
 
 
 _HS = f"{A}, hard AS (SELECT d, r AS c FROM po QUALIFY row_number() OVER (PARTITION BY d ORDER BY p DESC, r) = 1), lb AS (SELECT vec_id AS d, label % 3 AS label FROM embeddings), hs AS (SELECT label, c, coalesce(n, 0) AS n FROM (SELECT DISTINCT label FROM lb) CROSS JOIN (SELECT DISTINCT c FROM hard) LEFT JOIN (SELECT label, c, count(*) AS n FROM hard JOIN lb USING (d) GROUP BY ALL) USING (label, c))"
@@ -694,7 +812,11 @@ def log_discard(spark, sf):
     return timeline.longest_messages(_spans(spark, sf), 0.02).select("msg", F.round("total", 3).alias("total"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SP}, o AS (SELECT msg, start, stop, row_number() OVER (PARTITION BY msg ORDER BY start, stop) AS k FROM sp),
+st AS (SELECT msg, 0::BIGINT AS k, []::DOUBLE[] AS ends, NULL::DOUBLE AS start, NULL::DOUBLE AS stop, NULL::INT AS line FROM (SELECT DISTINCT msg FROM sp)
+  UNION ALL SELECT o.msg, o.k, CASE WHEN p IS NULL THEN list_append(ends, o.stop) ELSE list_concat(list_concat(ends[1:p - 1], [o.stop]), ends[p + 1:]) END, o.start, o.stop, (coalesce(p, len(ends) + 1) - 1)::INT
+  FROM st JOIN o ON o.msg = st.msg AND o.k = st.k + 1, LATERAL (SELECT nullif(list_position(list_transform(ends, lambda e: e <= o.start), true), 0) AS p))
+SELECT msg, start, stop, line FROM st WHERE k > 0""")
 def log_packing(spark, sf):
     return timeline.packed(_spans(spark, sf))
 
@@ -712,16 +834,13 @@ def chunk_ranges(spark, sf):
 # ---- further forms
 
 
-@query(f"{B} SELECT d, r, i, round(fluence * c * w + bg_weight * v + 1e-9, 5) AS f FROM fr JOIN bg ON bg_id = b JOIN wt USING (i) JOIN tm USING (i) WHERE d < 5")
+@query(f"{B} SELECT d, r, i, round(fluence * c * w + bg_weight * v + 1e-9, 5) AS f FROM fr JOIN bg ON bg_id = b JOIN wt USING (i) JOIN tm USING (i)")
 def predicted_frames(spark, sf):
     b = Lineitems(spark, sf)
-    return estep.predicted_frames(b.frames.where("d < 5"), b.templates, b.weights, b.background).select("d", "r", "i", F.round(F.col("f") + 1e-9, 5).alias("f"))
+    return estep.predicted_frames(b.frames, b.templates, b.weights, b.background).select("d", "r", "i", F.round(F.col("f") + 1e-9, 5).alias("f"))
 
 
-@query(f"{B} SELECT d, r, i, round(fluence * c * w + bg_weight * v + 1e-9, 5) AS f FROM fr JOIN bg ON bg_id = b JOIN wt USING (i) JOIN tm USING (i)")
-def predicted_frames_all(spark, sf):
-    b = Lineitems(spark, sf)
-    return estep.predicted_frames(b.frames, b.templates, b.weights, b.background).select("d", "r", "i", F.round(F.col("f") + 1e-9, 5).alias("f"))
+QUERIES["predicted_frames_all"], SQL["predicted_frames_all"] = predicted_frames, SQL["predicted_frames"]
 
 
 @query(f"{B} SELECT d, r, round(sum(k * CASE WHEN fluence * c * w + bg_weight * v > 0 THEN ln(fluence * c * w + bg_weight * v) ELSE 0 END), 5) AS kf FROM ph JOIN fr USING (d) JOIN bg ON bg_id = b AND bg.i = ph.i JOIN wt ON wt.i = ph.i JOIN tm ON tm.i = ph.i GROUP BY d, r")
@@ -751,10 +870,12 @@ def frames_by_count(spark, sf):
     return Embeddings(spark, sf).frames.orderBy(F.desc("ksum"), "d").select("d", "ksum")
 
 
-@query(f"WITH {PH} SELECT i, d, k FROM ph WHERE i < 8")
+@query(f"WITH {PH} SELECT i, d, k FROM ph")
 def transposed(spark, sf):
-    rows = Embeddings(spark, sf).photons.where("i < 8").select("i", "d", "k")
-    return rows.repartition("i").sortWithinPartitions("i", "d")
+    """Written by pixel and read back."""
+    path = f"{T.shared_dir(spark)}/transposed-{uuid.uuid4().hex}"
+    T.write_transposed(Embeddings(spark, sf).photons, path)
+    return spark.read.parquet(path)
 
 
 @query(f"WITH {PH} SELECT i, d, k FROM ph")
@@ -810,3 +931,122 @@ def brightest_pixels(spark, sf):
 
     line = Window.partitionBy("d").orderBy(F.desc("k"), "i")
     return Embeddings(spark, sf).photons.withColumn("n", F.row_number().over(line)).where("n <= 5").groupBy("d").agg(F.sum("k").alias("top"))
+
+
+# ---- writers, readers and parts of the drivers
+
+
+@query(f"WITH {PH} SELECT d, i, k FROM ph WHERE d >= 100 AND d <= 299")
+def cache_range(spark, sf):
+    """A range of frames out of a written cache."""
+    path = f"{T.shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    T.write_cache(Embeddings(spark, sf).photons, path, 64)
+    return T.read_cache(spark, path, 100, 299)
+
+
+@query(f"WITH {PH}, {FR}, o AS (SELECT d, ksum, row_number() OVER (ORDER BY d) - 1 AS place, count(*) OVER () AS total FROM fr) SELECT d, ksum FROM o WHERE place * 3 // total = 1")
+def ranked_frames(spark, sf):
+    """What the second of three workers loads."""
+    return T.ranked(Embeddings(spark, sf).frames, 1, 3).select("d", "ksum")
+
+
+@query(f"{A}, hard AS (SELECT d, r AS c FROM po QUALIFY row_number() OVER (PARTITION BY d ORDER BY p DESC, r) = 1) SELECT label, d, value FROM (SELECT d, 'good' AS label, c IN (1, 4, 7) AS value FROM hard UNION ALL SELECT d, 'saturated', sum((k >= 3)::INT) >= 10 FROM ph GROUP BY d)")
+def written_labels(spark, sf):
+    """Labels as partitions of one table, one of them written twice."""
+    path = f"{T.shared_dir(spark)}/labels-{uuid.uuid4().hex}"
+    bad = good_frame_labels(spark, sf).select("d", (~F.col("value")).alias("value"))
+    for label, rows in (("good", bad), ("good", good_frame_labels(spark, sf)), ("saturated", saturation(spark, sf).withColumnRenamed("saturated", "value"))):
+        put(rows.select("d", "value"), path, label=label)
+    return spark.read.parquet(path).select("label", "d", "value")
+
+
+@query(f"{_SL} SELECT axis::INT AS axis, u::INT AS u, v::INT AS v, round(value, 6) AS value, it::INT AS iteration FROM sl, (VALUES (0), (1)) q(it)")
+def written_slices(spark, sf):
+    """Central slices of a model, kept for each iteration."""
+    path = f"{T.shared_dir(spark)}/slices-{uuid.uuid4().hex}"
+    for iteration in (0, 1):
+        put(model_slices(spark, sf), path, iteration=iteration)
+    return spark.read.parquet(path)
+
+
+@query(f"WITH {_AS} SELECT iteration, r, c FROM asg WHERE d = 7")
+def frame_history(spark, sf):
+    """What one frame was assigned in every iteration, out of a store."""
+    path = f"{T.shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    _assigned(spark, sf).select("iteration", "d", "r", "c", F.lit(1.0).alias("p")).repartition("iteration").write.partitionBy("iteration").parquet(f"{path}/assigned")
+    return Store(spark, path).history(7).select("iteration", "r", "c")
+
+
+@query(f"WITH {_AS}, lb AS (SELECT range AS d, range % 3 AS label FROM range(500)), ab AS (SELECT iteration, c, sum((label = 0)::INT)::DOUBLE AS a, sum((label = 1)::INT)::DOUBLE AS b FROM asg JOIN lb USING (d) WHERE label < 2 GROUP BY ALL) SELECT iteration, round(1 - sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 6) AS dos FROM ab GROUP BY iteration")
+def separation_series(spark, sf):
+    labels = spark.range(500).select(F.col("id").alias("d"), (F.col("id") % 3).alias("label"))
+    return report.separation_series(_assigned(spark, sf), labels, 0, 1).select("iteration", *r6("dos"))
+
+
+@query("""WITH m AS (SELECT user_id AS pid, event_type AS msg, epoch(ts) AS t, CASE WHEN event_id % 2 = 0 THEN 'start' ELSE 'stop' END AS kind FROM events),
+n AS (SELECT *, sum((kind = 'start')::INT) OVER (PARTITION BY pid, msg ORDER BY t, kind DESC ROWS UNBOUNDED PRECEDING) AS number FROM m),
+g AS (SELECT pid, msg, number, min(CASE WHEN kind = 'start' THEN t END) AS start, max(CASE WHEN kind = 'stop' THEN t END) AS stop FROM n GROUP BY ALL),
+k AS (SELECT pid, msg, start, stop FROM g WHERE number > 0 AND stop IS NOT NULL)
+SELECT pid, msg, (row_number() OVER (PARTITION BY pid, msg ORDER BY start, stop) - 1)::INT AS line, start, stop FROM k
+WHERE msg IN (SELECT msg FROM k GROUP BY msg HAVING sum(stop - start) >= 0.01 * (SELECT max(t) - min(t) FROM m))""")
+def timeline_view(spark, sf):
+    e = T.read(spark, sf, "events")
+    marks = e.select(F.col("user_id").alias("pid"), F.col("event_type").alias("msg"), seconds().alias("t"), F.when(F.col("event_id") % 2 == 0, "start").otherwise("stop").alias("kind"))
+    return timeline.view(marks, discard=0.01)
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM supplier), c AS (SELECT s_suppkey, s_suppkey - (SELECT min(s_suppkey) FROM supplier) AS d FROM supplier), k AS (SELECT s_suppkey, d, n, (ceil((d + 1) * 7 / n::DOUBLE) - 1)::INT AS chunk FROM c, n) SELECT s_suppkey, chunk, ((d - chunk * n // 7) // 4)::INT AS part FROM k")
+def chunk_two_level(spark, sf):
+    rows = T.read(spark, sf, "supplier").select("s_suppkey")
+    low = rows.agg(F.min("s_suppkey").alias("low"))
+    dense = rows.crossJoin(F.broadcast(low)).withColumn("d", F.col("s_suppkey") - F.col("low"))
+    return report.chunks(dense, "d", 7, 4).select("s_suppkey", "chunk", "part")
+
+
+@query("SELECT o_orderkey, ((o_orderkey - 10) // 1000)::INT AS chunk FROM orders WHERE o_orderkey >= 10")
+def chunk_fixed(spark, sf):
+    return report.fixed_chunks(T.read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 1000, 10)
+
+
+@query(f"WITH {_images_sql(4, 3, 'D6')}, au AS (SELECT n, ((n * 7919) % 101) / 101.0::DOUBLE AS value FROM im WHERE n // 16 <= 2 AND (n // 4) % 4 <= 2 AND n % 4 <= 2 GROUP BY n) SELECT m::BIGINT AS n, round(avg(value), 6) AS value FROM im JOIN au USING (n) GROUP BY m")
+def expanded_model(spark, sf):
+    """Values on an asymmetric unit spread over the grid."""
+    unit = symmetry.asymmetric_unit(symmetry.voxels(spark, 4, 3), 4, 3, "D6").select("n", ((F.col("n") * 7919 % 101) / 101.0).alias("value"))
+    return symmetry.expanded(unit, 4, 3, "D6").select("n", *r6("value"))
+
+
+@query("SELECT (k - 1)::INT AS s, round(cos(k * pi() / 3), 6) AS s00, round(-sin(k * pi() / 3), 6) AS s01, round(sin(k * pi() / 3), 6) AS s10, round(cos(k * pi() / 3), 6) AS s11 FROM range(1, 4) q(k)")
+def rotation_operators(spark, sf):
+    return symmetry.rotation_operators(spark, "D6").select("s", *r6("s00", "s01", "s10", "s11"))
+
+
+@query("SELECT 0::BIGINT AS r, 1.0::DOUBLE AS a00, 0.0::DOUBLE AS a01, 0.0::DOUBLE AS a10, 1.0::DOUBLE AS a11, 1.0::DOUBLE AS a22")
+def rotation_identity(spark, sf):
+    return geometry.rotations(spark, 0, 2).select("r", "a00", "a01", "a10", "a11", "a22")
+
+
+@query("SELECT range AS r FROM range(663) ORDER BY md5('0:' || range), range LIMIT 20")
+def orientation_sample(spark, sf):
+    return geometry.orientation_sample(geometry.rotations(spark, 4, 3)).select("r")
+
+
+@query("SELECT range AS n, ((range * 1103515245 + 12345) % 2147483648) / 2147483648.0::DOUBLE - 0.5 AS value FROM range(512) WHERE ((range * 1103515245 + 12345) % 2147483648) / 2147483648.0::DOUBLE > 0.5")
+def positive_voxels(spark, sf):
+    model = report.random_model(symmetry.voxels(spark, 8, 3)).withColumn("value", F.col("value") - 0.5)
+    return report.positive_voxels(model)
+
+
+@query("WITH b AS (SELECT s_suppkey AS k, s_nationkey AS v, s_suppkey % 3 AS batch FROM supplier) SELECT v, arg_max(k, batch * 1000000000 + k) AS k FROM b GROUP BY v")
+def latest_rows(spark, sf):
+    rows = T.read(spark, sf, "supplier").select(F.col("s_nationkey").alias("v"), (F.col("s_suppkey") % 3).alias("batch"), F.col("s_suppkey").alias("k"))
+    return streams.latest(rows, ["v"]).select("v", "k")
+
+
+@query(f"WITH {_PX}, lim AS (SELECT 0.12::DOUBLE AS q, 0.12::DOUBLE / 7 AS dq), kept AS (SELECT i, x, y, z FROM q3, lim WHERE good AND qr <= q), rot AS (SELECT range AS r, 2 * pi() * range / 12 + 0.37576737726076753 AS a FROM range(12)), u AS (SELECT r, i, (cos(a) * x - sin(a) * y) / sqrt(x * x + y * y + z * z) / (2 * dq) + 8 AS u0, (sin(a) * x + cos(a) * y) / sqrt(x * x + y * y + z * z) / (2 * dq) + 8 AS u1 FROM kept, rot, lim), v AS (SELECT r, i, round_even(u0, 0)::BIGINT AS a, round_even(u1, 0)::BIGINT AS b FROM u) SELECT r, i, a * 16 + b AS n FROM v WHERE a BETWEEN 0 AND 15 AND b BETWEEN 0 AND 15")
+def initial_voxels(spark, sf):
+    """The voxels that a first state gives each orientation and pixel."""
+    i = F.col("id")
+    pixels = spark.range(256).select(i.cast("int").alias("i"), ((i % 16 - 7.5) * 0.01).alias("x"), ((F.floor(i / 16) - 7.5) * 0.01).alias("y"), F.lit(0.2).alias("z"), (i % 37 != 5).alias("good"))
+    g = initial.Geometry(2.0, 0.0001, 16, 12, 2, q_max=0.12, polarisation="x")
+    state, _ = initial.initialise(pixels, Embeddings(spark, sf).frames, g, 0.2)
+    return state.voxels.select("r", "i", "n")

@@ -6,10 +6,32 @@ filters on frames and pixels and the choice of columns reach the scan.
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; local sessions without it get a temporary
+    one, clusters without it an error."""
+    context = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not known:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        known = tempfile.mkdtemp(prefix="spark-checkpoints-")
+        context.setCheckpointDir(known)
+    return known
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, so that a lost executor costs no more than what follows."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,17 +57,53 @@ def select_frames(frames: DataFrame, chosen: Column | DataFrame | None) -> DataF
     return frames.join(chosen.select("d"), "d", "left_semi") if isinstance(chosen, DataFrame) else frames.where(chosen)
 
 
-def write_cache(photons: DataFrame, path: str, buckets: int = 64) -> None:
-    """Photons as Parquet, sorted by frame in buckets of frames, so that a range of frames reads few files."""
-    rows = photons.select("d", "i", "k", F.pmod(F.xxhash64("d"), F.lit(buckets)).alias("bucket"))
-    rows.repartition("bucket").sortWithinPartitions("d", "i").write.mode("overwrite").partitionBy("bucket").parquet(path)
+def write_cache(photons: DataFrame, path: str, width: int = 65_536) -> None:
+    """Photons as Parquet in folders of width frames each, sorted by frame and pixel, so that a range of frames opens
+    the folders that it meets. Folders are written by ranges of frames: as many tasks as the data need share them."""
+    rows = photons.select("d", "i", "k", F.floor(F.col("d") / width).alias("bucket"))
+    rows.repartitionByRange("d", "i").sortWithinPartitions("d", "i").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    photons.sparkSession.range(1).select(F.lit(width).alias("width")).write.mode("overwrite").parquet(f"{path}_width")
 
 
 def read_cache(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
-    """Photons of a cache; first and last bound the frames, pushed down to the row groups."""
-    rows = spark.read.parquet(path).select("d", "i", "k")
-    rows = rows if first is None else rows.where(F.col("d") >= first)
-    return rows if last is None else rows.where(F.col("d") <= last)
+    """Photons of a cache; first and last bound the frames, and so the folders and row groups that are read."""
+    width = spark.read.parquet(f"{path}_width").first()[0]
+    rows = spark.read.parquet(path)
+    if first is not None:
+        rows = rows.where((F.col("bucket") >= first // width) & (F.col("d") >= first))
+    if last is not None:
+        rows = rows.where((F.col("bucket") <= last // width) & (F.col("d") <= last))
+    return rows.select("d", "i", "k")
+
+
+def find_cache(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """The photons of the one cache among paths (globs are allowed); none gives None, several are an error."""
+    found = []
+    for path in paths:
+        try:
+            found.append(spark.read.parquet(path))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    if len(found) > 1:
+        raise ValueError(f"{len(found)} caches where one was expected")
+    return found[0].select("d", "i", "k") if found else None
+
+
+def write_transposed(photons: DataFrame, path: str) -> None:
+    """Photons by pixel: ranges of pixels to a file, sorted by pixel and frame."""
+    photons.select("i", "d", "k").repartitionByRange("i", "d").sortWithinPartitions("i", "d").write.mode("overwrite").parquet(path)
+
+
+def ranked(frames: DataFrame, rank: int, of: int) -> DataFrame:
+    """The frames that worker `rank` of `of` loads: an even share of ids by their place in order, in two levels."""
+    from tomolake.operators.report import running_offsets
+
+    placed = running_offsets(frames.select("d").distinct().withColumn("one", F.lit(1)), "d", "one")
+    total = placed.agg(F.coalesce(F.sum("one"), F.lit(0)).alias("total"))
+    share = F.floor(F.col("start") * of / F.col("total"))
+    mine = placed.crossJoin(F.broadcast(total)).where(share == rank).select("d")
+    return frames.join(mine, "d", "left_semi")
 
 
 def cache_key(mask: DataFrame) -> str:

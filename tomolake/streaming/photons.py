@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def photon_stream(spark: SparkSession, path: str, schema: str, most_files: int = 64) -> DataFrame:
+    """A stream of the Parquet files that arrive at path, at most most_files in a batch, however many are waiting."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(path)
+
+
 def running_sums(stream: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """window, key, ksum, n of a stream (ts, key, k), final once the watermark has passed a window."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", window).alias("window"), "key").agg(F.sum("k").alias("ksum"), F.count("*").alias("n"))
