@@ -23,9 +23,11 @@ WITHIN = 0.99
 #: Characters from which on an excess weighs no more by length: the spread of long texts is that of their kinds.
 SPAN = 200
 #: Nats a character above its language that a long text may always be.
-SLACK = 0.5
+SLACK = 0.6
 #: Letters whose evidence the score counts at most.
 EVIDENCE = 40
+#: Texts that are scored together; their different words are scored once.
+TEXTS = 512
 #: Learn from documents whose id hash modulo FOLDS is not HELD.
 FOLDS, HELD = 3, 1
 
@@ -232,7 +234,7 @@ def _predicted(docs: DataFrame, models: Models, keep: list[str]) -> DataFrame:
         return pa.RecordBatch.from_arrays(cols, [*names, "lang_pred", "score", "rejected"])
 
     kinds = ", ".join(f"{n} {source.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
-    return map_batches(source, run, f"{kinds}, lang_pred string, score double, rejected boolean", 1536)
+    return map_batches(source, run, f"{kinds}, lang_pred string, score double, rejected boolean", TEXTS)
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
