@@ -40,7 +40,8 @@ def k_dot_log_w_blocks(photons: DataFrame, templates: DataFrame, pixels: int, fr
 
     Frames and templates are packed to a row each and dealt to blocks; every pair of blocks meets in one task, which
     multiplies them. So D x R sums leave the tasks and not D x R x lit products, a task holds one block of templates
-    (BLOCK_ELEMENTS at most, about) and frames as they come, and nothing passes the driver.
+    (BLOCK_ELEMENTS at most, about) and frames as they come, and nothing passes the driver. A frame is sent once for
+    each block of templates, so those are as large as a task can hold. Pairs of blocks are partitions by number.
     """
     logs = templates.select("r", "i", positive_log(F.col("w")).alias("v"))
     count = logs.agg(F.count_distinct("r")).first()[0]
@@ -50,11 +51,11 @@ def k_dot_log_w_blocks(photons: DataFrame, templates: DataFrame, pixels: int, fr
     def packed(rows: DataFrame, key: str, own: int, others: int, role: int, across) -> DataFrame:
         one = rows.groupBy(key).agg(F.collect_list(F.struct("i", "v")).alias("x")).withColumn("own", F.pmod(F.xxhash64(key), F.lit(own)))
         one = one.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias("other"))
-        return one.select(across(F.col("own"), F.col("other")).alias("cell"), F.lit(role).alias("role"), F.col(key).cast("long").alias("id"), F.col("x.i").alias("i"), F.col("x.v").cast("array<double>").alias("v"))
+        return one.select(across(F.col("own"), F.col("other")).cast("int").alias("cell"), F.lit(role).alias("role"), F.col(key).cast("long").alias("id"), F.col("x.i").alias("i"), F.col("x.v").cast("array<double>").alias("v"))
 
     rows = packed(logs, "r", t_blocks, f_blocks, 0, lambda t, f: t * f_blocks + f)
     frames = packed(photons.select("d", "i", F.col("k").alias("v")), "d", f_blocks, t_blocks, 1, lambda f, t: t * f_blocks + f)
-    met = rows.unionByName(frames).repartition(t_blocks * f_blocks, "cell").sortWithinPartitions("cell", "role")
+    met = rows.unionByName(frames).repartitionById(t_blocks * f_blocks, "cell").sortWithinPartitions("cell", "role")
 
     def dense(batch: pa.RecordBatch) -> np.ndarray:
         out = np.zeros((batch.num_rows, pixels))
