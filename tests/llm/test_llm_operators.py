@@ -357,6 +357,107 @@ def test_toxicity_on_held_out_labels(spark, sf):
     assert sum(a == b for a, b in held) >= 0.9 * len(held)
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    """Scores of the query's learnt model, formed anew from plain calls of the compressor; awkward texts included."""
+    import zstandard
+
+    rng = np.random.RandomState(6)
+    syllables = ["the", "an", "er", "in", "on", "at", "es", "ou"]
+    word = lambda: "".join(rng.choice(syllables, rng.randint(1, 4)))
+    rows, marks = [], []
+    for i in range(300):
+        words = [word() for _ in range(rng.randint(5, 120))]
+        if i % 3 == 0:
+            words[2:2] = ["vile insult of a kind"] * 2
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(i % 3 == 0)))
+    rows += [(1000, None), (1001, ""), (1002, "x"), (1003, "y" * 20_000), (None, "vile insult of a kind"), (5, rows[5][1])]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    packers = []
+    for content in model.dictionaries:
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packers.append(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
+
+    def score(text):
+        text, found = (text or "").encode().lower(), []
+        for a in range(0, len(text), 64):
+            if a == 0 or a + 64 < len(text):
+                w = text[a : a + 128]
+                found.append(min(12, max(-4, len(packers[0].compress(w)) - len(packers[1].compress(w)))))
+        x = [0.0] * 7
+        if found:
+            odds = [model.odds[d + 4] for d in found]
+            top, best = sorted(found, reverse=True), sorted((max(o, 0) for o in odds), reverse=True)
+            x = [top[0], sum(top[:3]) / len(top[:3]), sum(d for d in found if d > model.mark) / len(found), best[0], sum(best[:3]), sum(max(o - 0.5, 0) for o in odds) / len(found) ** 0.5, sum(found) / len(found)]
+        return 1 / (1 + math.exp(-(model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.scale, strict=True)))))
+
+    found = sorted(((r["doc_id"], r["score"], r["predicted"]) for r in toxicity.score(docs, labels).collect()), key=str)
+    want = sorted(((i, score(t), int(score(t) >= 0.5)) for i, t in rows), key=str)
+    assert [f[0] for f in found] == [w[0] for w in want] and all(abs(f[1] - w[1]) < 1e-9 and f[2] == w[2] for f, w in zip(found, want, strict=True))
+    assert np.mean([p == (i % 3 == 0) for i, _, p in found if i is not None and i < 300]) >= 0.95
+
+
+def kneser_ney(texts, order=langid.ORDER):
+    """Interpolated Kneser-Ney by its definition: the probability of a character after a context that begins a word."""
+    words = Counter("".join(c for c in w if c.isalpha()) for t in texts for w in t.lower().split())
+    words.pop("", None)
+    padded = {f"\x01{w}\x01": n for w, n in words.items()}
+    counts = [None] * (order + 1)
+    for n in range(order, 0, -1):
+        own, seen = Counter(), set()
+        for w, times in padded.items():
+            for end in range(1, len(w)):
+                if end + 1 < n:
+                    continue
+                gram = w[end + 1 - n : end + 1]
+                if n == order or end + 1 == n:
+                    own[gram] += times
+                elif (w[end - n], gram) not in seen:
+                    seen.add((w[end - n], gram))
+                    own[gram] += 1
+        counts[n] = own
+    discount = [None] + [(lambda a, b: a / (a + 2 * b) if a and b else 0.5)(sum(c == 1 for c in counts[n].values()), sum(c == 2 for c in counts[n].values())) for n in range(1, order + 1)]
+    return counts, discount
+
+
+def test_language_scores_by_brute_force(spark):
+    """Choices and cross-entropies against the definition of interpolated Kneser-Ney, on odd texts too."""
+    texts = {"aa": ["abra abab baba", "aab bab abba", "abba aba"], "bb": ["cdcd dcd cdd", "ccd dcc dd", "cdc"]}
+    models = langid.Models.join({k: langid.fit(t) for k, t in texts.items()})
+    brute = {k: kneser_ney(t) for k, t in texts.items()}
+    alphabet = len({g for counts, _ in brute.values() for g in counts[1]})
+
+    def nats(lang, text):
+        counts, discount = brute[lang]
+        total, n = 0.0, 0
+        for w in text.lower().split():
+            w = "".join(c for c in w if c.isalpha())
+            if not w:
+                continue
+            w = f"\x01{w}\x01"
+            for end in range(1, len(w)):
+                p = 1 / (alphabet + 1)
+                for k in range(1, min(langid.ORDER, end + 1) + 1):
+                    gram = w[end + 1 - k : end + 1]
+                    after = [c for g, c in counts[k].items() if g[:-1] == gram[:-1]]
+                    if after:
+                        d = discount[k]
+                        p = max(counts[k].get(gram, 0) - d, 0) / sum(after) + min(d * len(after), sum(after)) / sum(after) * p
+                total, n = total - math.log(p), n + 1
+        return total / max(n, 1), n
+
+    odd = ["abab", "cdcd dd", "abcd", "zzz q", "a1b2", "½²³ Ⅷ 12", "", None, "ABBA", "e\u0301a"]
+    entropy, n = models.entropies(odd)
+    for text, own, size in zip(odd, entropy, n, strict=True):
+        for k, lang in enumerate(models.languages):
+            want, m = nats(lang, text or "")
+            assert m == size and abs(own[k] - want) < 1e-5, text
+    rows = [(i, t, k) for k, own in texts.items() for i, t in enumerate(own * 12, 100 * (k == "bb"))] + [(1000 + i, t, None) for i, t in enumerate(odd)]
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [found[1000 + i][0] for i in (0, 1, 8)] == ["aa", "bb", "aa"] and all(found[1000 + i] == ("und", 0.0) for i in (5, 6, 7))
+
+
 def test_language_on_held_out_documents(spark, sf):
     known = {r["doc_id"]: r["lang"] for r in table(spark, sf, "documents").collect()}
     found = queries.op10_langid(spark, sf).collect()
@@ -699,3 +800,51 @@ def test_pipeline(spark, sf):
     found = corpus_pipeline.run(spark, sf).collect()
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     assert found and all(library.decode(list(r["ids"])) == r["decoded"] and len(r["ids"]) == r["n_tokens"] for r in found)
+
+
+def test_pipeline_by_stages(spark, sf):
+    """Each stage on what the one before kept, against what it may keep by plain means."""
+    import corpus_pipeline
+
+    docs = table(spark, sf, "documents")
+    names = docs.columns
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.cache()
+        docs = stage(spark, before, sf)
+        rows = docs.collect()
+        kept[name] = (before.collect(), rows)
+        if name != "sentencepiece":
+            assert docs.columns == names
+            docs = spark.createDataFrame(rows, before.schema)
+    old, new = kept["language_id"]
+    rejected = {r["doc_id"] for r in langid.identify(table(spark, sf, "documents")).where("rejected").collect()}
+    assert Counter(r["doc_id"] for r in old if r["doc_id"] not in rejected) == Counter(r["doc_id"] for r in new)
+    old, new = kept["near_dedup"]
+    sets = {r["doc_id"]: shingles(r["text"]) if r["text"].split() else set() for r in old}
+    same = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    ids, stay = sorted(sets), {r["doc_id"] for r in new}
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if same(sets[a], sets[b])]
+    classes = reachable(ids, links)
+    assert len(stay) <= len(set(classes.values())) * 1.02 and len(stay) >= len(set(classes.values())) * 0.97 and stay <= set(ids)
+    assert all(classes[i] in stay or any(len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j]) for j in stay) for i in ids)
+    old, new = kept["pii"]
+    terms = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(old, before.schema if names == before.columns else None)).collect()}
+    for a, b in zip(sorted(old, key=lambda r: r["doc_id"]), sorted(new, key=lambda r: r["doc_id"]), strict=True):
+        spans = [(int(x.split(":")[1]), pii.KINDS.index(x.split(":")[0]), int(x.split(":")[2])) for x in terms[a["doc_id"]].split(",") if x]
+        assert b["text"] == pii.redacted(a["text"], sorted(spans)) and not plain_spans(b["text"]) and b["n_chars"] == len(b["text"])
+    old, new = kept["mixing"]
+    texts = {r["doc_id"]: (r["text"], r["source"]) for r in old}
+    assert all(texts[r["doc_id"]] == (r["text"], r["source"]) for r in new) and max(Counter(r["doc_id"] for r in new).values()) <= 2
+    assert abs(sum(len(r["text"].split()) for r in new) / sum(len(t.split()) for t, _ in texts.values()) - 1.5) < 0.05
+    old, new = kept["sentencepiece"]
+    assert Counter(r["doc_id"] for r in old) == Counter(r["doc_id"] for r in new)
+
+
+def test_pipeline_on_awkward_and_empty_documents(spark, awkward, empty, tmp_path):
+    import corpus_pipeline
+
+    for name, docs in (("awkward", awkward), ("empty", empty)):
+        docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / name / "documents.parquet"))
+        found = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert found.columns == ["doc_id", "ids", "n_tokens", "decoded"] and (found.count() > 0) == (name == "awkward")
