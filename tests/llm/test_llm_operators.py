@@ -425,6 +425,7 @@ def test_language_scores_by_brute_force(spark):
     """Choices and cross-entropies against the definition of interpolated Kneser-Ney, on odd texts too."""
     texts = {"aa": ["abra abab baba", "aab bab abba", "abba aba"], "bb": ["cdcd dcd cdd", "ccd dcc dd", "cdc"]}
     models = langid.Models.join({k: langid.fit(t) for k, t in texts.items()})
+    sparse = langid.Models.join({k: langid.fit(t) for k, t in texts.items()}, dense=0)
     brute = {k: kneser_ney(t) for k, t in texts.items()}
     alphabet = len({g for counts, _ in brute.values() for g in counts[1]})
 
@@ -449,6 +450,7 @@ def test_language_scores_by_brute_force(spark):
 
     odd = ["abab", "cdcd dd", "abcd", "zzz q", "a1b2", "½²³ Ⅷ 12", "", None, "ABBA", "e\u0301a"]
     entropy, n = models.entropies(odd)
+    assert np.array_equal(sparse.entropies(odd)[0], entropy)
     for text, own, size in zip(odd, entropy, n, strict=True):
         for k, lang in enumerate(models.languages):
             want, m = nats(lang, text or "")
@@ -497,9 +499,9 @@ def probability(models, context, c):
     grams = langid.Grams([context + c])
     at = np.array([len(context) + 1])
     p = np.full((1, 1), models.uniform)
-    for n, (keys, parts, contexts, shares) in enumerate(models.orders, 1):
+    for n, (parts, shares) in enumerate(models.orders, 1):
         if at[0] >= n - 1:
-            p = models._rows(keys, parts, grams.keys[n][at]) + models._rows(contexts, shares, grams.context(n, at)) * p
+            p = parts.rows(grams.keys[n][at]) + shares.rows(grams.context(n, at)) * p
     return float(p[0, 0])
 
 

@@ -24,6 +24,8 @@ WITHIN = 0.99
 SPAN = 200
 #: Nats a character above its language that a long text may always be.
 SLACK = 0.6
+#: Languages up to which a hash has a value for each.
+DENSE = 16
 #: Letters whose evidence the score counts at most.
 EVIDENCE = 40
 #: Texts that are scored together; their different words are scored once.
@@ -95,35 +97,59 @@ def fit(texts: list[str], order: int = ORDER) -> list[tuple[np.ndarray, ...]]:
     return out[::-1]
 
 
+class Lookup:
+    """Values of hashes under each language over one sorted array of hashes.
+
+    For few languages each hash has a row of all their values. For more, as most hashes are known to few languages, it
+    has only those languages' values, so that the size follows the sum of the languages' models.
+    """
+
+    def __init__(self, fitted: list[tuple[np.ndarray, np.ndarray]], missing: float, dense: int = DENSE):
+        held = np.concatenate([np.zeros(0, np.uint64), *(keys for keys, _ in fitted)])
+        self.keys, where = np.unique(held, return_inverse=True)
+        self.missing, self.count, self.table = missing, len(fitted), None
+        language = np.repeat(np.arange(len(fitted), dtype=np.int16), [len(keys) for keys, _ in fitted])
+        values = np.concatenate([np.zeros(0), *(own for _, own in fitted)]).astype(np.float32)
+        if self.count <= dense:
+            self.table = np.full((len(self.keys) + 1, self.count), missing, np.float32)  # the last row: no such hash
+            self.table[where, language] = values
+        else:
+            order = np.argsort(where, kind="stable")
+            self.languages, self.values = language[order], values[order]
+            self.sizes = np.bincount(where, minlength=len(self.keys)).astype(np.int32)
+            self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def rows(self, wanted: np.ndarray) -> np.ndarray:
+        """wanted, language: the values, `missing` where a language does not know the hash."""
+        if not len(self.keys):
+            return np.full((len(wanted), self.count), self.missing, np.float32)
+        at = np.searchsorted(self.keys, wanted)
+        at[at == len(self.keys)] = 0
+        known = self.keys[at] == wanted
+        if self.table is not None:
+            return self.table[np.where(known, at, len(self.keys))]
+        out, hit = np.full((len(wanted), self.count), self.missing, np.float32), np.flatnonzero(known)
+        first, n = self.starts[at[hit]], self.sizes[at[hit]]
+        flat = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out.ravel()[np.repeat(hit * self.count, n) + self.languages[flat]] = self.values[flat]
+        return out
+
+
 @dataclass
 class Models:
-    """All languages' models over joint sorted hash arrays: a row of one value per language for each hash."""
+    """All languages' models over joint sorted hash arrays: for each order the n-grams' parts and the contexts' shares."""
 
     languages: list[str]
-    orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    orders: list[tuple[Lookup, Lookup]]
     uniform: float
     level: np.ndarray | None = None
     reach: np.ndarray | None = None
 
     @classmethod
-    def join(cls, fitted: dict[str, list[tuple[np.ndarray, ...]]]) -> Models:
-        languages, orders = sorted(fitted), []
-        for n in range(len(next(iter(fitted.values()), []))):
-            joint = []
-            for k, missing in ((0, 0.0), (2, 1.0)):
-                keys = np.unique(np.concatenate([fitted[x][n][k] for x in languages]))
-                values = np.full((len(keys) + 1, len(languages)), missing, np.float32)  # the last row: no such hash
-                for column, x in enumerate(languages):
-                    values[np.searchsorted(keys, fitted[x][n][k]), column] = fitted[x][n][k + 1]
-                joint += [keys, values]
-            orders.append(tuple(joint))
-        return cls(languages, orders, 1 / (len(orders[0][0]) + 1) if orders else 1.0)
-
-    @staticmethod
-    def _rows(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(keys, wanted)
-        at[at == len(keys)] = 0
-        return values[np.where(keys[at] == wanted, at, len(keys))] if len(keys) else values[np.zeros(len(wanted), int)]
+    def join(cls, fitted: dict[str, list[tuple[np.ndarray, ...]]], dense: int = DENSE) -> Models:
+        languages, n = sorted(fitted), len(next(iter(fitted.values()), []))
+        orders = [tuple(Lookup([fitted[x][k][c : c + 2] for x in languages], missing, dense) for c, missing in ((0, 0.0), (2, 1.0))) for k in range(n)]
+        return cls(languages, orders, 1 / (len(orders[0][0].keys) + 1) if orders else 1.0)
 
     def nats(self, words: list[str]) -> np.ndarray:
         """Negative log probability of each word, its end included, under each language."""
@@ -132,10 +158,10 @@ class Models:
         grams = Grams(words, len(self.orders))
         i = np.flatnonzero(grams.at > 0)
         p = np.full((len(i), len(self.languages)), self.uniform, np.float32)
-        for n, (keys, parts, contexts, shares) in enumerate(self.orders, 1):
+        for n, (parts, shares) in enumerate(self.orders, 1):
             deep = np.flatnonzero(grams.at[i] >= n - 1)
             j = i[deep]
-            p[deep] = self._rows(keys, parts, grams.keys[n][j]) + self._rows(contexts, shares, grams.context(n, j)) * p[deep]
+            p[deep] = parts.rows(grams.keys[n][j]) + shares.rows(grams.context(n, j)) * p[deep]
         first = grams.starts - np.arange(len(words))
         return np.add.reduceat(-np.log(p.astype(np.float64)), first, axis=0)
 
