@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,30 +98,31 @@ def longest_messages(spans: DataFrame, discard: float) -> DataFrame:
 def packed(spans: DataFrame, by: str = "msg", width: float = WIDTH) -> DataFrame:
     """by, start, stop, line: each span on the lowest line that is free at its start.
 
-    Where an island of overlapping spans begins, all lines are free; so islands are packed each by itself, and a task
-    holds one island at a time, however many spans the group has.
+    Where an island of overlapping spans begins, all lines are free; so islands are dealt over tasks, however many
+    spans the group has. A task reads its islands' spans in order and holds the open lines only.
     """
     kinds = {f.name: f.dataType.simpleString() for f in spans.schema}
 
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start", "stop"], kind="stable")
-        busy, free, lines, top = [], [], [], 0
-        for start, stop in zip(rows["start"], rows["stop"], strict=True):
-            while busy and busy[0][0] <= start:
-                heapq.heappush(free, heapq.heappop(busy)[1])
-            if free:
-                line = heapq.heappop(free)
-            else:
-                line, top = top, top + 1
-            heapq.heappush(busy, (stop, line))
-            lines.append(line)
-        return rows.assign(line=lines)[[by, "start", "stop", "line"]]
-
-    single = Window.partitionBy(by, "island")
-    rows = numbered_islands(spans, by, width).withColumn("_size", F.count("*").over(single))
-    alone = rows.where("_size = 1").select(by, "start", "stop", F.lit(0).alias("line"))
-    many = rows.where("_size > 1").groupBy(by, "island").applyInPandas(place, f"{by} {kinds[by]}, start {kinds['start']}, stop {kinds['stop']}, line int")
-    return alone.unionByName(many)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        island, busy, free, top = None, [], [], 0
+        for batch in batches:
+            lines = []
+            for own in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if own[:2] != island:
+                    island, busy, free, top = own[:2], [], [], 0
+                while busy and busy[0][0] <= own[2]:
+                    heapq.heappush(free, heapq.heappop(busy)[1])
+                if free:
+                    line = heapq.heappop(free)
+                else:
+                    line, top = top, top + 1
+                heapq.heappush(busy, (own[3], line))
+                lines.append(line)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 2, 3)), pa.array(lines, pa.int32())], [by, "start", "stop", "line"])
+
+    rows = numbered_islands(spans, by, width).select(by, "island", "start", "stop")
+    dealt = rows.repartition(by, "island").sortWithinPartitions(by, "island", "start", "stop")
+    return dealt.mapInArrow(place, f"{by} {kinds[by]}, start {kinds['start']}, stop {kinds['stop']}, line int")
 
 
 def change_ranges(rows: DataFrame, key: str, value: str, width: int = 1 << 16) -> DataFrame:
