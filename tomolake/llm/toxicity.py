@@ -32,7 +32,7 @@ WINDOW, STRIDE = 128, 64
 ORDINARY, TOXIC, SEGMENT = 400_000, 16_000, 24
 #: Bytes of the sequences that segments are chosen for; toxic texts that hold one at least; its log odds, and those times
 #: the texts, at least.
-GRAMS, RARE, TYPICAL, MARKED = (5,), 3, 2.5, 10.0
+GRAMS, RARE, TYPICAL, MARKED = (5,), 3, 3.5, 12.0
 LEVEL = 7
 #: Windows that the trainer sees at most, evenly spaced.
 TRAINED = 400_000
