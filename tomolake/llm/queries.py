@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tomolake.llm import crosspolytope, hnsw, langid, lm, mixing, pieces, pii, shards, simhash, toxicity
+from tomolake.llm import audit, crosspolytope, fim, hnsw, langid, lm, mixing, packing, pieces, pii, shards, simhash, toxicity
 from tomolake.llm.common import table
 
 
@@ -52,12 +52,24 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": OP8_SQL}
+    return {"op8_mixing": OP8_SQL, "op12_filter_audit": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
 
 
 _TAKEN = """floor(quota / n)::BIGINT * {x}
@@ -120,3 +132,69 @@ SELECT l.doc_id, l.size, l.source_size, l.target,
        CASE WHEN n > 0 THEN (({_TAKEN.format(x="l.stop")}) - ({_TAKEN.format(x="(l.stop - l.size)")}))::BIGINT ELSE 0 END AS taken
 FROM lined l JOIN phased p ON l.source IS NOT DISTINCT FROM p.source AND l.shard = p.shard
 """
+
+OP12_SQL = """
+WITH texts AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first_id FROM texts GROUP BY text),
+worded AS (SELECT doc_id, lang, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM texts),
+marked AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT coalesce(w.lang, '') AS part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic,
+         (len(words) < 100)::INT AS a,
+         (100 * len(list_distinct(words)) < 80 * len(words))::INT AS b,
+         (100 * (length(w.text) - length(regexp_replace(w.text, '[A-Z]', '', 'g'))) > 10 * length(w.text))::INT AS c,
+         regexp_matches(w.text, '[#$%&*|]')::INT AS d,
+         coalesce(w.doc_id > f.first_id, false)::INT AS e
+  FROM worded w JOIN firsts f ON w.text = f.text LEFT JOIN marked m ON w.doc_id = m.doc_id),
+patterns AS (
+  SELECT part, [a, b, c, d, e] AS bits, count(*) AS docs, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY ALL),
+letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+orders AS (
+  SELECT [v.k, w.k, x.k, y.k, z.k] AS places
+  FROM letters v, letters w, letters x, letters y, letters z
+  WHERE len(list_distinct([v.k, w.k, x.k, y.k, z.k])) = 5),
+steps AS (
+  SELECT array_to_string(list_transform(places, lambda k: substr('ABCDE', k, 1)), '') AS filter_order, places, step, places[step] AS own
+  FROM orders, LATERAL (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+seen AS (
+  SELECT part, filter_order, step, own, docs, good, toxic, bits[own] AS fails,
+         list_sum(list_transform(places[1:step - 1], lambda k: bits[k])) > 0 AS gone, list_sum(bits) AS n
+  FROM steps, patterns),
+counted AS (
+  SELECT part, filter_order, step, own,
+         coalesce(sum(docs) FILTER (NOT coalesce(gone, false) AND fails = 0), 0)::BIGINT AS kept,
+         coalesce(sum(docs) FILTER (NOT coalesce(gone, false) AND fails = 1), 0)::BIGINT AS removed,
+         coalesce(sum(docs) FILTER (coalesce(gone, false) AND fails = 1), 0)::BIGINT AS redundant,
+         coalesce(sum(docs) FILTER (fails = 1 AND n = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (NOT coalesce(gone, false) AND fails = 1), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (NOT coalesce(gone, false) AND fails = 1), 0)::BIGINT AS toxic_lost
+  FROM seen GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM counted
+"""
+
+OP13_SQL = """
+WITH lined AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS units,
+         sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents),
+hashed AS (
+  SELECT *, len(units) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM lined),
+cuts AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS first, greatest(h1 % (n + 1), h2 % (n + 1)) AS last FROM hashed),
+formed AS (
+  SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                 WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(units[1:first], '') AS prefix, array_to_string(units[first + 1:last], '') AS middle,
+         array_to_string(units[last + 1:], '') AS suffix
+  FROM cuts)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM formed
+"""
