@@ -61,14 +61,6 @@ def test_root_solves_its_equation(terms, c):
             assert abs((a_ / (x + b_)).sum() - c) < 1e-4 * c
 
 
-def test_solvers_agree(spark):
-    rng = np.random.RandomState(0)
-    rows = [(n, float(a), float(b)) for n in range(20) for a, b in zip(rng.rand(15) * 5, rng.rand(15) + 0.05, strict=True)]
-    terms, c = spark.createDataFrame(rows, "n long, a double, b double"), spark.createDataFrame([(n, 3.0 + n) for n in range(20)], "n long, c double")
-    both = mstep.solve_groups(terms, c).join(mstep.solve_groups_native(terms, c).withColumnRenamed("x", "y"), "n").collect()
-    assert len(both) == 20 and all(abs(r["x"] - r["y"]) < 1e-6 for r in both)
-
-
 @pytest.mark.parametrize("size", [4, 5])
 def test_symmetry(spark, size):
     grid = symmetry.voxels(spark, size, 3)
@@ -209,13 +201,13 @@ def test_split_frames_evenly(spark, parts):
     assert tables.same_rows(back, spark.createDataFrame(rows, "d long, i int, k int"))
 
 
-def test_solvers_agree_with_zero_backgrounds(spark):
+def test_roots_with_zero_backgrounds(spark):
     """Poles, groups without terms, constants of zero, and sums under the constant."""
     rng = np.random.RandomState(1)
     rows = [(n, float(a), float(b)) for n in range(40) for a, b in zip(rng.rand(12) * 10 ** rng.randint(-3, 4), rng.rand(12) * (rng.rand(12) < 0.8) * 5, strict=True)]
     terms, c = spark.createDataFrame([*rows, (50, 1.0, 2.0), (51, 1e-9, 3.0)], "n long, a double, b double"), spark.createDataFrame([(n, float(10 ** rng.randint(-2, 3))) for n in range(40)] + [(50, 0.0), (51, 5.0), (52, 1.0)], "n long, c double")
     constants = {r["n"]: r["c"] for r in c.collect()}
-    for r in mstep.solve_groups_native(terms, c).collect():
+    for r in mstep.solve_groups(terms, c).collect():
         own = [(a, b) for n, a, b in [*rows, (50, 1.0, 2.0), (51, 1e-9, 3.0)] if n == r["n"]]
         want = mstep.solve_root(np.array([a for a, _ in own]), np.array([b for _, b in own]), constants[r["n"]], xtol=1e-13, ftol=1e-13)
         assert abs(r["x"] - want) <= 1e-6 * max(want, 1e-9), r
@@ -230,7 +222,7 @@ def test_background_model_on_orbits(spark):
     post = spark.createDataFrame([(0, 0, 1.0), (1, 0, 1.0)], "d long, r int, p double")
     voxels = spark.createDataFrame([(0, 0, 6), (0, 1, 18)], "r int, i int, n long")  # (1, 1) and its image (3, 3) of a side of 5
     previous = spark.createDataFrame([(n, 7.0) for n in range(25)], "n long, value double")
-    found = {r["n"]: r["value"] for r in mstep.background_model(post, photons, frames, background, weights, voxels, previous, 5, 2, "inversion").collect()}
+    found = {r["n"]: r["value"] for r in mstep.background_model(post, photons, frames, background, weights, voxels, previous, [symmetry.Grid(5, 2, "inversion")]).collect()}
     a, b = np.array([5.0, 3.0, 2.0]), np.array([0.5, 0.25 / 0.8, 0.5 / 0.5])
     want = mstep.solve_root(a, b, 1.5 * 1.0 + 1.5 * 0.8, xtol=1e-13, ftol=1e-13)
     assert abs(found[6] - want) < 1e-9 and abs(found[18] - want) < 1e-9 and all(v == 7.0 for n, v in found.items() if n not in (6, 18))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomolake.functions.expressions import inside, norm, ravelled
+from tomolake.functions.expressions import inside, norm, ravelled, unravelled
 
 # The angles of the rotation that every orientation is turned by, and of the first in-plane rotation.
 FIXED_PHI, FIXED_PHI2, FIXED_THETA = 1.2 * math.pi / 4, 1.3660358560403127 * math.pi, 1.4316602255033495 * math.pi
@@ -148,24 +148,61 @@ def voxel_index(coordinates: DataFrame, size: int, axes: int = 3) -> DataFrame:
     return coordinates.where(inside(size, *near)).select("s", "r", "i", ravelled(*near, size=size).alias("n"))
 
 
-def sampled(coordinates: DataFrame, model: DataFrame, size: int, axes: int = 3, kind: str = "linear", keys: tuple[str, ...] = ("r", "i")) -> DataFrame:
+def tiled(model: DataFrame, size: int, axes: int, side: int) -> DataFrame:
+    """tile, values: model(n, value) in tiles of side voxels and a border of one, a row each; values are in the order of
+    the index, zero where the model has no voxel and outside the grid.
+
+    Voxels are counted from one, so that the voxel before the first is index 0 of its tile. A voxel whose index is a
+    multiple of side is the first of one tile and the border of the tile before it.
+    """
+    across, wide = size // side + 1, side + 1
+    index = unravelled(F.col("n"), size, axes)
+    rows = model.select("value", *[(i + 1).alias(f"p{k}") for k, i in enumerate(index)])
+    for k in range(axes):
+        p = F.col(f"p{k}")
+        own = F.struct(F.floor(p / side).alias("t"), (p % side).alias("l"))
+        before = F.struct((F.floor(p / side) - 1).alias("t"), F.lit(side).alias("l"))
+        rows = rows.withColumn(f"x{k}", F.explode(F.when(p % side == 0, F.array(own, before)).otherwise(F.array(own)))).drop(f"p{k}")
+    tile, local = ravelled(*[F.col(f"x{k}.t") for k in range(axes)], size=across), ravelled(*[F.col(f"x{k}.l") for k in range(axes)], size=wide)
+    cells = rows.select(tile.alias("tile"), local.cast("int").alias("cell"), F.lit(1).alias("own"), F.col("value").cast("double").alias("value"))
+    blank = cells.sparkSession.range(across**axes).select(F.col("id").alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(wide**axes - 1))).alias("cell"), F.lit(0).alias("own"), F.lit(0.0).alias("value"))
+    full = cells.unionByName(blank).groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("cell", "own", "value"))).alias("x"))
+    last = F.filter("x", lambda c, k: F.coalesce(F.get("x", k + 1)["cell"] != c["cell"], F.lit(True)))
+    return full.select("tile", F.transform(last, lambda c: c["value"]).alias("values"))
+
+
+#: Voxels along a tile's side, by axes; bytes of tiles that are broadcast at most.
+TILE_SIDE = {2: 64, 3: 16}
+BROADCAST_BYTES = 16_000_000
+
+
+def sampled(coordinates: DataFrame, model: DataFrame, size: int, axes: int = 3, kind: str = "linear", keys: tuple[str, ...] = ("r", "i"), side: int | None = None) -> DataFrame:
     """keys, w: model(n, value) at coordinates u0 .., zero outside: bi- or trilinear, or the nearest, halves up.
 
-    Each coordinate meets its corners by one join on the voxel number; only stored voxels are looked up, so a sparse
-    model stays sparse, and a coordinate whose corners are all absent still gets its 0.
+    A coordinate meets its 4 or 8 corners in one tile of the model, by one row and one join on the tile; what a grid's
+    tiles take is known from its size, and up to BROADCAST_BYTES they go to the coordinates, which then stay in place.
     """
     if kind == "nearest":
         near = [F.floor(F.col(f"u{k}") + 0.5).cast("long") for k in range(axes)]
         at = coordinates.select(*keys, F.when(inside(size, *near), ravelled(*near, size=size)).alias("n"))
         return at.join(model, "n", "left").select(*keys, F.coalesce("value", F.lit(0.0)).alias("w"))
-    corners = []
+    if kind != "linear":
+        raise ValueError(f"no interpolation {kind}")
+    side = min(side or TILE_SIDE[axes], size + 1)
+    across, wide = size // side + 1, side + 1
+    tiles = tiled(model, size, axes, side)
+    if 8 * across**axes * wide**axes <= BROADCAST_BYTES:
+        tiles = F.broadcast(tiles)
+    low = [F.floor(f"u{k}").cast("long") + 1 for k in range(axes)]
+    rows = coordinates.select(
+        *keys, F.when(inside(size + 1, *low), ravelled(*[F.floor(p / side).cast("long") for p in low], size=across)).alias("tile"),
+        ravelled(*[p % side for p in low], size=wide).cast("int").alias("cell"), *[(F.col(f"u{k}") - F.floor(f"u{k}")).alias(f"f{k}") for k in range(axes)],
+    )
+    w = F.lit(0.0)
     for corner in range(1 << axes):
         up = [corner >> (axes - 1 - k) & 1 for k in range(axes)]
-        base = [F.floor(f"u{k}").cast("long") for k in range(axes)]
-        at, weight = [base[k] + up[k] for k in range(axes)], F.lit(1.0)
+        share, step = F.lit(1.0), sum(b * wide ** (axes - 1 - k) for k, b in enumerate(up))
         for k in range(axes):
-            part = F.col(f"u{k}") - base[k]
-            weight = weight * (part if up[k] else 1 - part)
-        corners.append(F.struct(F.when(inside(size, *at), ravelled(*at, size=size)).alias("n"), weight.alias("share")))
-    spread = coordinates.select(*keys, F.explode(F.array(*corners)).alias("x")).select(*keys, "x.n", "x.share")
-    return spread.join(model, "n", "left").groupBy(*keys).agg(F.sum(F.col("share") * F.coalesce("value", F.lit(0.0))).alias("w"))
+            share = share * (F.col(f"f{k}") if up[k] else 1 - F.col(f"f{k}"))
+        w = w + share * F.get("values", F.col("cell") + step)
+    return rows.join(tiles, "tile", "left").select(*keys, F.coalesce(w, F.lit(0.0)).alias("w"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomolake.functions.expressions import clipped, ratio
-from tomolake.operators.symmetry import orbit_representative, partners
+from tomolake.operators.symmetry import Grid, orbit
 from tomolake.sources.tables import cut
 
+#: Terms of a part of a large group, about, and groups that have more parts than one.
+SALTED, LARGEST = 4096, 10_000
+
 
 def fluence(post: DataFrame, frames: DataFrame, sums: DataFrame) -> DataFrame:
     """d, fluence = ksum / sum over templates of p * wsum; null where that is zero."""
@@ -23,15 +27,16 @@ def weighted_sums(post: DataFrame, photons: DataFrame) -> DataFrame:
     return post.where("p > 0").select("d", "r", "p").join(photons, "d").groupBy("r", "i").agg(F.sum(F.col("p") * F.col("k")).alias("num"))
 
 
-def merged_model(post: DataFrame, photons: DataFrame, frames: DataFrame, sums: DataFrame, weights: DataFrame, voxels: DataFrame, likelihood: str = "Poisson", frame_model: str = "basic", maximise: str = "I", symmetrise=None, previous: DataFrame | None = None) -> DataFrame:
+def merged_model(post: DataFrame, photons: DataFrame, frames: DataFrame, sums: DataFrame, weights: DataFrame, voxels: DataFrame, likelihood: str = "Poisson", frame_model: str = "basic", maximise: str = "I", grids: Sequence[Grid] = (), previous: DataFrame | None = None) -> DataFrame:
     """n, value: numerators over denominators of all (r, i) that map to voxel n by voxels(r, i, n).
 
     previous(n, value) is the model before: a voxel keeps its value where no template that holds any frame's mass
     reaches it. Without it only voxels of templates with mass are returned.
 
     Denominators are c times the sum of p (basic), of fluence * p, or of ksum * p with numerators times wsum
-    (fluence-free). maximise='W' averages each pixel's own ratio. symmetrise, if given, maps (n, num, den) sums to
-    symmetrised ones.
+    (fluence-free). maximise='W' averages each pixel's own ratio. grids, one a class: sums are taken over orbits of
+    its symmetry, gathered at their least voxel and given to all, by expressions and no further join. How often a
+    voxel is its own image does not matter, as it counts above and below the line.
     """
     free = likelihood == "Poisson_fluence_free"
     mass = F.col("p") * (F.col("ksum") if free else F.col("fluence") if frame_model == "fluence" else F.lit(1.0))
@@ -41,9 +46,8 @@ def merged_model(post: DataFrame, photons: DataFrame, frames: DataFrame, sums: D
     cells = cells.select("n", num.alias("num"), (F.col("c") * F.col("mass")).alias("den"))
     if maximise == "W":
         cells = cells.select("n", ratio(F.col("num"), F.col("den")).alias("num"), F.lit(1.0).alias("den"))
-    total = cells.groupBy("n").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
-    total = symmetrise(total) if symmetrise else total
-    new = total.select("n", ratio(F.col("num"), F.col("den")).alias("value"), "den")
+    total = cells.groupBy(F.array_min(orbit(F.col("n"), grids)).alias("n")).agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+    new = total.select(F.explode(orbit(F.col("n"), grids)).alias("n"), ratio(F.col("num"), F.col("den")).alias("value"), "den")
     return kept_where_unseen(previous, new) if previous is not None else new.drop("den")
 
 
@@ -112,66 +116,60 @@ def solve_root(a: np.ndarray, b: np.ndarray, c: float, fill: float = 0.0, ftol:
     return x
 
 
-def solve_groups(terms: DataFrame, constants: DataFrame, key: str = "n", xtol: float = 1e-9, ftol: float = 1e-9) -> DataFrame:
-    """key, x for each group of terms(key, a, b) and its constants(key, c), by the full rules of solve_root.
-
-    Groups are one voxel's terms. They are first reduced to one term for each different b, which keeps a voxel that
-    many frames hit small where backgrounds repeat.
-    """
-    kind = constants.schema[key].dataType.simpleString()
-    small = terms.groupBy(key, "b").agg(F.sum("a").alias("a")).join(constants, key)
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: [rows[key].iloc[0]], "x": [solve_root(rows["a"].to_numpy(), rows["b"].to_numpy(), float(rows["c"].iloc[0]), xtol=xtol, ftol=ftol)]})
-
-    return small.groupBy(key).applyInPandas(solve, f"{key} {kind}, x double")
-
-
-def solve_groups_native(terms: DataFrame, constants: DataFrame, key: str = "n", rounds: int = 40, tol: float = 1e-12) -> DataFrame:
-    """key, x of every group of terms(key, a, b) and its constants(key, c): the same root, for all groups at once.
+def solve_groups(terms: DataFrame, constants: DataFrame, key: str = "n", rounds: int = 60, tol: float = 1e-12, salted: int = SALTED, largest: int = LARGEST) -> DataFrame:
+    """key, x of every group of terms(key, a, b) and its constants(key, c): the roots of solve_root, of all groups at once.
 
     With S(x) the sum of a / (x + b), Newton's rule is applied to 1 / S, which rises and bends down: from any start
-    left of the root its steps stay left of it and never turn back, and one term is solved in one step. A round is a
-    join of the terms, one for each (key, b), with the groups' x, and sums that are combined before they are sent; so
-    no group's terms meet in one task. Rounds end when no x moves by more than tol of itself. Groups without terms or
-    with c <= 0 have 0.
+    left of the root its steps stay left of it and never turn back, and one term is solved in one step. Terms are
+    added up for each (key, b) first, and what is left of a group stays where it is, salted by b into parts of about
+    `salted` terms. A round sends x to the parts of each group that is not settled, adds up in the parts, then over
+    them. The `largest` groups' numbers of parts are broadcast; every other group is one part, and holds less than a
+    `largest`-th of all terms. Groups without terms or with c <= 0 have 0; a root that has not settled after so many
+    rounds is an error.
     """
-    small = terms.where("a > 0").groupBy(key, "b").agg(F.sum("a").alias("a"))
-    small = cut(small.join(constants.where("c > 0"), key).select(key, "a", "b", "c"))
+    small = cut(terms.where("a > 0").groupBy(key, "b").agg(F.sum("a").alias("a")))
+    sizes = small.groupBy(key).count().where(F.col("count") > salted).orderBy(F.desc("count"), key).limit(largest)
+    parts = cut(sizes.select(key, F.ceil(F.col("count") / salted).cast("long").alias("parts")))
+    salt = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))
+    small = cut(small.join(F.broadcast(parts), key, "left").select(key, salt.alias("salt"), "a", "b").repartition(key, "salt"))
     at_zero = F.sum(F.when(F.col("b") > 0, F.col("a") / F.col("b")))
-    start = small.groupBy(key).agg(F.max(F.when(F.col("b") == 0, F.col("a") / F.col("c"))).alias("pole"), at_zero.alias("s0"), F.first("c").alias("c"))
-    x = F.when(F.col("pole").isNotNull(), F.col("pole")).otherwise(0.0)
-    state = cut(start.select(key, x.alias("x"), (F.col("pole").isNotNull() | (F.col("s0") > F.col("c"))).alias("open")))
-    open_ = state.where("open").select(key, "x")
+    start = small.groupBy(key, "salt").agg(F.max(F.when(F.col("b") == 0, F.col("a"))).alias("pole"), at_zero.alias("s0"))
+    start = start.groupBy(key).agg(F.max("pole").alias("pole"), F.sum("s0").alias("s0")).join(constants.where("c > 0"), key)
+    pole = F.col("pole").isNotNull()
+    state = cut(start.select(key, "c", F.when(pole, F.col("pole") / F.col("c")).otherwise(0.0).alias("x"), (pole | (F.col("s0") > F.col("c"))).alias("open")))
+    open_ = state.where("open").drop("open")
+    done = [state.where("not open").select(key, "x")]
     for _ in range(rounds):
-        s, d = F.sum(F.col("a") / (F.col("x") + F.col("b"))), F.sum(F.col("a") / ((F.col("x") + F.col("b")) * (F.col("x") + F.col("b"))))
-        sums = small.join(open_, key).groupBy(key).agg(s.alias("_s"), d.alias("_d"), F.first("x").alias("x"), F.first("c").alias("c"))
-        step = (F.col("_s") / F.col("c") - 1) * F.col("_s") / F.col("_d")
-        open_ = cut(sums.select(key, (F.col("x") + F.greatest(step, F.lit(0.0))).alias("x"), (step > tol * F.col("x")).alias("moved")))
-        if open_.where("moved").isEmpty():
+        spread = open_.join(F.broadcast(parts), key, "left").select(key, "x", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
+        term = F.col("a") / (F.col("x") + F.col("b"))
+        sums = small.join(spread, [key, "salt"]).groupBy(key, "salt").agg(F.sum(term).alias("_s"), F.sum(term / (F.col("x") + F.col("b"))).alias("_d"))
+        sums = open_.join(sums.groupBy(key).agg(F.sum("_s").alias("_s"), F.sum("_d").alias("_d")), key)
+        step = F.greatest((F.col("_s") / F.col("c") - 1) * F.col("_s") / F.col("_d"), F.lit(0.0))
+        moved = cut(sums.select(key, "c", (F.col("x") + step).alias("x"), (step > tol * F.col("x")).alias("moved")))
+        done.append(moved.where("not moved").select(key, "x"))
+        open_ = moved.where("moved").drop("moved")
+        if open_.isEmpty():
             break
-    solved = open_.select(key, F.col("x").alias("found"))
-    return constants.select(key).join(solved, key, "left").select(key, F.coalesce("found", F.lit(0.0)).alias("x"))
+    else:
+        raise ArithmeticError(f"{open_.count()} roots have not settled after {rounds} rounds")
+    solved = done[0]
+    for more in done[1:]:
+        solved = solved.unionByName(more)
+    return constants.select(key).join(solved.withColumnRenamed("x", "found"), key, "left").select(key, F.coalesce("found", F.lit(0.0)).alias("x"))
 
 
-def background_model(post: DataFrame, photons: DataFrame, frames: DataFrame, background: DataFrame, weights: DataFrame, voxels: DataFrame, previous: DataFrame, size: int | None = None, axes: int = 3, symmetry: str = "P1") -> DataFrame:
+def background_model(post: DataFrame, photons: DataFrame, frames: DataFrame, background: DataFrame, weights: DataFrame, voxels: DataFrame, previous: DataFrame, grids: Sequence[Grid] = ()) -> DataFrame:
     """n, value of a model under frames with background: per voxel, or orbit of voxels, the root of its equation.
 
-    Terms and constants of an orbit meet at its representative; roots are spread over the orbit, each voxel getting the
-    mean of what symmetry sends to it. Voxels that no template with mass reaches keep their previous value.
+    Terms and constants of an orbit meet at its least voxel, and all of it gets the root. Voxels that no template with
+    mass reaches keep their previous value.
     """
-    terms = background_terms(post, photons, frames, background, weights, voxels)
-    constants = background_constants(post, frames, weights, voxels)
-    if size is not None and symmetry != "P1":
-        terms = orbit_representative(terms, size, axes, symmetry).select(F.col("rep").alias("n"), "a", "b")
-        constants = orbit_representative(constants, size, axes, symmetry).groupBy("rep").agg(F.sum("c").alias("c")).withColumnRenamed("rep", "n")
-    constants = cut(constants)
-    solved = solve_groups_native(terms, constants).join(constants, "n").select("n", F.col("x").alias("value"), F.col("c").alias("den"))
-    if size is not None and symmetry != "P1":
-        known = solved.where("den > 0").select("n", "value", F.lit(1.0).alias("times"))
-        spread = partners(known.select("n"), size, axes, symmetry).join(known, "n").groupBy("partner")
-        solved = spread.agg(F.avg("value").alias("value"), F.sum("times").alias("den")).withColumnRenamed("partner", "n")
-    return kept_where_unseen(previous, solved)
+    rep = F.array_min(orbit(F.col("n"), grids))
+    terms = background_terms(post, photons, frames, background, weights, voxels).select(rep.alias("n"), "a", "b")
+    constants = cut(background_constants(post, frames, weights, voxels).groupBy(rep.alias("n")).agg(F.sum("c").alias("c")))
+    solved = solve_groups(terms, constants).join(constants, "n")
+    new = solved.select(F.explode(orbit(F.col("n"), grids)).alias("n"), F.col("x").alias("value"), F.col("c").alias("den"))
+    return kept_where_unseen(previous, new)
 
 
 def background_fluence(post: DataFrame, photons: DataFrame, frames: DataFrame, background: DataFrame, weights: DataFrame, templates: DataFrame, sums: DataFrame) -> DataFrame:
@@ -181,7 +179,7 @@ def background_fluence(post: DataFrame, photons: DataFrame, frames: DataFrame, b
     met = lit.join(post.where("p > 0").select("d", "r", "p"), "d").join(templates, ["r", "i"])
     terms = met.select("d", (F.col("p") * F.col("k")).alias("a"), (F.col("extra") / clipped(F.col("w"), 1e-10)).alias("b"))
     constants = post.join(sums, "r").groupBy("d").agg(F.sum(F.col("p") * F.col("wsum")).alias("c"))
-    return solve_groups_native(terms, constants, "d")
+    return solve_groups(terms, constants, "d")
 
 
 def split_frames(photons: DataFrame, target: int, seed: int = 0) -> DataFrame:

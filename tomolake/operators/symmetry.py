@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +40,9 @@ def asymmetric_unit(grid: DataFrame, size: int, axes: int, symmetry: str) -> Dat
     return grid.where(keep).select("n")
 
 
-def _images(size: int, axes: int, symmetry: str) -> list[Column]:
+def _images(size: int, axes: int, symmetry: str, n: Column | None = None) -> list[Column]:
     """n under each operation; null where a reflection about the middle leaves the grid."""
-    index, middle = unravelled(F.col("n"), size, axes), size // 2
+    index, middle = unravelled(F.col("n") if n is None else n, size, axes), size // 2
     out = []
     for flips in _flips(symmetry, axes):
         at = [F.lit(2 * middle) - i if f else i for i, f in zip(index, flips, strict=True)]
@@ -48,6 +50,33 @@ def _images(size: int, axes: int, symmetry: str) -> list[Column]:
     return out
 
 
+@dataclass(frozen=True)
+class Grid:
+    """The voxels of one class: a cube (or square) of a symmetry, numbered from first on."""
+
+    size: int
+    axes: int = 3
+    symmetry: str = "P1"
+    first: int = 0
+
+    @property
+    def end(self) -> int:
+        return self.first + self.size**self.axes
+
+
+def orbit(n: Column, grids: Sequence[Grid]) -> Column:
+    """The distinct voxels in its own class's grid that symmetry takes n to, n itself included; only n without grids.
+
+    The orbit of any of its voxels is the same set: an index whose reflection leaves the grid stays where it is in all.
+    """
+    found = F.array(n)
+    for g in grids:
+        if g.symmetry != "P1":
+            own = [image + g.first for image in _images(g.size, g.axes, g.symmetry, n - g.first)]
+            found = F.when((n >= g.first) & (n < g.end), F.array_distinct(F.filter(F.array(*own), lambda x: x.isNotNull()))).otherwise(found)
+    return found
+
+
 def partners(grid: DataFrame, size: int, axes: int, symmetry: str) -> DataFrame:
     """n, partner: the distinct voxels in the grid that symmetry takes n to, itself included."""
     every = F.array_distinct(F.filter(F.array(*_images(size, axes, symmetry)), lambda x: x.isNotNull()))

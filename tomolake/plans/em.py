@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomolake.operators import estep, mstep
+from tomolake.operators import estep, geometry, mstep
+from tomolake.operators.symmetry import Grid
 from tomolake.plans.store import Store
 from tomolake.sources.tables import cut
 
@@ -28,15 +30,16 @@ class Config:
     update_fluence: bool = True
     #: Classes whose model stays as it is.
     fixed_classes: tuple[int, ...] = ()
-    #: With background: model and fluence updates in an iteration, and the grid and symmetry that voxels are numbered by.
+    #: With background: model and fluence updates in an iteration.
     inner: int = 2
-    size: int | None = None
-    dimensions: int = 3
-    symmetry: str = "P1"
+    #: How templates are read off the model at their points: linear or nearest.
+    interpolation: str = "linear"
 
     def __post_init__(self):
         if self.likelihood not in ("Poisson", "Poisson_fluence_free") or self.frame_model not in ("basic", "fluence", "background") or self.maximise not in ("I", "W"):
             raise ValueError("unknown likelihood, frame model or way to maximise")
+        if self.interpolation not in ("linear", "nearest"):
+            raise ValueError(f"no interpolation {self.interpolation}")
         if self.likelihood == "Poisson_fluence_free" and self.frame_model == "fluence":
             raise ValueError("a fluence-free likelihood has no fluence")
 
@@ -69,10 +72,13 @@ def stale(old: dict, new: dict, keep_model: bool = False) -> set[str]:
 
 @dataclass
 class State:
-    """Frames (d, ksum, fluence[, bg_id, bg_weight]), the templates' voxels (r, i, n), and the model (n, value).
+    """Frames (d, ksum, fluence[, bg_id, bg_weight]), the voxels that templates' pixels are merged to (r, i, n), and the
+    model (n, value).
 
-    Several classes stand one after another in r and in n; ends are the first n beyond each. logr and post are those
-    of the last iteration, which closed gates keep in use.
+    points (r, i, u0 ..), one table a class, are where templates are read off the model of its grid, one row a pixel;
+    without them a pixel is its voxel. p_weights (i, c) are the pixels of the expectation where they are others than
+    those of the maximisation; ksum is of the latter. Several classes stand one after another in r and in n; ends are
+    the first n beyond each. logr and post are those of the last iteration, which closed gates keep in use.
     """
 
     frames: DataFrame
@@ -82,6 +88,20 @@ class State:
     ends: tuple[int, ...] = ()
     logr: DataFrame | None = None
     post: DataFrame | None = None
+    points: tuple[DataFrame, ...] = ()
+    grids: tuple[Grid, ...] = ()
+    p_weights: DataFrame | None = None
+
+    def __post_init__(self):
+        if self.points and len(self.points) != len(self.grids):
+            raise ValueError("points need a grid for each class")
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def class_major(frames: DataFrame, parts: list[tuple[DataFrame, DataFrame, int, int]]) -> State:
@@ -93,14 +113,22 @@ def class_major(frames: DataFrame, parts: list[tuple[DataFrame, DataFrame, int,
         classes.append(frames.sparkSession.range(r0, r0 + templates).select(F.col("id").alias("r"), F.lit(c).alias("c")))
         r0, n0 = r0 + templates, n0 + cells
         ends.append(n0)
+    return State(frames, _all(voxels), _all(models), _all(classes), tuple(ends))
 
-    def all_of(tables: list[DataFrame]) -> DataFrame:
-        out = tables[0]
-        for t in tables[1:]:
-            out = out.unionByName(t)
-        return out
 
-    return State(frames, all_of(voxels), all_of(models), all_of(classes), tuple(ends))
+def joined(states: list[tuple[State, int]]) -> State:
+    """One state of several classes' own first states, each with its number of templates; grids may differ in size,
+    axes and symmetry. Frames and the expectation's pixels are the first's."""
+    first = states[0][0]
+    parts = [(x.voxels, x.model, n, x.grids[0].size ** x.grids[0].axes) for x, n in states]
+    out = class_major(first.frames, parts)
+    points, grids, r0, n0 = [], [], 0, 0
+    for x, n in states:
+        at = x.points[0]
+        points.append(at.select((F.col("r") + r0).cast("long").alias("r"), *[c for c in at.columns if c != "r"]))
+        grids.append(replace(x.grids[0], first=n0))
+        r0, n0 = r0 + n, grids[-1].end
+    return replace(out, points=tuple(points), grids=tuple(grids), p_weights=first.p_weights)
 
 
 def _class_of(ends: tuple[int, ...]) -> Column:
@@ -108,24 +136,54 @@ def _class_of(ends: tuple[int, ...]) -> Column:
     return sum((F.when(F.col("n") >= e, 1).otherwise(0) for e in ends), F.lit(0))
 
 
-def templates_of(state: State) -> DataFrame:
+def templates_of(state: State, interpolation: str = "linear") -> DataFrame:
     """r, i, w of the state's model."""
-    return cut(state.voxels.join(state.model, "n", "left").select("r", "i", F.coalesce("value", F.lit(0.0)).alias("w")))
+    if not state.points:
+        return cut(state.voxels.join(state.model, "n", "left").select("r", "i", F.coalesce("value", F.lit(0.0)).alias("w")))
+    read = []
+    for points, g in zip(state.points, state.grids, strict=True):
+        own = state.model.where((F.col("n") >= g.first) & (F.col("n") < g.end)).select((F.col("n") - g.first).alias("n"), "value")
+        read.append(geometry.sampled(points, own, g.size, g.axes, interpolation))
+    return cut(_all(read))
+
+
+def _expected_pixels(state: State, photons: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Photons, frames with their ksum, and weights, of the expectation's pixels."""
+    if state.p_weights is None:
+        return photons, state.frames, weights
+    seen = photons.join(state.p_weights.select("i"), "i", "left_semi")
+    sums = seen.groupBy("d").agg(F.sum("k").alias("_k"))
+    others = [c for c in state.frames.columns if c != "ksum"]
+    return seen, state.frames.join(sums, "d", "left").select(*others, F.coalesce("_k", F.lit(0)).cast("long").alias("ksum")), state.p_weights
 
 
 def expectation(state: State, photons: DataFrame, weights: DataFrame, config: Config, beta: float, background: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """templates, their sums, logr and posterior. A template without intensity (sum <= 0) explains no frame and gets no
-    likelihood; a closed gate keeps the last logr or posterior, where there is one."""
-    templates = templates_of(state)
+    """templates, their sums over weights' pixels, logr and posterior. A template without intensity (sum <= 0) explains
+    no frame and gets no likelihood; a closed gate keeps the last logr or posterior, where there is one.
+
+    logr holds every pair that can reach the threshold at the lowest beta of the schedule, pairs that meet in no lit
+    pixel and frames without photons among them.
+    """
+    templates = templates_of(state, config.interpolation)
     sums = estep.template_sums(templates, weights).where("wsum > 0")
     if not config.update_probability and state.post is not None:
         return templates, sums, state.logr, state.post
     if not config.update_logr and state.logr is not None:
         logr = state.logr
-    elif config.frame_model == "background":
-        logr = cut(estep.log_likelihood_background(photons, templates, weights, state.frames, background, sums, config.likelihood == "Poisson_fluence_free"))
     else:
-        logr = cut(estep.log_likelihood(estep.k_dot_log_w(photons, templates), state.frames, sums, config.likelihood, config.frame_model))
+        seen, frames, own = _expected_pixels(state, photons, weights)
+        p_sums = cut(estep.template_sums(templates, own).where("wsum > 0") if state.p_weights is not None else sums)
+        floor = math.log(config.threshold) / min(beta, config.beta_start, config.beta_stop) if config.threshold > 0 else -math.inf
+        if config.frame_model == "background":
+            free = config.likelihood == "Poisson_fluence_free"
+            seen_background = background.join(own.select("i"), "i", "left_semi")
+            lit, known = estep.background_parts(seen, own, frames, seen_background)
+            met = cut(estep._background_likelihood(lit, known, templates, p_sums, free))
+            logr = cut(estep.with_unmet(met, known, p_sums, lambda wsum: estep.background_value(F.lit(0.0), wsum, free), floor))
+        else:
+            met = cut(estep.likelihood_blocks(seen, templates, frames, p_sums, config.likelihood, config.frame_model, floor))
+            dark = frames.join(seen.select("d").distinct(), "d", "left_anti")  # a frame with photons has met all templates
+            logr = cut(estep.with_unmet(met, dark, p_sums, lambda wsum: -estep.offset_of(config.likelihood, config.frame_model, wsum), floor))
     return templates, sums, logr, cut(estep.posterior(logr, beta, config.threshold))
 
 
@@ -153,15 +211,15 @@ def step(state: State, photons: DataFrame, weights: DataFrame, config: Config, b
     if config.frame_model == "background":
         for _ in range(config.inner):
             if config.update_model:
-                model = allowed(mstep.background_model(post, photons, frames, background, weights, state.voxels, model, config.size, config.dimensions, config.symmetry))
+                model = allowed(mstep.background_model(post, photons, frames, background, weights, state.voxels, model, state.grids))
             if config.update_fluence:
-                new = mstep.background_fluence(post, photons, frames, background, weights, templates_of(replace(state, model=model)), sums)
+                new = mstep.background_fluence(post, photons, frames, background, weights, templates_of(replace(state, model=model), config.interpolation), sums)
                 frames = _refreshed(frames, new.withColumnRenamed("x", "f"))
     else:
         if config.update_fluence and config.frame_model == "fluence":
             frames = _refreshed(frames, mstep.fluence(post, frames, sums).withColumnRenamed("fluence", "f"))
         if config.update_model:
-            model = allowed(mstep.merged_model(post, photons, frames, sums, weights, state.voxels, config.likelihood, config.frame_model, config.maximise, previous=model))
+            model = allowed(mstep.merged_model(post, photons, frames, sums, weights, state.voxels, config.likelihood, config.frame_model, config.maximise, state.grids, previous=model))
     return replace(state, frames=frames, model=model, logr=logr, post=post), post
 
 

@@ -172,7 +172,7 @@ def k_dot_logw(spark, sf):
 @query(f"{A} SELECT d, r, round(kw, 6) AS kw FROM kw")
 def k_dot_logw_blocks(spark, sf):
     e = Embeddings(spark, sf)
-    return estep.k_dot_log_w_blocks(e.photons, e.templates, 64).select("d", "r", *r6("kw"))
+    return estep.k_dot_log_w_blocks(e.photons, e.templates).select("d", "r", *r6("kw"))
 
 
 @query(f"{A} SELECT d, r, round(logr, 6) AS logr FROM lr")
@@ -338,7 +338,7 @@ def solve_native(spark, sf):
     b = Lineitems(spark, sf)
     terms = mstep.background_terms(b.post, b.photons, b.frames, b.background, b.weights, b.voxels).withColumn("b", F.col("b") + 0.1)
     constants = b.voxels.select("n").distinct().withColumn("c", F.lit(20.0))
-    return mstep.solve_groups_native(terms, constants, rounds=40).select("n", F.round("x", 5).alias("x"))
+    return mstep.solve_groups(terms, constants).select("n", F.round("x", 5).alias("x"))
 
 
 def _roots_sql(name: str, terms: str, constants: str, rounds: int = 70) -> str:
@@ -671,6 +671,126 @@ def orbit_representatives(spark, sf):
     return symmetry.orbit_representative(symmetry.voxels(spark, 5, 3), 5, 3, "D6")
 
 
+# ---- iterations from a first state
+
+
+def _scene_sql(kind: str, axes: int, photons: str, pad: int = 0, model: str = "coalesce(avg(p_retailprice) / 1000, 0.05)", size: int = 9) -> str:
+    """CTEs of a first state, its templates and its voxels: mk pixels with in_p, t0 templates, vx voxels, im images, md model,
+    ph photons and fr all frames."""
+    flat = "rot AS (SELECT range AS r, cos(2 * pi() * range / 12 + 0.37576737726076753) AS a00, -sin(2 * pi() * range / 12 + 0.37576737726076753) AS a01, 0.0 AS a02, sin(2 * pi() * range / 12 + 0.37576737726076753) AS a10, cos(2 * pi() * range / 12 + 0.37576737726076753) AS a11, 0.0 AS a12, 0.0 AS a20, 0.0 AS a21, 1.0 AS a22 FROM range(12))"
+    ops = _OPS if kind == "D6" and axes == 3 else "ops AS (SELECT 0 AS s, 1.0 AS s00, 0.0 AS s01, 0.0 AS s10, 1.0 AS s11)"
+    dq, mid = 2 * 0.12 / (size - 1), size // 2
+    m = ", ".join(f"(s{i}0 * a0{j} + s{i}1 * a1{j}) / {2 * dq!r}::DOUBLE AS m{i}{j}" for i in range(2) for j in range(3)) + ", " + ", ".join(f"a2{j} / {2 * dq!r}::DOUBLE AS m2{j}" for j in range(3))
+    u = ", ".join(f"(m{k}0 * x + m{k}1 * y + m{k}2 * z) / q + ({mid} - m{k}2) AS u{k}" for k in range(axes))
+    n = "0"
+    for k in range(axes):
+        n = f"({n}) * {size} + v{k}"
+    corners = []
+    for corner in range(1 << axes):
+        up = [corner >> (axes - 1 - k) & 1 for k in range(axes)]
+        at, ok, share = "0", " AND ".join(f"floor(u{k}) + {b} BETWEEN 0 AND {size - 1}" for k, b in enumerate(up)), " * ".join(f"(u{k} - floor(u{k}))" if b else f"(1 - u{k} + floor(u{k}))" for k, b in enumerate(up))
+        for k, b in enumerate(up):
+            at = f"({at}) * {size} + floor(u{k})::BIGINT + {b}"
+        corners.append(f"SELECT r, i, CASE WHEN {ok} THEN {at} END AS n, {share} AS share FROM co WHERE s = 0")
+    return f"""{photons}, px AS (SELECT (p_partkey % 64)::INT AS i, (p_partkey % 8 - 3.5::DOUBLE) * 0.02 + avg(p_size) * 1e-5::DOUBLE AS x, (p_partkey % 64 // 8 - 3.5::DOUBLE) * 0.02 AS y, 0.2::DOUBLE AS z, p_partkey % 64 % 13 <> 5 AS good FROM part GROUP BY i, p_partkey % 8, p_partkey % 64),
+q1 AS (SELECT *, sqrt(x * x + y * y + z * z) AS q FROM px), q2 AS (SELECT *, 0.0001::DOUBLE * z / (q * q * q) AS c0, sqrt(x / q / 2 * x / q / 2 + y / q / 2 * y / q / 2 + (z / q - 1) / 2 * (z / q - 1) / 2) AS qr FROM q1),
+q3 AS (SELECT *, c0 / (SELECT max(c0) FROM q2 WHERE good) AS c, (SELECT min(qr) FROM q2 WHERE good AND qr <= 0.12) AS low FROM q2),
+mk AS (SELECT i, x, y, z, q, c, qr >= low + {pad * dq!r}::DOUBLE AND qr <= 0.12 - {pad * dq!r}::DOUBLE AS in_p FROM q3 WHERE good AND qr <= 0.12),
+{_rotation_sql(1) if axes == 3 else flat}, {ops}, mp AS (SELECT s, r, {m} FROM rot, ops), co AS (SELECT s, r, i, {u} FROM mp, mk),
+md AS (SELECT range AS n, {model} AS value FROM range({size**axes}) LEFT JOIN part ON p_partkey % {size**axes} = range GROUP BY range),
+t0 AS (SELECT r, i, sum(share * coalesce(value, 0)) AS w FROM ({" UNION ALL ".join(corners)}) LEFT JOIN md USING (n) GROUP BY r, i),
+vx AS (SELECT r, i, ({n})::BIGINT AS n FROM (SELECT r, i, {", ".join(f"round_even(u{k}, 0)::BIGINT AS v{k}" for k in range(axes))} FROM co) WHERE {" AND ".join(f"v{k} BETWEEN 0 AND {size - 1}" for k in range(axes))}),
+{_images_sql(size, axes, kind)}"""
+
+
+def _step_sql(beta: float, free: bool = False, fluence: bool = False) -> str:
+    """CTEs of one iteration over all pairs of frames and templates: po posteriors, nw the model."""
+    offset = "ksum_p * ln(wsum)" if free else "wsum"
+    return f"""pe AS (SELECT ph.* FROM ph JOIN mk USING (i) WHERE in_p), pm AS (SELECT ph.* FROM ph JOIN mk USING (i)),
+fs AS (SELECT d, coalesce(ksum, 0) AS ksum, coalesce(ksum_p, 0) AS ksum_p FROM fr LEFT JOIN (SELECT d, sum(k) AS ksum FROM pm GROUP BY d) USING (d) LEFT JOIN (SELECT d, sum(k) AS ksum_p FROM pe GROUP BY d) USING (d)),
+wp AS (SELECT r, sum(c * w) AS wsum FROM t0 JOIN mk USING (i) WHERE in_p GROUP BY r HAVING sum(c * w) > 0), wm AS (SELECT r, sum(c * w) AS wsum FROM t0 JOIN mk USING (i) GROUP BY r HAVING sum(c * w) > 0),
+kw AS (SELECT d, r, sum(CASE WHEN w > 0 THEN k * ln(w) ELSE 0 END) AS kw FROM pe JOIN t0 USING (i) GROUP BY d, r),
+lr AS (SELECT fs.d, wp.r, coalesce(kw, 0) - {offset} AS logr FROM fs CROSS JOIN wp LEFT JOIN kw ON kw.d = fs.d AND kw.r = wp.r),
+pa AS (SELECT d, r, exp({beta!r}::DOUBLE * (logr - max(logr) OVER (PARTITION BY d))) AS p FROM lr),
+po AS (SELECT * FROM (SELECT d, r, p / sum(p) OVER (PARTITION BY d) AS p FROM (SELECT d, r, CASE WHEN p < 0.001 THEN 0 ELSE p END AS p FROM pa)) WHERE p > 0),
+fl AS (SELECT d, CASE WHEN ksum > 0 THEN ksum / sum(p * wsum) ELSE 1 END AS fluence FROM po JOIN wm USING (r) JOIN fs USING (d) GROUP BY d, ksum),
+ma AS (SELECT r, sum(p * {"ksum" if free else "fluence" if fluence else "1"}) AS mass FROM po JOIN fs USING (d) JOIN fl USING (d) GROUP BY r), nu AS (SELECT r, i, sum(p * k) AS num FROM po JOIN pm USING (d) GROUP BY r, i),
+ce AS (SELECT n, coalesce(num, 0) * {"wsum" if free else "1"} AS num, c * mass AS den FROM vx JOIN ma USING (r) JOIN mk USING (i) JOIN wm USING (r) LEFT JOIN nu USING (r, i)),
+sy AS (SELECT m::BIGINT AS n, sum(num) AS num, sum(den) AS den FROM ce JOIN im USING (n) GROUP BY m),
+nw AS (SELECT n::BIGINT AS n, round(CASE WHEN den > 0 THEN num / den ELSE value END, 5) AS value FROM md LEFT JOIN sy USING (n))"""
+
+
+_SUPPLIED = "ph AS (SELECT l_suppkey AS d, (l_partkey % 64)::INT AS i, count(*)::INT AS k FROM lineitem GROUP BY ALL), fr AS (SELECT s_suppkey AS d FROM supplier UNION ALL SELECT -1 - n_nationkey FROM nation)"
+_ORDERED = "ph AS (SELECT l_orderkey AS d, (l_partkey % 64)::INT AS i, count(*)::INT AS k FROM lineitem GROUP BY ALL), fr AS (SELECT o_orderkey AS d FROM orders UNION ALL SELECT -1 - n_nationkey FROM nation)"
+
+
+def _part_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector of 8 by 8 pixels, moved a little by the sizes of the parts that fall on each."""
+    i = (F.col("p_partkey") % 64).cast("int")
+    means = T.read(spark, sf_dir, "part").groupBy(i.alias("i")).agg(F.avg("p_size").alias("moved"))
+    return means.select("i", ((F.col("i") % 8 - 3.5) * 0.02 + F.col("moved") * 1e-5).alias("x"), ((F.floor(F.col("i") / 8) - 3.5) * 0.02).alias("y"), F.lit(0.2).alias("z"), (F.col("i") % 13 != 5).alias("good"))
+
+
+def _part_model(spark: SparkSession, sf_dir: str, cells: int, value=None) -> DataFrame:
+    """n, value: a voxel for each number below cells, by the prices of its parts."""
+    parts = T.read(spark, sf_dir, "part").select((F.col("p_partkey") % cells).alias("n"), "p_retailprice")
+    known = parts.groupBy("n").agg((F.avg("p_retailprice") / 1000).alias("price"))
+    return spark.range(cells).withColumnRenamed("id", "n").join(known, "n", "left").select("n", (value if value is not None else F.coalesce("price", F.lit(0.05))).alias("value"))
+
+
+def _scene(spark: SparkSession, sf_dir: str, kind: str, axes: int, key: str, pad: int = 0, value=None) -> tuple[em.State, DataFrame, DataFrame]:
+    """State, weights and photons of a detector made of parts, with a frame for each supplier (or order), and some dark ones."""
+    owners = {"l_suppkey": ("supplier", "s_suppkey"), "l_orderkey": ("orders", "o_orderkey")}[key]
+    photons = T.read(spark, sf_dir, "lineitem").groupBy(F.col(key).alias("d"), (F.col("l_partkey") % 64).cast("int").alias("i")).agg(F.count("*").cast("int").alias("k"))
+    frames = T.read(spark, sf_dir, owners[0]).select(F.col(owners[1]).alias("d")).unionByName(T.read(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("d")))
+    g = initial.Geometry(2.0, 0.0001, 9, 1 if axes == 3 else 12, axes, kind, q_max=0.12, p_inner=pad, p_outer=pad)
+    state, weights = initial.initialise(_part_pixels(spark, sf_dir), frames, g, 0.2, photons=photons, model=T.cut(_part_model(spark, sf_dir, 9**axes, value)))
+    return state, weights, photons
+
+
+def _once(spark: SparkSession, sf_dir: str, beta: float, scene: tuple, **options) -> em.State:
+    state, weights, photons = scene
+    return em.step(state, photons, weights, em.Config(iterations=1, beta_start=beta, beta_stop=beta, threshold=1e-3, **options), beta)[0]
+
+
+@query(f"WITH {_scene_sql('D6', 3, _SUPPLIED)}, {_step_sql(0.02)} SELECT n, value FROM nw")
+def em_initial_d6(spark, sf):
+    """The model after an iteration from a first state: read by interpolation under the first operator, merged under all, on
+    orbits of eight."""
+    return _once(spark, sf, 0.02, _scene(spark, sf, "D6", 3, "l_suppkey")).model.select("n", F.round("value", 5).alias("value"))
+
+
+@query(f"WITH {_scene_sql('P1', 3, _SUPPLIED)}, {_step_sql(0.02)} SELECT n, value FROM nw")
+def em_initial_p1(spark, sf):
+    return _once(spark, sf, 0.02, _scene(spark, sf, "P1", 3, "l_suppkey")).model.select("n", F.round("value", 5).alias("value"))
+
+
+@query(f"WITH {_scene_sql('inversion', 2, _SUPPLIED)}, {_step_sql(0.02, free=True)} SELECT n, value FROM nw")
+def em_symmetry(spark, sf):
+    """A fluence-free iteration of a flat model under inversion."""
+    return _once(spark, sf, 0.02, _scene(spark, sf, "inversion", 2, "l_suppkey"), likelihood="Poisson_fluence_free").model.select("n", F.round("value", 5).alias("value"))
+
+
+@query(f"WITH {_scene_sql('P1', 2, _SUPPLIED, pad=1)}, {_step_sql(0.02, fluence=True)} SELECT 'fluence' AS kind, d AS id, round(fluence, 5) AS value FROM fl UNION ALL SELECT 'wsum', r, round(wsum, 5) FROM wp UNION ALL SELECT 'model', n, value FROM nw UNION ALL SELECT 'ksum', d, ksum_p FROM fs WHERE ksum_p > 0")
+def em_two_masks(spark, sf):
+    """Expectation over fewer pixels than maximisation: fluences and model follow the mask, posteriors, sums and counts behind
+    them the padded one."""
+    state, weights, photons = scene = _scene(spark, sf, "P1", 2, "l_suppkey", pad=1)
+    done = _once(spark, sf, 0.02, scene, frame_model="fluence")
+    sums = estep.template_sums(em.templates_of(state), state.p_weights)
+    seen = estep.frame_sums(photons.join(state.p_weights, "i", "left_semi"))
+    rows = (done.frames.select("d", "fluence"), sums.select("r", "wsum"), done.model.select("n", "value"), seen.select("d", "ksum"))
+    named = [x.toDF("id", "value").select(F.lit(k).alias("kind"), F.col("id").cast("long").alias("id"), F.round(F.col("value").cast("double"), 5).alias("value")) for k, x in zip(("fluence", "wsum", "model", "ksum"), rows, strict=True)]
+    return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])
+
+
+@query(f"WITH {_scene_sql('P1', 2, _ORDERED, model='CASE WHEN range % 4 = 0 THEN coalesce(avg(p_retailprice) / 1000, 0.05) ELSE 0 END')}, {_step_sql(1.0)} SELECT d, r, round(p, 6) AS p FROM po")
+def em_sparse_templates(spark, sf):
+    """Posteriors where most frames and templates meet in no pixel, and some frames have no photons at all."""
+    scene = _scene(spark, sf, "P1", 2, "l_orderkey", value=F.when(F.col("n") % 4 == 0, F.coalesce("price", F.lit(0.05))).otherwise(0.0))
+    return _once(spark, sf, 1.0, scene, update_model=False).post.select("d", "r", *r6("p"))
+
+
 # ---- reports
 
 _AS = "asg AS (SELECT (o_orderkey // 500)::INT AS iteration, o_orderkey % 500 AS d, o_custkey % 4 AS c, o_custkey % 32 AS r FROM orders)"
