@@ -44,8 +44,10 @@ def in_duck(sql, **tables):
     con = duckdb.connect()
     for name, t in tables.items():
         con.register(name, t.toArrow())
-    out = con.execute(sql).df()
-    return Counter(tuple(None if x != x else x for x in r) for r in out[sorted(out.columns)].itertuples(index=False))
+    out = con.execute(sql)
+    names = [c[0] for c in out.description]
+    order = [names.index(c) for c in sorted(names)]
+    return Counter(tuple(r[k] for k in order) for r in out.fetchall())
 
 
 def rows_of(df):
