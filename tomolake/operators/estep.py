@@ -262,10 +262,12 @@ def beta_schedule(iterations: int, start: float, stop: float, strategy: str = "e
     raise ValueError(f"no strategy {strategy}")
 
 
-def predicted_frames(frames: DataFrame, templates: DataFrame, weights: DataFrame, background: DataFrame) -> DataFrame:
-    """d, r, i, f = fluence * c * w + bg_weight * v: what a frame would hold under each template."""
-    pixels = frames.join(background, F.col("bg_id") == F.col("b")).join(weights, "i")
-    return pixels.join(templates, "i").select("d", "r", "i", (F.col("fluence") * F.col("c") * F.col("w") + F.col("bg_weight") * F.col("v")).alias("f"))
+def predicted_frames(frames: DataFrame, templates: DataFrame, weights: DataFrame, background: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """d, r, i, f = fluence * c * w + bg_weight * v: what a frame would hold under each template, or under those that
+    pairs(d, r) names for it, so that no more is made than is asked for."""
+    known = frames.join(pairs.select("d", "r"), "d") if pairs is not None else frames
+    pixels = known.join(background, F.col("bg_id") == F.col("b")).join(weights, "i")
+    return pixels.join(templates, ["r", "i"] if pairs is not None else "i").select("d", "r", "i", (F.col("fluence") * F.col("c") * F.col("w") + F.col("bg_weight") * F.col("v")).alias("f"))
 
 
 def k_log_f(photons: DataFrame, frames: DataFrame, templates: DataFrame, weights: DataFrame, background: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomolake.functions.expressions import ravelled, unravelled
+from tomolake.functions.expressions import unravelled
 
 
 def running_offsets(sizes: DataFrame, key: str, size: str, bucket: int = 1 << 16) -> DataFrame:
@@ -32,6 +32,12 @@ def assignment_changes(assigned: DataFrame) -> DataFrame:
     return rows.groupBy("iteration").agg(changed("c", "c0").alias("class_changes"), changed("r", "r0").alias("orientation_changes"))
 
 
+def class_flows(assigned: DataFrame) -> DataFrame:
+    """iteration, c0, c, n: how many frames of assigned(iteration, d, c) were of class c0 the time before and are of c."""
+    line = Window.partitionBy("d").orderBy("iteration")
+    return assigned.withColumn("c0", F.lag("c").over(line)).where("c0 IS NOT NULL").groupBy("iteration", "c0", "c").agg(F.count("*").alias("n"))
+
+
 def class_histogram(assigned: DataFrame, labels: DataFrame) -> DataFrame:
     """label, c, n for every label and class, zeros included."""
     grid = labels.select("label").distinct().crossJoin(assigned.select("c").distinct())
@@ -97,10 +103,6 @@ def blob(grid: DataFrame, size: int, widths: tuple[float, ...]) -> DataFrame:
     return grid.select("n", F.exp(-sum(((i - size // 2) / w) ** 2 / 2 for i, w in zip(index, widths, strict=True))).alias("value"))
 
 
-def full_index(*index, size: int):
-    return ravelled(*index, size=size)
-
-
 def background_counts(frames: DataFrame, background: DataFrame) -> DataFrame:
     """d, total: the background integrated over all pixels, aggregated per dictionary entry before the join."""
     sums = background.groupBy("b").agg(F.sum("v").alias("vsum"))

@@ -249,9 +249,12 @@ def iteration_summary(spark, sf):
     return each.agg(F.round(F.avg("q"), 6).alias("q"), F.round(F.avg("p_max"), 6).alias("p_max"))
 
 
-@query("SELECT range::INT AS i, round(0.001 * power(0.1 / 0.001, range / 9.0), 9) AS beta FROM range(10)")
+@query("WITH it AS (SELECT DISTINCT (o_orderkey // 500)::INT AS i FROM orders) SELECT i, round(0.001 * power(0.1 / 0.001, i / greatest((SELECT max(i) FROM it), 1)::DOUBLE), 9) AS beta FROM it")
 def beta_schedule(spark, sf):
-    return spark.createDataFrame([(i, round(b, 9)) for i, b in enumerate(estep.beta_schedule(10, 0.001, 0.1))], "i int, beta double")
+    """The temperature of every iteration that orders were assigned in."""
+    done = T.read(spark, sf, "orders").select(F.floor(F.col("o_orderkey") / 500).cast("int").alias("i")).distinct()
+    betas = estep.beta_schedule(done.agg(F.max("i")).first()[0] + 1, 0.001, 0.1)
+    return done.join(spark.createDataFrame(list(enumerate(betas)), "i int, beta double"), "i").select("i", F.round("beta", 9).alias("beta"))
 
 
 # ---- maximisation
@@ -492,36 +495,69 @@ def em_background(spark, sf):
 
 # ---- geometry
 
-_PX = """px AS (SELECT range::INT AS i, (range % 16 - 7.5::DOUBLE) * 0.01 AS x, (range // 16 - 7.5::DOUBLE) * 0.01 AS y, 0.2::DOUBLE AS z, range % 37 <> 5 AS good FROM range(256)),
+#: A pixel for each number below 256 that a part has, moved a little by the parts' sizes; a voxel for each number below
+#: cells that a part has, with the parts' mean price.
+_PX = """px AS (SELECT i, (i % 16 - 7.5::DOUBLE) * 0.01 + moved * 1e-5::DOUBLE AS x, (i // 16 - 7.5::DOUBLE) * 0.01 AS y, 0.2::DOUBLE AS z, i % 37 <> 5 AS good FROM (SELECT (p_partkey % 256)::INT AS i, avg(p_size) AS moved FROM part GROUP BY 1)),
 q1 AS (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM px),
 q2 AS (SELECT *, x / r / 2 AS qx, y / r / 2 AS qy, (z / r - 1) / 2 AS qz, 0.0001::DOUBLE * z / (r * r * r) * (1 - (x / r) * (x / r)) AS c0 FROM q1),
 q3 AS (SELECT *, sqrt(qx * qx + qy * qy + qz * qz) AS qr, c0 / (SELECT max(c0) FROM q2 WHERE good) AS c FROM q2)"""
 
 
-def _pixels(spark: SparkSession) -> DataFrame:
-    i = F.col("id")
-    rows = spark.range(256).select(i.cast("int").alias("i"), ((i % 16 - 7.5) * 0.01).alias("x"), ((F.floor(i / 16) - 7.5) * 0.01).alias("y"), F.lit(0.2).alias("z"), (i % 37 != 5).alias("good"))
-    return geometry.scattering(rows, 2.0, 0.0001, polarisation="x")
+def _detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, part = F.col("i"), (F.col("p_partkey") % 256).cast("int").alias("i")
+    rows = T.read(spark, sf_dir, "part").groupBy(part).agg(F.avg("p_size").alias("moved"))
+    return rows.select("i", ((i % 16 - 7.5) * 0.01 + F.col("moved") * 1e-5).alias("x"), ((F.floor(i / 16) - 7.5) * 0.01).alias("y"), F.lit(0.2).alias("z"), (i % 37 != 5).alias("good"))
+
+
+def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.scattering(_detector(spark, sf_dir), 2.0, 0.0001, polarisation="x")
+
+
+def _vo(cells: int) -> str:
+    return f"vo AS (SELECT p_partkey % {cells} AS n, avg(p_retailprice) / 1000 AS value FROM part GROUP BY 1)"
+
+
+def _part_voxels(spark: SparkSession, sf_dir: str, cells: int) -> DataFrame:
+    return T.read(spark, sf_dir, "part").groupBy((F.col("p_partkey") % cells).alias("n")).agg((F.avg("p_retailprice") / 1000).alias("value"))
+
+
+#: A direction for each supplier.
+_DIR = "dir AS (SELECT s_suppkey, cos(s_acctbal) AS v0, sin(s_acctbal) AS v1, (s_suppkey % 7) / 7.0::DOUBLE AS v2 FROM supplier)"
+
+
+def _turned(spark: SparkSession, sf_dir: str, turns: DataFrame, of: int, name: str = "a", key: str = "r") -> DataFrame:
+    """s_suppkey, y0 .. y2: each supplier's direction under the turn of its number."""
+    rows = T.read(spark, sf_dir, "supplier").select("s_suppkey", F.cos("s_acctbal").alias("v0"), F.sin("s_acctbal").alias("v1"), (F.col("s_suppkey") % 7 / 7.0).alias("v2"))
+    met = rows.join(turns, F.col("s_suppkey") % of == F.col(key))
+    return met.select("s_suppkey", *[F.round(sum((F.col(f"{name}{a}{b}") * F.col(f"v{b}") for b in range(1, 3)), F.col(f"{name}{a}0") * F.col("v0")), 6).alias(f"y{a}") for a in range(3)])
+
+
+def _turned_sql(of: int, key: str = "r", name: str = "a") -> str:
+    return "SELECT s_suppkey, " + ", ".join(f"round({name}{a}0 * v0 + {name}{a}1 * v1 + {name}{a}2 * v2, 6) AS y{a}" for a in range(3)) + f" FROM dir JOIN rot ON {key} = s_suppkey % {of}"
 
 
 @query(f"WITH {_PX} SELECT i, round(qx, 6) AS qx, round(qy, 6) AS qy, round(qz, 6) AS qz, round(qr, 6) AS qr, round(c, 6) AS c FROM q3")
 def pixel_geometry(spark, sf):
-    return _pixels(spark).select("i", *r6("qx", "qy", "qz", "qr", "c"))
+    return _pixels(spark, sf).select("i", *r6("qx", "qy", "qz", "qr", "c"))
 
 
 @query(f"WITH {_PX} SELECT i, good AND qr <= 0.15 AS in_mask FROM q3")
 def resolution_mask(spark, sf):
-    return geometry.masked(_pixels(spark), 0.15).select("i", "in_mask")
+    return geometry.masked(_pixels(spark, sf), 0.15).select("i", "in_mask")
 
 
 @query(f"WITH {_PX}, k AS (SELECT *, good AND qr <= 0.2 AS kept FROM q3), l AS (SELECT *, min(CASE WHEN kept THEN qr END) OVER () AS low FROM k) SELECT i, kept AND qr >= low + 1 * 0.02 AND qr <= 0.2 - 1 * 0.02 AS in_mask, kept AND qr >= low + 2 * 0.02 AND qr <= 0.2 - 2 * 0.02 AS in_p_mask FROM l")
 def voxel_cut_mask(spark, sf):
-    return geometry.masked(_pixels(spark), 0.2, 0.02, 1, 1, 1, 1).select("i", "in_mask", "in_p_mask")
+    return geometry.masked(_pixels(spark, sf), 0.2, 0.02, 1, 1, 1, 1).select("i", "in_mask", "in_p_mask")
 
 
-@query("SELECT range AS r, round(cos(2 * pi() * range / 12 + 0.37576737726076753), 6) AS a00, round(-sin(2 * pi() * range / 12 + 0.37576737726076753), 6) AS a01, round(sin(2 * pi() * range / 12 + 0.37576737726076753), 6) AS a10, round(cos(2 * pi() * range / 12 + 0.37576737726076753), 6) AS a11 FROM range(12)")
+_FLAT = "rot AS (SELECT range AS r, cos(2 * pi() * range / 12 + 0.37576737726076753) AS a00, -sin(2 * pi() * range / 12 + 0.37576737726076753) AS a01, 0.0 AS a02, sin(2 * pi() * range / 12 + 0.37576737726076753) AS a10, cos(2 * pi() * range / 12 + 0.37576737726076753) AS a11, 0.0 AS a12, 0.0 AS a20, 0.0 AS a21, 1.0 AS a22 FROM range(12))"
+
+
+@query(f"WITH {_DIR}, {_FLAT} {_turned_sql(12)}")
 def rotations_2d(spark, sf):
-    return geometry.rotations_2d(spark, 12).select("r", *r6("a00", "a01", "a10", "a11"))
+    """Directions turned in the plane."""
+    return _turned(spark, sf, geometry.rotations(spark, 12, 2), 12)
 
 
 def _rotation_sql(order: int) -> str:
@@ -535,28 +571,28 @@ def _rotation_sql(order: int) -> str:
     h AS (SELECT r, cos(p) AS cp, sin(p) AS sp, cos(f) AS cf, sin(f) AS sf, cos(t) AS ct, sin(t) AS st FROM g), rot AS (SELECT r, {cells} FROM h)"""
 
 
-_NAMES = [f"a{a}{b}" for a in range(3) for b in range(3)]
-
-
-@query(f"WITH {_rotation_sql(4)} SELECT r, {', '.join(f'round({n}, 6) AS {n}' for n in _NAMES)} FROM rot")
+@query(f"WITH {_DIR}, {_rotation_sql(4)} {_turned_sql(663)}")
 def rotations_3d(spark, sf):
-    return geometry.rotations_3d(spark, 4).select("r", *r6(*_NAMES))
+    """Directions turned by near-uniform rotations."""
+    return _turned(spark, sf, geometry.rotations(spark, 4, 3), 663)
 
 
 _OPS = "ops AS (SELECT s, cos(t) AS s00, -sin(t) AS s01, sin(t) AS s10, cos(t) AS s11 FROM (VALUES (0, pi() / 3), (1, 2 * pi() / 3), (2, pi())) v(s, t))"
 _MAPQ = ", ".join(f"(scale / 0.04) * (s{i}0 * a0{j} + s{i}1 * a1{j}) AS m{i}{j}" for i in range(2) for j in range(3)) + ", " + ", ".join(f"(scale / 0.04) * a2{j} AS m2{j}" for j in range(3))
-_MAP = f"WITH {_rotation_sql(1)}, {_OPS}, mp AS (SELECT s, (scale_id * 2 + offset_id) * 20 + r AS r, scale_id, dx, dy, dz, {_MAPQ} FROM rot, ops, (VALUES (0, 1.0::DOUBLE), (1, 1.1::DOUBLE)) sc(scale_id, scale), (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0.01::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE)) f(offset_id, dx, dy, dz))"
+_SCALES = "sc AS (SELECT (s_suppkey % 2)::INT AS scale_id, 1 + avg(abs(s_acctbal)) / 100000 AS scale FROM supplier GROUP BY 1)"
+_MAP = f"WITH {_rotation_sql(1)}, {_OPS}, {_SCALES}, mp AS (SELECT s, (scale_id * 2 + offset_id) * 20 + r AS r, scale_id, dx, dy, dz, {_MAPQ} FROM rot, ops, sc, (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0.01::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE)) f(offset_id, dx, dy, dz))"
 
 
-def _mapping(spark: SparkSession) -> DataFrame:
-    scales = spark.createDataFrame([(0, 1.0), (1, 1.1)], "scale_id int, scale double")
+def _mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapping rows at two scales, by the suppliers' mean balances."""
+    scales = T.read(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % 2).cast("int").alias("scale_id")).agg((1 + F.avg(F.abs("s_acctbal")) / 100000).alias("scale"))
     offsets = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 0.01, 0.0, 0.0)], "offset_id int, dx double, dy double, dz double")
     return geometry.mapping(geometry.rotations_3d(spark, 1), symmetry.rotation_operators(spark, "D6"), scales, offsets, 2.0, 0.02, 16)
 
 
 @query(f"{_MAP} SELECT s, r, dx, " + ", ".join(f"round(8 - m{i}2, 6) AS b{i}" for i in range(3)) + ", " + ", ".join(f"round(m{i}{j}, 6) AS m{i}{j}" for i in range(3) for j in range(3)) + " FROM mp")
 def mapping_rows(spark, sf):
-    return _mapping(spark).select("s", "r", "dx", *r6("b0", "b1", "b2", *(f"m{i}{j}" for i in range(3) for j in range(3))))
+    return _mapping(spark, sf).select("s", "r", "dx", *r6("b0", "b1", "b2", *(f"m{i}{j}" for i in range(3) for j in range(3))))
 
 
 _UV = f"{_MAP}, {_PX.replace('q1 AS', 'q1_ AS').split('q1_ AS')[0].rstrip().rstrip(',')}, co AS (SELECT s, r, i, " + ", ".join(f"(m{k}0 * (x - dx) + m{k}1 * (y - dy) + m{k}2 * (z - dz)) / sqrt((x - dx) * (x - dx) + (y - dy) * (y - dy) + (z - dz) * (z - dz)) + (8 - m{k}2) AS u{k}" for k in range(3)) + " FROM mp, px)"
@@ -564,16 +600,18 @@ _UV = f"{_MAP}, {_PX.replace('q1 AS', 'q1_ AS').split('q1_ AS')[0].rstrip().rstr
 
 @query(f"{_UV}, v AS (SELECT s, r, i, round_even(u0, 0)::BIGINT AS a, round_even(u1, 0)::BIGINT AS b, round_even(u2, 0)::BIGINT AS c FROM co) SELECT s, r, i, (a * 16 + b) * 16 + c AS n FROM v WHERE a BETWEEN 0 AND 15 AND b BETWEEN 0 AND 15 AND c BETWEEN 0 AND 15")
 def voxel_index(spark, sf):
-    return geometry.voxel_index(geometry.voxel_coordinates(_pixels(spark), _mapping(spark)), 16)
+    return geometry.voxel_index(geometry.voxel_coordinates(_pixels(spark, sf), _mapping(spark, sf)), 16)
 
 
-_GRID2 = "md AS (SELECT range AS n, ((range * 1103515245 + 12345) % 2147483648) / 2147483648.0::DOUBLE AS value FROM range(64)), co AS (SELECT range AS i, (range % 23) * 0.43::DOUBLE - 0.9 AS u0, (range % 19) * 0.51::DOUBLE - 0.7 AS u1 FROM range(400))"
-_GRID3 = _GRID2.replace("range(64)", "range(512)").replace("AS u1 FROM", "AS u1, (range % 17) * 0.57::DOUBLE - 0.8 AS u2 FROM")
+_GRID2 = _vo(64).replace("vo AS", "md AS") + ", co AS (SELECT l_partkey * 1000000 + l_suppkey AS i, (l_partkey % 23) * 0.43171::DOUBLE - 0.9 AS u0, (l_suppkey % 19) * 0.51237::DOUBLE - 0.7 AS u1 FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem))"
+_GRID3 = _GRID2.replace("% 64", "% 512").replace("AS u1 FROM", "AS u1, ((l_partkey + l_suppkey) % 17) * 0.57413::DOUBLE - 0.8 AS u2 FROM")
 
 
-def _points(spark: SparkSession, axes: int) -> DataFrame:
-    i = F.col("id")
-    return spark.range(400).select(i.alias("i"), *[(i % m * s - o).alias(f"u{k}") for k, (m, s, o) in enumerate(((23, 0.43, 0.9), (19, 0.51, 0.7), (17, 0.57, 0.8)))][:axes])
+def _points(spark: SparkSession, sf_dir: str, axes: int) -> DataFrame:
+    """A point for each part and supplier that met in an order."""
+    rows = T.read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    at = ((F.col("l_partkey"), 23, 0.43171, 0.9), (F.col("l_suppkey"), 19, 0.51237, 0.7), (F.col("l_partkey") + F.col("l_suppkey"), 17, 0.57413, 0.8))[:axes]
+    return rows.select((F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("i"), *[(c % m * s - o).alias(f"u{k}") for k, (c, m, s, o) in enumerate(at)])
 
 
 def _corner_sql(axes: int) -> str:
@@ -587,88 +625,87 @@ def _corner_sql(axes: int) -> str:
             n = f"({n}) * 8 + {c}0 + {u}"
         share = " * ".join(f"{c}f" if u else f"(1 - {c}f)" for c, u in zip(names, up))
         parts.append(f"SELECT i, CASE WHEN {ok} THEN {n} END AS n, {share} AS share FROM cc")
-    return f", cc AS (SELECT i, {at} FROM co), sp AS ({' UNION ALL '.join(parts)}) SELECT i, round(sum(share * coalesce(value, 0)), 6) AS w FROM sp LEFT JOIN md USING (n) GROUP BY i"
+    return f", cc AS (SELECT i, {at} FROM co), sp AS ({' UNION ALL '.join(parts)}) SELECT i, round(sum(share * coalesce(value, 0)) + 1e-9, 5) AS w FROM sp LEFT JOIN md USING (n) GROUP BY i"
 
 
 @query(f"WITH {_GRID2}, nn AS (SELECT i, floor(u0 + 0.5)::BIGINT AS a, floor(u1 + 0.5)::BIGINT AS b FROM co) SELECT i, round(coalesce(value, 0), 6) AS w FROM nn LEFT JOIN md ON a BETWEEN 0 AND 7 AND b BETWEEN 0 AND 7 AND n = a * 8 + b")
 def sample_nearest(spark, sf):
-    model = report.random_model(symmetry.voxels(spark, 8, 2))
-    return geometry.sampled(_points(spark, 2), model, 8, 2, "nearest", ("i",)).select("i", *r6("w"))
+    return geometry.sampled(_points(spark, sf, 2), _part_voxels(spark, sf, 64), 8, 2, "nearest", ("i",)).select("i", *r6("w"))
 
 
 @query(f"WITH {_GRID2}{_corner_sql(2)}")
 def sample_linear_2d(spark, sf):
-    return geometry.sampled(_points(spark, 2), report.random_model(symmetry.voxels(spark, 8, 2)), 8, 2, keys=("i",)).select("i", *r6("w"))
+    return geometry.sampled(_points(spark, sf, 2), _part_voxels(spark, sf, 64), 8, 2, keys=("i",)).select("i", F.round(F.col("w") + 1e-9, 5).alias("w"))
 
 
 @query(f"WITH {_GRID3}{_corner_sql(3)}")
 def sample_linear_3d(spark, sf):
-    return geometry.sampled(_points(spark, 3), report.random_model(symmetry.voxels(spark, 8, 3)), 8, 3, keys=("i",)).select("i", *r6("w"))
+    return geometry.sampled(_points(spark, sf, 3), _part_voxels(spark, sf, 512), 8, 3, keys=("i",)).select("i", F.round(F.col("w") + 1e-9, 5).alias("w"))
 
 
-@query(f"SELECT i, round(CASE WHEN w > 0 THEN ln(w) ELSE 0 END, 4) AS lw FROM (WITH {_GRID2}{_corner_sql(2).replace('round(sum(share * coalesce(value, 0)), 6)', 'sum(share * coalesce(value, 0))')})")
+@query(f"SELECT i, round(CASE WHEN w > 1e-9 THEN ln(w) ELSE 0 END, 4) AS lw FROM (WITH {_GRID2}{_corner_sql(2).replace('round(sum(share * coalesce(value, 0)) + 1e-9, 5)', 'sum(share * coalesce(value, 0))')})")
 def sample_log(spark, sf):
-    w = geometry.sampled(_points(spark, 2), report.random_model(symmetry.voxels(spark, 8, 2)), 8, 2, keys=("i",))
-    return w.select("i", F.round(positive_log(F.col("w")), 4).alias("lw"))
+    w = geometry.sampled(_points(spark, sf, 2), _part_voxels(spark, sf, 64), 8, 2, keys=("i",))
+    return w.select("i", F.round(positive_log(F.when(F.col("w") > 1e-9, F.col("w")).otherwise(0.0)), 4).alias("lw"))
 
 
 # ---- symmetry
 
 
-def _images_sql(size: int, axes: int, kind: str) -> str:
-    """(n, m): every voxel and its image under every operation that keeps it in the grid."""
+def _images_sql(size: int, axes: int, kind: str, of: str | None = None) -> str:
+    """(n, m): every voxel, or those of a table, and its image under every operation that keeps it in the grid."""
     flips = {"P1": ["0"], "inversion": ["0", str((1 << axes) - 1)], "D6": [str(k) for k in range(1 << axes)]}[kind]
     index = [f"(n // {size ** (axes - 1 - k)}) % {size}" for k in range(axes)]
     at = [f"CASE WHEN (f >> {k}) & 1 = 1 THEN {2 * (size // 2)} - x{k} ELSE x{k} END AS y{k}" for k in range(axes)]
     n = "0"
     for k in range(axes):
         n = f"({n}) * {size} + y{k}"
-    inner = f"SELECT n, f, {', '.join(f'{e} AS x{k}' for k, e in enumerate(index))} FROM (SELECT range AS n FROM range({size ** axes})), (VALUES {', '.join(f'({f})' for f in flips)}) v(f)"
+    grid = f"SELECT n FROM {of}" if of else f"SELECT range AS n FROM range({size ** axes})"
+    inner = f"SELECT n, f, {', '.join(f'{e} AS x{k}' for k, e in enumerate(index))} FROM ({grid}), (VALUES {', '.join(f'({f})' for f in flips)}) v(f)"
     return f"im AS (SELECT n, {n} AS m FROM (SELECT n, {', '.join(at)} FROM ({inner})) WHERE {' AND '.join(f'y{k} < {size}' for k in range(axes))})"
 
 
-@query("SELECT range AS n FROM range(64)")
+_V16, _V15, _V63 = _vo(16**3), _vo(15**3), _vo(63**2)
+
+
+@query(f"WITH {_V16} SELECT n FROM vo")
 def asym_unit_p1(spark, sf):
-    return symmetry.asymmetric_unit(symmetry.voxels(spark, 4, 3), 4, 3, "P1")
+    return symmetry.asymmetric_unit(_part_voxels(spark, sf, 16**3), 16, 3, "P1")
 
 
-@query("SELECT range AS n FROM range(64) WHERE range // 16 <= 2")
+@query(f"WITH {_V16} SELECT n FROM vo WHERE n // 256 <= 8")
 def asym_unit_inversion(spark, sf):
-    return symmetry.asymmetric_unit(symmetry.voxels(spark, 4, 3), 4, 3, "inversion")
+    return symmetry.asymmetric_unit(_part_voxels(spark, sf, 16**3), 16, 3, "inversion")
 
 
-@query("SELECT range AS n FROM range(125) WHERE range // 25 <= 2 AND (range // 5) % 5 <= 2 AND range % 5 <= 2")
+@query(f"WITH {_V15} SELECT n FROM vo WHERE n // 225 <= 7 AND (n // 15) % 15 <= 7 AND n % 15 <= 7")
 def asym_unit_d6(spark, sf):
-    return symmetry.asymmetric_unit(symmetry.voxels(spark, 5, 3), 5, 3, "D6")
+    return symmetry.asymmetric_unit(_part_voxels(spark, sf, 15**3), 15, 3, "D6")
 
 
-@query(f"WITH {_images_sql(4, 3, 'D6')} SELECT DISTINCT n, m::BIGINT AS partner FROM im")
+@query(f"WITH {_V16}, {_images_sql(16, 3, 'D6', 'vo')} SELECT DISTINCT n, m::BIGINT AS partner FROM im")
 def symmetry_partners(spark, sf):
-    return symmetry.partners(symmetry.voxels(spark, 4, 3), 4, 3, "D6")
+    return symmetry.partners(_part_voxels(spark, sf, 16**3), 16, 3, "D6")
 
 
-def _symmetrised_sql(size: int, axes: int, kind: str) -> str:
-    return f"WITH {_images_sql(size, axes, kind)} SELECT m::BIGINT AS n, round(sum(((n * 1103515245 + 12345) % 2147483648) / 2147483648.0::DOUBLE), 6) AS value FROM im GROUP BY m"
-
-
-@query(_symmetrised_sql(5, 2, "inversion"))
+@query(f"WITH {_V63}, {_images_sql(63, 2, 'inversion', 'vo')} SELECT m::BIGINT AS n, round(sum(value), 6) AS value FROM im JOIN vo USING (n) GROUP BY m")
 def apply_symmetry_2d(spark, sf):
-    return symmetry.symmetrised(report.random_model(symmetry.voxels(spark, 5, 2)), ["value"], 5, 2, "inversion").select("n", *r6("value"))
+    return symmetry.symmetrised(_part_voxels(spark, sf, 63**2), ["value"], 63, 2, "inversion").select("n", *r6("value"))
 
 
-@query(_symmetrised_sql(4, 3, "D6"))
+@query(f"WITH {_V16}, {_images_sql(16, 3, 'D6', 'vo')} SELECT m::BIGINT AS n, round(sum(value), 6) AS value FROM im JOIN vo USING (n) GROUP BY m")
 def apply_symmetry_3d(spark, sf):
-    return symmetry.symmetrised(report.random_model(symmetry.voxels(spark, 4, 3)), ["value"], 4, 3, "D6").select("n", *r6("value"))
+    return symmetry.symmetrised(_part_voxels(spark, sf, 16**3), ["value"], 16, 3, "D6").select("n", *r6("value"))
 
 
-@query(f"WITH {_images_sql(4, 3, 'D6')} SELECT m::BIGINT AS n, count(*) AS times FROM im GROUP BY m")
+@query(f"WITH {_V16}, {_images_sql(16, 3, 'D6', 'vo')} SELECT m::BIGINT AS n, count(*) AS times FROM im GROUP BY m")
 def multiplicity(spark, sf):
-    return symmetry.multiplicity(symmetry.voxels(spark, 4, 3), 4, 3, "D6")
+    return symmetry.multiplicity(_part_voxels(spark, sf, 16**3), 16, 3, "D6")
 
 
-@query(f"WITH {_images_sql(5, 3, 'D6')} SELECT n, min(m)::BIGINT AS rep FROM im GROUP BY n")
+@query(f"WITH {_V15}, {_images_sql(15, 3, 'D6', 'vo')} SELECT n, min(m)::BIGINT AS rep FROM im GROUP BY n")
 def orbit_representatives(spark, sf):
-    return symmetry.orbit_representative(symmetry.voxels(spark, 5, 3), 5, 3, "D6")
+    return symmetry.orbit_representative(_part_voxels(spark, sf, 15**3).select("n"), 15, 3, "D6")
 
 
 # ---- iterations from a first state
@@ -677,7 +714,6 @@ def orbit_representatives(spark, sf):
 def _scene_sql(kind: str, axes: int, photons: str, pad: int = 0, model: str = "coalesce(avg(p_retailprice) / 1000, 0.05)", size: int = 9) -> str:
     """CTEs of a first state, its templates and its voxels: mk pixels with in_p, t0 templates, vx voxels, im images, md model,
     ph photons and fr all frames."""
-    flat = "rot AS (SELECT range AS r, cos(2 * pi() * range / 12 + 0.37576737726076753) AS a00, -sin(2 * pi() * range / 12 + 0.37576737726076753) AS a01, 0.0 AS a02, sin(2 * pi() * range / 12 + 0.37576737726076753) AS a10, cos(2 * pi() * range / 12 + 0.37576737726076753) AS a11, 0.0 AS a12, 0.0 AS a20, 0.0 AS a21, 1.0 AS a22 FROM range(12))"
     ops = _OPS if kind == "D6" and axes == 3 else "ops AS (SELECT 0 AS s, 1.0 AS s00, 0.0 AS s01, 0.0 AS s10, 1.0 AS s11)"
     dq, mid = 2 * 0.12 / (size - 1), size // 2
     m = ", ".join(f"(s{i}0 * a0{j} + s{i}1 * a1{j}) / {2 * dq!r}::DOUBLE AS m{i}{j}" for i in range(2) for j in range(3)) + ", " + ", ".join(f"a2{j} / {2 * dq!r}::DOUBLE AS m2{j}" for j in range(3))
@@ -696,7 +732,7 @@ def _scene_sql(kind: str, axes: int, photons: str, pad: int = 0, model: str = "c
 q1 AS (SELECT *, sqrt(x * x + y * y + z * z) AS q FROM px), q2 AS (SELECT *, 0.0001::DOUBLE * z / (q * q * q) AS c0, sqrt(x / q / 2 * x / q / 2 + y / q / 2 * y / q / 2 + (z / q - 1) / 2 * (z / q - 1) / 2) AS qr FROM q1),
 q3 AS (SELECT *, c0 / (SELECT max(c0) FROM q2 WHERE good) AS c, (SELECT min(qr) FROM q2 WHERE good AND qr <= 0.12) AS low FROM q2),
 mk AS (SELECT i, x, y, z, q, c, qr >= low + {pad * dq!r}::DOUBLE AND qr <= 0.12 - {pad * dq!r}::DOUBLE AS in_p FROM q3 WHERE good AND qr <= 0.12),
-{_rotation_sql(1) if axes == 3 else flat}, {ops}, mp AS (SELECT s, r, {m} FROM rot, ops), co AS (SELECT s, r, i, {u} FROM mp, mk),
+{_rotation_sql(1) if axes == 3 else _FLAT}, {ops}, mp AS (SELECT s, r, {m} FROM rot, ops), co AS (SELECT s, r, i, {u} FROM mp, mk),
 md AS (SELECT range AS n, {model} AS value FROM range({size**axes}) LEFT JOIN part ON p_partkey % {size**axes} = range GROUP BY range),
 t0 AS (SELECT r, i, sum(share * coalesce(value, 0)) AS w FROM ({" UNION ALL ".join(corners)}) LEFT JOIN md USING (n) GROUP BY r, i),
 vx AS (SELECT r, i, ({n})::BIGINT AS n FROM (SELECT r, i, {", ".join(f"round_even(u{k}, 0)::BIGINT AS v{k}" for k in range(axes))} FROM co) WHERE {" AND ".join(f"v{k} BETWEEN 0 AND {size - 1}" for k in range(axes))}),
@@ -806,7 +842,10 @@ def class_changes(spark, sf):
     return report.assignment_changes(_assigned(spark, sf))
 
 
-QUERIES["class_changes_all"], SQL["class_changes_all"] = class_changes, SQL["class_changes"]
+@query(f"WITH {_AS}, x AS (SELECT *, lag(c) OVER w AS c0 FROM asg WINDOW w AS (PARTITION BY d ORDER BY iteration)) SELECT iteration, c0, c, count(*) AS n FROM x WHERE c0 IS NOT NULL GROUP BY ALL")
+def class_changes_all(spark, sf):
+    """From which class to which frames went in every iteration."""
+    return report.class_flows(_assigned(spark, sf))
 
 
 _HS = f"{A}, hard AS (SELECT d, r AS c FROM po QUALIFY row_number() OVER (PARTITION BY d ORDER BY p DESC, r) = 1), lb AS (SELECT vec_id AS d, label % 3 AS label FROM embeddings), hs AS (SELECT label, c, coalesce(n, 0) AS n FROM (SELECT DISTINCT label FROM lb) CROSS JOIN (SELECT DISTINCT c FROM hard) LEFT JOIN (SELECT label, c, count(*) AS n FROM hard JOIN lb USING (d) GROUP BY ALL) USING (label, c))"
@@ -855,24 +894,23 @@ def rms_change(spark, sf):
     return report.rms_change(mean("l_linenumber <= 3"), mean("l_linenumber > 3"), "i").select(*r6("rms"))
 
 
-_M8 = "md AS (SELECT range AS n, range // 64 AS i, (range // 8) % 8 AS j, range % 8 AS k, ((range * 1103515245 + 12345) % 2147483648) / 2147483648.0::DOUBLE AS value FROM range(512))"
-_SL = f"WITH {_M8}, sl AS (SELECT 0 AS axis, j AS u, k AS v, value FROM md WHERE i = 4 UNION ALL SELECT 1, i, k, value FROM md WHERE j = 4 UNION ALL SELECT 2, i, j, value FROM md WHERE k = 4)"
+_SL = f"WITH {_V16}, md AS (SELECT value, n // 256 AS i, (n // 16) % 16 AS j, n % 16 AS k FROM vo), sl AS (SELECT 0 AS axis, j AS u, k AS v, value FROM md WHERE i = 8 UNION ALL SELECT 1, i, k, value FROM md WHERE j = 8 UNION ALL SELECT 2, i, j, value FROM md WHERE k = 8)"
 
 
 @query(f"{_SL} SELECT axis::INT AS axis, u::INT AS u, v::INT AS v, round(value, 6) AS value FROM sl")
 def model_slices(spark, sf):
-    return report.central_slices(report.random_model(symmetry.voxels(spark, 8, 3)), 8).select("axis", "u", "v", *r6("value"))
+    return report.central_slices(_part_voxels(spark, sf, 16**3), 16).select("axis", "u", "v", *r6("value"))
 
 
-@query(f"{_SL} SELECT ((axis // 2) * 8 + u)::BIGINT AS row, ((axis % 2) * 8 + v)::BIGINT AS col, round(value, 6) AS value FROM sl")
+@query(f"{_SL} SELECT ((axis // 2) * 16 + u)::BIGINT AS row, ((axis % 2) * 16 + v)::BIGINT AS col, round(value, 6) AS value FROM sl")
 def mosaic(spark, sf):
-    slices = report.central_slices(report.random_model(symmetry.voxels(spark, 8, 3)), 8).withColumnRenamed("axis", "tile")
-    return report.mosaic(slices, 8, 3).select("row", "col", *r6("value"))
+    slices = report.central_slices(_part_voxels(spark, sf, 16**3), 16).withColumnRenamed("axis", "tile")
+    return report.mosaic(slices, 16, 3).select("row", "col", *r6("value"))
 
 
-@query("SELECT range AS n, round(exp(-(power((range // 8 - 4) / 2.0, 2) + power((range % 8 - 4) / 3.0, 2)) / 2), 6) AS value FROM range(64)")
+@query(f"WITH {_vo(4096)} SELECT n, round(exp(-(power((n // 64 - 32) / 12.0, 2) + power((n % 64 - 32) / 20.0, 2)) / 2), 6) AS value FROM vo")
 def gaussian_blob(spark, sf):
-    return report.blob(symmetry.voxels(spark, 8, 2), 8, (2.0, 3.0)).select("n", *r6("value"))
+    return report.blob(_part_voxels(spark, sf, 4096), 64, (12.0, 20.0)).select("n", *r6("value"))
 
 
 @query(f"{A} SELECT d, round(sum(p * cos(2 * pi() * r / 10)), 6) AS x, round(sum(p * sin(2 * pi() * r / 10)), 6) AS y FROM po GROUP BY d")
@@ -946,9 +984,11 @@ def change_ranges(spark, sf):
     return timeline.change_ranges(T.read(spark, sf, "events").select("event_id", "event_type"), "event_id", "event_type")
 
 
-@query("SELECT range AS d, (ceil((range + 1) * 7 / 100.0) - 1)::INT AS chunk FROM range(100)")
+@query("WITH n AS (SELECT count(*) AS n, min(c_custkey) AS low FROM customer) SELECT c_custkey - low AS d, (ceil((c_custkey - low + 1) * 7 / n::DOUBLE) - 1)::INT AS chunk FROM customer, n")
 def chunk_ranges(spark, sf):
-    return spark.range(100).select(F.col("id").alias("d"), (F.ceil((F.col("id") + 1) * 7 / 100) - 1).cast("int").alias("chunk"))
+    rows = T.read(spark, sf, "customer").select("c_custkey")
+    low = rows.agg(F.min("c_custkey").alias("low"))
+    return report.chunks(rows.crossJoin(F.broadcast(low)).select((F.col("c_custkey") - F.col("low")).alias("d")), "d", 7).select("d", "chunk")
 
 
 # ---- further forms
@@ -960,7 +1000,11 @@ def predicted_frames(spark, sf):
     return estep.predicted_frames(b.frames, b.templates, b.weights, b.background).select("d", "r", "i", F.round(F.col("f") + 1e-9, 5).alias("f"))
 
 
-QUERIES["predicted_frames_all"], SQL["predicted_frames_all"] = predicted_frames, SQL["predicted_frames"]
+@query(f"{B}, be AS (SELECT d, r FROM po QUALIFY row_number() OVER (PARTITION BY d ORDER BY p DESC, r) = 1) SELECT d, r, i, round(fluence * c * w + bg_weight * v + 1e-9, 5) AS f FROM be JOIN fr USING (d) JOIN bg ON bg_id = b JOIN wt USING (i) JOIN tm USING (r, i)")
+def predicted_frames_all(spark, sf):
+    """Every frame as its most likely template has it."""
+    b = Lineitems(spark, sf)
+    return estep.predicted_frames(b.frames, b.templates, b.weights, b.background, estep.most_likely(b.post)).select("d", "r", "i", F.round(F.col("f") + 1e-9, 5).alias("f"))
 
 
 @query(f"{B} SELECT d, r, round(sum(k * CASE WHEN fluence * c * w + bg_weight * v > 0 THEN ln(fluence * c * w + bg_weight * v) ELSE 0 END), 5) AS kf FROM ph JOIN fr USING (d) JOIN bg ON bg_id = b AND bg.i = ph.i JOIN wt ON wt.i = ph.i JOIN tm ON tm.i = ph.i GROUP BY d, r")
@@ -998,9 +1042,12 @@ def transposed(spark, sf):
     return spark.read.parquet(path)
 
 
-@query(f"WITH {PH} SELECT i, d, k FROM ph")
+@query(f"WITH {PH} SELECT i, sum(k)::BIGINT AS total, count(*) AS frames FROM ph GROUP BY i")
 def transposed_all(spark, sf):
-    return Embeddings(spark, sf).photons.select("i", "d", "k").repartition("i").sortWithinPartitions("i", "d")
+    """Sums of every pixel out of the files by pixel."""
+    path = f"{T.shared_dir(spark)}/transposed-{uuid.uuid4().hex}"
+    T.write_transposed(Embeddings(spark, sf).photons, path)
+    return spark.read.parquet(path).groupBy("i").agg(F.sum("k").alias("total"), F.count("*").alias("frames"))
 
 
 @query(f"WITH {PH} SELECT d, sum(k)::BIGINT AS ksum FROM ph WHERE i % 3 <> 0 GROUP BY d")
@@ -1009,9 +1056,9 @@ def masked_sums(spark, sf):
     return Embeddings(spark, sf).photons.join(F.broadcast(mask), "i", "left_semi").groupBy("d").agg(F.sum("k").alias("ksum"))
 
 
-@query(f"{_MAP} SELECT s, r FROM mp WHERE scale_id = 1")
+@query(f"{_MAP} SELECT s, r, round(m00, 6) AS m00 FROM mp WHERE scale_id = 1")
 def scale_selection(spark, sf):
-    return _mapping(spark).where("scale_id = 1").select("s", "r")
+    return _mapping(spark, sf).where("scale_id = 1").select("s", "r", *r6("m00"))
 
 
 @query(f"{A}, hard AS (SELECT d, r AS c FROM po QUALIFY row_number() OVER (PARTITION BY d ORDER BY p DESC, r) = 1) SELECT d, 'good' AS label, c IN (1, 4, 7) AS value FROM hard")
@@ -1128,32 +1175,36 @@ def chunk_fixed(spark, sf):
     return report.fixed_chunks(T.read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 1000, 10)
 
 
-@query(f"WITH {_images_sql(4, 3, 'D6')}, au AS (SELECT n, ((n * 7919) % 101) / 101.0::DOUBLE AS value FROM im WHERE n // 16 <= 2 AND (n // 4) % 4 <= 2 AND n % 4 <= 2 GROUP BY n) SELECT m::BIGINT AS n, round(avg(value), 6) AS value FROM im JOIN au USING (n) GROUP BY m")
+@query(f"WITH {_V16}, {_images_sql(16, 3, 'D6', 'vo')}, au AS (SELECT n, value FROM vo WHERE n // 256 <= 8 AND (n // 16) % 16 <= 8 AND n % 16 <= 8) SELECT m::BIGINT AS n, round(avg(value), 6) AS value FROM im JOIN au USING (n) GROUP BY m")
 def expanded_model(spark, sf):
     """Values on an asymmetric unit spread over the grid."""
-    unit = symmetry.asymmetric_unit(symmetry.voxels(spark, 4, 3), 4, 3, "D6").select("n", ((F.col("n") * 7919 % 101) / 101.0).alias("value"))
-    return symmetry.expanded(unit, 4, 3, "D6").select("n", *r6("value"))
+    rows = _part_voxels(spark, sf, 16**3)
+    unit = symmetry.asymmetric_unit(rows, 16, 3, "D6").join(rows, "n")
+    return symmetry.expanded(unit, 16, 3, "D6").select("n", *r6("value"))
 
 
-@query("SELECT (k - 1)::INT AS s, round(cos(k * pi() / 3), 6) AS s00, round(-sin(k * pi() / 3), 6) AS s01, round(sin(k * pi() / 3), 6) AS s10, round(cos(k * pi() / 3), 6) AS s11 FROM range(1, 4) q(k)")
+@query(f"WITH {_DIR}, {_OPS}, rot AS (SELECT s, s00, s01, 0.0 AS s02, s10, s11, 0.0 AS s12, 0.0 AS s20, 0.0 AS s21, 1.0 AS s22 FROM ops) {_turned_sql(3, 's', 's')}")
 def rotation_operators(spark, sf):
-    return symmetry.rotation_operators(spark, "D6").select("s", *r6("s00", "s01", "s10", "s11"))
+    """Directions under the operators that do not act on voxels."""
+    return _turned(spark, sf, symmetry.rotation_operators(spark, "D6"), 3, "s", "s")
 
 
-@query("SELECT 0::BIGINT AS r, 1.0::DOUBLE AS a00, 0.0::DOUBLE AS a01, 0.0::DOUBLE AS a10, 1.0::DOUBLE AS a11, 1.0::DOUBLE AS a22")
+@query(f"WITH {_DIR} SELECT s_suppkey, round(v0, 6) AS y0, round(v1, 6) AS y1, round(v2, 6) AS y2 FROM dir")
 def rotation_identity(spark, sf):
-    return geometry.rotations(spark, 0, 2).select("r", "a00", "a01", "a10", "a11", "a22")
+    """Order zero in two dimensions leaves directions as they are."""
+    return _turned(spark, sf, geometry.rotations(spark, 0, 2), 1)
 
 
-@query("SELECT range AS r FROM range(663) ORDER BY md5('0:' || range), range LIMIT 20")
+@query("SELECT r FROM (SELECT DISTINCT o_custkey % 663 AS r FROM orders) ORDER BY md5('0:' || r), r LIMIT 20")
 def orientation_sample(spark, sf):
-    return geometry.orientation_sample(geometry.rotations(spark, 4, 3)).select("r")
+    """Twenty of the orientations that orders were assigned to."""
+    used = T.read(spark, sf, "orders").select((F.col("o_custkey") % 663).alias("r")).distinct()
+    return geometry.orientation_sample(geometry.rotations(spark, 4, 3).join(used, "r", "left_semi")).select("r")
 
 
-@query("SELECT range AS n, ((range * 1103515245 + 12345) % 2147483648) / 2147483648.0::DOUBLE - 0.5 AS value FROM range(512) WHERE ((range * 1103515245 + 12345) % 2147483648) / 2147483648.0::DOUBLE > 0.5")
+@query(f"WITH {_V16} SELECT n, round(value - 0.909, 6) AS value FROM vo WHERE value > 0.909")
 def positive_voxels(spark, sf):
-    model = report.random_model(symmetry.voxels(spark, 8, 3)).withColumn("value", F.col("value") - 0.5)
-    return report.positive_voxels(model)
+    return report.positive_voxels(_part_voxels(spark, sf, 16**3).withColumn("value", F.col("value") - 0.909)).select("n", *r6("value"))
 
 
 @query("WITH b AS (SELECT s_suppkey AS k, s_nationkey AS v, s_suppkey % 3 AS batch FROM supplier) SELECT v, arg_max(k, batch * 1000000000 + k) AS k FROM b GROUP BY v")
@@ -1165,8 +1216,6 @@ def latest_rows(spark, sf):
 @query(f"WITH {_PX}, lim AS (SELECT 0.12::DOUBLE AS q, 0.12::DOUBLE / 7 AS dq), kept AS (SELECT i, x, y, z FROM q3, lim WHERE good AND qr <= q), rot AS (SELECT range AS r, 2 * pi() * range / 12 + 0.37576737726076753 AS a FROM range(12)), u AS (SELECT r, i, (cos(a) * x - sin(a) * y) / sqrt(x * x + y * y + z * z) / (2 * dq) + 8 AS u0, (sin(a) * x + cos(a) * y) / sqrt(x * x + y * y + z * z) / (2 * dq) + 8 AS u1 FROM kept, rot, lim), v AS (SELECT r, i, round_even(u0, 0)::BIGINT AS a, round_even(u1, 0)::BIGINT AS b FROM u) SELECT r, i, a * 16 + b AS n FROM v WHERE a BETWEEN 0 AND 15 AND b BETWEEN 0 AND 15")
 def initial_voxels(spark, sf):
     """The voxels that a first state gives each orientation and pixel."""
-    i = F.col("id")
-    pixels = spark.range(256).select(i.cast("int").alias("i"), ((i % 16 - 7.5) * 0.01).alias("x"), ((F.floor(i / 16) - 7.5) * 0.01).alias("y"), F.lit(0.2).alias("z"), (i % 37 != 5).alias("good"))
     g = initial.Geometry(2.0, 0.0001, 16, 12, 2, q_max=0.12, polarisation="x")
-    state, _ = initial.initialise(pixels, Embeddings(spark, sf).frames, g, 0.2)
+    state, _ = initial.initialise(_detector(spark, sf), Embeddings(spark, sf).frames, g, 0.2)
     return state.voxels.select("r", "i", "n")
