@@ -8,15 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomolake.functions.expressions import unravelled
+from tomolake.operators.scans import running_sum
 
 
-def running_offsets(sizes: DataFrame, key: str, size: str, bucket: int = 1 << 16) -> DataFrame:
-    """key, size, start: sum of the sizes before each key, in two levels: inside buckets of keys, and of buckets."""
-    rows = sizes.withColumn("bucket", F.floor(F.col(key) / bucket))
-    within = Window.partitionBy("bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    heads = rows.groupBy("bucket").agg(F.sum(size).alias("t")).select("bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("head"))
-    return rows.withColumn("inner", F.coalesce(F.sum(size).over(within), F.lit(0))).join(heads, "bucket").select(key, size, (F.col("head") + F.col("inner")).alias("start"))
+def running_offsets(sizes: DataFrame, key: str, size: str, parts: int | None = None) -> DataFrame:
+    """key, size, start: sum of the sizes before each key, whatever the keys' distribution."""
+    return running_sum(sizes.select(key, size), [key], size, parts=parts).select(key, size, "start")
 
 
 def saturated(photons: DataFrame, level: int = 20, pixels: int = 10) -> DataFrame:

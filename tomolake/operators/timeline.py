@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tomolake.operators.scans import runs
 
 #: Seconds of a bucket of time.
 WIDTH = 3600.0
@@ -125,22 +126,9 @@ def packed(spans: DataFrame, by: str = "msg", width: float = WIDTH) -> DataFrame
     return dealt.mapInArrow(place, f"{by} {kinds[by]}, start {kinds['start']}, stop {kinds['stop']}, line int")
 
 
-def change_ranges(rows: DataFrame, key: str, value: str, width: int = 1 << 16) -> DataFrame:
-    """first, last, value of the runs of equal values in order of key, a number.
-
-    Runs are told within ranges of width keys; a row for each range that has rows carries the last value and the number
-    of runs so far.
-    """
-    rows = rows.select(F.col(key).alias("_k"), F.col(value).alias("_v")).withColumn("_b", F.floor(F.col("_k") / width))
-    own, line = Window.partitionBy("_b").orderBy("_k"), Window.orderBy("_b")
-    edges = rows.groupBy("_b").agg(F.max_by(F.struct("_v"), "_k").alias("_end"))
-    edges = edges.select("_b", F.lag("_end").over(line).alias("_before"))
-    marked = rows.join(edges, "_b").withColumn("_last", F.coalesce(F.lag(F.struct("_v")).over(own), F.col("_before")))
-    marked = marked.withColumn("_new", F.when(F.col("_last").isNull() | ~F.col("_v").eqNullSafe(F.col("_last")["_v"]), 1).otherwise(0))
-    marked = marked.withColumn("_run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    begun = marked.groupBy("_b").agg(F.sum("_new").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_so_far"))
-    runs = marked.join(begun, "_b").groupBy((F.col("_run") + F.col("_so_far")).alias("_r"))
-    return runs.agg(F.min("_k").alias("first"), F.max("_k").alias("last"), F.first("_v").alias("value")).drop("_r")
+def change_ranges(rows: DataFrame, key: str, value: str, parts: int | None = None) -> DataFrame:
+    """first, last, value of the runs of equal values in order of key, whatever the keys' distribution."""
+    return runs(rows, key, value, parts)
 
 
 def completed(spans: DataFrame) -> DataFrame:

@@ -1,41 +1,33 @@
-"""A working folder of iterations: what each leaves, in partitions of their own, and the reports that read them."""
+"""A working folder of iterations: what each leaves, and the reports that read them."""
 
 from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def put(df: DataFrame, path: str, **partition) -> None:
-    """Writes df as one partition of the table at path, in place of what the partition held."""
-    df.write.mode("overwrite").parquet("/".join([path, *(f"{k}={v}" for k, v in partition.items())]))
+from tomolake.sources.versions import Versioned
 
 
-def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+def put(df: DataFrame, path: str, **partition) -> None:
+    """Writes df as one partition of the versioned table at path, in place of what the partition held. Readers meet
+    the rows before or after, never none."""
+    Versioned(df.sparkSession, path).put(df, **partition)
 
 
 class Store:
-    """Tables under path, each in partitions iteration=N. An iteration counts once its metrics are there; they are
-    written last, and writing an iteration again replaces it."""
+    """Versioned tables under path, each in partitions by iteration. An iteration counts once its metrics are there;
+    they are written last, and writing an iteration again replaces it."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def metrics(self) -> DataFrame | None:
-        return read_or_none(self.spark, f"{self.path}/metrics")
+        return Versioned(self.spark, f"{self.path}/metrics").read()
 
     def iterations(self) -> list[int]:
-        rows = self.metrics()
-        return sorted(r[0] for r in rows.select("iteration").distinct().collect()) if rows is not None else []
+        return sorted({p.partition["iteration"] for p in Versioned(self.spark, f"{self.path}/metrics").manifest()[1]})
 
     def last(self) -> int | None:
         return max(self.iterations(), default=None)
@@ -47,7 +39,10 @@ class Store:
         put(metrics.drop("iteration"), f"{self.path}/metrics", iteration=iteration)
 
     def read(self, name: str, iteration: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}").where(F.col("iteration") == iteration).drop("iteration")
+        found = Versioned(self.spark, f"{self.path}/{name}").read(iteration=iteration)
+        if found is None:
+            raise LookupError(f"no {name} of iteration {iteration}")
+        return found.drop("iteration")
 
     def state(self, iteration: int, given):
         """The state that an iteration left; what iterations do not change is taken from the given one."""
@@ -59,4 +54,4 @@ class Store:
 
     def history(self, d: int) -> DataFrame:
         """iteration, r, c, p of one frame."""
-        return self.spark.read.parquet(f"{self.path}/assigned").where(F.col("d") == d).select("iteration", "r", "c", "p")
+        return Versioned(self.spark, f"{self.path}/assigned").read().where(F.col("d") == d).select("iteration", "r", "c", "p")

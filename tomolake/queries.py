@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomolake.functions.expressions import positive_log
-from tomolake.operators import estep, geometry, mstep, report, symmetry, timeline
-from tomolake.plans import em, initial
+from tomolake.operators import estep, geometry, mstep, report, scans, symmetry, timeline
+from tomolake.plans import artefacts, em, initial
 from tomolake.plans.store import Store, put
+from tomolake.sources import arrays
 from tomolake.sources import tables as T
+from tomolake.sources.versions import Versioned
+from tomolake.streaming import logs
 from tomolake.streaming import photons as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1124,7 +1127,7 @@ def written_labels(spark, sf):
     bad = good_frame_labels(spark, sf).select("d", (~F.col("value")).alias("value"))
     for label, rows in (("good", bad), ("good", good_frame_labels(spark, sf)), ("saturated", saturation(spark, sf).withColumnRenamed("saturated", "value"))):
         put(rows.select("d", "value"), path, label=label)
-    return spark.read.parquet(path).select("label", "d", "value")
+    return Versioned(spark, path).read().select("label", "d", "value")
 
 
 @query(f"{_SL} SELECT axis::INT AS axis, u::INT AS u, v::INT AS v, round(value, 6) AS value, it::INT AS iteration FROM sl, (VALUES (0), (1)) q(it)")
@@ -1133,14 +1136,14 @@ def written_slices(spark, sf):
     path = f"{T.shared_dir(spark)}/slices-{uuid.uuid4().hex}"
     for iteration in (0, 1):
         put(model_slices(spark, sf), path, iteration=iteration)
-    return spark.read.parquet(path)
+    return Versioned(spark, path).read()
 
 
 @query(f"WITH {_AS} SELECT iteration, r, c FROM asg WHERE d = 7")
 def frame_history(spark, sf):
     """What one frame was assigned in every iteration, out of a store."""
     path = f"{T.shared_dir(spark)}/history-{uuid.uuid4().hex}"
-    _assigned(spark, sf).select("iteration", "d", "r", "c", F.lit(1.0).alias("p")).repartition("iteration").write.partitionBy("iteration").parquet(f"{path}/assigned")
+    Versioned(spark, f"{path}/assigned").put_each(_assigned(spark, sf).select("iteration", "d", "r", "c", F.lit(1.0).alias("p")), "iteration")
     return Store(spark, path).history(7).select("iteration", "r", "c")
 
 
@@ -1219,3 +1222,72 @@ def initial_voxels(spark, sf):
     g = initial.Geometry(2.0, 0.0001, 16, 12, 2, q_max=0.12, polarisation="x")
     state, _ = initial.initialise(_detector(spark, sf), Embeddings(spark, sf).frames, g, 0.2)
     return state.voxels.select("r", "i", "n")
+
+
+# ---- versions, streams and scans
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey < (SELECT max(o_orderkey) FROM orders) // 2 THEN -1 ELSE o_custkey END AS o_custkey FROM orders WHERE o_orderkey < (SELECT max(o_orderkey) FROM orders) // 2 OR o_orderkey % 2 = 0")
+def store_upsert(spark, sf):
+    """Orders in a versioned table whose two halves are replaced: the first with other owners, the second by its even keys, in
+    two slices, one of which comes twice."""
+    orders = T.read(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    half, end = last // 2, last + 1
+    store = Versioned(spark, f"{T.shared_dir(spark)}/orders-{uuid.uuid4().hex}")
+    store.upsert(orders, "o_orderkey", 0, end)
+    store.upsert(orders.where(F.col("o_orderkey") < half).withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, -1).otherwise(F.col("o_custkey"))), "o_orderkey", 0, half)
+    for number, (a, b) in enumerate(((half, half + (end - half) // 2), (half + (end - half) // 2, end))):
+        for _ in range(2 - number):
+            store.upsert(orders.where((F.col("o_orderkey") >= a) & (F.col("o_orderkey") < b) & (F.col("o_orderkey") % 2 == 0)), "o_orderkey", a, b, ("halves", number))
+    return store.read()
+
+
+@query("SELECT o_orderkey, h, sum(1) OVER (ORDER BY h ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS place, (sum(o_orderkey) OVER (ORDER BY h ROWS UNBOUNDED PRECEDING) - o_orderkey)::BIGINT AS start FROM (SELECT o_orderkey, md5(o_orderkey::VARCHAR) AS h FROM orders)")
+def scan_of_hashes(spark, sf):
+    """Places and running sums in the order of keys that are spread like chance."""
+    rows = T.read(spark, sf, "orders").select("o_orderkey", F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("h"))
+    placed = scans.running_sum(rows.withColumn("one", F.lit(1)), ["h"], "one", "place")
+    return scans.running_sum(placed.select("o_orderkey", "h", "place"), ["h"], "o_orderkey").select("o_orderkey", "h", "place", "start")
+
+
+@query(SQL["log_intervals"])
+def log_stream(spark, sf):
+    """The intervals of a log that arrives in files, each a batch: open starts are state, closed and open intervals leave it."""
+    folder = f"{T.shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    marks = _marks(spark, sf)
+    logs.in_order(marks, f"{folder}/in", 4)
+    stream = spark.readStream.schema(marks.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    logs.keep_intervals(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return logs.intervals(spark, f"{folder}/out")
+
+
+_RB = "pn AS (SELECT count(DISTINCT p_partkey % 256) AS n FROM part), cn AS (SELECT count(DISTINCT o_custkey) AS n FROM orders)"
+
+
+@query(f"WITH {_RB} SELECT name, version, n FROM (SELECT 'detector' AS name, 1 AS version, n FROM pn UNION ALL SELECT 'turned', 2, 3 * n FROM pn UNION ALL SELECT 'owners', 1, n FROM cn UNION ALL SELECT 'pairs', 2, 3 * p.n + c.n FROM pn p, cn c)")
+def partial_rebuild(spark, sf):
+    """Artefacts built, asked for again unchanged, and again after one setting has changed: only what depends on it is made twice."""
+    made = artefacts.Artefacts(spark, f"{T.shared_dir(spark)}/artefacts-{uuid.uuid4().hex}")
+    detector, owners = _detector(spark, sf), T.read(spark, sf, "orders").select("o_custkey").distinct()
+    recipes = [
+        artefacts.Recipe("detector", lambda _, s: detector),
+        artefacts.Recipe("turned", lambda p, s: p["detector"].select("i", F.explode(F.sequence(F.lit(1), F.lit(s["turns"]))).alias("turn")), ("detector",), ("turns",)),
+        artefacts.Recipe("owners", lambda _, s: owners),
+        artefacts.Recipe("pairs", lambda p, s: p["turned"].select(F.col("i").cast("long").alias("k")).unionAll(p["owners"].select(F.col("o_custkey").alias("k"))), ("turned", "owners")),
+    ]
+    inputs = {"detector": T.read(spark, sf, "part"), "owners": T.read(spark, sf, "orders")}
+    for turns in (2, 2, 3):
+        found = made.build(recipes, {"turns": turns}, inputs)
+    rows = [found[r.name].agg(F.count("*").alias("n")).select(F.lit(r.name).alias("name"), F.lit(made.version(r.name)).alias("version"), "n") for r in recipes]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2]).unionAll(rows[3])
+
+
+@query(f"WITH {PH}, q AS (SELECT d, i, k, (SELECT max(vec_id) FROM embeddings) AS most FROM ph) SELECT d, i, k FROM q WHERE d >= most // 4 AND d < most // 2")
+def frame_source(spark, sf):
+    """Frames written as arrays, and a range of them read back through the source of its own."""
+    path = f"{T.shared_dir(spark)}/frames-{uuid.uuid4().hex}"
+    e = Embeddings(spark, sf)
+    arrays.write_frames(e.photons.select(F.col("d").cast("long").alias("d"), "i", "k"), path)
+    last = T.read(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0]
+    return arrays.read_frames(spark, path, last // 4, last // 2 - 1).select("d", "i", "k")
