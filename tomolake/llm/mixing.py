@@ -15,8 +15,6 @@ from tomolake.llm.common import cut
 BLOCK = 16
 #: Words that a shard of one source holds at most, about; sources of more are dealt over several shards.
 SHARD_WORDS = 1_000_000
-#: Shards of one source that quotas go to at once; more get theirs by bunches of so many.
-BUNCH = 1024
 #: Part of all words that the mix takes.
 SHARE = 1.5
 #: Times that a word may be taken.
@@ -129,15 +127,8 @@ def _placed(
     placed = placed.withColumn("stop", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
 
     cells = placed.groupBy("source", "shard").agg(F.sum("size").alias("length"), F.first("source_quota").alias("source_quota"))
-    if (goals.agg(F.max("parts")).first()[0] or 0) <= BUNCH:
-        cells = apportion(cells, ["source"], "length", "source_quota", [F.col("shard")])
-    else:  # first to bunches of shards, so that no source's shards all stand in one window
-        cells = cut(cells.withColumn("bunch", F.floor(F.col("shard") / BUNCH)))
-        bunches = cells.groupBy("source", "bunch").agg(F.sum("length").alias("l"), F.first("source_quota").alias("q"))
-        bunches = apportion(bunches, ["source"], "l", "q", [F.col("bunch")])
-        bunches = bunches.select(F.col("source").alias("b_source"), F.col("bunch").alias("b_bunch"), F.col("quota").alias("bunch_quota"))
-        cells = cells.join(bunches, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bunch") == F.col("b_bunch")))
-        cells = apportion(cells.drop("b_source", "b_bunch"), ["source", "bunch"], "length", "bunch_quota", [F.col("shard")])
+    # One row a shard: a source of 10 ** 12 words has a million of them in its window.
+    cells = apportion(cells, ["source"], "length", "source_quota", [F.col("shard")])
     blocks = F.ceil(F.col("length") / block).cast("long")
     # A short last block can make a quota exceed what the cap allows.
     cells = cells.select(

@@ -32,8 +32,13 @@ CROWD, LEADERS = 512, 16
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: 64-bit words of a long fingerprint, and bits of a band of it.
 LONG_WORDS, BAND_BITS = 8, 16
-#: Standard deviations of the distance at SIMILARITY by which the radius is wider than its mean.
-WIDER = 1.0
+#: Standard deviations of the distance at a similarity: pairs so many under its mean link without a look at their texts,
+#: pairs up to so many over it are looked at.
+SURE, WIDER = 3.0, 2.0
+#: Neighbours in a shard that a code is held against at first, of those to be looked at; the rest follow in later rounds.
+NEIGHBOURS = 16
+#: Bits of the filter that tells most texts that need not be looked at.
+FILTER_BITS = 1 << 24
 
 _SPREAD = np.uint64(0x0101010101010101)
 
@@ -328,10 +333,10 @@ def long_fingerprints(texts: list[bytes], width: int = SIMILAR_SHINGLE, words: i
     return np.concatenate(out) if out else np.zeros((0, words), np.uint64)
 
 
-def radius_of(similarity: float, bits: int = 64 * LONG_WORDS) -> int:
-    """Differing bits at which sets of a Jaccard similarity still link: the mean for their angle, and WIDER deviations."""
+def radius_of(similarity: float, deviations: float, bits: int = 64 * LONG_WORDS) -> int:
+    """Differing bits of two sets of a Jaccard similarity: the mean for their angle, and so many deviations more."""
     share = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
-    return int(bits * share + WIDER * np.sqrt(bits * share * (1 - share)))
+    return int(max(0, bits * share + deviations * np.sqrt(bits * share * (1 - share))))
 
 
 def _codes(column: pa.Array, kind: type) -> np.ndarray:
@@ -357,40 +362,125 @@ def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(new), batch.column(1), batch.column(2)], ["shard", "node", "code"])
 
 
-def _long_links(radius: int):
+def _nearest(codes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, distance) of codes of one shard with different labels, within wide bits. A code meets of each crowd only the
+    nearest member."""
+    crowded = sizes[labels] > CROWD
+    rest = np.flatnonzero(~crowded)
+    if len(rest):
+        forest = BKForest(np.zeros(len(rest), np.int64), codes[rest])
+        for at in range(0, len(rest), SEARCH_BLOCK):
+            q, node = forest.search(codes[rest[at : at + SEARCH_BLOCK]], np.zeros(min(SEARCH_BLOCK, len(rest) - at), np.int64), wide)
+            a, b = rest[q + at], rest[node]
+            other = labels[a] != labels[b]
+            yield a[other], b[other], distances(codes[a[other]], codes[b[other]])
+    for crowd in np.unique(labels[crowded]):
+        members, others = np.flatnonzero(labels == crowd), np.flatnonzero(labels != crowd)
+        step = max(1, 200_000 // len(members))
+        for at in range(0, len(others), step):
+            some = others[at : at + step]
+            d = distances(np.repeat(codes[some], len(members), 0), np.tile(codes[members], (len(some), 1))).reshape(len(some), -1)
+            best = d.argmin(1)
+            near = d[np.arange(len(some)), best] <= wide
+            yield some[near], members[best[near]], d[near, best[near]]
+
+
+def _shard_pairs(sure: int, wide: int, most: int):
+    """Rows (shard, node, code, known), together by shard: links u, v within sure bits, as spanning stars, and pairs to be
+    looked at, of each code the `most` nearest ones of other components; of a code with more, its shard as `cut`. known is a
+    label that codes are linked by already, or null."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-
-        def links() -> pa.RecordBatch:
-            shard, nodes, codes = (np.concatenate(c) for c in zip(*held, strict=True))
-            a, b = spanning_links(np.cumsum(np.diff(shard, prepend=shard[:1]) != 0), codes, radius)
-            return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["u", "v"])
+        schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("linked", pa.bool_()), ("cut", pa.int64())])
+
+        def rows(u: np.ndarray, v: np.ndarray, linked: bool, cut_of: np.ndarray | None = None) -> pa.RecordBatch:
+            none = pa.nulls(len(u), pa.int64()) if cut_of is None else pa.array(cut_of)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), linked)), none], schema=schema)
+
+        def found() -> Iterator[pa.RecordBatch]:
+            shard, nodes, codes, known = (np.concatenate(c) for c in zip(*held, strict=True))
+            group = np.cumsum(np.diff(shard, prepend=shard[:1]) != 0)
+            a, b = spanning_links(group, codes, sure)
+            yield rows(nodes[a], nodes[b], True)
+            labels = np.arange(len(codes))
+            labels[a] = b
+            # Codes of one known label, too, are one component of the shard.
+            order = np.lexsort((known, group))
+            same = (np.diff(group[order]) == 0) & (np.diff(known[order]) == 0) & (known[order][1:] != 0)
+            labels = local_labels(len(codes), order[1:][same], order[:-1][same], labels)
+            bounds = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+            for first, end in zip(bounds, bounds[1:], strict=False):
+                if end - first < 2:
+                    continue
+                own, names = codes[first:end], np.unique(labels[first:end], return_inverse=True)[1]
+                for a, b, d in _nearest(own, names, np.bincount(names), wide):
+                    order = np.lexsort((b, d, a))
+                    a, b = a[order], b[order]
+                    start = np.flatnonzero(np.diff(a, prepend=-1))
+                    rank = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
+                    stay = rank < most
+                    yield rows(nodes[first + a[stay]], nodes[first + b[stay]], False)
+                    if not stay.all():
+                        at = nodes[first + a[~stay]][:1]
+                        yield rows(at, at, False, shard[first : first + 1])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            shard, nodes, codes = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _codes(batch.column(2), np.uint64)
+            shard, nodes, codes, known = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _codes(batch.column(2), np.uint64), batch.column(3).to_numpy()
             whole = np.searchsorted(shard, shard[-1])  # the last shard may go on
             if whole:
-                held.append((shard[:whole], nodes[:whole], codes[:whole]))
+                held.append((shard[:whole], nodes[:whole], codes[:whole], known[:whole]))
             if held and (whole or held[-1][0][-1] != shard[-1]):
-                yield links()
+                yield from found()
                 held = []
-            held.append((shard[whole:], nodes[whole:], codes[whole:]))
+            held.append((shard[whole:], nodes[whole:], codes[whole:], known[whole:]))
         if held:
-            yield links()
+            yield from found()
 
     return run
 
 
-def similar_classes(docs: DataFrame, key: str | Column = "doc_id", similarity: float = SIMILARITY, width: int = SIMILAR_SHINGLE, limit: int = SHARD_LIMIT) -> DataFrame:
+def _sets(source: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node, set: the different shingle hashes of the texts of source(doc_id, text) named by wanted(doc_id, node).
+
+    A bitmap of FILTER_BITS, built by Spark and sent to all tasks, tells nearly all texts that are not wanted; so no
+    text is sent anywhere, and only the sets of the others are.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("long")
+    marks = wanted.select((place + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
+    held = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in marks:  # values are numbered from one, and so are buckets of 32,768 of them
+        held[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = source.sparkSession.sparkContext.broadcast(held)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        at, bits = batch.column(2).to_numpy(), shared.value
+        keep = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+        if not len(keep):
+            return None
+        some = batch.take(pa.array(keep))
+        sets = [np.unique(np.array(shingle_hashes(t, width), np.uint64)).view(np.int64) for t in raw_texts(some.column(1))]
+        return pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "set"])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    found = map_batches(source.select("doc_id", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("long")).alias("place")), run, f"doc_id {kind}, set array<long>", 256)
+    return found.join(wanted, "doc_id").groupBy("node").agg(F.first("set").alias("set"))
+
+
+def similar_classes(docs: DataFrame, key: str | Column = "doc_id", similarity: float = SIMILARITY, width: int = SIMILAR_SHINGLE, limit: int = SHARD_LIMIT, neighbours: int = NEIGHBOURS) -> DataFrame:
     """doc_id, label: rows of docs(doc_id, text) whose shingle sets reach the similarity share a label, by chains.
 
-    Pairs are found by LONG_WORDS * 64 / BAND_BITS bands of bits, of which one must agree: nine in ten pairs of
-    similarity 0.8, nearly all of 0.85 and more. They link by the distance of their fingerprints, `radius_of`. A shard
-    of over limit codes is dealt again by 16 of its codes' other bytes, of which one in a hundred such pairs shares none.
+    Pairs are found by LONG_WORDS * 64 / BAND_BITS bands of bits, of which one must agree: nineteen in twenty pairs of
+    similarity 0.8, nearly all of 0.85 and more. Pairs whose fingerprints are SURE deviations nearer than the similarity
+    asks for link; those up to WIDER deviations farther link if their shingle sets, compared in full, reach it. In each
+    shard a code brings its nearest `neighbours` of other components; where it has more, the shard is gone through again
+    with sixteen times as many until none is left out, less what is linked or looked at by then. A shard of over limit
+    codes is dealt again by 16 of its codes' other bytes, of which one in a hundred pairs of the similarity shares none.
     """
-    pick, radius = F.col(key) if isinstance(key, str) else key, radius_of(similarity)
+    pick = F.col(key) if isinstance(key, str) else key
+    sure, wide = radius_of(similarity, -SURE), radius_of(similarity, WIDER)
     source = docs.select(pick.alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -399,13 +489,42 @@ def similar_classes(docs: DataFrame, key: str | Column = "doc_id", similarity: f
 
     prints = cut(map_batches(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, code binary").withColumn("node", F.xxhash64("code")))
     schema = "shard long, node long, code binary"
-    dealt = prints.groupBy("node").agg(F.first("code").alias("code")).mapInArrow(_long_shards, schema)
+    codes = prints.groupBy("node").agg(F.first("code").alias("code"), F.first("doc_id").alias("doc_id"))
+    dealt = codes.select("node", "code").mapInArrow(_long_shards, schema)
     sizes = cut(dealt.groupBy("shard").count().where(F.col("count") > limit))
     if not sizes.isEmpty():
         large = dealt.join(sizes.select("shard"), "shard", "left_semi").mapInArrow(_again, schema)
         dealt = dealt.join(sizes.select("shard"), "shard", "left_anti").unionByName(large)
-    met = dealt.repartition(tasks(docs.sparkSession), "shard").sortWithinPartitions("shard")
-    labels = connected_components(met.mapInArrow(_long_links(radius), "u long, v long"))
+
+    def pairs_of(rows: DataFrame, most: int) -> DataFrame:
+        met = rows.repartition(tasks(docs.sparkSession), "shard").sortWithinPartitions("shard")
+        return cut(met.mapInArrow(_shard_pairs(sure, wide, most), "u long, v long, linked boolean, cut long").distinct())
+
+    found = pairs_of(dealt.withColumn("known", F.lit(0).cast("long")), neighbours)
+    links, looked = found.where("linked").select("u", "v"), None
+    while True:
+        labels = cut(connected_components(links))
+        ends = [F.coalesce(c, F.col(n)) for c, n in ((F.col("label_u"), "u"), (F.col("label_v"), "v"))]
+        open_ = found.where("not linked and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        open_ = open_.join(labels.select(F.col("node").alias("u"), F.col("label").alias("label_u")), "u", "left").join(labels.select(F.col("node").alias("v"), F.col("label").alias("label_v")), "v", "left")
+        open_ = cut(open_.where(ends[0] != ends[1]).select("u", "v"))
+        if looked is not None:
+            open_ = cut(open_.join(looked, ["u", "v"], "left_anti"))
+        if not open_.isEmpty():
+            nodes = open_.select(F.col("u").alias("node")).union(open_.select(F.col("v").alias("node"))).distinct()
+            sets = cut(_sets(source, cut(codes.join(nodes, "node", "left_semi").select("doc_id", "node")), width))
+            both = open_.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+            common = F.size(F.array_intersect("a", "b"))
+            near = cut(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"))
+            links = links.unionByName(near)
+            labels = cut(connected_components(links))
+        cut_off = found.where("cut is not null").select(F.col("cut").alias("shard")).distinct()
+        if cut_off.isEmpty():
+            break
+        looked = open_ if looked is None else cut(looked.unionByName(open_))
+        neighbours *= 16
+        again = dealt.join(cut_off, "shard", "left_semi").join(labels, "node", "left")
+        found = pairs_of(again.select("shard", "node", "code", F.coalesce("label", F.lit(0).cast("long")).alias("known")), neighbours)
     return prints.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
 
 
