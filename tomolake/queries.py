@@ -1291,3 +1291,87 @@ def frame_source(spark, sf):
     arrays.write_frames(e.photons.select(F.col("d").cast("long").alias("d"), "i", "k"), path)
     last = T.read(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0]
     return arrays.read_frames(spark, path, last // 4, last // 2 - 1).select("d", "i", "k")
+
+
+# ---- caches, logs and first states from files
+
+
+@query("WITH a AS (SELECT l_suppkey AS d, (l_partkey % 16)::INT AS i, count(*)::INT AS k FROM lineitem GROUP BY ALL), b AS (SELECT l_suppkey AS d, (l_partkey % 16)::INT AS i, count(*)::INT AS k FROM lineitem WHERE l_linenumber <= 6 GROUP BY ALL) SELECT d, i, k FROM (SELECT d, i, k FROM a EXCEPT ALL SELECT d, i, k FROM b)")
+def cache_validity(spark, sf):
+    """What a cache written from most of the lines lacks or has otherwise; nothing, where it is valid."""
+    path = f"{T.shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    whole, rows = T.lineitem_photons(spark, sf), T.read(spark, sf, "lineitem").where("l_linenumber <= 6")
+    older = rows.groupBy(F.col("l_suppkey").alias("d"), (F.col("l_partkey") % 16).cast("int").alias("i")).agg(F.count("*").cast("int").alias("k"))
+    T.write_cache(older, path)
+    cached = T.read_cache(spark, path)
+    if T.same_rows(cached, whole) or not T.same_rows(cached, older):
+        raise AssertionError("a stale cache passes for a valid one")
+    return whole.select("d", "i", "k").exceptAll(cached.select("d", "i", "k"))
+
+
+@query("SELECT s, count(DISTINCT p_partkey % 256) AS n, true AS own FROM (SELECT p_size % 3 AS s, p_partkey FROM part) GROUP BY s")
+def cache_names(spark, sf):
+    """Names of masks' caches: the number of pixels, and a hash that keeps masks of one size apart."""
+    parts = T.read(spark, sf, "part").select((F.col("p_size") % 3).alias("s"), (F.col("p_partkey") % 256).alias("i")).distinct()
+    names = {s: T.cache_key(parts.where(F.col("s") == s).select("i")) for s in (0, 1, 2)}
+    moved = {s: T.cache_key(parts.where(F.col("s") == s).select((F.col("i") + 1).alias("i"))) for s in names}
+    rows = [(s, int(name.split("-")[0]), name != moved[s] and list(names.values()).count(name) == 1) for s, name in names.items()]
+    return parts.select("s").distinct().join(spark.createDataFrame(rows, "s int, n long, own boolean"), "s")
+
+
+@query(f"WITH {PH} SELECT i, sum(k)::BIGINT AS total FROM ph GROUP BY i")
+def found_cache(spark, sf):
+    """The one cache among several places, by a glob."""
+    folder = f"{T.shared_dir(spark)}/caches-{uuid.uuid4().hex}"
+    T.write_cache(Embeddings(spark, sf).photons, f"{folder}/mask-a", 64)
+    return T.find_cache(spark, [f"{folder}/none*", f"{folder}/mask-a"]).groupBy("i").agg(F.sum("k").alias("total"))
+
+
+@query("SELECT user_id::VARCHAR AS pid, event_type AS msg, CASE WHEN event_id % 2 = 0 THEN 'start' ELSE 'stop' END AS kind, count(*) AS n, sum(floor(epoch(ts)) + 0.25) AS t FROM events GROUP BY ALL")
+def log_lines(spark, sf):
+    """Events as lines of a log among lines that are none, read back and parsed."""
+    path = f"{T.shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    rows = T.read(spark, sf, "events").select(F.col("user_id").cast("string").alias("pid"), F.col("event_type").alias("msg"), (F.floor(seconds()) + 0.25).alias("t"), F.when(F.col("event_id") % 2 == 0, "start").otherwise("stop").alias("kind"))
+    line = F.concat(F.format_string("%.3f", "t"), F.lit(":INFO:"), "pid", F.lit(":run.py:main:12: at work: "), "msg", F.lit(" ("), "kind", F.lit(")"))
+    rows.select(F.explode(F.array(line, F.lit("a line that is none"), F.lit("1.0:INFO:7:run.py:main:3: no mark"))).alias("value")).write.text(path)
+    return timeline.read_log(spark, path).groupBy("pid", "msg", "kind").agg(F.count("*").alias("n"), F.sum("t").alias("t"))
+
+
+@query("SELECT pid, msg, number, start, stop FROM (SELECT user_id AS pid, event_type AS msg, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) - 1 AS number, epoch(ts) AS start, epoch(ts) + 300 AS stop FROM events) ORDER BY start, pid, msg, number LIMIT 100")
+def first_spans(spark, sf):
+    """The first hundred messages of a log."""
+    return timeline.first_messages(log_numbered(spark, sf), 100).select("pid", "msg", F.col("number").cast("long").alias("number"), "start", "stop")
+
+
+@query("""WITH m AS (SELECT user_id AS pid, event_type AS msg, epoch(ts) AS t, CASE WHEN event_id % 2 = 0 THEN 'start' ELSE 'stop' END AS kind FROM events),
+n AS (SELECT *, sum((kind = 'start')::INT) OVER (PARTITION BY pid, msg ORDER BY t, kind DESC ROWS UNBOUNDED PRECEDING) AS number FROM m),
+g AS (SELECT pid, msg, number, min(CASE WHEN kind = 'start' THEN t END) AS start, max(CASE WHEN kind = 'stop' THEN t END) AS stop FROM n GROUP BY ALL),
+k AS (SELECT msg, start, stop FROM g WHERE number > 0 AND stop IS NOT NULL),
+a AS (SELECT *, max(stop) OVER (PARTITION BY msg ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM k),
+b AS (SELECT *, sum(CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY msg ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM a)
+SELECT msg, 0::INT AS line, min(start) AS start, max(stop) AS stop FROM b GROUP BY msg, island""")
+def timeline_collapsed(spark, sf):
+    """A timeline whose overlapping spans of a message are one bar, on one line."""
+    e = T.read(spark, sf, "events")
+    marks = e.select(F.col("user_id").alias("pid"), F.col("event_type").alias("msg"), seconds().alias("t"), F.when(F.col("event_id") % 2 == 0, "start").otherwise("stop").alias("kind"))
+    return timeline.view(marks, collapse_overlap=True).select("msg", "line", "start", "stop")
+
+
+@query(f"WITH {_scene_sql('P1', 2, _SUPPLIED)}, pm AS (SELECT ph.* FROM ph JOIN mk USING (i)) SELECT d, coalesce(sum(k), 0)::BIGINT AS ksum, 1.0::DOUBLE AS fluence FROM fr LEFT JOIN pm USING (d) GROUP BY d")
+def initial_fluence(spark, sf):
+    """Frames of a first state: their photons in the mask, none for dark ones, and a fluence of one."""
+    return _scene(spark, sf, "P1", 2, "l_suppkey")[0].frames.select("d", "ksum", "fluence")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def stream_batches(spark, sf):
+    """Orders as a stream of one file a batch, however many wait; the newest row of each."""
+    folder = f"{T.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = T.read(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    rows.repartitionByRange(5, "o_orderkey").write.parquet(f"{folder}/in")
+    stream = streams.photon_stream(spark, f"{folder}/in", "o_orderkey long, o_custkey long", 1)
+    query = streams.keep_current(stream, f"{folder}/out", ["o_orderkey"], f"{folder}/checkpoint")
+    query.awaitTermination()
+    if len([p for p in query.recentProgress if p["numInputRows"]]) < 5:
+        raise AssertionError("a batch has taken more files than allowed")
+    return streams.latest(spark.read.parquet(f"{folder}/out"), ["o_orderkey"]).select("o_orderkey", "o_custkey")
