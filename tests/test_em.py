@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tomolake import queries
 from tomolake.operators import estep, geometry, mstep, report, symmetry
-from tomolake.plans import em, initial
+from tomolake.plans import em, initial, project
 from tomolake.sources import tables
 
 
@@ -278,3 +278,35 @@ def test_unsettled_roots_are_an_error(spark):
     terms = spark.createDataFrame([(0, 1.0, 0.5), (0, 2.0, 3.0), (0, 5.0, 100.0)], "n long, a double, b double")
     with pytest.raises(ArithmeticError):
         mstep.solve_groups(terms, spark.createDataFrame([(0, 0.01)], "n long, c double"), rounds=1)
+
+
+def test_project_goes_on_and_rebuilds_what_is_stale(spark, tmp_path):
+    """Classes of other dimensions and symmetries from plain dictionaries; a run in two calls is a run in one; a changed
+    rotation order makes points and voxels anew, and leaves models, weights and frames."""
+    rng = np.random.default_rng(7)
+    pixels = spark.createDataFrame([(i, (i % 6 - 2.5) * 0.03, (i // 6 - 2.5) * 0.03, 0.2, i != 9) for i in range(36)], "i int, x double, y double, z double, good boolean")
+    photons = spark.createDataFrame([(d, i, int(k)) for d in range(8) for i, k in enumerate(rng.poisson(0.7, 36)) if k], "d long, i int, k int")
+    frames = spark.range(9).withColumnRenamed("id", "d")
+    solid = {"wavelength": 2.0, "area": 1e-4, "size": 5, "rotation_order": 1, "symmetry": "D6", "q_max": 0.14}
+    flat = {"wavelength": 2.0, "area": 1e-4, "size": 5, "rotation_order": 4, "dimensions": 2, "symmetry": "inversion", "q_max": 0.14}
+    options = {"classes": [solid, flat], "z": 0.2, "em": {"iterations": 2, "beta_start": 0.2, "beta_stop": 0.4}}
+
+    def run(where, restart=False, **changed):
+        made = project.Project(spark, str(tmp_path / where), options | changed)
+        state, metrics = made.run(pixels, frames, photons, restart=restart)
+        return made, {r["n"]: r["value"] for r in state.model.collect()}, [tuple(r) for r in metrics.orderBy("iteration").collect()]
+
+    _, whole, told = run("one")
+    made, _, first = run("two", em=options["em"] | {"iterations": 1})
+    _, model, both = run("two")
+    # One iteration alone runs at the first temperature; the second goes on from it.
+    assert len(first) == 1 and len(both) == len(told) == 2 and both[0] == pytest.approx(told[0]) and model == pytest.approx(whole)
+    names = {"points", "voxels", "weights", "model", "expected", "frames"}
+    assert {n: made.artefacts.version(f"{n}1") for n in names} == dict.fromkeys(names, 1)
+    made, _, again = run("two", restart=True, classes=[solid, flat | {"rotation_order": 6}])
+    assert {n for n in names if made.artefacts.version(f"{n}0") > 1} == set() and made.artefacts.version("points1") == made.artefacts.version("voxels1") == 2
+    assert made.artefacts.version("model1") == 1 and len(again) == 2
+    with pytest.raises(ValueError):
+        project.Project(spark, str(tmp_path / "x"), options | {"exec": "1"})
+    with pytest.raises(ValueError):
+        project.geometry_of({"no_such": 1})

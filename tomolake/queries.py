@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tomolake.functions.expressions import positive_log
 from tomolake.operators import estep, geometry, mstep, report, scans, symmetry, timeline
-from tomolake.plans import artefacts, em, initial
+from tomolake.plans import artefacts, em, initial, project
 from tomolake.plans.store import Store, put
 from tomolake.sources import arrays
 from tomolake.sources import tables as T
@@ -1375,3 +1375,16 @@ def stream_batches(spark, sf):
     if len([p for p in query.recentProgress if p["numInputRows"]]) < 5:
         raise AssertionError("a batch has taken more files than allowed")
     return streams.latest(spark.read.parquet(f"{folder}/out"), ["o_orderkey"]).select("o_orderkey", "o_custkey")
+
+
+@query(SQL["em_initial_d6"])
+def em_project(spark, sf):
+    """The model of a project: one call sets it up and iterates, a second finds all of it done."""
+    photons = T.read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("d"), (F.col("l_partkey") % 64).cast("int").alias("i")).agg(F.count("*").cast("int").alias("k"))
+    frames = T.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("d")).unionByName(T.read(spark, sf, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("d")))
+    shape = {"wavelength": 2.0, "area": 0.0001, "size": 9, "rotation_order": 1, "dimensions": 3, "symmetry": "D6", "q_max": 0.12}
+    options = {"classes": [shape], "z": 0.2, "em": {"iterations": 1, "beta_start": 0.02, "beta_stop": 0.02, "threshold": 1e-3}}
+    path = f"{T.shared_dir(spark)}/project-{uuid.uuid4().hex}"
+    for _ in range(2):
+        state, _ = project.Project(spark, path, options).run(_part_pixels(spark, sf), frames, photons, models={0: _part_model(spark, sf, 9**3)})
+    return state.model.select("n", F.round("value", 5).alias("value"))
