@@ -362,20 +362,25 @@ def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(new), batch.column(1), batch.column(2)], ["shard", "node", "code"])
 
 
-def _nearest(codes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, distance) of codes of one shard with different labels, within wide bits. A code meets of each crowd only the
-    nearest member."""
-    crowded = sizes[labels] > CROWD
-    rest = np.flatnonzero(~crowded)
+def _nearest(group: np.ndarray, codes: np.ndarray, labels: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, distance) of codes of one group with different labels, within wide bits; all of an a in one piece. A code
+    meets of each crowd only the nearest member. Groups lie together, and a label stands in one group only."""
+    crowded = np.bincount(labels, minlength=len(labels))[labels] > CROWD
+    first = np.concatenate(([True], group[1:] != group[:-1]))
+    start = np.flatnonzero(first)[np.cumsum(first) - 1]
+    mixed = np.add.reduceat((labels != labels[start]).astype(np.int64), np.flatnonzero(first))[np.cumsum(first) - 1] > 0
+    rest = np.flatnonzero(mixed & ~crowded)
     if len(rest):
-        forest = BKForest(np.zeros(len(rest), np.int64), codes[rest])
+        own = np.unique(group[rest], return_inverse=True)[1]
+        forest = BKForest(own, codes[rest])
         for at in range(0, len(rest), SEARCH_BLOCK):
-            q, node = forest.search(codes[rest[at : at + SEARCH_BLOCK]], np.zeros(min(SEARCH_BLOCK, len(rest) - at), np.int64), wide)
+            q, node = forest.search(codes[rest[at : at + SEARCH_BLOCK]], own[at : at + SEARCH_BLOCK], wide)
             a, b = rest[q + at], rest[node]
             other = labels[a] != labels[b]
             yield a[other], b[other], distances(codes[a[other]], codes[b[other]])
-    for crowd in np.unique(labels[crowded]):
-        members, others = np.flatnonzero(labels == crowd), np.flatnonzero(labels != crowd)
+    for crowd in np.unique(labels[mixed & crowded]):
+        members = np.flatnonzero(labels == crowd)
+        others = np.flatnonzero((group == group[members[0]]) & (labels != crowd))
         step = max(1, 200_000 // len(members))
         for at in range(0, len(others), step):
             some = others[at : at + step]
@@ -409,21 +414,15 @@ def _shard_pairs(sure: int, wide: int, most: int):
             order = np.lexsort((known, group))
             same = (np.diff(group[order]) == 0) & (np.diff(known[order]) == 0) & (known[order][1:] != 0)
             labels = local_labels(len(codes), order[1:][same], order[:-1][same], labels)
-            bounds = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
-            for first, end in zip(bounds, bounds[1:], strict=False):
-                if end - first < 2:
-                    continue
-                own, names = codes[first:end], np.unique(labels[first:end], return_inverse=True)[1]
-                for a, b, d in _nearest(own, names, np.bincount(names), wide):
-                    order = np.lexsort((b, d, a))
-                    a, b = a[order], b[order]
-                    start = np.flatnonzero(np.diff(a, prepend=-1))
-                    rank = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
-                    stay = rank < most
-                    yield rows(nodes[first + a[stay]], nodes[first + b[stay]], False)
-                    if not stay.all():
-                        at = nodes[first + a[~stay]][:1]
-                        yield rows(at, at, False, shard[first : first + 1])
+            for a, b, d in _nearest(group, codes, labels, wide):
+                order = np.lexsort((b, d, a))
+                a, b = a[order], b[order]
+                start = np.flatnonzero(np.diff(a, prepend=-1))
+                rank = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
+                stay = rank < most
+                yield rows(nodes[a[stay]], nodes[b[stay]], False)
+                over = np.unique(shard[a[~stay]])
+                yield rows(over, over, False, over)
 
         for batch in batches:
             if not batch.num_rows:
