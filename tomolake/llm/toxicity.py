@@ -2,9 +2,11 @@
 
 Overlapping windows of running text are compressed with either dictionary; what counts is by how many bytes toxic
 text explains a window better. Both dictionaries hold, in the same places, what zstandard's trainer takes from windows
-of ordinary text, so that plain prose compresses alike; the toxic one gives up its farthest bytes for segments of
-toxic texts, chosen by cover of byte sequences that many toxic and few ordinary texts hold. Differences of length are
-calibrated on labelled documents kept apart from those that the dictionaries came from.
+of ordinary text, less the byte sequences that are typical of toxic texts, so that plain prose compresses alike; the
+toxic one ends in segments of toxic texts, chosen by cover of those sequences. What is typical is found within groups of
+texts that compress well with each other's dictionaries, so that a small language's markers are not lost among the
+texts of a large one. Word starts are told from the same letters inside words. Differences of length are calibrated on
+labelled documents kept out, a part at a time, of those that the dictionaries came from.
 """
 
 from __future__ import annotations
@@ -28,31 +30,51 @@ FOLDS, HELD = 5, 0
 SAMPLE = 3000
 #: Bytes of a window, and from one window's start to the next.
 WINDOW, STRIDE = 128, 64
+#: Bytes at the start of a word that are told from others.
+STEM = 6
 #: Bytes of the ordinary dictionary, bytes of toxic segments in the other at most, and of a segment.
 ORDINARY, TOXIC, SEGMENT = 400_000, 16_000, 24
-#: Bytes of the sequences that segments are chosen for; toxic texts that hold one at least; its log odds, and those times
-#: the texts, at least.
-GRAMS, RARE, TYPICAL, MARKED = (5,), 3, 3.5, 12.0
+#: Bytes of the sequences that segments are chosen for; toxic texts of a group that hold one at least; its log odds, and
+#: those times the texts, at least; bytes that a piece of ordinary text between two of them is kept with.
+GRAMS, RARE, TYPICAL, MARKED, LEAST_PIECE = (6,), 4, 1.5, 15.0, 12
+#: Groups of texts at most, texts they are found from, texts there must be, bytes of a group's dictionary, and how many
+#: times as much groups that are one may take with each other's.
+GROUPS, SEEN, GROUPED, GROUP_BYTES, ALIKE = 12, 600, 60, 65_536, 1.12
 LEVEL = 7
+#: Parts of the learnt texts that are held back in turn for calibration.
+PARTS = 3
 #: Windows that the trainer sees at most, evenly spaced.
 TRAINED = 400_000
 #: Differences that are told apart, and the part of ordinary windows that stay under the mark.
 LEAST, MOST, UNMARKED = -4, 12, 0.99
 
-FEATURES = 7
+FEATURES = 8
+
+
+def marked(text: bytes) -> bytes:
+    """The text, A-Z lower-cased but for the first STEM bytes of each word, where a-z are upper-cased: what words begin
+    with is told from the same letters elsewhere in words."""
+    a = np.frombuffer(text.lower(), np.uint8).copy()
+    word = ~((a == 32) | ((a >= 9) & (a <= 13)))
+    begins = word & ~np.concatenate(([False], word[:-1])) if len(a) else word
+    head = begins.copy()
+    for _ in range(STEM - 1):
+        begins = np.concatenate(([False], begins[:-1])) & word
+        head |= begins
+    a[head & (a >= 97) & (a <= 122)] -= 32
+    return a.tobytes()
 
 
 def windows_of(text: bytes) -> Iterator[bytes]:
-    """Windows of the text, A-Z lower-cased, that overlap by half; a short rest stands in the last."""
-    text = text.lower()
+    """Windows of a marked text that overlap by half; a short rest stands in the last."""
     for a in range(0, max(1, len(text) - STRIDE) if text else 0, STRIDE):
         yield text[a : a + WINDOW]
 
 
-def _packer(content: bytes) -> zstandard.ZstdCompressor:
+def _packer(content: bytes, level: int = 0) -> zstandard.ZstdCompressor:
     d = zstandard.ZstdCompressionDict(content or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    d.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+    d.precompute_compress(level=level or LEVEL)
+    return zstandard.ZstdCompressor(level=level or LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
 def _log_odds(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> np.ndarray:
@@ -81,18 +103,18 @@ class Detector:
         if not self._packers:
             self._packers = [_packer(d) for d in self.dictionaries]
         ordinary, toxic = (p.compress for p in self._packers)
-        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows_of(text)], np.int64)
+        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows_of(marked(text))], np.int64)
 
     def features(self, differences: np.ndarray) -> np.ndarray:
         """Of a text's windows: the largest difference and the mean of three, those over the mark, the largest odds
-        and the sum of three, what speaks for toxic text by length, and the mean difference."""
+        and the sums of three and of eight, what speaks for toxic text by length, and the mean difference."""
         if not len(differences):
             return np.zeros(FEATURES)
         x = np.clip(differences, LEAST, MOST)
         top, odds = np.sort(x)[::-1], self.odds[x - LEAST]
         best = np.sort(np.maximum(odds, 0))[::-1]
         over = np.maximum(odds - 0.5, 0).sum() / len(x) ** 0.5
-        return np.array([top[0], top[:3].mean(), x[x > self.mark].sum() / len(x), best[0], best[:3].sum(), over, x.mean()])
+        return np.array([top[0], top[:3].mean(), x[x > self.mark].sum() / len(x), best[0], best[:3].sum(), best[:8].sum(), over, x.mean()])
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         x = np.array([self.features(self.differences(t)) for t in texts]).reshape(len(texts), FEATURES)
@@ -114,25 +136,84 @@ def _document_counts(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndar
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
 
 
-def _typical(ordinary: list[bytes], toxic: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences of size bytes that are typical of toxic texts, and their weights."""
-    keys, n = _document_counts(toxic, size)
-    others, m = _document_counts(ordinary, size)
-    at = np.minimum(np.searchsorted(others, keys), max(len(others) - 1, 0))
-    in_ordinary = np.where(others[at] == keys, m[at], 0) if len(others) else np.zeros(len(keys))
-    odds = _log_odds(n, len(toxic), in_ordinary, len(ordinary))
-    typical = (n >= RARE) & (odds > TYPICAL) & (odds * n > MARKED)
-    return keys[typical], (odds * np.sqrt(n))[typical]
+def _spread(texts: list[bytes], size: int) -> bytes:
+    """About size bytes of windows, evenly spaced over the texts."""
+    held = [w for t in texts for w in windows_of(t)]
+    return b"".join(held[:: max(1, len(held) * WINDOW // size)])[:size]
+
 
+def _costs(texts: list[bytes], contents: list[bytes]) -> np.ndarray:
+    """Compressed bytes a byte of each text (a row) with each dictionary."""
+    packers = [_packer(c, 1) for c in contents]
+    return np.array([[len(p.compress(t)) / (len(t) + 1) for p in packers] for t in texts]).reshape(len(texts), len(packers))
 
-def segments(ordinary: list[bytes], toxic: list[bytes]) -> bytes:
+
+def groups(texts: list[bytes]) -> np.ndarray:
+    """A group number for each text: those that compress well with each other's dictionaries, such as a language's, share one.
+
+    GROUPS dictionaries start from one text each and are made anew from the texts that take least with them; two whose
+    texts take at most ALIKE times as much with the other are one group. Fewer than GROUPED texts are one group.
+    """
+    if len(texts) < GROUPED:
+        return np.zeros(len(texts), np.int64)
+    few = [texts[i] for i in np.unique(np.linspace(0, len(texts) - 1, SEEN).astype(int))]
+    contents = [few[i] for i in np.linspace(0, len(few) - 1, GROUPS).astype(int)]
+    for _ in range(4):
+        own = _costs(few, contents).argmin(1)
+        contents = [_spread([t for t, o in zip(few, own, strict=True) if o == g], GROUP_BYTES) for g in np.unique(own)]
+    costs = _costs(few, contents)
+    own = costs.argmin(1)
+    mean = np.array([costs[own == g].mean(0) if (own == g).any() else np.full(len(contents), np.inf) for g in range(len(contents))])
+    least = mean.diagonal()
+    merged = np.arange(len(contents))
+    for a, b in zip(*np.nonzero((mean <= ALIKE * least[:, None]) & np.isfinite(mean)), strict=True):
+        merged[merged == merged[b]] = merged[a]
+    return merged[_costs(texts, contents).argmin(1)]
+
+
+def _typical(ordinary: list[bytes], toxic: list[bytes], size: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences of size bytes that are typical of the toxic texts of some group, and their weights. group numbers the
+    ordinary texts' groups, then the toxic ones'."""
+    found, weights = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for g in np.unique(group):
+        plain = [t for t, o in zip(ordinary, group[: len(ordinary)], strict=True) if o == g]
+        rude = [t for t, o in zip(toxic, group[len(ordinary) :], strict=True) if o == g]
+        keys, n = _document_counts(rude, size)
+        others, m = _document_counts(plain, size)
+        at = np.minimum(np.searchsorted(others, keys), max(len(others) - 1, 0))
+        in_plain = np.where(others[at] == keys, m[at], 0) if len(others) else np.zeros(len(keys))
+        odds = _log_odds(n, len(rude), in_plain, len(plain))
+        typical = (n >= RARE) & (odds > TYPICAL) & (odds * n > MARKED)
+        found.append(keys[typical])
+        weights.append((odds * np.sqrt(n))[typical])
+    keys, at = np.unique(np.concatenate(found), return_inverse=True)
+    best = np.zeros(len(keys))
+    np.maximum.at(best, at, np.concatenate(weights))
+    return keys, best
+
+
+def _without(text: bytes, keys: np.ndarray, size: int) -> list[bytes]:
+    """What a text holds outside the sequences keys."""
+    grams = _grams(text, size)
+    if not len(keys) or not len(grams):
+        return [text]
+    hit = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, grams), len(keys) - 1)] == grams)
+    if not len(hit):
+        return [text]
+    inside = np.zeros(len(text), bool)
+    for k in range(size):
+        inside[hit + k] = True
+    cuts = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=1, append=1))
+    return [text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True) if b - a >= LEAST_PIECE]
+
+
+def segments(toxic: list[bytes], found: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
     """Segments of the toxic texts, the best nearest to the end: each the one whose byte sequences, of those that no
-    earlier segment holds, speak most for toxic text."""
+    earlier segment holds, speak most for toxic text. found: sequences of each size of GRAMS and their weights."""
     text = b"\n".join(toxic)
     places, which, weight = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     ends = places
-    for size in GRAMS:
-        keys, own = _typical(ordinary, toxic, size)
+    for size, (keys, own) in zip(GRAMS, found, strict=True):
         grams = _grams(text, size)
         if len(keys) and len(grams):
             at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
@@ -157,9 +238,14 @@ def segments(ordinary: list[bytes], toxic: list[bytes]) -> bytes:
 
 def dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes, bytes]:
     """Contents of the ordinary and of the toxic dictionary, equal but for the place of the toxic segments."""
-    ordinary, toxic = [t.lower() for t in ordinary], [t.lower() for t in toxic]
-    own = segments(ordinary, toxic)
-    samples = [w for t in ordinary for w in windows_of(t)]
+    ordinary, toxic = [marked(t) for t in ordinary], [marked(t) for t in toxic]
+    group = groups(ordinary + toxic)
+    found = [_typical(ordinary, toxic, size, group) for size in GRAMS]
+    own = segments(toxic, found)
+    pieces = ordinary
+    for size, (keys, _) in zip(GRAMS, found, strict=True):
+        pieces = [p for t in pieces for p in _without(t, keys, size)]
+    samples = [w for p in pieces for w in windows_of(p)]
     samples = samples[:: max(1, -(-len(samples) // TRAINED))]
     try:
         content = zstandard.train_dictionary(ORDINARY, samples).as_bytes()
@@ -170,25 +256,32 @@ def dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes, byte
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> Detector:
-    """Dictionaries from every other text, calibration on the rest; without both labels in both halves, a score of the labels' mean."""
-    half = np.zeros(len(texts), bool)
+    """Dictionaries from all texts, calibrated by those that hold each of PARTS parts of the texts back; without both
+    labels in every part, a score of the labels' mean."""
+    part = np.zeros(len(texts), np.int64)
     for y in (0, 1):
-        half[np.flatnonzero(labels == y)[::2]] = True
+        of = np.flatnonzero(labels == y)
+        part[of] = np.arange(len(of)) % PARTS
     pick = lambda use, y: [texts[i] for i in np.flatnonzero(use & (labels == y))]
-    detector = Detector(dictionaries(pick(half, 0), pick(half, 1)))
-    rest, n = np.flatnonzero(~half), [(~half & (labels == y)).sum() for y in (0, 1)]
-    if not min(n):
+    n = [(labels == y).sum() for y in (0, 1)]
+    if min(n) < PARTS:
+        detector = Detector((b"", b""))
         share = (labels.sum() + 0.5) / (len(labels) + 2)
         detector.weights[0] = np.log(share / (1 - share))
         return detector
-    found = [detector.differences(texts[i]) for i in rest]
+    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+    for k in range(PARTS):
+        held_back = Detector(dictionaries(pick(part != k, 0), pick(part != k, 1)))
+        for i in np.flatnonzero(part == k):
+            found[i] = held_back.differences(texts[i])
+    detector = Detector(dictionaries(pick(part >= 0, 0), pick(part >= 0, 1)))
     seen = np.zeros((2, MOST - LEAST + 1))
-    for i, x in zip(rest, found, strict=True):
-        seen[labels[i], np.unique(np.clip(x, LEAST, MOST)) - LEAST] += 1
+    for y, x in zip(labels, found, strict=True):
+        seen[y, np.unique(np.clip(x, LEAST, MOST)) - LEAST] += 1
     detector.odds = _log_odds(seen[1], n[1], seen[0], n[0])
-    plain = np.concatenate([x for i, x in zip(rest, found, strict=True) if not labels[i]])
+    plain = np.concatenate([x for y, x in zip(labels, found, strict=True) if not y])
     detector.mark = int(np.quantile(plain, UNMARKED)) if len(plain) else MOST
-    x, y = np.array([detector.features(d) for d in found]), labels[rest]
+    x, y = np.array([detector.features(d) for d in found]), labels
     detector.mean, detector.scale = x.mean(0), x.std(0) + 1e-9
     design = np.column_stack((np.ones(len(x)), (x - detector.mean) / detector.scale))
     w = np.zeros(FEATURES + 1)
