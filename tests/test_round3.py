@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from tomolake import queries
+from tomolake.sources import tables
 from tomolake.sources.versions import Versioned
 
 
@@ -25,3 +26,27 @@ def test_many_partitions_are_one_scan(spark, tmp_path):
     other.put_each(whole, "iteration")
     other.put_each(whole, "iteration")
     assert len(other.manifest()[1]) == 1 and other.read().count() == 3
+
+
+def as_sql_says(spark, sf: str, name: str) -> None:
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{sf}/part.parquet'")
+    other = con.sql(queries.SQL[name])
+    mine = queries.QUERIES[name](spark, sf).select(*other.columns).collect()
+    assert sorted(map(repr, map(tuple, mine))) == sorted(map(repr, other.fetchall()))
+
+
+@pytest.mark.parametrize("sizes", ["id % 3", "nullif(id % 8 - 4, 0)"])
+def test_equal_masks_share_a_name(spark, tmp_path, sizes):
+    """Masks of the same pixels, and of other remainders or none, have names of their own all the same."""
+    rows = spark.range(3 * 256).selectExpr(f"cast({sizes} as int) AS p_size", "cast(floor(id / 3) as long) AS p_partkey")
+    rows.unionByName(spark.sql("SELECT 5 AS p_size, CAST(NULL AS bigint) AS p_partkey")).toPandas().astype({"p_size": "Int32", "p_partkey": "Int64"}).to_parquet(tmp_path / "part.parquet")
+    as_sql_says(spark, str(tmp_path), "cache_names")
+
+
+def test_names_of_caches_stay(spark):
+    """The name of one mask, as the caches written so far have it."""
+    for mask in (spark.range(3), spark.range(1000), spark.range(0)):
+        mask = mask.toDF("i")
+        total = sum(int(r[0]) for r in mask.selectExpr("xxhash64(i)").collect())
+        assert tables.cache_key(mask) == f"{mask.count()}-{total & (1 << 64) - 1:016x}"
