@@ -50,3 +50,11 @@ def test_names_of_caches_stay(spark):
         mask = mask.toDF("i")
         total = sum(int(r[0]) for r in mask.selectExpr("xxhash64(i)").collect())
         assert tables.cache_key(mask) == f"{mask.count()}-{total & (1 << 64) - 1:016x}"
+
+
+def test_all_frames_under_all_templates(spark, sf):
+    """predicted_frames_all has a row for each frame, template and pixel; the likely ones are a part of them."""
+    every, likely = (queries.QUERIES[n](spark, sf).select("d", "r", "i") for n in ("predicted_frames_all", "predicted_frames_likely"))
+    b = queries.Lineitems(spark, sf)
+    assert every.count() == b.frames.select("d").distinct().count() * b.templates.select("r", "i").distinct().count() > likely.count()
+    assert likely.exceptAll(every).isEmpty()
