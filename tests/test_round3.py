@@ -58,3 +58,9 @@ def test_all_frames_under_all_templates(spark, sf):
     b = queries.Lineitems(spark, sf)
     assert every.count() == b.frames.select("d").distinct().count() * b.templates.select("r", "i").distinct().count() > likely.count()
     assert likely.exceptAll(every).isEmpty()
+
+
+def test_all_photons_by_pixel(spark, sf):
+    """transposed_all has every photon, not only sums of them."""
+    photons = queries.Embeddings(spark, sf).photons.select("i", "d", "k")
+    assert tables.same_rows(queries.QUERIES["transposed_all"](spark, sf).select("i", "d", "k"), photons)
