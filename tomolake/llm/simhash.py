@@ -35,8 +35,10 @@ LONG_WORDS, BAND_BITS = 8, 16
 #: Standard deviations of the distance at a similarity: pairs so many under its mean link without a look at their texts,
 #: pairs up to so many over it are looked at.
 SURE, WIDER = 3.0, 2.0
-#: Neighbours in a shard that a code is held against at first, of those to be looked at; the rest follow in later rounds.
+#: Neighbours in a shard that a code is held against as pairs of rows, of those to be looked at; the rest follow inside tasks.
 NEIGHBOURS = 16
+#: Bands that are searched before the others, and neighbours of a code there: crowds of near copies are one component after.
+FIRST_BANDS, FIRST_NEIGHBOURS = 4, 4
 #: Bits of the filter that tells most texts that need not be looked at.
 FILTER_BITS = 1 << 24
 
@@ -344,12 +346,16 @@ def _codes(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _long_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, code) once for each band of the code: shard, node, code."""
-    for batch in pieces(batches, 8192):
-        bands = _codes(batch.column(1), np.uint16).astype(np.int64)
-        for band in range(bands.shape[1]):
-            yield pa.RecordBatch.from_arrays([pa.array(bands[:, band] + (band << 16)), batch.column(0), batch.column(1)], ["shard", "node", "code"])
+def _long_shards(first: int | None = None):
+    """Rows (node, code) once for each band of the code, or each of the first ones: shard, node, code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 8192):
+            bands = _codes(batch.column(1), np.uint16).astype(np.int64)
+            for band in range(first or bands.shape[1]):
+                yield pa.RecordBatch.from_arrays([pa.array(bands[:, band] + (band << 16)), batch.column(0), batch.column(1)], ["shard", "node", "code"])
+
+    return run
 
 
 def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,8 +369,8 @@ def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _nearest(group: np.ndarray, codes: np.ndarray, labels: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, distance) of codes of one group with different labels, within wide bits; all of an a in one piece. A code
-    meets of each crowd only the nearest member. Groups lie together, and a label stands in one group only."""
+    """(a, b, distance) of codes of one group with different labels, within wide bits; all of an a's among small components
+    in one piece, and all of those in a crowd. Groups lie together, and a label stands in one group only."""
     crowded = np.bincount(labels, minlength=len(labels))[labels] > CROWD
     first = np.concatenate(([True], group[1:] != group[:-1]))
     start = np.flatnonzero(first)[np.cumsum(first) - 1]
@@ -385,15 +391,15 @@ def _nearest(group: np.ndarray, codes: np.ndarray, labels: np.ndarray, wide: int
         for at in range(0, len(others), step):
             some = others[at : at + step]
             d = distances(np.repeat(codes[some], len(members), 0), np.tile(codes[members], (len(some), 1))).reshape(len(some), -1)
-            best = d.argmin(1)
-            near = d[np.arange(len(some)), best] <= wide
-            yield some[near], members[best[near]], d[near, best[near]]
+            a, b = np.nonzero(d <= wide)
+            yield some[a], members[b], d[a, b]
 
 
 def _shard_pairs(sure: int, wide: int, most: int):
     """Rows (shard, node, code, known), together by shard: links u, v within sure bits, as spanning stars, and pairs to be
-    looked at, of each code the `most` nearest ones of other components; of a code with more, its shard as `cut`. known is a
-    label that codes are linked by already, or null."""
+    looked at, of each code those with up to `most` of other components; of a code with more, only its FIRST_NEIGHBOURS nearest,
+    and itself with its shard as `cut`.
+    known is a label that codes are linked by already, or zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -407,7 +413,8 @@ def _shard_pairs(sure: int, wide: int, most: int):
             shard, nodes, codes, known = (np.concatenate(c) for c in zip(*held, strict=True))
             group = np.cumsum(np.diff(shard, prepend=shard[:1]) != 0)
             a, b = spanning_links(group, codes, sure)
-            yield rows(nodes[a], nodes[b], True)
+            new = (known[a] != known[b]) | (known[a] == 0)
+            yield rows(nodes[a[new]], nodes[b[new]], True)
             labels = np.arange(len(codes))
             labels[a] = b
             # Codes of one known label, too, are one component of the shard.
@@ -418,11 +425,12 @@ def _shard_pairs(sure: int, wide: int, most: int):
                 order = np.lexsort((b, d, a))
                 a, b = a[order], b[order]
                 start = np.flatnonzero(np.diff(a, prepend=-1))
-                rank = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
-                stay = rank < most
+                partners = np.diff(np.append(start, len(a)))
+                rank, many = np.arange(len(a)) - np.repeat(start, partners), np.repeat(partners > most, partners)
+                stay = rank < np.where(many, min(FIRST_NEIGHBOURS, most), most)
                 yield rows(nodes[a[stay]], nodes[b[stay]], False)
-                over = np.unique(shard[a[~stay]])
-                yield rows(over, over, False, over)
+                over = np.unique(a[many])
+                yield rows(nodes[over], nodes[over], False, shard[over])
 
         for batch in batches:
             if not batch.num_rows:
@@ -441,6 +449,77 @@ def _shard_pairs(sure: int, wide: int, most: int):
     return run
 
 
+def _shard_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each shard, which lie together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        shard = batch.column(0).to_numpy()
+        bounds = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            if held and a < b and held[-1].column(0)[0].as_py() != shard[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if a < b:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _open_nodes(wide: int):
+    """Rows (shard, node, code, label, over), together by shard: shard, node and over of the codes marked over that have
+    others of another label within wide bits, and of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _shard_tables(batches):
+            rows = rows.combine_chunks()
+            codes, labels, over = _codes(rows.column("code"), np.uint64), rows.column("label").to_numpy(), rows.column("over").to_numpy()
+            met, own = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
+            for a in np.flatnonzero(over):
+                near = (distances(codes, codes[a : a + 1]) <= wide) & (labels != labels[a])
+                met |= near
+                own[a] = near.any()
+            at = np.flatnonzero(met | own)
+            yield pa.RecordBatch.from_arrays([pa.array(rows.column(0).to_numpy()[at]), pa.array(rows.column(1).to_numpy()[at]), pa.array(own[at])], ["shard", "node", "over"])
+
+    return run
+
+
+def _compared(wide: int, similarity: float):
+    """Rows (shard, node, code, label, over, set), together by shard: links u, v that join all components between which a
+    code marked over has one within wide bits whose set reaches the similarity; fewer than one for each code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _shard_tables(batches):
+            rows = rows.combine_chunks()
+            nodes, codes, labels = rows.column("node").to_numpy(), _codes(rows.column("code"), np.uint64), np.unique(rows.column("label").to_numpy(), return_inverse=True)[1]
+            sets = rows.column("set").combine_chunks()
+            sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+            sizes = np.asarray(sets.value_lengths()).astype(np.int64)
+            distinct, ids = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+            ends, mark, found = np.cumsum(sizes), np.zeros(len(distinct), bool), ([], [])
+            for a in np.flatnonzero(rows.column("over").to_numpy()):
+                own = ids[ends[a] - sizes[a] : ends[a]]
+                mark[own] = True
+                others = np.flatnonzero((distances(codes, codes[a : a + 1]) <= wide) & (labels != labels[a]))
+                for at in range(0, len(others), 256):
+                    some = others[at : at + 256]
+                    some = some[(labels[some] != labels[a]) & (sizes[some] > 0)]
+                    if not len(some):
+                        continue
+                    first = np.cumsum(sizes[some]) - sizes[some]
+                    inside = mark[ids[np.repeat(ends[some] - sizes[some] - first, sizes[some]) + np.arange(sizes[some].sum())]]
+                    common = np.add.reduceat(inside.astype(np.int64), first)
+                    near = some[common >= similarity * (sizes[a] + sizes[some] - common)]
+                    met, which = np.unique(labels[near], return_index=True)
+                    found[0].extend([nodes[a]] * len(met))
+                    found[1].extend(nodes[near[which]].tolist())
+                    labels[np.isin(labels, met)] = labels[a]
+                mark[own] = False
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["u", "v"])
+
+    return run
+
+
 def _sets(source: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """node, set: the different shingle hashes of the texts of source(doc_id, text) named by wanted(doc_id, node).
 
@@ -474,9 +553,10 @@ def similar_classes(docs: DataFrame, key: str | Column = "doc_id", similarity: f
     Pairs are found by LONG_WORDS * 64 / BAND_BITS bands of bits, of which one must agree: nineteen in twenty pairs of
     similarity 0.8, nearly all of 0.85 and more. Pairs whose fingerprints are SURE deviations nearer than the similarity
     asks for link; those up to WIDER deviations farther link if their shingle sets, compared in full, reach it. In each
-    shard a code brings its nearest `neighbours` of other components; where it has more, the shard is gone through again
-    with sixteen times as many until none is left out, less what is linked or looked at by then. A shard of over limit
-    codes is dealt again by 16 of its codes' other bytes, of which one in a hundred pairs of the similarity shares none.
+    shard a code brings up to `neighbours` of other components as pairs, from a few bands first, so that crowds are
+    one component when all bands follow. Where a code has more, those pairs never become rows: its set and theirs go to
+    the shard's task, which compares them all and gives links that span what they join. A shard of over limit codes is
+    dealt again by 16 of its codes' other bytes, of which one in a hundred pairs of the similarity shares none.
     """
     pick = F.col(key) if isinstance(key, str) else key
     sure, wide = radius_of(similarity, -SURE), radius_of(similarity, WIDER)
@@ -489,41 +569,54 @@ def similar_classes(docs: DataFrame, key: str | Column = "doc_id", similarity: f
     prints = cut(map_batches(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, code binary").withColumn("node", F.xxhash64("code")))
     schema = "shard long, node long, code binary"
     codes = prints.groupBy("node").agg(F.first("code").alias("code"), F.first("doc_id").alias("doc_id"))
-    dealt = codes.select("node", "code").mapInArrow(_long_shards, schema)
-    sizes = cut(dealt.groupBy("shard").count().where(F.col("count") > limit))
+    dealt = codes.select("node", "code").mapInArrow(_long_shards(), schema)
+    sizes = cut(dealt.groupBy("shard").count().where(F.col("count") > limit)).select("shard")
+    first = codes.select("node", "code").mapInArrow(_long_shards(FIRST_BANDS), schema)
     if not sizes.isEmpty():
-        large = dealt.join(sizes.select("shard"), "shard", "left_semi").mapInArrow(_again, schema)
-        dealt = dealt.join(sizes.select("shard"), "shard", "left_anti").unionByName(large)
+        first = first.join(sizes, "shard", "left_anti")
+        large = dealt.join(sizes, "shard", "left_semi").mapInArrow(_again, schema)
+        dealt = dealt.join(sizes, "shard", "left_anti").unionByName(large)
+
+    def by_shard(rows: DataFrame) -> DataFrame:
+        return rows.repartition(tasks(docs.sparkSession), "shard").sortWithinPartitions("shard")
 
     def pairs_of(rows: DataFrame, most: int) -> DataFrame:
-        met = rows.repartition(tasks(docs.sparkSession), "shard").sortWithinPartitions("shard")
-        return cut(met.mapInArrow(_shard_pairs(sure, wide, most), "u long, v long, linked boolean, cut long").distinct())
+        return cut(by_shard(rows).mapInArrow(_shard_pairs(sure, wide, most), "u long, v long, linked boolean, cut long").distinct())
 
-    found = pairs_of(dealt.withColumn("known", F.lit(0).cast("long")), neighbours)
-    links, looked = found.where("linked").select("u", "v"), None
-    while True:
-        labels = cut(connected_components(links))
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return cut(_sets(source, cut(codes.join(nodes.distinct(), "node", "left_semi").select("doc_id", "node")), width))
+
+    def near_of(found: DataFrame, labels: DataFrame) -> DataFrame:
+        """The pairs of different components that reach the similarity."""
         ends = [F.coalesce(c, F.col(n)) for c, n in ((F.col("label_u"), "u"), (F.col("label_v"), "v"))]
         open_ = found.where("not linked and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         open_ = open_.join(labels.select(F.col("node").alias("u"), F.col("label").alias("label_u")), "u", "left").join(labels.select(F.col("node").alias("v"), F.col("label").alias("label_v")), "v", "left")
         open_ = cut(open_.where(ends[0] != ends[1]).select("u", "v"))
-        if looked is not None:
-            open_ = cut(open_.join(looked, ["u", "v"], "left_anti"))
+        if open_.isEmpty():
+            return open_
+        sets = sets_of(open_.select(F.col("u").alias("node")).union(open_.select(F.col("v").alias("node"))))
+        both = open_.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+        common = F.size(F.array_intersect("a", "b"))
+        return cut(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"))
+
+    links, labels = None, None
+    for rows, most in ((first, min(FIRST_NEIGHBOURS, neighbours)), (dealt, neighbours)):
+        known = F.lit(0).cast("long") if labels is None else F.coalesce("label", F.lit(0).cast("long"))
+        rows = rows if labels is None else rows.join(labels, "node", "left")
+        found = pairs_of(rows.select("shard", "node", "code", known.alias("known")), most)
+        sure_links = found.where("linked").select("u", "v")
+        links = sure_links if links is None else links.unionByName(sure_links)
+        links = links.unionByName(near_of(found, cut(connected_components(links))))
+        labels = cut(connected_components(links))
+    over = found.where("cut is not null").select(F.col("cut").alias("shard"), F.col("u").alias("node"), F.lit(True).alias("over"))
+    if not over.isEmpty():
+        placed = dealt.join(over.select("shard").distinct(), "shard", "left_semi").join(labels, "node", "left").select("shard", "node", "code", F.coalesce("label", "node").alias("label"))
+        marked = placed.join(over, ["shard", "node"], "left").select("shard", "node", "code", "label", F.coalesce("over", F.lit(False)).alias("over"))
+        open_ = cut(by_shard(marked).mapInArrow(_open_nodes(wide), "shard long, node long, over boolean"))
         if not open_.isEmpty():
-            nodes = open_.select(F.col("u").alias("node")).union(open_.select(F.col("v").alias("node"))).distinct()
-            sets = cut(_sets(source, cut(codes.join(nodes, "node", "left_semi").select("doc_id", "node")), width))
-            both = open_.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
-            common = F.size(F.array_intersect("a", "b"))
-            near = cut(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"))
-            links = links.unionByName(near)
+            rows = placed.join(open_, ["shard", "node"]).join(sets_of(open_.select("node")), "node").select("shard", "node", "code", "label", "over", "set")
+            links = links.unionByName(cut(by_shard(rows).mapInArrow(_compared(wide, similarity), "u long, v long").distinct()))
             labels = cut(connected_components(links))
-        cut_off = found.where("cut is not null").select(F.col("cut").alias("shard")).distinct()
-        if cut_off.isEmpty():
-            break
-        looked = open_ if looked is None else cut(looked.unionByName(open_))
-        neighbours *= 16
-        again = dealt.join(cut_off, "shard", "left_semi").join(labels, "node", "left")
-        found = pairs_of(again.select("shard", "node", "code", F.coalesce("label", F.lit(0).cast("long")).alias("known")), neighbours)
     return prints.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
 
 
