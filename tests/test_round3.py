@@ -2,10 +2,12 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tomolake import queries
 from tomolake.sources import tables
 from tomolake.sources.versions import Versioned
+from tomolake.streaming import logs
 
 
 def test_many_partitions_are_one_scan(spark, tmp_path):
@@ -64,3 +66,19 @@ def test_all_photons_by_pixel(spark, sf):
     """transposed_all has every photon, not only sums of them."""
     photons = queries.Embeddings(spark, sf).photons.select("i", "d", "k")
     assert tables.same_rows(queries.QUERIES["transposed_all"](spark, sf).select("i", "d", "k"), photons)
+
+
+def test_a_log_is_dealt_once(spark, tmp_path):
+    """Its marks are not gone through again for every file."""
+    gone = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            gone.add(b.num_rows)
+            yield b
+
+    marks = spark.range(3000).selectExpr("id % 7 AS pid", "'work' AS msg", "cast(id as double) AS t", "if(id % 2 = 0, 'start', 'stop') AS kind")
+    logs.in_order(marks.mapInArrow(count, marks.schema), str(tmp_path / "in"), 12)
+    assert gone.value <= 4 * 3000
+    spans = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "in")).groupBy(F.input_file_name()).agg(F.min("t"), F.max("t"), F.count("*")).drop("input_file_name()").collect())
+    assert len(spans) == 12 and sum(n for _, _, n in spans) == 3000 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tomolake.sources.tables import shared_dir
 from tomolake.sources.versions import Versioned
 from tomolake.streaming.photons import latest
 
@@ -22,10 +26,12 @@ def in_order(marks: DataFrame, path: str, files: int = 4, most: int = 1_000_000)
     `files`, and as many more as keep a file to about `most` marks."""
     files = max(files, -(-marks.count() // most))
     cuts = marks.approxQuantile("t", [k / files for k in range(1, files)], 0.001)
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        own = marks if low is None else marks.where(F.col("t") >= low)
-        own = own if high is None else own.where(F.col("t") < high)
-        own.repartition(1).sortWithinPartitions("t").write.mode("append").parquet(path)
+    stretch = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("t") >= c)) if cuts else F.lit(0)
+    aside = f"{shared_dir(marks.sparkSession)}/stretches-{uuid.uuid4().hex}"  # dealt once, however many files there are
+    marks.where("t is not null").withColumn("_stretch", stretch).repartition(files, "_stretch").write.partitionBy("_stretch").parquet(aside)
+    dealt = marks.sparkSession.read.schema(T.StructType([*marks.schema.fields, T.StructField("_stretch", T.IntegerType())])).parquet(aside)
+    for k in range(files):
+        dealt.where(F.col("_stretch") == k).drop("_stretch").repartition(1).sortWithinPartitions("t").write.mode("append").parquet(path)
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -35,23 +41,26 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     time, starts after stops of the same time, as a start makes the interval before it final.
     """
     number, start, stop = state.get if state.exists else (0, math.nan, math.nan)
-    rows, marks = {}, pd.concat(list(batches))
-    marks = marks.sort_values(["t", "kind"], ascending=[True, False])
+    rows, marks = {}, [(b["t"].to_numpy(), (b["kind"] == "start").to_numpy()) for b in batches]
+    times, starts = (np.concatenate(c) for c in zip(*marks, strict=True))
+    order = np.lexsort((starts, times))
 
     def told(last: bool) -> tuple:
         fault = "stop without start" if number == 0 else "start while open" if math.isnan(stop) and not last else None
-        return (*key, number, start, stop, fault)
+        return number, start, stop, fault
 
-    for t, kind in zip(marks["t"], marks["kind"], strict=True):
-        if kind == "start":
+    for t, begins in zip(times[order].tolist(), starts[order].tolist(), strict=True):
+        if begins:
             if number or not math.isnan(stop):
                 rows[number] = told(False)
-            number, start, stop = number + 1, float(t), math.nan
+            number, start, stop = number + 1, t, math.nan
         else:
-            stop = float(t) if math.isnan(stop) else max(stop, float(t))
+            stop = t if math.isnan(stop) else max(stop, t)
         rows[number] = told(True)
     state.update((number, start, stop))
-    yield pd.DataFrame(list(rows.values()), columns=["pid", "msg", "number", "start", "stop", "fault"]).astype({"number": "int64"})
+    n = len(rows)
+    number, start, stop, fault = zip(*rows.values(), strict=True)
+    yield pd.DataFrame({"pid": [key[0]] * n, "msg": [key[1]] * n, "number": np.array(number, np.int64), "start": np.array(start), "stop": np.array(stop), "fault": np.array(fault, object)}, copy=False)
 
 
 def interval_updates(stream: DataFrame) -> DataFrame:
