@@ -189,6 +189,26 @@ def test_word_encoder_as_the_library():
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t[:80])
 
 
+def test_word_encoder_merges_chunks_of_many_texts_at_once(monkeypatch):
+    """Texts encoded together, plain ones or not, have the library's ids; their distinct chunks are merged once, in one call."""
+    encoder, library = packing.WordEncoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    taken, merge = [], encoder.words.encode_to_numpy
+    monkeypatch.setattr(encoder.words, "encode_to_numpy", lambda text, **k: taken.append(text) or merge(text, **k))
+    texts = ["", " ", "one-two  don't\xa0one-two", "漢字 one-two", "\x1cOne-Two\x85", "<|endoftext|> one-two", "don't\n" * 500, "²½9 ÉCOLE " + "x" * 3000, ""]
+    found = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode_all(texts)]
+    assert found == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(taken) == 1 and taken[0].count("twoZ") == 2 and taken[0].count("donZ") == 1
+    assert encoder.encode_all([]) == [] and encoder.encode_all(["", ""]) == [b"", b""]
+
+
+def test_pieces_of_texts_longer_than_a_slice(spark):
+    """Batches are encoded in slices of about TOGETHER bytes; texts at and over the cut are whole."""
+    half = "ab " * (packing.TOGETHER // 6)
+    texts = [(1, "first"), (2, half), (3, None), (4, half), (5, half * 3), (6, ""), (7, "last")]
+    rows = packing.pieces_of(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), TOKENIZER).collect()
+    assert pieces_in(rows) == expected_pieces(texts)
+
+
 # ---- filter audit
 
 

@@ -15,13 +15,15 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomolake.llm.common import cut, map_batches, pieces
+from tomolake.llm.common import cut, pieces
 
 CAPACITY = 4096
 END_ID = 1
@@ -29,43 +31,26 @@ END_ID = 1
 SHARD_PIECES, MEET, OPENED = 4096, 64, 16
 #: Islands of a shard, packings on each, epochs, and children of an epoch.
 ISLANDS, POPULATION, EPOCHS, CHILDREN = 4, 8, 3, 150
-#: Words whose ids a task remembers.
-REMEMBERED = 400_000
+#: Bytes of the texts that are encoded together, about.
+TOGETHER = 1 << 23
 
 # Fixed values of the word-end vocabulary: the end mark, and the pattern that words follow after lower-casing.
 WORD_END = "</w>"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same for texts of Latin letters and marks only (PLAIN), where re's classes differ in six numerals and in spaces.
-_NUMERALS, _SPACES = "²³¹¼½¾", r" \t\n\x0b\x0c\r\x85\xa0"
-LATIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_{_NUMERALS}]+|[\d{_NUMERALS}]|(?:[^\w{_SPACES}]|_)+")
+#: Texts of Latin letters and marks only, where Arrow's classes are the library's but for spaces beyond ASCII.
 PLAIN = re.compile("[\x00-įı-ſ‐-‧‰-⁞€]*")
 #: A byte that no lower-cased text holds: it ends every word for the rank encoder.
 END_BYTE = "Z"
 
 
-class _Words(dict):
-    """Ids, as bytes, of words; a bounded memory in front of the rank encoder."""
-
-    def __init__(self, encoding):
-        super().__init__()
-        self.encoding = encoding
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encoding.encode_to_numpy(word + END_BYTE, disallowed_special=()).astype("<u4", copy=False).tobytes()
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class WordEncoder:
     """ids of whole texts as the tokenizers library gives them for a tokenizer file.
 
     Where the file is BPE with word ends, lower case and the known word pattern, and its merges stand in the order of
     their ids, words are merged by the rank encoder of tiktoken: a byte that ends the word makes its last symbol, by
-    merges that rank before all others. Texts with letters beyond Latin ones, texts that hold an added token, and files
-    of any other kind go to the tokenizers library.
+    merges that rank before all others. No word reaches over a space: what stands between spaces is split into words and
+    merged once for texts encoded together. Texts with letters beyond Latin ones, texts that hold an added token, and
+    files of any other kind go to the tokenizers library.
     """
 
     def __init__(self, path: str):
@@ -90,18 +75,44 @@ class WordEncoder:
 
             own = [*range(33, 127), *range(161, 173), *range(174, 256)]
             of = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(own))}
-            ranks = {}
+            ranks, self.ends = {}, np.zeros(max(model["vocab"].values()) + 1, bool)
             for token, i in model["vocab"].items():
                 if token not in self.added:
                     ends = token.endswith(WORD_END) and len(token) > len(WORD_END)
                     ranks[bytes(map(of.__getitem__, token.removesuffix(WORD_END) if ends else token)) + END_BYTE.encode() * ends] = i
-            self.words = _Words(tiktoken.Encoding("words", pat_str=f"[^{END_BYTE}]+{END_BYTE}", mergeable_ranks=ranks, special_tokens={}))
+                    self.ends[i] = ends
+            self.words = tiktoken.Encoding("words", pat_str=f"[^{END_BYTE}]+{END_BYTE}", mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if self.words is None or not PLAIN.fullmatch(text) or any(a in text for a in self.added):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, LATIN_WORDS.findall(text.lower())))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The same for each text. Texts are few enough to be held at once."""
+        out, plain = [b""] * len(texts), []
+        for k, text in enumerate(texts):
+            if self.words is None or not PLAIN.fullmatch(text) or any(a in text for a in self.added):
+                out[k] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                plain.append(k)
+        for k, ids in zip(plain, self._ranked([texts[k] for k in plain]) if plain else [], strict=True):
+            out[k] = ids
+        return out
+
+    def _ranked(self, texts: list[str]) -> list[bytes]:
+        """The ids of each plain text, put together from those of the distinct chunks between spaces."""
+        rows = pc.ascii_split_whitespace(pa.array([t.lower().replace("\x85", " ").replace("\xa0", " ") for t in texts], pa.large_string()))
+        chunks = rows.flatten().dictionary_encode()
+        words = pc.replace_substring_regex(chunks.dictionary, WORD_PATTERN, rf"\0{END_BYTE}")
+        ids = self.words.encode_to_numpy("".join(words.to_numpy(zero_copy_only=False)), disallowed_special=())
+        # A word's last id ends it, so the ids of a chunk end with its last word.
+        word_ends = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+        ends = word_ends[np.append(0, np.cumsum(pc.count_substring(words, END_BYTE).to_numpy()))]
+        at = chunks.indices.to_numpy()
+        n = np.diff(ends)[at]
+        till = np.append(0, np.cumsum(n))
+        ids = ids[np.repeat(ends[at] - till[:-1], n) + np.arange(till[-1])].astype("<u4", copy=False)
+        return [ids[a:b].tobytes() for a, b in pairwise(till[rows.offsets.to_numpy()].tolist())]
 
 
 @lru_cache(1)
@@ -114,23 +125,30 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     capacity. row is a number of the document's own. Null texts count as empty: they have only the end id."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder, end, width = encoder_of(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
         at, piece, length, crc = [], [], [], []
-        for k, text in enumerate(batch.column(2).to_pylist()):
-            ids = encoder.encode(text or "") + end
+        for k, own in enumerate(encoder.encode_all([text or "" for text in batch.column(2).to_pylist()])):
+            ids = own + end
             for p, a in enumerate(range(0, len(ids), width)):
-                own = ids[a : a + width]
+                part = ids[a : a + width]
                 at.append(k)
                 piece.append(p)
-                length.append(len(own) // 4)
-                crc.append(zlib.crc32(own))
+                length.append(len(part) // 4)
+                crc.append(zlib.crc32(part))
         take = pa.array(at, pa.int32())
         start = pa.array(np.array(piece, np.int64) * capacity)
         columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(piece, pa.int32()), start, pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_batches(rows, run, "row long, doc_id long, piece int, start long, length long, ids_crc32 long", 256)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            till = np.cumsum(pc.binary_length(batch.column(2)).fill_null(0).to_numpy(), dtype=np.int64) // TOGETHER
+            for a, b in pairwise([0, *(np.flatnonzero(np.diff(till)) + 1).tolist(), batch.num_rows]):
+                if b > a:
+                    yield encoded(batch.slice(a, b - a))
+
+    return rows.mapInArrow(run, "row long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
