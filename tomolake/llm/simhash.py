@@ -39,8 +39,8 @@ SURE, WIDER = 3.0, 2.0
 NEIGHBOURS = 16
 #: Bands that are searched before the others, and neighbours of a code there: crowds of near copies are one component after.
 FIRST_BANDS, FIRST_NEIGHBOURS = 4, 4
-#: Bits of the filter that tells most texts that need not be looked at.
-FILTER_BITS = 1 << 24
+#: Bits of the filters that tell most texts that need not be looked at, or sent; and bits of a piece of Spark's bitmaps.
+FILTER_BITS, PIECE_BITS = 1 << 24, 32_768
 
 _SPREAD = np.uint64(0x0101010101010101)
 
@@ -347,25 +347,25 @@ def _codes(column: pa.Array, kind: type) -> np.ndarray:
 
 
 def _long_shards(first: int | None = None):
-    """Rows (node, code) once for each band of the code, or each of the first ones: shard, node, code."""
+    """Rows (node, code, ..) once for each band of the code, or each of the first ones: shard, node, code, .."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 8192):
             bands = _codes(batch.column(1), np.uint16).astype(np.int64)
             for band in range(first or bands.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(bands[:, band] + (band << 16)), batch.column(0), batch.column(1)], ["shard", "node", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(bands[:, band] + (band << 16)), *batch.columns], ["shard", *batch.schema.names])
 
     return run
 
 
 def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, node, code) of large shards once for each of 16 bytes of the code outside the shard's band."""
+    """Rows (shard, node, code, ..) of large shards once for each of 16 bytes of the code outside the shard's band."""
     for batch in pieces(batches, 8192):
         shard, values = batch.column(0).to_numpy(), _codes(batch.column(2), np.uint8).astype(np.int64)
         for byte in range(0, values.shape[1], 4):
             at = np.where(shard >> 16 == byte // 2, byte + 2, byte)
             new = (1 << 48) + (shard << 16) + (at << 8) + values[np.arange(len(shard)), at]
-            yield pa.RecordBatch.from_arrays([pa.array(new), batch.column(1), batch.column(2)], ["shard", "node", "code"])
+            yield pa.RecordBatch.from_arrays([pa.array(new), *batch.columns[1:]], batch.schema.names)
 
 
 def _nearest(group: np.ndarray, codes: np.ndarray, labels: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -397,17 +397,16 @@ def _nearest(group: np.ndarray, codes: np.ndarray, labels: np.ndarray, wide: int
 
 def _shard_pairs(sure: int, wide: int, most: int):
     """Rows (shard, node, code, known), together by shard: links u, v within sure bits, as spanning stars, and pairs to be
-    looked at, of each code those with up to `most` of other components; of a code with more, only its FIRST_NEIGHBOURS nearest,
-    and itself with its shard as `cut`.
+    looked at, of each code those with up to `most` of other components; of a code with more, only its FIRST_NEIGHBOURS nearest.
+    Such a code comes as u and v with its shard as `cut`, once a shard, and so do its partners, but with v null.
     known is a label that codes are linked by already, or zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("linked", pa.bool_()), ("cut", pa.int64())])
 
-        def rows(u: np.ndarray, v: np.ndarray, linked: bool, cut_of: np.ndarray | None = None) -> pa.RecordBatch:
-            none = pa.nulls(len(u), pa.int64()) if cut_of is None else pa.array(cut_of)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), linked)), none], schema=schema)
+        def rows(u: np.ndarray, v: np.ndarray, linked: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), linked)), pa.nulls(len(u), pa.int64())], schema=schema)
 
         def found() -> Iterator[pa.RecordBatch]:
             shard, nodes, codes, known = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -421,6 +420,7 @@ def _shard_pairs(sure: int, wide: int, most: int):
             order = np.lexsort((known, group))
             same = (np.diff(group[order]) == 0) & (np.diff(known[order]) == 0) & (known[order][1:] != 0)
             labels = local_labels(len(codes), order[1:][same], order[:-1][same], labels)
+            over, met = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
             for a, b, d in _nearest(group, codes, labels, wide):
                 order = np.lexsort((b, d, a))
                 a, b = a[order], b[order]
@@ -428,9 +428,12 @@ def _shard_pairs(sure: int, wide: int, most: int):
                 partners = np.diff(np.append(start, len(a)))
                 rank, many = np.arange(len(a)) - np.repeat(start, partners), np.repeat(partners > most, partners)
                 stay = rank < np.where(many, min(FIRST_NEIGHBOURS, most), most)
-                yield rows(nodes[a[stay]], nodes[b[stay]], False)
-                over = np.unique(a[many])
-                yield rows(nodes[over], nodes[over], False, shard[over])
+                both = np.unique(np.minimum(a, b)[stay] * len(codes) + np.maximum(a, b)[stay])  # a pair may be ranked from either end
+                yield rows(nodes[both // len(codes)], nodes[both % len(codes)], False)
+                over[a[many]] = True
+                met[b[many]] = True
+            at = np.flatnonzero(over | met)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[at], mask=~over[at]), pa.array(np.zeros(len(at), bool)), pa.array(shard[at])], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
@@ -520,17 +523,29 @@ def _compared(wide: int, similarity: float):
     return run
 
 
+def _place(*columns: str) -> Column:
+    """The bit of a filter that stands for the columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)).cast("long")
+
+
+def _bitmap(rows: DataFrame, *columns: str) -> DataFrame:
+    """k, bits: a filter's pieces, numbered from zero, in which the places of all rows are set."""
+    return (
+        rows.select((_place(*columns) + 1).alias("x"))  # values are numbered from one, and so are buckets
+        .groupBy((F.bitmap_bucket_number("x") - 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    )
+
+
 def _sets(source: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """node, set: the different shingle hashes of the texts of source(doc_id, text) named by wanted(doc_id, node).
 
     A bitmap of FILTER_BITS, built by Spark and sent to all tasks, tells nearly all texts that are not wanted; so no
     text is sent anywhere, and only the sets of the others are.
     """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("long")
-    marks = wanted.select((place + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
-    held = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in marks:  # values are numbered from one, and so are buckets of 32,768 of them
-        held[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    held = np.zeros((FILTER_BITS // PIECE_BITS, PIECE_BITS // 8), np.uint8)
+    for r in _bitmap(wanted, "doc_id").collect():
+        held[r["k"]] = np.frombuffer(r["bits"], np.uint8)
+    held = held.ravel()
     shared = source.sparkSession.sparkContext.broadcast(held)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -543,7 +558,7 @@ def _sets(source: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "set"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    found = map_batches(source.select("doc_id", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("long")).alias("place")), run, f"doc_id {kind}, set array<long>", 256)
+    found = map_batches(source.select("doc_id", "text", _place("doc_id").alias("place")), run, f"doc_id {kind}, set array<long>", 256)
     return found.join(wanted, "doc_id").groupBy("node").agg(F.first("set").alias("set"))
 
 
@@ -567,15 +582,22 @@ def similar_classes(docs: DataFrame, key: str | Column = "doc_id", similarity: f
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["doc_id", "code"])
 
     prints = cut(map_batches(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, code binary").withColumn("node", F.xxhash64("code")))
-    schema = "shard long, node long, code binary"
-    codes = prints.groupBy("node").agg(F.first("code").alias("code"), F.first("doc_id").alias("doc_id"))
-    dealt = codes.select("node", "code").mapInArrow(_long_shards(), schema)
-    sizes = cut(dealt.groupBy("shard").count().where(F.col("count") > limit)).select("shard")
-    first = codes.select("node", "code").mapInArrow(_long_shards(FIRST_BANDS), schema)
-    if not sizes.isEmpty():
-        first = first.join(sizes, "shard", "left_anti")
-        large = dealt.join(sizes, "shard", "left_semi").mapInArrow(_again, schema)
-        dealt = dealt.join(sizes, "shard", "left_anti").unionByName(large)
+    codes = cut(prints.groupBy("node").agg(F.first("code").alias("code"), F.first("doc_id").alias("doc_id")))
+    sizes = codes.select("node", "code").mapInArrow(_long_shards(), "shard long, node long, code binary").groupBy("shard").count()
+    sizes = cut(sizes.where(F.col("count") > limit)).select("shard")
+    some_large = not sizes.isEmpty()
+
+    def dealt(labels: DataFrame | None, bands: int | None) -> DataFrame:
+        """shard, node, code, known for each band, or the first ones, where large shards are left out. The codes, which take a
+        row each, get their labels before they are dealt; the rows of all bands are shuffled once, by shard."""
+        known = codes.withColumn("label", F.lit(None).cast("long")) if labels is None else codes.join(labels, "node", "left")
+        schema = "shard long, node long, code binary, known long"
+        rows = known.select("node", "code", F.coalesce("label", F.lit(0).cast("long")).alias("known")).mapInArrow(_long_shards(bands), schema)
+        if not some_large:
+            return rows
+        few = F.broadcast(sizes)  # a row for over limit rows of all bands
+        small = rows.join(few, "shard", "left_anti")
+        return small if bands else small.unionByName(rows.join(few, "shard", "left_semi").select(*rows.columns).mapInArrow(_again, schema))
 
     def by_shard(rows: DataFrame) -> DataFrame:
         return rows.repartition(tasks(docs.sparkSession), "shard").sortWithinPartitions("shard")
@@ -600,18 +622,16 @@ def similar_classes(docs: DataFrame, key: str | Column = "doc_id", similarity: f
         return cut(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"))
 
     links, labels = None, None
-    for rows, most in ((first, min(FIRST_NEIGHBOURS, neighbours)), (dealt, neighbours)):
-        known = F.lit(0).cast("long") if labels is None else F.coalesce("label", F.lit(0).cast("long"))
-        rows = rows if labels is None else rows.join(labels, "node", "left")
-        found = pairs_of(rows.select("shard", "node", "code", known.alias("known")), most)
+    for bands, most in ((FIRST_BANDS, min(FIRST_NEIGHBOURS, neighbours)), (None, neighbours)):
+        found = pairs_of(dealt(labels, bands), most)
         sure_links = found.where("linked").select("u", "v")
         links = sure_links if links is None else links.unionByName(sure_links)
         links = links.unionByName(near_of(found, cut(connected_components(links))))
         labels = cut(connected_components(links))
-    over = found.where("cut is not null").select(F.col("cut").alias("shard"), F.col("u").alias("node"), F.lit(True).alias("over"))
+    over = found.where("cut is not null").select(F.col("cut").alias("shard"), F.col("u").alias("node"), F.col("v").isNotNull().alias("over"))
     if not over.isEmpty():
-        placed = dealt.join(over.select("shard").distinct(), "shard", "left_semi").join(labels, "node", "left").select("shard", "node", "code", F.coalesce("label", "node").alias("label"))
-        marked = placed.join(over, ["shard", "node"], "left").select("shard", "node", "code", "label", F.coalesce("over", F.lit(False)).alias("over"))
+        marked = over.join(codes, "node").join(labels, "node", "left").select("shard", "node", "code", F.coalesce("label", "node").alias("label"), "over")
+        placed = marked.drop("over")
         open_ = cut(by_shard(marked).mapInArrow(_open_nodes(wide), "shard long, node long, over boolean"))
         if not open_.isEmpty():
             rows = placed.join(open_, ["shard", "node"]).join(sets_of(open_.select("node")), "node").select("shard", "node", "code", "label", "over", "set")
@@ -623,18 +643,25 @@ def similar_classes(docs: DataFrame, key: str | Column = "doc_id", similarity: f
 def _first_of_each(docs: DataFrame, classes_of) -> DataFrame:
     """Of each class the row of the smallest doc_id (nulls last); of fully equal rows one.
 
-    classes_of gives doc_id (id, row) and label for rows told apart by a hash of all their columns.
+    classes_of gives doc_id (id, row) and label for rows told apart by a hash of all their columns. A bitmap of FILTER_BITS of
+    the rows that go or are repeated, built by Spark and sent to all tasks, tells most rows that stay; only the others, with
+    their texts, are sent to meet the rows that stay.
     """
     name = "_simhash_row"
     marked = docs.withColumn(name, F.xxhash64(*docs.columns))
     found = cut(classes_of(marked, F.struct(F.col("doc_id").alias("id"), F.col(name).alias("row"))).select("doc_id.id", "doc_id.row", "label"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     stay = cut(found.groupBy("label").agg(F.min(order).alias("k")).select("k.id", "k.row"))
-    kept = marked.join(stay, (F.col(name) == stay["row"]) & F.col("doc_id").eqNullSafe(stay["id"]), "left_semi")
-    repeated = found.join(stay, (found["row"] == stay["row"]) & found["id"].eqNullSafe(stay["id"]), "left_semi")
-    if not repeated.groupBy("id", "row").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", name])
-    return kept.drop(name)
+    counted = found.groupBy("id", "row").count()
+    gone = counted.join(stay, (counted["row"] == stay["row"]) & counted["id"].eqNullSafe(stay["id"]), "left_anti")
+    marks = F.broadcast(cut(_bitmap(gone.unionByName(counted.where("count > 1")), "id", "row")))
+    place = _place("doc_id", name)
+    byte = F.conv(F.hex(F.substring("bits", F.floor(place % PIECE_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    told = marked.join(marks, F.floor(place / PIECE_BITS) == F.col("k"), "left")
+    told = told.select(*marked.columns, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)).alias("doubtful"))
+    open_ = told.where("doubtful").drop("doubtful")
+    open_ = open_.join(stay, (F.col(name) == stay["row"]) & F.col("doc_id").eqNullSafe(stay["id"]), "left_semi").dropDuplicates(["doc_id", name])
+    return told.where("not doubtful").drop("doubtful").unionByName(open_).drop(name)
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
