@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Documents that a task holds as Python objects at one time.
 BATCH_DOCS = 1024
+#: Bytes of text that a task works on at one time, where what it makes of them takes many times that.
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,23 +69,62 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pieces(batches: Iterable[pa.RecordBatch], size: int = BATCH_DOCS) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most size."""
+def string_ends(batch: pa.RecordBatch) -> np.ndarray:
+    """For each row, the bytes of all strings up to its end."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.cumsum(sizes)
+
+
+def pieces(batches: Iterable[pa.RecordBatch], size: int = BATCH_DOCS, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most size and, if most is given, so many bytes of strings; a row beyond goes alone."""
     for batch in batches:
-        for start in range(0, batch.num_rows, size):
-            yield batch.slice(start, size)
+        ends = None if most is None else string_ends(batch)
+        start = 0
+        while start < batch.num_rows:
+            stop = start + size
+            if ends is not None:
+                within = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right"))
+                stop = min(stop, max(within, start + 1))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def release() -> None:
+    """Gives memory that this process has freed back to the system: idle Python workers are kept, with all they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def released(run: Batches) -> Batches:
+    """run, with what it has freed given back when its task is over."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, size: int = BATCH_DOCS) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, size: int = BATCH_DOCS, most: int | None = None) -> DataFrame:
     """fn over each piece of df; None adds no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, size):
+        for piece in pieces(batches, size, most):
             out = fn(piece)
             if out is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:

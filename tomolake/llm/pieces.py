@@ -12,7 +12,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from tomolake.llm.common import map_batches
+from tomolake.llm.common import BATCH_BYTES, map_batches
 
 SPACE = "▁"
 codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))  # as the library marks bad bytes
@@ -219,4 +219,4 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", outputs: t
 
     source = docs.selectExpr(f"`{key}` AS doc_id", "CAST(text AS string) AS text")
     kind = source.schema["doc_id"].dataType.simpleString()
-    return map_batches(source, run, ", ".join([f"doc_id {kind}", *(f"{k} {kinds[k]}" for k in outputs)]), 2048)
+    return map_batches(source, run, ", ".join([f"doc_id {kind}", *(f"{k} {kinds[k]}" for k in outputs)]), 2048, BATCH_BYTES)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomolake.llm.common import cut, map_batches, pieces
+from tomolake.llm.common import cut, map_batches
 from tomolake.llm.simhash import shingle_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -152,15 +152,14 @@ def scan(docs: DataFrame) -> DataFrame:
 def term_rows(docs: DataFrame) -> DataFrame:
     """term, n: in how many texts of a batch a term occurs; the sums over all batches are document frequencies."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 4096):
-            counts: dict[str, int] = {}
-            for text in batch.column(0).to_pylist():
-                for t in {w.lower() for w in set(_TERM.findall(text or ""))}:  # in any case
-                    counts[t] = counts.get(t, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts: dict[str, int] = {}
+        for text in batch.column(0).to_pylist():
+            for t in {w.lower() for w in set(_TERM.findall(text or ""))}:  # in any case
+                counts[t] = counts.get(t, 0) + 1
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term string, n long")
+    return map_batches(docs.select(F.col("text").cast("string").alias("text")), run, "term string, n long", 4096)
 
 
 def _told_apart(at: DataFrame, rounds: int = 2) -> DataFrame:
@@ -260,5 +259,5 @@ def sanitise(docs: DataFrame, threshold: float = DISCLOSURE, support: int = SUPP
         cols = [pa.array(clean, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
         return pa.RecordBatch.from_arrays(cols, names)
 
-    out = joined.mapInArrow(lambda batches: map(run, pieces(batches)), docs.schema)
+    out = map_batches(joined, run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomolake.llm.common import cut, map_batches, pieces, raw_texts, tasks, words_of
+from tomolake.llm.common import cut, map_batches, pieces, raw_texts, released, tasks, words_of
 from tomolake.llm.components import connected_components, local_labels
 
 #: Differing bits up to which two fingerprints link.
@@ -283,7 +283,7 @@ def shards(codes: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT) ->
 def links(codes: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT) -> DataFrame:
     """u, v: links that join all distinct fp of codes within radius bits, fewer than one per fp and shard."""
     dealt = shards(codes, radius, limit).repartition(tasks(codes.sparkSession), "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(_shard_links(radius), "u long, v long")
+    return dealt.mapInArrow(released(_shard_links(radius)), "u long, v long")
 
 
 def classes(prints: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT) -> DataFrame:
@@ -583,7 +583,7 @@ def similar_classes(docs: DataFrame, key: str | Column = "doc_id", similarity: f
 
     prints = cut(map_batches(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, code binary").withColumn("node", F.xxhash64("code")))
     codes = cut(prints.groupBy("node").agg(F.first("code").alias("code"), F.first("doc_id").alias("doc_id")))
-    sizes = codes.select("node", "code").mapInArrow(_long_shards(), "shard long, node long, code binary").groupBy("shard").count()
+    sizes = codes.select("node", "code").mapInArrow(released(_long_shards()), "shard long, node long, code binary").groupBy("shard").count()
     sizes = cut(sizes.where(F.col("count") > limit)).select("shard")
     some_large = not sizes.isEmpty()
 
@@ -592,18 +592,18 @@ def similar_classes(docs: DataFrame, key: str | Column = "doc_id", similarity: f
         row each, get their labels before they are dealt; the rows of all bands are shuffled once, by shard."""
         known = codes.withColumn("label", F.lit(None).cast("long")) if labels is None else codes.join(labels, "node", "left")
         schema = "shard long, node long, code binary, known long"
-        rows = known.select("node", "code", F.coalesce("label", F.lit(0).cast("long")).alias("known")).mapInArrow(_long_shards(bands), schema)
+        rows = known.select("node", "code", F.coalesce("label", F.lit(0).cast("long")).alias("known")).mapInArrow(released(_long_shards(bands)), schema)
         if not some_large:
             return rows
         few = F.broadcast(sizes)  # a row for over limit rows of all bands
         small = rows.join(few, "shard", "left_anti")
-        return small if bands else small.unionByName(rows.join(few, "shard", "left_semi").select(*rows.columns).mapInArrow(_again, schema))
+        return small if bands else small.unionByName(rows.join(few, "shard", "left_semi").select(*rows.columns).mapInArrow(released(_again), schema))
 
     def by_shard(rows: DataFrame) -> DataFrame:
         return rows.repartition(tasks(docs.sparkSession), "shard").sortWithinPartitions("shard")
 
     def pairs_of(rows: DataFrame, most: int) -> DataFrame:
-        return cut(by_shard(rows).mapInArrow(_shard_pairs(sure, wide, most), "u long, v long, linked boolean, cut long").distinct())
+        return cut(by_shard(rows).mapInArrow(released(_shard_pairs(sure, wide, most)), "u long, v long, linked boolean, cut long").distinct())
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         return cut(_sets(source, cut(codes.join(nodes.distinct(), "node", "left_semi").select("doc_id", "node")), width))
@@ -632,10 +632,10 @@ def similar_classes(docs: DataFrame, key: str | Column = "doc_id", similarity: f
     if not over.isEmpty():
         marked = over.join(codes, "node").join(labels, "node", "left").select("shard", "node", "code", F.coalesce("label", "node").alias("label"), "over")
         placed = marked.drop("over")
-        open_ = cut(by_shard(marked).mapInArrow(_open_nodes(wide), "shard long, node long, over boolean"))
+        open_ = cut(by_shard(marked).mapInArrow(released(_open_nodes(wide)), "shard long, node long, over boolean"))
         if not open_.isEmpty():
             rows = placed.join(open_, ["shard", "node"]).join(sets_of(open_.select("node")), "node").select("shard", "node", "code", "label", "over", "set")
-            links = links.unionByName(cut(by_shard(rows).mapInArrow(_compared(wide, similarity), "u long, v long").distinct()))
+            links = links.unionByName(cut(by_shard(rows).mapInArrow(released(_compared(wide, similarity)), "u long, v long").distinct()))
             labels = cut(connected_components(links))
     return prints.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
 
